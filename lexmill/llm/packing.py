@@ -26,7 +26,7 @@ from lexmill.llm.common import cut
 from lexmill.llm.tokens import encoded
 
 #: Pieces of a length that are numbered together by one task.
-GROUP = 20_000
+GROUP = 2_000
 
 
 class Counts:
