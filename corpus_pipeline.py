@@ -15,7 +15,7 @@ from lexmill.llm import langid, mixing, packing, pii, simhash
 from lexmill.llm.common import cut, table
 
 #: Texts without a language, or whose best language has less than this mean probability, go.
-LEAST_SCORE = 0.3
+LEAST_SCORE = 0.26
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
