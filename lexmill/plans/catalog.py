@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lexmill.plans import corpora, learning, scoring, streams
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+PARTS = (scoring.R, learning.R, corpora.R, streams.R)
+QUERIES = {name: f for part in PARTS for name, f in part.queries.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.oracles.items()}
+FLAGSHIP = QUERIES["report_grouping_sets"]
