@@ -6,10 +6,12 @@ Each is a small function of one row; Spark calls it by Arrow batch.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
@@ -132,3 +134,15 @@ def beam(log_probs: np.ndarray, blank: int, width: int, bonus: float = 0.0) -> l
 def beam_search(log_probs: pa.Array, blank: pa.Array, width: pa.Array) -> pa.Array:
     rows = [beam(np.array(p, float), b, w) if p else [] for p, b, w in zip(log_probs.to_pylist(), blank.to_pylist(), width.to_pylist(), strict=True)]
     return pa.array(rows, pa.list_(pa.int32()))
+
+
+def over(rows: DataFrame, key: str, kernel, *columns: str) -> DataFrame:
+    """(key, parts): a kernel over columns of its own node, for columns made by lambdas, which Spark can't hand to a function directly."""
+    func = kernel.func
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), func(*b.columns[1:])], [key, "parts"])
+
+    schema = K.StructType([rows.schema[key], K.StructField("parts", kernel.returnType)])
+    return rows.select(key, *columns).mapInArrow(run, schema)

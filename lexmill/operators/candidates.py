@@ -25,7 +25,12 @@ def reasons(terms: dict[str, Column]) -> Column:
 
 
 def recommended(learners: DataFrame, items: DataFrame, on: list[str], learner: str, item: str, terms: dict[str, Column], top: int) -> DataFrame:
-    """The top items of each learner, highest score first, ties by item; the rank's bound is applied before the shuffle."""
-    met = learners.join(items, on).withColumns({"score": score(terms), "reasons": reasons(terms)})
+    """The top items of each learner, highest score first, ties by item, with the reasons of those that are left.
+
+    The join multiplies rows, so learners are spread over all tasks before it, however few files they come from. The
+    rank's bound is applied before the next shuffle, and what only survivors need is made after it.
+    """
+    tasks = max(learners.sparkSession.sparkContext.defaultParallelism, int(learners.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = learners.repartition(tasks, learner).join(items, on).withColumn("score", score(terms))
     place = F.row_number().over(Window.partitionBy(learner).orderBy(F.desc("score"), item))
-    return met.withColumn("place", place).where(F.col("place") <= top)
+    return met.withColumn("place", place).where(F.col("place") <= top).withColumn("reasons", reasons(terms))

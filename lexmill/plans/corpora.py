@@ -213,13 +213,13 @@ def _frames(spark, d):
 @R.add()
 def frames_forced_alignment(spark, d):
     labels = F.array(F.col("label") % 3 + 1, F.lit(1), F.lit(3))
-    f = _frames(spark, d).select("vec_id", kernels.forced_alignment("frames", labels, F.lit(0)).alias("parts"))
-    # Outer, as from an inner explode the optimizer infers a filter that would evaluate the kernel outside its own node.
-    # A vector that can't be aligned has one row of nulls.
-    rows = f.select("vec_id", F.posexplode_outer("parts").alias("place", "p")).select("vec_id", "place", "p.*")
-    return rows.withColumn("confidence", F.round(A.sigmoid(F.col("score")), 6)).withColumn("score", F.round("score", 6))
+    f = kernels.over(_frames(spark, d).withColumns({"labels": labels, "blank": F.lit(0)}), "vec_id", kernels.forced_alignment, "frames", "labels", "blank")
+    at = lambda p: F.concat_ws(":", p["label"].cast("string"), p["start"].cast("string"), p["stop"].cast("string"))
+    mean = A.total(F.transform("parts", lambda p: p["score"])) / F.size("parts")
+    return f.select("vec_id", F.array_join(F.transform("parts", at), ",").alias("parts"), F.round(A.sigmoid(mean), 6).alias("confidence"))
 
 
 @R.add()
 def frames_beam_search(spark, d):
-    return _frames(spark, d).select("vec_id", F.array_join(kernels.beam_search("frames", F.lit(0), F.lit(8)), ",").alias("labels"))
+    f = kernels.over(_frames(spark, d).withColumns({"blank": F.lit(0), "width": F.lit(8)}), "vec_id", kernels.beam_search, "frames", "blank", "width")
+    return f.select("vec_id", F.array_join("parts", ",").alias("labels"))

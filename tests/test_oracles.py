@@ -49,4 +49,5 @@ def test_query_against_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(k for k in entry.queries() if k not in entry.oracle_sql() and not k.startswith("op") and k != "pipeline"))
 def test_query_without_sql_runs(spark, name):
-    assert entry.queries()[name](spark, DATA).count() > 0
+    rows = entry.queries()[name](spark, DATA).collect()
+    assert rows and any(v is not None for r in rows for v in r)
