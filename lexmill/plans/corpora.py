@@ -15,11 +15,11 @@ from lexmill.plans.common import PAIRS, Registry, pairs, table
 R = Registry()
 
 
-@R.add("""SELECT d.doc_id, d.lang, l.quality, l.toxic, CASE WHEN l.doc_id IS NULL THEN 'prompt_not_found' ELSE 'ready' END AS row_status
+@R.add("""SELECT d.doc_id, d.lang, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic, CASE WHEN l.doc_id IS NULL THEN 'prompt_not_found' ELSE 'ready' END AS row_status
     FROM documents d LEFT JOIN (SELECT doc_id, quality, toxic FROM labels QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY quality, toxic) = 1) l ON l.doc_id = d.doc_id""")
 def join_first_match(spark, d):
     labels = table(spark, d, "labels").withColumn("o", F.struct("quality", "toxic"))
-    return L.first_match(table(spark, d, "documents").select("doc_id", "lang"), labels, "doc_id", "o").select("doc_id", "lang", "quality", "toxic", "row_status")
+    return L.first_match(table(spark, d, "documents").select("doc_id", "lang"), labels, "doc_id", "o").select("doc_id", "lang", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"), "row_status")
 
 
 @R.add("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -110,7 +110,7 @@ def quality_invalid_values(spark, d):
     return Q.invalid_values(table(spark, d, "events"), "event_type", ["view", "click", "purchase"])
 
 
-@R.add(r"SELECT count(*) AS rows, count_if(trim(text) = '') AS blank_texts, count(text) - count(DISTINCT text) AS repeated_keys, round(avg(len(regexp_extract_all(text, '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?'))), 6) AS mean_words FROM conversations")
+@R.add(r"SELECT count(*) AS rows, CAST(count_if(trim(text) = '') AS BIGINT) AS blank_texts, count(text) - count(DISTINCT text) AS repeated_keys, round(avg(len(regexp_extract_all(text, '[A-Za-z0-9]+(?:''[A-Za-z0-9]+)?'))), 6) AS mean_words FROM conversations")
 def quality_coverage(spark, d):
     return Q.coverage(table(spark, d, "conversations"), "text", "text")
 

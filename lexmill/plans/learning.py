@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import phonemes as P
 from lexmill.operators import candidates as C
+from lexmill.operators import content as N
+from lexmill.operators import correction as K
 from lexmill.operators import history as H
 from lexmill.plans.common import ATTEMPTS, Registry, attempts, pairs, table
 
@@ -14,7 +16,7 @@ STREAKS = """streaks AS (
     SELECT learner, coalesce(min(CASE WHEN correct IS DISTINCT FROM true THEN rn END) - 1, count(*)) AS correct_streak,
            coalesce(min(CASE WHEN correct IS DISTINCT FROM false THEN rn END) - 1, count(*)) AS wrong_streak FROM latest GROUP BY learner),
 frame AS (SELECT learner, coalesce(round(avg(CAST(correct AS INTEGER)), 3), 0.0) AS recent_accuracy, count(correct) AS assessed FROM latest WHERE rn <= 5 GROUP BY learner),
-totals AS (SELECT learner, count(*) AS attempts, count_if(correct) AS "right", count_if(NOT correct) AS wrong, round(count_if(correct) / count(*), 3) AS accuracy, max(CASE WHEN rn = 1 THEN skill END) AS latest_skill FROM latest GROUP BY learner)"""
+totals AS (SELECT learner, count(*) AS attempts, CAST(count_if(correct) AS BIGINT) AS "right", CAST(count_if(NOT correct) AS BIGINT) AS wrong, round(count_if(correct) / count(*), 3) AS accuracy, max(CASE WHEN rn = 1 THEN skill END) AS latest_skill FROM latest GROUP BY learner)"""
 WEAK = """weak AS (SELECT learner, skill, count(*) AS misses, row_number() OVER (PARTITION BY learner ORDER BY count(*) DESC, skill) AS place FROM latest WHERE rn <= {0} AND NOT correct GROUP BY learner, skill)"""
 
 
@@ -57,21 +59,21 @@ def history_difficulty(spark, d):
 
 
 @R.add(f"""WITH {ATTEMPTS}, g AS (SELECT learner, (epoch_us(tm) - lag(epoch_us(tm)) OVER (PARTITION BY learner ORDER BY tm, seq)) / 1e6 AS gap FROM attempts)
-    SELECT learner, count(*) AS gaps, count_if(gap >= 3600) AS long_gaps, round(max(gap), 3) AS longest, round(sum(gap), 3) AS total FROM g WHERE gap IS NOT NULL GROUP BY learner""")
+    SELECT learner, count(*) AS gaps, CAST(count_if(gap >= 3600) AS BIGINT) AS long_gaps, round(max(gap), 3) AS longest, round(sum(gap), 3) AS total FROM g WHERE gap IS NOT NULL GROUP BY learner""")
 def history_pauses(spark, d):
     return H.pauses(attempts(spark, d), 3600.0)
 
 
 @R.add(f"""WITH {ATTEMPTS}, c AS (SELECT *, CASE WHEN correct IS NOT DISTINCT FROM lag(correct) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS change FROM attempts WINDOW w AS (PARTITION BY learner ORDER BY tm, seq)),
     i AS (SELECT *, CAST(sum(change) OVER (PARTITION BY learner ORDER BY tm, seq) AS BIGINT) AS island FROM c)
-    SELECT learner, island, any_value(correct) AS correct, count(*) AS length FROM i GROUP BY learner, island HAVING count(*) >= 2""")
+    SELECT learner, island, coalesce(CAST(any_value(correct) AS VARCHAR), 'none') AS correct, count(*) AS length FROM i GROUP BY learner, island HAVING count(*) >= 2""")
 def history_islands(spark, d):
-    return H.islands(attempts(spark, d))
+    return H.islands(attempts(spark, d)).withColumn("correct", F.coalesce(F.col("correct").cast("string"), F.lit("none")))
 
 
-@R.add(f"""WITH {ATTEMPTS}, r AS (SELECT learner, list_sort(list(DISTINCT prompt)) AS recent_prompts FROM latest WHERE rn <= 3 GROUP BY learner) SELECT learner, recent_prompts FROM r""")
+@R.add(f"""WITH {ATTEMPTS}, r AS (SELECT learner, array_to_string(list_sort(list(DISTINCT prompt)), ',') AS recent_prompts FROM latest WHERE rn <= 3 GROUP BY learner) SELECT learner, recent_prompts FROM r""")
 def history_recent_prompts(spark, d):
-    return H.recent(attempts(spark, d), 3).groupBy("learner").agg(F.sort_array(F.collect_set("prompt")).alias("recent_prompts"))
+    return H.recent(attempts(spark, d), 3).groupBy("learner").agg(F.array_join(F.sort_array(F.collect_set("prompt")).cast("array<string>"), ",").alias("recent_prompts"))
 
 
 @R.add("""WITH learners AS (SELECT c_custkey AS learner, c_nationkey AS module, c_acctbal FROM customer),
@@ -111,3 +113,57 @@ SOUND_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in (P.GROUPS | P.LETTER
 def phones_spelled(spark, d):
     w = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct().withColumn("p", P.spelled(F.col("word")))
     return w.select("word", F.array_join("p", " ").alias("phones"), P.pattern(F.col("p")).alias("pattern"))
+
+HEARD = ["bee", "see", "they", "ten", "tin", "zee", "queue", "tree", "blew", "x", "double you", "eye", "too", "cat", "", "kay", "the", "are", "red", "won", "oh", "hmm", "jay", "son", "pea"]
+WORDS = ["then", "thin", "three", "blue", "to", "cat", "read", "one", "sun", "the cat sat"]
+
+
+def _heard(spark, d):
+    """Customers as answers: a letter or word is expected by the key, and what was heard goes by the nation."""
+    c = table(spark, d, "customer")
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), at.cast("int") + 1)
+    letter = F.char(F.lit(97) + F.col("c_custkey") % 26)
+    expected = F.when(F.col("c_custkey") % 3 > 0, letter).otherwise(pick(WORDS, F.col("c_custkey") % 10))
+    return c.select(F.col("c_custkey").alias("id"), expected.alias("expected"), pick(HEARD, F.col("c_nationkey") % 25).alias("raw"))
+
+
+SPOKEN = ", ".join(f"('{k}', '{x}')" for k, v in K.SPOKEN.items() for x in v.split())
+CONFUSED = ", ".join(f"('{k}', '{x}')" for k, v in K.CONFUSED.items() for x in v.split())
+
+
+@R.add(f"""WITH h AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 > 0 THEN chr(CAST(97 + c_custkey % 26 AS INTEGER)) ELSE ({WORDS})[CAST(c_custkey % 10 AS INTEGER) + 1] END AS expected, ({HEARD})[c_nationkey % 25 + 1] AS raw FROM customer),
+    f AS (SELECT *, CASE WHEN raw = 'hmm' THEN '' ELSE raw END AS r, length(expected) = 1 AS letter, expected LIKE '% %' AS long,
+        EXISTS (SELECT 1 FROM (VALUES {SPOKEN}) s(k, x) WHERE k = expected AND (x = raw OR x = replace(raw, ' ', ''))) AS alias, EXISTS (SELECT 1 FROM (VALUES {CONFUSED}) s(k, x) WHERE k = expected AND x = raw) AS confused FROM h)
+    SELECT id, expected, raw, CASE WHEN expected = raw THEN 'exact' WHEN long THEN 'left_as_heard' WHEN letter AND alias THEN 'letter_name' WHEN confused THEN 'known_confusion' ELSE 'other' END AS rule FROM f""")
+def correct_rules(spark, d):
+    got = K.corrected(_heard(spark, d))
+    rule = F.when(F.col("strategy").isin("exact", "left_as_heard", "letter_name", "known_confusion"), F.col("strategy")).otherwise("other")
+    return got.select("id", "expected", "raw", rule.alias("rule"))
+
+
+@R.add()
+def correct_cascade(spark, d):
+    learned = spark.createDataFrame([("cat", "red"), ("a", "tin")], "expected string, raw string")
+    return K.corrected(_heard(spark, d), learned).select("id", "expected", "raw", "strategy", "accepted", "score", "threshold", "corrected")
+
+
+@R.add()
+def correct_spelling_variant(spark, d):
+    h = _heard(spark, d).withColumn("variant", K.spelling_variant(F.col("expected"), F.col("raw")))
+    near = F.when(F.col("raw") != "", F.col("variant"))
+    return h.withColumn("evidence", K.weighted({"variant": (near, 0.6), "length": (F.abs(F.length("raw") - F.length("expected")) / 10.0, 0.4)}))
+
+
+@R.add(r"""WITH w AS (SELECT item_id, text, regexp_extract_all(text, '[A-Za-z'']+') AS ws FROM benchmark),
+    s AS (SELECT item_id, CAST(len(ws) AS INTEGER) AS words, round((least(len(ws) / 15.0::DOUBLE, 1.0) + least(CASE WHEN len(ws) > 0 THEN list_sum(list_transform(ws, lambda x: length(x)))::DOUBLE / len(ws) ELSE 0 END / 8.0, 1.0) + CASE WHEN regexp_matches(text, '[,:;!?]') THEN 0.15 ELSE 0 END::DOUBLE) / 3, 3) AS difficulty FROM w)
+    SELECT item_id, words, difficulty, CASE WHEN difficulty <= 0.2 THEN 'very_easy' WHEN difficulty <= 0.4 THEN 'easy' WHEN difficulty <= 0.6 THEN 'medium' WHEN difficulty <= 0.8 THEN 'hard' ELSE 'very_hard' END AS level,
+        CASE WHEN difficulty <= 0.2 THEN 'warm_up' WHEN difficulty <= 0.6 THEN 'practice' ELSE 'challenge' END AS role FROM s""")
+def content_difficulty(spark, d):
+    return N.enriched(table(spark, d, "benchmark"), "text").select("item_id", "words", "difficulty", "level", "role")
+
+
+@R.add()
+def content_enriched_words(spark, d):
+    w = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    e = N.enriched(w, "word")
+    return e.withColumn("phones", F.array_join("phones", " "))

@@ -11,7 +11,7 @@ from lexmill.operators import evaluation as E
 from lexmill.plans.common import FORM, FORMS, PAIRS, SCORED, Registry, pairs, table
 
 R = Registry()
-MACRO = """count_if(r <> '') AS evaluated, count_if(r = '') AS blank_reference, count_if(h = '') AS blank_hypothesis,
+MACRO = """CAST(count_if(r <> '') AS BIGINT) AS evaluated, CAST(count_if(r = '') AS BIGINT) AS blank_reference, CAST(count_if(h = '') AS BIGINT) AS blank_hypothesis,
     round(avg(CASE WHEN r <> '' THEN wer END), 6) AS wer, round(avg(CASE WHEN r <> '' THEN cer END), 6) AS cer,
     round(avg(CASE WHEN r <> '' THEN CAST(exact AS INTEGER) END), 6) AS exact_rate"""
 
