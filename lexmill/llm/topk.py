@@ -11,8 +11,9 @@ verified by its exact integer product.
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, as neither query nor
 candidate; a null id takes no part; of rows that repeat an id the smallest vector stands; vectors of different lengths
 are compared as if zeros followed the shorter; zero vectors score 0; ties go to the smaller id; a query with fewer than
-k candidates returns them all; an empty table gives no rows. Components floor to whole numbers held as doubles, and
-products are exact while they stay under 2**53; components are held within 2**22 either way. Extra columns are not read.
+k candidates returns them all; an empty table gives no rows. Products are exact: in doubles where lengths bound them
+under 2**53, else in 64-bit integers. Whole components are held within 2**28 either way, so that the products of 64 fit
+a long. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +34,21 @@ SLAB = 16_384
 BLOCK = 1024
 #: A bucket whose median local threshold is this or more prunes by coordinate.
 STEEP = 0.8
-LIMIT = float(1 << 22)
+LIMIT = float(1 << 28)
+NO_FLOOR = -(1 << 62)
 
 
-def _matrix(vectors: list[list[float]]) -> np.ndarray:
-    width = max(map(len, vectors), default=0)
-    if all(len(v) == width for v in vectors):
-        return np.array(vectors, float).reshape(len(vectors), width)
-    return np.array([v + [0.0] * (width - len(v)) for v in vectors])
+def _matrix(side: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, rows padded with zeros to one width, and floors, of a list of structs (id, v and perhaps floor)."""
+    cells = side.values
+    ids, lists = cells.field("id").to_numpy(zero_copy_only=False), cells.field("v")
+    sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    rows = np.zeros((len(ids), sizes.max(initial=0)))
+    rows[np.arange(rows.shape[1]) < sizes[:, None]] = flat
+    names = [f.name for f in cells.type]
+    floors = cells.field("floor").fill_null(NO_FLOOR).to_numpy(zero_copy_only=False) if "floor" in names else np.empty(0, np.int64)
+    return ids, rows, floors
 
 
 def _widen(x: np.ndarray, width: int) -> np.ndarray:
@@ -78,8 +87,10 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 def search(queries: tuple, buckets: list[Bucket], k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per query the ids and scores of its k best here, of those that reach its floor. queries: ids, rows, norms."""
     qids, rows, norms = queries
-    found = [(np.empty(0, np.int64), np.empty(0)) for _ in qids]
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in qids]
     need = floors.copy()
+    exact = norms.max(initial=0) * max((b.norms[0] for b in buckets), default=0) >= 2.0**53
+    product = (lambda a, b: a.astype(np.int64) @ b.astype(np.int64)) if exact else (lambda a, b: np.rint(a @ b).astype(np.int64))
     for bucket in buckets:
         with np.errstate(divide="ignore", invalid="ignore"):
             theta = need / (norms * bucket.norms[0])
@@ -89,12 +100,12 @@ def search(queries: tuple, buckets: list[Bucket], k: int, floors: np.ndarray) ->
             continue
         if np.median(theta[live]) >= STEEP:
             picks = [(i, bucket.by_coordinate(rows[i] / norms[i], min(1.0, theta[i])) if theta[i] > 0 and norms[i] > 0 else np.arange(len(bucket.ids))) for i in live]
-            tested = [(i, at, bucket.rows[at] @ rows[i]) for i, at in picks if len(at)]
+            tested = [(i, at, product(bucket.rows[at], rows[i])) for i, at in picks if len(at)]
         else:
             with np.errstate(divide="ignore", invalid="ignore"):
                 shortest = np.where((need[live] > 0) & (norms[live] > 0), need[live] / norms[live], 0.0)
             reach = np.searchsorted(-bucket.norms, -shortest * (1 - 1e-12), "right")
-            products = bucket.rows[: reach.max()] @ rows[live].T
+            products = product(bucket.rows[: reach.max()], rows[live].T)
             tested = [(i, np.arange(m), products[:m, j]) for j, (i, m) in enumerate(zip(live, reach, strict=True)) if m]
         for i, at, scores in tested:
             take = (scores >= need[i]) & (bucket.ids[at] != qids[i])
@@ -108,20 +119,18 @@ def search(queries: tuple, buckets: list[Bucket], k: int, floors: np.ndarray) ->
 def _cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Rows (query block, slab) to each query's best of the slab."""
     for batch in batches:
-        for block, slab in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            q, c = (_matrix([x["v"] for x in side]) for side in (block, slab))
+        for block, slab in zip(batch.column(0), batch.column(1), strict=True):
+            (qids, q, floors), (ids, c, _) = _matrix(block), _matrix(slab)
             width = max(q.shape[1], c.shape[1])
             q, c = _widen(q, width), _widen(c, width)
-            norms, ids = np.sqrt((c * c).sum(axis=1)), np.array([x["id"] for x in slab], np.int64)
+            norms = np.sqrt((c * c).sum(axis=1))
             order = np.lexsort((ids, -norms))
             buckets = [Bucket(ids[at], c[at], norms[at]) for at in (order[i : i + BUCKET] for i in range(0, len(order), BUCKET))]
-            qids = np.array([x["id"] for x in block], np.int64)
-            floors = np.array([-np.inf if x["floor"] is None else x["floor"] for x in block], float)
             found = search((qids, q, np.sqrt((q * q).sum(axis=1))), buckets, k, floors)
             query = np.repeat(qids, [len(x[0]) for x in found])
             if len(query):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(query), pa.array(np.concatenate([x[0] for x in found])), pa.array(np.concatenate([x[1] for x in found]).astype(np.int64))],
+                    [pa.array(query), pa.array(np.concatenate([x[0] for x in found])), pa.array(np.concatenate([x[1] for x in found]))],
                     ["query_id", "id", "score"],
                 )
 
@@ -164,11 +173,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         dealt = packed.withColumn("slab", F.explode(F.sequence(F.lit(slab_from), F.lit(slab_to))))
         return dealt.join(slab, "slab").select("asks", "slab_rows").mapInArrow(lambda it: _cells(it, k), "query_id long, id long, score long")
 
-    first = cut(meet(asked.withColumn("floor", F.lit(None).cast("double")), 0, 0), "topk-first")
+    first = cut(meet(asked.withColumn("floor", F.lit(None).cast("long")), 0, 0), "topk-first")
     found = first
     total = slab.agg(F.max("slab")).first()[0] or 0
     if total:
-        floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
+        floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
         asked = asked.join(floors, asked["id"] == floors["query_id"], "left").drop("query_id")
         found = first.unionByName(meet(asked, 1, total))
     rank = F.row_number().over(_window("query_id").orderBy(F.desc("score"), "id"))
