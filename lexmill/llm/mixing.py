@@ -120,26 +120,26 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 11, fan: int = 64,
 ) -> DataFrame:
-    """One row per input row: (id_col, size, source_size, target, taken, copies); taken counts repeated words."""
+    """One row per input row: (id_col, size, source_size, target, taken, copies, source_col); taken counts repeated words."""
     items = copies(docs, id_col, text_col, source_col, weights, cap, seed, fan)
     rows = items.withColumn("nth", F.explode(F.expr("sequence(1l, m)")))
     own = F.floor(F.col("copies") / F.col("m")) + (F.col("nth") <= F.col("copies") % F.col("m")).cast("long")
     rows = rows.withColumn("own", own)
     return rows.select(
         F.col("id").alias(id_col), "size", "source_size", "target",
-        (F.col("own") * F.col("size")).alias("taken"), F.col("own").alias("copies"),
+        (F.col("own") * F.col("size")).alias("taken"), F.col("own").alias("copies"), F.col("source").alias(source_col),
     )
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, with its columns unchanged."""
     taken = mix(docs, id_col, text_col, source_col, **options)
-    # Repeats of an id are told apart by their place among the id's rows of one size.
-    nth = lambda size: F.row_number().over(Window.partitionBy(id_col, size).orderBy(F.lit(1)))
+    # Rows that share id, source and size are told apart by their place among them.
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     left = docs.withColumn("__size", size)
-    left = left.withColumn("__nth", nth("__size"))
-    right = taken.select(F.col(id_col).alias("__id"), F.col("size").alias("__of"), F.col("copies").alias("__copies"), F.row_number().over(Window.partitionBy(id_col, "size").orderBy(F.desc("copies"))).alias("__at"))
-    on = left[id_col].eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__of")) & (F.col("__nth") == F.col("__at"))
+    left = left.withColumn("__nth", F.row_number().over(Window.partitionBy(id_col, source_col, "__size").orderBy(F.xxhash64(text_col))))
+    at = F.row_number().over(Window.partitionBy(id_col, source_col, "size").orderBy(F.desc("copies")))
+    right = taken.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__of"), F.col("copies").alias("__copies"), at.alias("__at"))
+    on = left[id_col].eqNullSafe(F.col("__id")) & left[source_col].eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__of")) & (F.col("__nth") == F.col("__at"))
     met = left.join(right.where("__copies > 0"), on)
     return met.withColumn("__copy", F.explode(F.expr("sequence(1l, __copies)"))).select(*[docs[c] for c in docs.columns])
