@@ -259,7 +259,12 @@ def identify(docs: DataFrame, net: Network | None = None, id_col: str = "doc_id"
 
 
 def accept(docs: DataFrame, least: float, net: Network | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose text has a language with a score of ``least`` or more, columns unchanged."""
+    """The rows whose text has a language with a score of ``least`` or more, columns unchanged.
+
+    Where no row has a label there is no language to tell, and all texts with a letter stay.
+    """
     net = net or fit(docs, id_col, text_col, lang_col)
+    if net is None:
+        return docs.where(F.col(text_col).rlike("\\p{L}"))
     marked = docs.withColumn("__language", predicted(text_col, net))
     return marked.where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= least)).select(*docs.columns)

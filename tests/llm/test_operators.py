@@ -168,6 +168,9 @@ def test_top_k_against_brute_force(spark, monkeypatch, slab, bucket, steep):
             order = sorted((-int(v @ real[q]), i) for i, v in real.items() if i != q)[:20]
             want[q] = [(k, i, -s) for k, (s, i) in enumerate(order, 1)]
     assert got == want
+    huge = spark.createDataFrame([(20 * i, [4e6 + i] * 4) for i in range(3)], "vec_id long, embedding array<double>")
+    big = {(r.query_id, r.rank): r.score for r in topk.top_k(huge, F.col("id") % 20 == 0, 20).collect()}
+    assert big[0, 1] == 4 * 256_000_000 * 256_000_128 and big[20, 1] == 4 * 256_000_064 * 256_000_128
     few = topk.top_k(df.where("vec_id in (20, 21, 22, 500)"), F.col("id") % 20 == 0, 20)
     assert few.count() == 2 and topk.top_k(df.limit(0), F.col("id") % 20 == 0, 20).count() == 0
 
@@ -274,6 +277,10 @@ def test_mixing(spark, odd):
     again = mixing.mix(odd.repartition(5)).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
     mixed = mixing.mixed(odd)
+    per = Counter()
+    for r in out:
+        per[r.doc_id, r.source, r["size"]] += r.copies
+    assert Counter((r.doc_id, r.source, size(r.text)) for r in mixed.collect()) == +per
     assert mixed.columns == odd.columns and mixed.count() == sum(r.copies for r in out)
     assert mixing.mix(odd.limit(0)).count() == 0 and mixing.mixed(odd.limit(0)).count() == 0
 
@@ -299,6 +306,7 @@ def test_language_id_defined_cases(spark, odd):
     kept = langid.accept(odd, 0.0, net)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 3
     assert langid.identify(odd.limit(0)).count() == 0
+    assert langid.accept(odd.withColumn("lang", F.lit(None).cast("string")), 0.5).count() == kept.count()
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
