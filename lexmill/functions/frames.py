@@ -52,3 +52,9 @@ def collapsed(labels: Column, blank: Column) -> Column:
     """Repeats of the label before are dropped, then blanks."""
     kept = F.filter(labels, lambda x, i: (i == 0) | (x != F.element_at(labels, F.greatest(i, F.lit(1)))))
     return F.filter(kept, lambda x: x != blank)
+
+
+def top(scores: Column, n: int) -> Column:
+    """Places, from 0, of the n highest scores; ties to the lower place."""
+    placed = F.transform(scores, lambda x, i: F.struct((-x).alias("x"), i.alias("at")))
+    return F.transform(F.slice(F.array_sort(placed), 1, n), lambda p: p["at"])

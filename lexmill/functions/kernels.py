@@ -66,6 +66,13 @@ def block_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([_similar(x or "", y or "") for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
 
+@F.arrow_udf(K.IntegerType())
+def block_matches(a: pa.Array, b: pa.Array) -> pa.Array:
+    """How many elements the matching blocks of two arrays hold."""
+    found = [sum(m.size for m in SequenceMatcher(None, x or [], y or [], autojunk=False).get_matching_blocks()) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+    return pa.array(found, pa.int32())
+
+
 def forced(log_probs: np.ndarray, labels: list[int], blank: int) -> list[tuple[int, int, int, float]] | None:
     """Best path through blanks and labels in order: (label, first frame, last frame, mean log-probability) each.
 

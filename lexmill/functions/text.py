@@ -145,3 +145,23 @@ def truthy(c: Column | str, default: bool = False) -> Column:
 
 def number(c: Column | str) -> Column:
     return _col(c).cast("string").try_cast("double")
+
+
+def prefix_steps(c: Column | str, limit: int = 12) -> Column:
+    """The distinct scoring forms that a text runs through as it grows letter by letter, up to ``limit``."""
+    t = F.coalesce(_col(c), F.lit(""))
+    forms = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: for_scoring(F.substr(t, F.lit(1), i)))
+    add = lambda acc, x: F.when((x == "") | F.coalesce(F.element_at(acc, -1) == x, F.lit(False)), acc).otherwise(F.array_append(acc, x))
+    grown = F.aggregate(forms, F.array(F.lit("")).cast("array<string>"), add)
+    return F.slice(grown, 2, limit)
+
+
+def age_group(c: Column | str) -> Column:
+    """child, teen or adult; '' for what is no number."""
+    age = _col(c).cast("string").try_cast("int")
+    return F.when(age.isNull(), "").when(age < 13, "child").when(age < 18, "teen").otherwise("adult")
+
+
+def speaker_type(c: Column | str) -> Column:
+    g = age_group(c)
+    return F.when(g == "teen", "child").otherwise(g)

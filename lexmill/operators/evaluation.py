@@ -89,3 +89,20 @@ def winners(rows: DataFrame, a: str, b: str, lower_is_better: bool = True) -> Co
     """Which of two scores wins, within 1e-12 a tie."""
     gap = F.col(a) - F.col(b) if lower_is_better else F.col(b) - F.col(a)
     return F.when(F.abs(gap) < 1e-12, "tie").when(gap < 0, a).otherwise(b)
+
+
+def routing(rates: DataFrame, kind: str, a: str, b: str, kinds: tuple[str, str, str]) -> DataFrame:
+    """One row: which of two models should take letters, words and sentences (``kinds``), by the rates of each kind."""
+    won = rates.withColumn("x", F.when(F.abs(F.col(a) - F.col(b)) < 1e-12, "tie").when(F.col(a) < F.col(b), "a").otherwise("b"))
+    of = lambda k: F.max(F.when(F.col(kind) == k, F.col("x")))
+    one = won.agg(*[of(k).alias(n) for k, n in zip(kinds, ("letter", "word", "sentence"), strict=True)])
+    short = (F.col("letter") == "a") & (F.col("word") == "a")
+    return one.select(
+        F.when(short & (F.col("sentence") == "b"), "short_a_long_b").when(short & (F.col("sentence") == "a"), "all_a").when(F.col("sentence") == "b", "long_b").otherwise("mixed").alias("routing")
+    )
+
+
+def deltas(rows: DataFrame, by: str, mode: str, rate: str, before: str, after: str) -> DataFrame:
+    """(by, delta): how many percentage points a mean rate moves from one mode to another, in one aggregation."""
+    mean = lambda m: F.avg(F.when(F.col(mode) == m, F.col(rate)))
+    return rows.groupBy(by).agg(F.round(100 * (mean(after) - mean(before)), 6).alias("delta"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,24 @@ def last_rule(rules: DataFrame, keys: list[str], order: str) -> DataFrame:
 def ranked(rows: DataFrame, group: str, *order, top: int = 1) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return rows.withColumn("place", place).where(F.col("place") <= top)
+
+
+def by_stem(left: DataFrame, right: DataFrame, left_path: str, right_path: str) -> DataFrame:
+    """Inner join of files whose names agree but for folder and extension; the stem is kept."""
+    stem = lambda c: F.regexp_extract(c, r"([^/]+)\.[^./]+$", 1)
+    met = left.withColumn("stem", stem(left_path)).join(right.withColumn("stem", stem(right_path)), "stem")
+    return met.where("stem <> ''")
+
+
+def soft_filter(rows: DataFrame, group: str, wanted: Column) -> DataFrame:
+    """Per group the rows that are wanted, or all of them where none is. The test is an aggregate that is joined back, so a hot group isn't sorted."""
+    some = rows.groupBy(group).agg(F.max(F.coalesce(wanted, F.lit(False))).alias("some"))
+    met = rows.withColumn("wanted", F.coalesce(wanted, F.lit(False))).join(some, group)
+    return met.where("wanted or not some").drop("wanted", "some")
+
+
+def overlay(base: DataFrame, top: DataFrame, key: str) -> DataFrame:
+    """base with the columns it shares with top replaced where top has a value; top holds a key once."""
+    shared = [c for c in base.columns if c in top.columns and c != key]
+    met = base.join(top.select(key, *[F.col(c).alias(f"__{c}") for c in shared]), key, "left")
+    return met.select(*[F.coalesce(f"__{c}", c).alias(c) if c in shared else F.col(c) for c in base.columns])

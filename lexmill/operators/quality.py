@@ -86,3 +86,19 @@ def decision(rates: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFr
     states = [F.col(f"{n}_state") for n in limits]
     some = lambda s: reduce(lambda a, b: a | b, [c == s for c in states])
     return rates.withColumn("verdict", F.when(some("poor"), "train").when(some("fair"), "review").otherwise("keep"))
+
+
+def children(parents: DataFrame, rows: DataFrame, key: str, parent: str, seq: str) -> DataFrame:
+    """(id, state) of every parent and orphaned key: children must exist, without repeats, numbered from 1 without a gap."""
+    g = rows.groupBy(parent).agg(F.count("*").alias("__n"), F.count_distinct(seq).alias("__k"), F.min(seq).alias("__low"), F.max(seq).alias("__high"))
+    met = parents.select(key).join(g, F.col(key) == F.col(parent), "full")
+    state = (
+        F.when(F.col(key).isNull(), "no_parent").when(F.col(parent).isNull(), "no_children").when(F.col("__n") != F.col("__k"), "repeated")
+        .when((F.col("__low") != 1) | (F.col("__high") != F.col("__n")), "gap").otherwise("ok")
+    )
+    return met.select(F.coalesce(key, parent).alias("id"), state.alias("state"))
+
+
+def rolled_up(rows: DataFrame, keys: list[str], size: str, text: str) -> DataFrame:
+    """Counts, sizes and blanks by the keys, by each prefix of them, and over everything."""
+    return rows.rollup(*keys).agg(F.count("*").alias("n"), F.sum(size).alias("total"), F.count_if(T.blank(text)).alias("blank"))

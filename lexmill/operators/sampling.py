@@ -78,3 +78,28 @@ def feasible_mix(sizes: DataFrame, source: str, count: str, ratios: dict[str, fl
 def leaks(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys on both sides of a split; must be empty."""
     return a.select(key).distinct().join(b.select(key).distinct(), key, "left_semi")
+
+
+def repeated(rows: DataFrame, times: Column) -> DataFrame:
+    """Each row as often as ``times`` says, numbered from 1 in column copy; none for 0."""
+    return rows.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times))))
+
+
+def oversampled(rows: DataFrame, key: str, count: int, seed: int) -> DataFrame:
+    """All rows first, then rows drawn again until there are ``count``; column oversampled tells which.
+
+    Draws come in whole passes over the rows, so that none is drawn twice more than another.
+    """
+    n = rows.count()
+    base = rows.withColumn("oversampled", F.lit(False))
+    if not n or count <= n:
+        return base
+    return base.unionByName(virtual_epoch(rows, key, count - n, seed).drop("cycle").withColumn("oversampled", F.lit(True)))
+
+
+def weighted_pair(a: DataFrame, b: DataFrame, key: str, weight_a: float, weight_b: float, seed: int) -> DataFrame:
+    """Rows of two sources by weight, as many as the smaller one allows, by their draw; column source tells a from b."""
+    n_a, n_b = a.count(), b.count()
+    whole = min(n_a / weight_a if weight_a else n_b, n_b / weight_b if weight_b else n_a)
+    part = lambda rows, weight, name: sample(rows, key, int(whole * weight), seed).withColumn("source", F.lit(name))
+    return part(a, weight_a, "a").unionByName(part(b, weight_b, "b"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexmill.plans import corpora, learning, scoring, streams
+from lexmill.plans import answers, corpora, learning, scoring, streams
 
-PARTS = (scoring.R, learning.R, corpora.R, streams.R)
+PARTS = (scoring.R, learning.R, corpora.R, answers.R, streams.R)
 QUERIES = {name: f for part in PARTS for name, f in part.queries.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.oracles.items()}
 FLAGSHIP = QUERIES["report_grouping_sets"]
