@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over a text finds anchors: at-signs, a plus before a digit, digits joined by a dot, neighbouring
-digits, "://", and cue words before identifiers. At each anchor a deterministic parser expands to the boundaries and
+digits, "://", and cue words before identifiers, in any case. At each anchor a deterministic parser expands to the boundaries and
 validates what it found. Parsers of a kind run left to right and never reach back over what the kind has taken, matched
 or dropped, so their results are those of the kind's leftmost non-overlapping matches.
 
@@ -34,7 +34,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOGIN = re.compile(r"[A-Za-z0-9._~%!$&*+,;=-]+:[^\s/@:]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
 SCHEME = re.compile(r"[a-z][a-z0-9+.-]*\Z", re.IGNORECASE)
-GAP = r"[\s:=#.]*(?:(?:number|no|nr|num)\b[\s:=#.]*)?"
+GAP = r"[\s:=#.]*(?i:(?:number|no|nr|num)\b[\s:=#.]*)?"
 CUES = {
     "iban": re.compile(GAP + r"([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])"),
     "ssn": re.compile(GAP + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])", re.IGNORECASE),
@@ -51,7 +51,7 @@ def anchors() -> ahocorasick.Automaton:
     words |= {f"+{d}": "phone" for d in DIGITS}
     words |= {f"{d}.{e}": "ip" for d in DIGITS for e in DIGITS}
     words |= {f"{d}{gap}{e}": "card" for d in DIGITS for gap in ("", " ", "-") for e in DIGITS}
-    words |= {form(cue): kind for kind, cues in CUE_WORDS.items() for cue in cues for form in (str.lower, str.upper, str.capitalize)}
+    words |= {cue: kind for kind, cues in CUE_WORDS.items() for cue in cues}
     for word, kind in words.items():
         found.add_word(word, (kind, len(word)))
     found.make_automaton()
@@ -126,7 +126,9 @@ def spans(text: str) -> tuple[list[Span], list[Span]]:
     """The base spans, and all spans, each by kind as listed, then start."""
     found: dict[str, list[Span]] = {k: [] for k in BASE + ADDED}
     after = dict.fromkeys(found, 0)
-    for last, (kind, length) in anchors().iter(text):
+    # bytes.lower() changes A-Z only, so places in the text stay the same.
+    lowered = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    for last, (kind, length) in anchors().iter(lowered):
         at = last - length + 1
         if at < after[kind]:
             continue

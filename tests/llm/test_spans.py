@@ -83,3 +83,11 @@ def test_scans_and_defined_cases(spark):
     assert pii.scan(docs.limit(0)).count() == 0 and secrets.scan(docs.limit(0)).count() == 0
     clean = pii.redact(docs).toPandas()
     assert clean["text"].iloc[4] == "é [PHONE]" and clean["text"].iloc[1] == "" and clean["text"].isna().sum() == 1
+
+
+def test_pii_cues_in_any_case():
+    for text in ("Social Security Number: 078-05-1120", "SOCIAL security no. 078-05-1120", "İ Social Security 078-05-1120", "Ssn: 078-05-1120"):
+        assert [(k, text[s:e]) for k, s, e in pii.spans(text)[1]] == [("ssn", "078-05-1120")], text
+    for text in ("IBAN Number: GB82 WEST 1234 5698 7654 32", "IBAN No. GB82 WEST 1234 5698 7654 32", "iBan nr GB82 WEST 1234 5698 7654 32"):
+        assert [(k, text[s:e]) for k, s, e in pii.spans(text)[1]] == [("iban", "GB82 WEST 1234 5698 7654 32")], text
+    assert pii.spans("IBAN Number: gb82 west 1234 5698 7654 32")[1] == []
