@@ -2,7 +2,8 @@
 
 A text is read as source or configuration: around every assignment sign (=, :, :=, =>) the lexer takes the name to its
 left (plain, dotted, quoted or in brackets) and the literal to its right (quoted, in parts joined by + or juxtaposition,
-or bare up to a delimiter). A right side that is itself a name is a reference: constants are propagated along references,
+or bare up to a delimiter). A type between a colon and an equals sign is no value: the two signs are one assignment to the
+name left of the colon. A right side that is itself a name is a reference: constants are propagated along references,
 to the last definition before the use, through any number of names. A literal is scored by what its target is called
 and by its own look; one that reaches the bound is reported where it stands, as kind ``literal``, unless a base span
 holds it already.
@@ -45,6 +46,12 @@ QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`
 JOIN = re.compile(r"[ \t]*(?:\+|\\\n|\.)?[ \t]*(?=[\"'`])")
 BARE = re.compile(r"[^\s,;#\"'`(){}\[\]<>|]+")
 REFERENCE = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]*\Z")
+#: After a colon: a type (dotted, in brackets, optional, or a choice of several), then the equals sign of the same
+#: assignment. Without blanks around that sign only a quoted literal tells it from a value that holds one.
+_ONE = r"(?:&(?:'[a-z_]+\x20)?(?:mut\x20)?)?[A-Za-z_$][A-Za-z0-9_.$]*(?:\[[^\n=]{0,128}\]|<[^\n=]{0,128}>)?\??"
+TYPED = re.compile(rf"[ \t]*{_ONE}(?:[ \t]*\|[ \t]*{_ONE})*(?:[ \t]+=(?=[ \t])|[ \t]*=(?=[ \t]*[\"'`]))", re.ASCII)
+#: Names of types that are never names of constants.
+TYPES = frozenset("str string bytes bytearray int integer long float double number bool boolean char varchar text any object auto final optional none null undefined".split())
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 REACH = 128
 
@@ -72,17 +79,33 @@ def literal(text: str, at: int) -> tuple[Literal | None, str | None]:
 def pairs(text: str) -> list[tuple[str, Literal]]:
     """Names with the literals that they are assigned, references resolved."""
     constants: dict[str, Literal] = {}
+    #: What stands between a colon and an equals sign may still be a constant's name ("here: K = ..."): an equals sign can
+    #: refer to it, a colon can't, since there it is a type again.
+    unsure: dict[str, Literal] = {}
+    typed_until = -1
     out = []
     for sign in SIGN.finditer(text):
         name = NAME.search(text, max(0, sign.start() - REACH), sign.start())
         if not name:
             continue
-        value, reference = literal(text, sign.end())
+        typed = TYPED.match(text, sign.end()) if sign[0] == ":" else None
+        value, reference = literal(text, typed.end() if typed else sign.end())
         if reference is not None and reference in constants:
             value = constants[reference]
-        if value is not None:
+        elif reference is not None and (typed or sign[0] != ":") and reference in unsure:
+            value = unsure[reference]
+        if value is None:
+            continue
+        if sign.end() == typed_until:
+            if name[1].lower() in TYPES:
+                continue
+            unsure[name[1]] = value
+        else:
             constants[name[1]] = value
-            out.append((name[1], value))
+            unsure.pop(name[1], None)
+        out.append((name[1], value))
+        if typed:
+            typed_until = typed.end()
     return out
 
 

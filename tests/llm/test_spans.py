@@ -91,3 +91,27 @@ def test_pii_cues_in_any_case():
     for text in ("IBAN Number: GB82 WEST 1234 5698 7654 32", "IBAN No. GB82 WEST 1234 5698 7654 32", "iBan nr GB82 WEST 1234 5698 7654 32"):
         assert [(k, text[s:e]) for k, s, e in pii.spans(text)[1]] == [("iban", "GB82 WEST 1234 5698 7654 32")], text
     assert pii.spans("IBAN Number: gb82 west 1234 5698 7654 32")[1] == []
+
+
+def literals(text):
+    return [text[s:e] for k, s, e in secrets.spans(text)[1] if k == "literal"]
+
+
+def test_secrets_typed_assignments():
+    for text in (
+        'db_password: str = "Zx9kQ2mmLp77"', "const apiKey: string = 'Zx9kQ2mmLp77'", 'const apiKey:string="Zx9kQ2mmLp77"', 'token: Optional[str] = "Zx9kQ2mmLp77"',
+        'db_password: str | None = "Zx9kQ2mmLp77"', 'const API_KEY: &\'static str = "Zx9kQ2mmLp77";', 'val apiKey: String? = "Zx9kQ2mmLp77"', 'K = "Zx9kQ2mmLp77"\ndb_password: str = K',
+        'db_password: dict[str, list[str]] = "Zx9kQ2mmLp77"', 'db_password: app.Text = "Zx9kQ2mmLp77"', 'K: str = "Zx9kQ2mmLp77"\ndb_password = K',
+    ):
+        assert literals(text) == ["Zx9kQ2mmLp77"], text
+
+
+def test_a_type_is_no_constant_and_no_value_is_a_type():
+    assert literals('color: str = "Zx9kQ2mmLp77"\ntoken: str') == []
+    assert literals('color: Hue = "Zx9kQ2mmLp77"\ntoken: Hue\n') == []
+    assert literals('color: str = "Zx9kQ2mmLp77"\ntoken = str(x)') == []
+    # As before: a label before an assignment, a constant after one, values that hold an equals sign.
+    assert literals('config: db_pwd = "Zx9kQ2mmLp77"') == ["Zx9kQ2mmLp77"]
+    assert literals('here: K = "Zx9kQ2mmLp77"\nclient_pwd = K') == ["Zx9kQ2mmLp77"]
+    assert literals("db_pwd: Zx9kQ2mm=Lp77\n") == ["Zx9kQ2mm=Lp77"]
+    assert literals("db_pwd: QWxhZGRpbjpvcGVu1=\n") == ["QWxhZGRpbjpvcGVu1="]
