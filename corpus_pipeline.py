@@ -25,11 +25,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays; a document without an id stays as it is."""
-    classes = simhash.near_duplicates(docs)
-    stay = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == F.col("__stay"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Of each component one row stays: that with the smallest id, null being the greatest.
+
+    Rows are told apart by a key that is written first, so rows that share an id, or have none, are judged each by its own
+    text, and an id stays as often as components choose one of its rows. Rows of one component and id are chosen by a hash
+    of their values; only equal rows are left to the key.
+    """
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*plain).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    keyed = cut(docs.withColumn("__order", order), "pipeline-rows")
+    classes = simhash.near_duplicates(keyed, id_col="__order")
+    stay = classes.where(F.col("__order") == F.col("component_id")).select(F.col("__order.row").alias("__stay"))
+    return keyed.join(stay, F.col("__order.row") == F.col("__stay"), "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

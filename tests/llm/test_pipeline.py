@@ -52,3 +52,14 @@ def test_every_operator_has_its_query():
 def test_the_rest_imports_without_this_subpackage():
     code = "import sys; sys.modules['lexmill.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q) and 'pipeline' not in q and not any(n.startswith('op') for n in e.oracle_sql())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=importlib.import_module("corpus_pipeline").__file__.rpartition("/")[0])
+
+
+def test_rows_that_share_an_id_or_have_none_are_judged_by_their_text(spark):
+    a, b = "one two three four five six seven eight", "red green blue white black brown pink grey"
+    c = "to be or not to be that is the question"
+    rows = [(3, a, "s"), (5, a, "s"), (5, b, "s"), (None, a, "s"), (None, c, "s"), (None, c, "s"), (None, c, "t"), (7, b, "t"), (5, b, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    want = [(3, a), (5, b), (None, c)]
+    for _ in range(2):
+        kept = pipeline.near_dedup(spark, docs, SF)
+        assert kept.columns == docs.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
