@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 from lexmill.llm import langid, mixing, packing, pii, simhash
 from lexmill.llm.common import cut, table
 
-#: Texts without a language, or whose best language has less than this mean probability, go.
+#: Texts without a language, or whose best language has less than this mean probability, go. What rejects junk and other
+#: languages is whether the text's trigrams are familiar (langid.familiar).
 LEAST_SCORE = 0.26
+#: The least share of the trigrams that a clean text is expected to have in common with the learned samples.
+LEAST_MET = 0.75
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.accept(docs, LEAST_SCORE)
+    return langid.accept(docs, LEAST_SCORE, least_met=LEAST_MET)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,9 @@ class Network:
     hidden: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    #: The trigrams of the training windows, and the share of a text's trigrams that the sample is too small to have met.
+    known: np.ndarray | None = None
+    unmet: float = 1.0
 
     @property
     def size(self) -> int:
@@ -231,7 +234,60 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_do
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 500, sample_windows: int = 8, **options) -> Network | None:
     windows, labels, languages = sample(docs, id_col, text_col, lang_col, sample_docs, sample_windows)
-    return train(windows, labels, languages, **options) if len(windows) else None
+    if not len(windows):
+        return None
+    net = train(windows, labels, languages, **options)
+    net.known, net.unmet = met(windows, labels)
+    return net
+
+
+#: Bytes as trigrams see them: A-Z lowered, what is no letter in ASCII a blank; the last is PAD's.
+FOLD = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in bytes(range(256)).lower()] + [32], np.int32)
+BLOCK = 1 << 20
+#: How far the bound of ``familiar`` widens: by FEW / sqrt(distinct trigrams).
+FEW = 1.0
+
+
+def trigrams(codes: np.ndarray) -> np.ndarray:
+    """Codes of three neighbours along the last axis, those with two blanks or more left out."""
+    a = FOLD[codes]
+    x, y, z = a[..., :-2], a[..., 1:-1], a[..., 2:]
+    return ((x << 16) | (y << 8) | z)[(x == 32).astype(np.int8) + (y == 32) + (z == 32) < 2]
+
+
+def met(windows: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """The sample's trigrams, and by Good and Turing the share of unmet ones in the language where it is greatest."""
+    unmet = 0.0
+    for k in np.unique(labels):
+        counts = np.unique(trigrams(windows[labels == k]), return_counts=True)[1]
+        unmet = max(unmet, float((counts == 1).sum() / max(1, counts.sum())))
+    return np.unique(trigrams(windows)), unmet
+
+
+def familiar(text_col: str, net: Network, least_met: float) -> Column:
+    """Whether a text is made of what the languages' samples hold; always true for one without trigrams.
+
+    Of its trigrams the share ``least_met`` of those that the sample leads one to expect must be met. The bound follows
+    the sample (what it can't have met is not asked for) and widens for texts with few distinct trigrams; it does not depend on how many languages there are.
+    """
+    known, least = net.known, least_met * (1 - net.unmet)
+
+    @F.arrow_udf("boolean")
+    def each(texts: pa.Array) -> pa.Array:
+        table = np.zeros(1 << 24, bool)
+        table[known] = True
+        out = []
+        for text in texts.cast(pa.binary()).to_pylist():
+            raw = np.frombuffer(text or b"", np.uint8)
+            hit = size = 0
+            distinct = np.empty(0, np.int32)
+            for at in range(0, max(0, len(raw) - 2), BLOCK):
+                found = trigrams(raw[at : at + BLOCK + 2])
+                hit, size, distinct = hit + int(table[found].sum()), size + len(found), np.union1d(distinct, found)
+            out.append(not size or hit / size >= least - FEW / np.sqrt(len(distinct)))
+        return pa.array(out, pa.bool_())
+
+    return each(F.col(text_col))
 
 
 def predicted(text_col: str, net: Network | None) -> Column:
@@ -258,13 +314,14 @@ def identify(docs: DataFrame, net: Network | None = None, id_col: str = "doc_id"
     return out.select(id_col, "held_out", "p.lang_pred", "p.score")
 
 
-def accept(docs: DataFrame, least: float, net: Network | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose text has a language with a score of ``least`` or more, columns unchanged.
+def accept(docs: DataFrame, least: float, net: Network | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_met: float = 0.0) -> DataFrame:
+    """The rows whose text has a language with a score of ``least`` or more and is familiar (see there), columns unchanged.
 
-    Where no row has a label there is no language to tell, and all texts with a letter stay.
+    The network shares its mass among the languages it learned, so a high score does not tell that a text is in one of
+    them, nor that it is language; familiarity does. Where no row has a label there is no language to tell, and all texts with a letter stay.
     """
     net = net or fit(docs, id_col, text_col, lang_col)
     if net is None:
         return docs.where(F.col(text_col).rlike("\\p{L}"))
-    marked = docs.withColumn("__language", predicted(text_col, net))
-    return marked.where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= least)).select(*docs.columns)
+    marked = docs.withColumns({"__language": predicted(text_col, net), "__familiar": familiar(text_col, net, least_met)})
+    return marked.where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= least) & F.col("__familiar")).select(*docs.columns)

@@ -1,4 +1,5 @@
 import importlib
+import random
 import subprocess
 import sys
 from collections import Counter
@@ -63,3 +64,19 @@ def test_rows_that_share_an_id_or_have_none_are_judged_by_their_text(spark):
     for _ in range(2):
         kept = pipeline.near_dedup(spark, docs, SF)
         assert kept.columns == docs.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_language_stage_rejects_long_junk_and_other_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(4)
+    away = [
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(1000)), "".join(rng.choice("0123456789abcdef") for _ in range(1000)), "xyz " * 200,
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    ]
+    stay = ["The", "Von.", "That it.", "Des enberge die enver."]
+    for languages in (["en", "de", "fr", "es"], ["en", "de"]):
+        learned = docs.where(docs["lang"].isin(languages)).select("doc_id", "text", "lang")
+        extra = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(away + stay)], "doc_id long, text string, lang string")
+        kept = {r.text for r in pipeline.language(spark, learned.unionByName(extra), SF).where("doc_id < 0").collect()}
+        assert kept == set(stay), languages
