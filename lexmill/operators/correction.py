@@ -20,6 +20,9 @@ SPOKEN = {
     "t": "t tee tea ti ty tii", "u": "u you yu yoo", "v": "v vee vi vy vii", "w": "w doubleyou doubleu dubya", "x": "x ex axe eks", "y": "y why wai wy",
     "z": "z zee zed zi zii zih zy zey ze zhee they the see",
 }
+#: Forms that are no names of a letter, but are heard for it; and the ends that sound as in "bee".
+HEARD_AS = {"q": "ku"}
+TAIL = "(?:ee|ii|ih|ey|e|i|y)$"
 #: Words that are heard for one another, by expected word; both directions where both are listed.
 CONFUSED = {
     "ten": "then", "then": "ten", "thin": "tin", "tin": "thin", "red": "read", "read": "red", "tree": "three", "three": "tree", "to": "two too", "two": "to too", "too": "to two",
@@ -39,6 +42,23 @@ def _lists(table: dict[str, str], key: Column) -> Column:
     return F.coalesce(F.element_at(m, key), F.array().cast("array<string>"))
 
 
+def _letter_code(compact: Column) -> Column:
+    """A letter's name as it sounds: runs cut to two, the ends that sound alike written alike."""
+    return F.regexp_replace(F.regexp_replace(compact, r"(.)\1{2,}", "$1$1"), TAIL, "#IY")
+
+
+def lattice(letter: Column, compact: Column) -> Column:
+    """How far what was heard may be a letter's name: 0.93 as a listed form, 0.90 by an equal code, else likeness up to 0.80.
+
+    The level for equal consonants with a similar vowel tail (0.88) is not apart: each onset that it allows with a tail
+    is the code of a listed form already, so 0.90 decides first.
+    """
+    forms = F.concat(_lists(SPOKEN, letter), _lists(HEARD_AS, letter))
+    nearest = F.array_max(F.transform(forms, lambda v: 1 - F.levenshtein(compact, v) / F.greatest(F.length(compact), F.length(v))))
+    level = F.when(F.array_contains(_lists(HEARD_AS, letter), compact), 0.93).when(F.array_contains(F.transform(forms, _letter_code), _letter_code(compact)), 0.90)
+    return F.when(compact == "", 0.0).otherwise(F.coalesce(level, F.least(F.lit(0.80), nearest), F.lit(0.0)))
+
+
 def features(rows: DataFrame) -> DataFrame:
     """expected, raw and, where there is one, observed (phones) as the features that the cascade reads."""
     if "observed" not in rows.columns:
@@ -49,12 +69,11 @@ def features(rows: DataFrame) -> DataFrame:
     spot = F.create_map(*[F.lit(x) for k, (p, _) in CRITICAL.items() for x in (k, p)])
     place = F.create_map(*[F.lit(x) for k, (_, at) in CRITICAL.items() for x in (k, at)])
     heard = F.when(F.element_at(place, e) == 0, F.get("observed", F.lit(0))).otherwise(F.get("observed", F.size("observed") - 1))
-    nearest = F.array_max(F.transform(_lists(SPOKEN, e), lambda v: 1 - F.levenshtein(compact, v) / F.greatest(F.length(compact), F.length(v))))
     return forms.withColumns({
         "kind": T.prompt_kind("expected"),
         "exact": T.transcript("expected") == T.transcript("raw"),
         "alias": F.array_contains(_lists(SPOKEN, e), r) | F.array_contains(_lists(SPOKEN, e), compact),
-        "lattice": F.coalesce(F.least(F.lit(0.80), nearest), F.lit(0.0)),
+        "lattice": lattice(e, compact),
         "confused": F.array_contains(_lists(CONFUSED, F.regexp_replace(e, "'", "")), F.regexp_replace(r, "'", "")),
         "critical": F.when(F.coalesce(F.size("observed"), F.lit(0)) > 0, heard == F.element_at(spot, e)),
         "sound": P.similarity(P.spelled(F.regexp_replace(e, "[^a-z]", "")), P.spelled(compact)),
@@ -93,7 +112,7 @@ def corrected(rows: DataFrame, learned: DataFrame | None = None, confidence: str
         .otherwise("rejected")
     )
     s = F.col("strategy")
-    score = F.when(s.isin("exact", "learned", "letter_name"), 1.0).when(s == "known_confusion", KNOWN).when(s == "critical_sound", F.least(best, F.lit(0.6))).otherwise(best)
+    score = F.when(s.isin("exact", "learned", "letter_name"), 1.0).when(s == "known_confusion", KNOWN).when(s == "critical_sound", F.least(best, F.lit(0.6))).when(s == "letter_lattice", F.col("lattice")).otherwise(best)
     threshold = F.when(s.isin("none", "left_as_heard"), 0.0).when(s == "known_confusion", F.when(letter, LETTER).otherwise(CONFUSION)).otherwise(need)
     accepted = s.isin("exact", "learned", "letter_name", "known_confusion", "letter_lattice", "sound")
     out = f.withColumn("strategy", strategy).withColumns({"accepted": accepted, "score": F.round(score, 6), "threshold": threshold})
