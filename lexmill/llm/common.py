@@ -14,12 +14,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """This application's folder in the shared one that spark.checkpoint.dir names; it is deleted when the application ends.
+
+    A temporary folder serves only a local master: on a cluster, executors don't share it, so there the setting must be made.
+    """
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not shared:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         sc.setCheckpointDir(shared := tempfile.mkdtemp(prefix="lexmill-"))
-    return shared
+    own = f"{shared}/lexmill-{sc.applicationId}"
+    if own not in _made:
+        fs, at = _file_system(spark, own)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _made.add(own)
+    return own
+
+
+_made: set[str] = set()
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 class Cut:
@@ -33,15 +52,38 @@ class Cut:
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        fs, at = _file_system(self.spark, self.path)
+        fs.delete(at, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
+    """A written table that lasts as long as the application."""
     return Cut(df, name).df
 
 
+class Scratch:
+    """The written tables of one call: those that its result does not read are dropped as soon as they have served."""
+
+    def __init__(self):
+        self.held: list[Cut] = []
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        self.held.append(Cut(df, name))
+        return self.held[-1].df
+
+    def last(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that stays; all others of this call go."""
+        out = cut(df, name)
+        self.drop()
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """These tables, or all."""
+        for c in [c for c in self.held if not tables or any(c.df is t for t in tables)]:
+            self.held.remove(c)
+            c.drop()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star rounds.
 
