@@ -8,12 +8,17 @@ these local thresholds are high the bucket prunes by coordinate (the feasible ra
 the query's, read from sorted lists), else by length (only candidates of length s / |q| or more). What is left is
 verified by its exact integer product.
 
+Candidates lie in at most LANES lanes by length, each lane dealt out to slabs by hash. Once every query has a running k-th
+best score, it needs only the lanes whose longest vector can reach that score; queries that need equally many lanes
+share blocks, so a block is sent to no slab that all of its queries pass over.
+
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, as neither query nor
-candidate; a null id takes no part; of rows that repeat an id the smallest vector stands; vectors of different lengths
-are compared as if zeros followed the shorter; zero vectors score 0; ties go to the smaller id; a query with fewer than
-k candidates returns them all; an empty table gives no rows. Products are exact: in doubles where lengths bound them
-under 2**53, else in 64-bit integers. Whole components are held within 2**28 either way, so that the products of 64 fit
-a long. Extra columns are not read.
+candidate; a null id takes no part; rows that repeat an id are each a query and a candidate of their own, so such a query
+has its k rows once for each; vectors of different lengths are compared as if zeros followed the shorter; zero vectors
+score 0; ties go to the smaller id; a query with fewer than k candidates returns them all; an empty table gives no rows.
+Products are exact: in doubles where lengths bound them under 2**53, in 64-bit integers where they bound them under
+2**62, else in integers without bound. Scores beyond a long, which the column can't hold, are held at its ends and tie
+there. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import cut
+from lexmill.llm.common import Scratch
 
 BUCKET = 512
 #: Candidates to a slab and queries to a block: what one task holds.
@@ -34,13 +39,16 @@ SLAB = 16_384
 BLOCK = 1024
 #: A bucket whose median local threshold is this or more prunes by coordinate.
 STEEP = 0.8
-LIMIT = float(1 << 28)
+#: Bands of length at most, whatever the number of vectors.
+LANES = 64
+LONG = (1 << 63) - 1
 NO_FLOOR = -(1 << 62)
 
 
-def _matrix(side: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, rows padded with zeros to one width, and floors, of a list of structs (id, v and perhaps floor)."""
+def _matrix(side: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, ids, rows padded with zeros to one width, and floors, of a list of structs (row, id, v and perhaps floor)."""
     cells = side.values
+    own = cells.field("row").to_numpy(zero_copy_only=False)
     ids, lists = cells.field("id").to_numpy(zero_copy_only=False), cells.field("v")
     sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
     flat = lists.flatten().to_numpy(zero_copy_only=False)
@@ -48,7 +56,7 @@ def _matrix(side: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows[np.arange(rows.shape[1]) < sizes[:, None]] = flat
     names = [f.name for f in cells.type]
     floors = cells.field("floor").fill_null(NO_FLOOR).to_numpy(zero_copy_only=False) if "floor" in names else np.empty(0, np.int64)
-    return ids, rows, floors
+    return own, ids, rows, floors
 
 
 def _widen(x: np.ndarray, width: int) -> np.ndarray:
@@ -58,8 +66,8 @@ def _widen(x: np.ndarray, width: int) -> np.ndarray:
 class Bucket:
     """Candidates of similar length, longest first, with sorted lists of unit coordinates made when first asked for."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, norms: np.ndarray):
-        self.ids, self.rows, self.norms = ids, rows, norms
+    def __init__(self, own: np.ndarray, ids: np.ndarray, rows: np.ndarray, norms: np.ndarray):
+        self.own, self.ids, self.rows, self.norms = own, ids, rows, norms
         self._lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def coordinate(self, f: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,13 +92,24 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return ids[order], scores[order]
 
 
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products without rounding, held within a long. Whole doubles of any size are exact as integers."""
+    whole = lambda x: np.frompyfunc(int, 1, 1)(x).astype(object)
+    return np.clip(whole(a) @ whole(b), -LONG - 1, LONG).astype(np.int64)
+
+
 def search(queries: tuple, buckets: list[Bucket], k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query the ids and scores of its k best here, of those that reach its floor. queries: ids, rows, norms."""
-    qids, rows, norms = queries
-    found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in qids]
+    """Per query the ids and scores of its k best here, of those that reach its floor. queries: row numbers, rows, norms."""
+    own, rows, norms = queries
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in own]
     need = floors.copy()
-    exact = norms.max(initial=0) * max((b.norms[0] for b in buckets), default=0) >= 2.0**53
-    product = (lambda a, b: a.astype(np.int64) @ b.astype(np.int64)) if exact else (lambda a, b: np.rint(a @ b).astype(np.int64))
+    bound = norms.max(initial=0) * max((b.norms[0] for b in buckets), default=0)
+    if bound < 2.0**53:
+        product = lambda a, b: np.rint(a @ b).astype(np.int64)
+    elif bound < 2.0**62:
+        product = lambda a, b: a.astype(np.int64) @ b.astype(np.int64)
+    else:
+        product = _exact
     for bucket in buckets:
         with np.errstate(divide="ignore", invalid="ignore"):
             theta = need / (norms * bucket.norms[0])
@@ -108,7 +127,7 @@ def search(queries: tuple, buckets: list[Bucket], k: int, floors: np.ndarray) ->
             products = product(bucket.rows[: reach.max()], rows[live].T)
             tested = [(i, np.arange(m), products[:m, j]) for j, (i, m) in enumerate(zip(live, reach, strict=True)) if m]
         for i, at, scores in tested:
-            take = (scores >= need[i]) & (bucket.ids[at] != qids[i])
+            take = (scores >= need[i]) & (bucket.own[at] != own[i])
             if take.any():
                 found[i] = best(np.concatenate((found[i][0], bucket.ids[at][take])), np.concatenate((found[i][1], scores[take])), k)
                 if len(found[i][0]) == k:
@@ -116,81 +135,90 @@ def search(queries: tuple, buckets: list[Bucket], k: int, floors: np.ndarray) ->
     return found
 
 
+def _norms(rows: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.sqrt((rows * rows).sum(axis=1))  # infinite where squares overflow: nothing is pruned by it
+
+
 def _cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Rows (query block, slab) to each query's best of the slab."""
     for batch in batches:
         for block, slab in zip(batch.column(0), batch.column(1), strict=True):
-            (qids, q, floors), (ids, c, _) = _matrix(block), _matrix(slab)
+            (asking, qids, q, floors), (own, ids, c, _) = _matrix(block), _matrix(slab)
             width = max(q.shape[1], c.shape[1])
             q, c = _widen(q, width), _widen(c, width)
-            norms = np.sqrt((c * c).sum(axis=1))
-            order = np.lexsort((ids, -norms))
-            buckets = [Bucket(ids[at], c[at], norms[at]) for at in (order[i : i + BUCKET] for i in range(0, len(order), BUCKET))]
-            found = search((qids, q, np.sqrt((q * q).sum(axis=1))), buckets, k, floors)
-            query = np.repeat(qids, [len(x[0]) for x in found])
-            if len(query):
+            norms = _norms(c)
+            order = np.lexsort((own, ids, -norms))
+            buckets = [Bucket(own[at], ids[at], c[at], norms[at]) for at in (order[i : i + BUCKET] for i in range(0, len(order), BUCKET))]
+            found = search((asking, q, _norms(q)), buckets, k, floors)
+            sizes = [len(x[0]) for x in found]
+            if sum(sizes):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(query), pa.array(np.concatenate([x[0] for x in found])), pa.array(np.concatenate([x[1] for x in found]))],
-                    ["query_id", "id", "score"],
+                    [pa.array(np.repeat(asking, sizes)), pa.array(np.repeat(qids, sizes)), pa.array(np.concatenate([x[0] for x in found])), pa.array(np.concatenate([x[1] for x in found]))],
+                    ["query", "query_id", "id", "score"],
                 )
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """(id, v: floor(scale * x) as doubles) of the vectors that take part."""
+    """(row, id, v: floor(scale * x) as doubles) of the vectors that take part."""
     x = F.transform(vector_col, lambda e: e.cast("double"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("v")).where("id is not null and size(v) > 0")
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), x.alias("v")).where("id is not null and size(v) > 0")
     rows = rows.where(F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))))
-    held = lambda e: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(F.greatest(F.lit(-1e12), F.least(F.lit(1e12), e * scale))).cast("double")))
-    return rows.select("id", F.transform("v", held).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    # Beyond 2**52 a double is whole already; floor() goes by way of a long.
+    top = float(np.finfo(np.float64).max)
+    scaled = lambda e: F.greatest(F.lit(-top), F.least(F.lit(top), e * scale))
+    whole = lambda e: F.when(F.abs(e) < 2.0**52, F.floor(F.when(F.abs(e) < 2.0**52, e)).cast("double")).otherwise(e)
+    return rows.select("row", "id", F.transform(F.transform("v", scaled), whole).alias("v"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row where ``is_query`` (an expression over column id) holds."""
+    scratch = Scratch()
     rows = quantized(vectors, id_col, vector_col, scale).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)))
-    rows = cut(rows, "topk-rows")
+    rows = scratch.cut(rows, "topk-rows")
     n = rows.count()
-    slabs = max(1, -(-n // SLAB))
-    # Slab edges are exact quantiles of a bounded sketch of lengths; what an edge cuts off wrongly costs time, not results.
-    edges = rows.approxQuantile("norm", [1 - i / slabs for i in range(1, slabs)], 1e-4) if slabs > 1 else []
-    lengths = sorted(set(edges), reverse=True)
-    # Equal lengths beyond a slab's size are dealt out by hash, so that no slab outgrows a task.
+    lanes = min(LANES, max(1, -(-n // SLAB)))
+    # Lane edges are quantiles of a bounded sketch of lengths; what an edge cuts off wrongly costs time, not results.
+    edges = rows.approxQuantile("norm", [1 - i / lanes for i in range(1, lanes)], 1e-3) if lanes > 1 else []
     lane = F.lit(0)
-    for e in lengths:
+    for e in sorted(set(edges), reverse=True):
         lane = lane + (F.col("norm") < e).cast("int")
     laned = rows.withColumn("lane", lane)
-    sizes = laned.groupBy("lane").agg(F.count("*").alias("m"))
-    parts = sizes.select("lane", F.ceil(F.col("m") / SLAB).cast("int").alias("parts"))
-    parts = parts.withColumn("base", F.sum("parts").over(_before("lane")) - F.col("parts"))
-    number = (F.col("base") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")
-    slab = laned.join(F.broadcast(parts), "lane").select(number.alias("slab"), F.struct("id", "v").alias("x"))
-    slab = cut(slab.groupBy("slab").agg(F.collect_list("x").alias("slab_rows")), "topk-slabs")
+    # At most LANES rows: how many vectors a lane holds, and the length of its longest.
+    held = sorted(laned.groupBy("lane").agg(F.count("*").alias("m"), F.max("norm").alias("top")).collect(), key=lambda r: r["lane"])
+    parts, base, number, longest = {}, 0, F.lit(0), []
+    for r in held:
+        parts[r["lane"]] = -(-r["m"] // SLAB)
+        number = F.when(F.col("lane") == r["lane"], F.lit(base) + F.pmod(F.xxhash64("row"), F.lit(parts[r["lane"]]))).otherwise(number)
+        base += parts[r["lane"]]
+        longest.append((base, r["top"]))
+    slab = laned.select(number.cast("int").alias("slab"), F.struct("row", "id", "v").alias("x"))
+    slab = scratch.cut(slab.groupBy("slab").agg(F.collect_list("x").alias("slab_rows")), "topk-slabs")
     asked = rows.where(is_query)
-    blocks = max(1, -(-asked.count() // BLOCK))
-    block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
-
-    def meet(queries: DataFrame, slab_from: int, slab_to: int) -> DataFrame:
-        packed = queries.groupBy(block.alias("block")).agg(F.collect_list(F.struct("id", "v", "floor")).alias("asks"))
-        dealt = packed.withColumn("slab", F.explode(F.sequence(F.lit(slab_from), F.lit(slab_to))))
-        return dealt.join(slab, "slab").select("asks", "slab_rows").mapInArrow(lambda it: _cells(it, k), "query_id long, id long, score long")
 
-    first = cut(meet(asked.withColumn("floor", F.lit(None).cast("long")), 0, 0), "topk-first")
+    def meet(queries: DataFrame, slab_from: int) -> DataFrame:
+        """queries: with floor, and until: the number of slabs that can hold its best."""
+        sizes = {r["until"]: r["m"] for r in queries.groupBy("until").agg(F.count("*").alias("m")).collect()}
+        blocks = F.lit(1)
+        for until, m in sizes.items():
+            blocks = F.when(F.col("until") == until, F.lit(max(1, -(-m // BLOCK)))).otherwise(blocks)
+        block = F.pmod(F.xxhash64("row", F.lit(1)), blocks).cast("int")
+        packed = queries.where(F.col("until") > slab_from).groupBy("until", block.alias("block")).agg(F.collect_list(F.struct("row", "id", "v", "floor")).alias("asks"))
+        dealt = packed.withColumn("slab", F.explode(F.expr(f"sequence({slab_from}, until - 1)")))
+        return dealt.join(slab, "slab").select("asks", "slab_rows").mapInArrow(lambda it: _cells(it, k), "query long, query_id long, id long, score long")
+
+    first = scratch.cut(meet(asked.select("row", "id", "v", F.lit(None).cast("long").alias("floor"), F.lit(1).alias("until")), 0), "topk-first")
     found = first
-    total = slab.agg(F.max("slab")).first()[0] or 0
-    if total:
-        floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-        asked = asked.join(floors, asked["id"] == floors["query_id"], "left").drop("query_id")
-        found = first.unionByName(meet(asked, 1, total))
-    rank = F.row_number().over(_window("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
-
-
-def _window(*by: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*by)
-
-
-def _before(by: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if base > 1:
+        floors = first.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+        met = asked.join(floors, asked["row"] == floors["query"], "left").drop("query")
+        # A lane is needed unless its longest vector falls short of the floor even at cosine 1.
+        need = F.when(F.col("floor") > 0, F.col("floor") / F.col("norm") * (1 - 1e-12))
+        until = F.lit(longest[0][0])
+        for upto, top in longest:
+            until = F.when(need.isNull() | F.isnan(need) | (need <= top), F.lit(upto)).otherwise(until)
+        met = scratch.cut(met.select("row", "id", "v", "floor", until.alias("until")), "topk-asked")
+        found = first.unionByName(meet(met, 1))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    best_ = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return scratch.last(best_, "topk-found")
