@@ -5,7 +5,7 @@ each length, at most as many numbers as a sequence has tokens: it is made of the
 once. First the reduction of Martello and Toth: for the longest piece left, if one companion, or a pair, provably
 dominates every other filling, that bin is fixed, as often as the counts allow, and the instance shrinks. When no
 longest piece can be fixed, it is set aside and the next is tried. What remains is packed best fit, longest first. Then
-pieces are numbered among those of their length and each finds its bin by its number. No piece passes the driver.
+pieces are numbered among those of their length, task by task, and each finds its bin by its number. No piece passes the driver.
 
 Defined cases: null and empty texts are one piece of the end id; repeated rows are packed each on its own; an empty
 table gives no rows. Extra columns of the input are not read.
@@ -15,18 +15,20 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import cut
 from lexmill.llm.tokens import encoded
 
-#: Pieces of a length that are numbered together by one task.
-GROUP = 2_000
+#: Tasks whose counts are summed together.
+SPAN = 1_000
 
 
 class Counts:
@@ -187,34 +189,51 @@ class Slots:
 
 
 def pieces(docs: DataFrame, size: int, end_id: int, name: str, id_col: str, text_col: str) -> DataFrame:
-    """(id, piece, start, length, ids_crc32) of every document's ids and the end id, cut from the end on."""
+    """(id, piece, start, length, ids_crc32, part, nth) of every document's ids and the end id, cut from the end on.
+
+    part, nth: the task that made the piece, and its number among that task's pieces of the same length.
+    """
     end = int(end_id).to_bytes(4, "little")
 
-    def cuts(key: object, ids: bytes) -> Iterator[tuple]:
-        ids += end
-        n = len(ids) // 4
-        edges = [0, *range(n % size or size, n + 1, size)]
-        for k, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
-            yield key, k, i, j - i, zlib.crc32(ids[4 * i : 4 * j])
+    def runs() -> Callable[[object, bytes], Iterator[tuple]]:
+        part, made = TaskContext.get().partitionId(), Counter()
+
+        def cuts(key: object, ids: bytes) -> Iterator[tuple]:
+            ids += end
+            n = len(ids) // 4
+            edges = [0, *range(n % size or size, n + 1, size)]
+            for k, (i, j) in enumerate(zip(edges, edges[1:], strict=False)):
+                yield key, k, i, j - i, zlib.crc32(ids[4 * i : 4 * j]), part, made[j - i]
+                made[j - i] += 1
+
+        return cuts
+
+    return encoded(docs, id_col, text_col, name, runs, "piece int, start long, length long, ids_crc32 long, part long, nth long")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``rank``: numbers from 0 without gaps among the pieces of each length.
 
-    return encoded(docs, id_col, text_col, name, cuts, "piece int, start long, length long, ids_crc32 long")
+    Numbers follow the tasks that made the pieces. How many pieces of a length come before a task's own is summed in two
+    steps, over spans of SPAN tasks and within them, from one count for each task and length: a length that a third of
+    all pieces have is no hot key. Each task's numbers then meet its pieces as one row, by a sort-merge join.
+    """
+    sizes = rows.groupBy("part", "length").agg(F.count("*").alias("n")).withColumn("span", F.floor(F.col("part") / SPAN))
+    upto = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sum_before = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+    spans = sizes.groupBy("length", "span").agg(F.sum("n").alias("n")).select("length", "span", sum_before(upto("length", "span")).alias("far"))
+    near = sizes.withColumn("near", sum_before(upto("length", "span", "part")))
+    bases = near.join(spans, ["length", "span"]).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", F.col("far") + F.col("near")))).alias("bases"))
+    return rows.join(bases.hint("merge"), "part").withColumn("rank", F.element_at("bases", F.col("length")) + F.col("nth")).drop("bases")
 
 
 def pack(docs: DataFrame, size: int = 1024, end_id: int = 2, name: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: (id_col, piece, start, length, ids_crc32, sequence_id, offset)."""
+    # Written once: a piece's number is what the task that wrote it gave it.
     rows = cut(pieces(docs, size, end_id, name, id_col, text_col), "packing-pieces")
     # The counts are at most ``size`` rows, whatever the corpus.
     lengths = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = Slots(plan(lengths, size), lengths)
-    groups = max(1, -(-sum(lengths.values()) // GROUP))
-    group = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups))
-    grouped = rows.withColumn("grp", group)
-    # Pieces before a group among those of its length; identical rows are told apart by row_number alone.
-    sizes = grouped.groupBy("length", "grp").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1))
-    bases = cut(sizes.select("length", "grp", F.coalesce(before, F.lit(0)).alias("base")), "packing-bases")
-    nth = F.row_number().over(Window.partitionBy("length", "grp").orderBy("id", "piece", "start", "ids_crc32")) - 1
-    ranked = grouped.withColumn("nth", nth).join(bases, ["length", "grp"]).withColumn("rank", F.col("base") + F.col("nth"))
     shared = docs.sparkSession.sparkContext.broadcast(slots)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,4 +245,4 @@ def pack(docs: DataFrame, size: int = 1024, end_id: int = 2, name: str = "byte_b
     names = [id_col, *columns[1:], "sequence_id", "offset"]
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.select(*columns, "rank").mapInArrow(place, schema)
+    return numbered(rows).select(*columns, "rank").mapInArrow(place, schema)

@@ -148,11 +148,11 @@ def token_counts(docs: DataFrame, limit: int = 512, id_col: str = "doc_id", text
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
-def encoded(docs: DataFrame, id_col: str, text_col: str, name: str, run: Callable[[object, bytes], Iterator[tuple]], schema: str) -> DataFrame:
-    """Rows that ``run`` makes of (id, ids) of each text."""
+def encoded(docs: DataFrame, id_col: str, text_col: str, name: str, runs: Callable[[], Callable[[object, bytes], Iterator[tuple]]], schema: str) -> DataFrame:
+    """Rows that ``runs()``, made anew by each task, makes of (id, ids) of each text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(vocabulary(name))
+        c, run = counter(vocabulary(name)), runs()
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
