@@ -33,7 +33,8 @@ IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOGIN = re.compile(r"[A-Za-z0-9._~%!$&*+,;=-]+:[^\s/@:]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
-SCHEME = re.compile(r"[a-z][a-z0-9+.-]*\Z", re.IGNORECASE)
+LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+SCHEME = LETTERS | frozenset("0123456789+.-")
 GAP = r"[\s:=#.]*(?i:(?:number|no|nr|num)\b[\s:=#.]*)?"
 CUES = {
     "iban": re.compile(GAP + r"([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])"),
@@ -99,8 +100,15 @@ def phone(text: str, at: int, after: int) -> tuple[int, int, bool] | None:
 
 
 def url(text: str, at: int, after: int) -> tuple[int, int, bool] | None:
-    scheme, login = SCHEME.search(text, max(after, at - 32), at), LOGIN.match(text, at + 3)
-    return (scheme.start(), login.end(), True) if scheme and login else None
+    login = LOGIN.match(text, at + 3)
+    if not login:
+        return None
+    start = first = at
+    while start > after and text[start - 1] in SCHEME:
+        start -= 1
+        if text[start] in LETTERS:
+            first = start
+    return (first, login.end(), True) if first < at else None
 
 
 def identifier(kind: str, text: str, end: int) -> tuple[int, int, bool] | None:
