@@ -1,12 +1,18 @@
 """Secrets by assignment-aware lexing.
 
-A text is read as source or configuration: around every assignment sign (=, :, :=, =>) the lexer takes the name to its
-left (plain, dotted, quoted or in brackets) and the literal to its right (quoted, in parts joined by + or juxtaposition,
-or bare up to a delimiter). A type between a colon and an equals sign is no value: the two signs are one assignment to the
-name left of the colon. A right side that is itself a name is a reference: constants are propagated along references,
-to the last definition before the use, through any number of names. A literal is scored by what its target is called
-and by its own look; one that reaches the bound is reported where it stands, as kind ``literal``, unless a base span
-holds it already.
+One pass over a text, read as source or configuration, finds strings (quoted, raw or otherwise prefixed, triple, template),
+comments, operators and elements of XML, and of these makes pairs of a name and a literal. Assignment signs are =, :, :=,
+?=, += and =>; comparisons (==, ===, !=, <=, >=) and -> and :: are no assignments. The name stands left of the sign (plain,
+dotted, quoted or in brackets), the literal right of it: quoted, in parts joined by +, a dot or juxtaposition, or bare up
+to a delimiter. ``name: type = literal`` is one assignment to the name. Signs within a bare value start pairs of their own,
+each up to the next. ``<name>literal</name>`` is a pair, and so are a key and a value given as two attributes or members
+(key="name" value="literal").
+
+A right side that is itself a name is a reference: constants are propagated along references, to the last definition
+before the use that is still in scope, through any number of names. Functions and classes are scopes, by indentation, and
+so is a comment, whose pairs count but define nothing outside it. A literal is scored by what its target is called and by
+its own look; one that reaches the bound is reported where it stands, as kind ``literal``, unless a base span holds it
+already. Names and literals may be of any length; the pass takes time in proportion to the text.
 
 Base kinds, in order: assign, access, hex, as leftmost non-overlapping matches, failing ones dropped; spans are those of
 the whole match. Defined cases: null and empty texts have no spans; texts are scanned whole; repeated rows each have
@@ -17,7 +23,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,73 +48,256 @@ COMPANY = {("api", "key"): 3, ("access", "key"): 3, ("private", "key"): 3, ("sec
 PLACEHOLDER = re.compile(r"example|changeme|placeholder|dummy|your[_-]|<.*>|\$\{|\{\{|^(.)\1+$|^x{4,}", re.IGNORECASE)
 NEED = 6
 
-SIGN = re.compile(r"=>|:=|[=:]")
-NAME = re.compile(r"([A-Za-z_$][A-Za-z0-9_.$-]*)[\"'\])]{0,3}[ \t]*\Z")
-QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
+#: The characters that the lexer stops at, line ends only where there are scopes, and what it then reads.
+STOP = re.compile(r"[=:\"'`#</>]")
+STOP_LINES = re.compile(r"[\n=:\"'`#</>]")
+TOKEN = re.compile(
+    r"""(?P<line>\n[ \t]*(?=[^\s]))|(?P<compare>={2,3}|[<>]=(?!>)|<=>|::)|(?P<sign>:=|=>|[=:])|(?P<triple>\"{3}|'{3})"""
+    r"""|(?P<quote>["'`])|(?P<comment>(?<![^\s;{}()])(?:\#|//)|/\*|<!--)|(?P<close></[A-Za-z_][\w:.-]*)|(?P<open><[A-Za-z_][\w:.-]*)|(?P<angle>>)"""
+)
+CLOSERS = {"/*": "*/", "<!--": "-->"}
+QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`", re.DOTALL)
+PREFIX = re.compile(r"(?:[rRbBuUfF]{1,2}|[@$L])(?=[\"'`])")
 JOIN = re.compile(r"[ \t]*(?:\+|\\\n|\.)?[ \t]*(?=[\"'`])")
-BARE = re.compile(r"[^\s,;#\"'`(){}\[\]<>|]+")
+BARE = re.compile(r"(?:[^\s,;#\"'`(){}\[\]<>|&]|(?<=[^\s])\#|&(?![A-Za-z_][\w.-]*=))+")
 REFERENCE = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]*\Z")
+INNER = re.compile(r"[=:]+")
 #: After a colon: a type (dotted, in brackets, optional, or a choice of several), then the equals sign of the same
-#: assignment. Without blanks around that sign only a quoted literal tells it from a value that holds one.
-_ONE = r"(?:&(?:'[a-z_]+\x20)?(?:mut\x20)?)?[A-Za-z_$][A-Za-z0-9_.$]*(?:\[[^\n=]{0,128}\]|<[^\n=]{0,128}>)?\??"
-TYPED = re.compile(rf"[ \t]*{_ONE}(?:[ \t]*\|[ \t]*{_ONE})*(?:[ \t]+=(?=[ \t])|[ \t]*=(?=[ \t]*[\"'`]))", re.ASCII)
-#: Names of types that are never names of constants.
+#: assignment. Without blanks around that sign only a quoted literal tells it from a value that holds one. A colon ends
+#: the search, so that each character is read for one sign only.
+_IN = r"[^\n=:\[\]<>]*(?:[\[<][^\n=:\[\]<>]*[\]>][^\n=:\[\]<>]*)*"
+_ONE = rf"(?:&(?:'[a-z_]+\x20)?(?:mut\x20)?)?[A-Za-z_$][A-Za-z0-9_.$]*(?:\[{_IN}\]|<{_IN}>)?\??"
+TYPED = re.compile(rf"[ \t]*{_ONE}(?:[ \t]*\|[ \t]*{_ONE})*(?:[ \t]+=(?=[ \t])|[ \t]*=(?=[ \t]*(?:[rRbBuUfF]{{1,2}}|[@$L])?[\"'`]))", re.ASCII)
+#: Names of types that are never names of constants, and words that start a scope.
 TYPES = frozenset("str string bytes bytearray int integer long float double number bool boolean char varchar text any object auto final optional none null undefined".split())
+SCOPE = re.compile(r"(?:(?:async|export|default|public|private|protected|static|final)[ \t]+)*(?:def|class|function|func|fn)\b")
+NAMING, VALUING = frozenset(("key", "name", "id")), frozenset(("value", "val", "default"))
+SCOPES = re.compile(r"\b(?:def|class|function|func|fn)\b")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-REACH = 128
+NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.$-")
+STARTS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_$")
 
 Literal = tuple[str, int, int]  # value, start, end
 
 
-def literal(text: str, at: int) -> tuple[Literal | None, str | None]:
-    """The literal that starts at ``at`` after blanks, or the name that it refers to."""
-    while at < len(text) and text[at] in " \t":
-        at += 1
-    m = QUOTED.match(text, at)
-    if not m:
-        bare = BARE.match(text, at)
-        if not bare:
-            return None, None
-        return (bare[0], bare.start(), bare.end()), bare[0] if REFERENCE.match(bare[0]) else None
-    value, start, end = "", m.start() + 1, m.end() - 1
-    while m:
-        value, end = value + m[m.lastindex], m.end() - 1
-        joint = JOIN.match(text, m.end())
-        m = QUOTED.match(text, joint.end()) if joint and joint.end() > m.end() else None
-    return (value, start, end), None
+class Constants:
+    """Definitions by name in nested scopes."""
 
+    def __init__(self):
+        self.scopes: list[tuple[int, dict[str, Literal], dict[str, Literal]]] = [(-1, {}, {})]  # indentation of the opening line
 
-def pairs(text: str) -> list[tuple[str, Literal]]:
-    """Names with the literals that they are assigned, references resolved."""
-    constants: dict[str, Literal] = {}
-    #: What stands between a colon and an equals sign may still be a constant's name ("here: K = ..."): an equals sign can
-    #: refer to it, a colon can't, since there it is a type again.
-    unsure: dict[str, Literal] = {}
-    typed_until = -1
-    out = []
-    for sign in SIGN.finditer(text):
-        name = NAME.search(text, max(0, sign.start() - REACH), sign.start())
+    def enter(self, indent: int) -> None:
+        self.scopes.append((indent, {}, {}))
+
+    def line(self, indent: int) -> None:
+        """A line starts: scopes that were opened at its indentation or deeper are over."""
+        while len(self.scopes) > 1 and indent <= self.scopes[-1][0]:
+            self.scopes.pop()
+
+    def define(self, name: str, value: Literal, sure: bool = True) -> None:
+        _, known, unsure = self.scopes[-1]
+        if sure:
+            known[name] = value
+            unsure.pop(name, None)
+        else:
+            unsure[name] = value
+
+    def find(self, name: str, also_unsure: bool) -> Literal | None:
+        for _, known, unsure in reversed(self.scopes):
+            if name in known:
+                return known[name]
+            if also_unsure and name in unsure:
+                return unsure[name]
+        return None
+
+
+class Lexer:
+    """The pairs of one text."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.out: list[tuple[str, Literal]] = []
+        self.outer = self.constants = Constants()
+        self.unclosed: dict[str, int] = {}  # by kind of bracket: up to where it is known not to close
+        self.floor = 0  # names start after what was consumed
+        self.string: tuple[int, int, int, int] | None = None  # the last string: token start and end, content start and end
+        self.key: str | None = None  # the last key="..." whose value is to come
+        self.typed_until = -1
+        #: A type that stands between colon and equals sign may still be a constant's name ("here: K = ..."): an equals
+        #: sign can refer to it, a colon can't, since there it is a type again.
+
+    def closing(self, mark: str, at: int, kind: str) -> int:
+        """Where ``mark`` stands at or after ``at``, or -1; a failed search is not tried again."""
+        if self.unclosed.get(kind):
+            return -1
+        found = self.text.find(mark, at)
+        if found < 0:
+            self.unclosed[kind] = 1
+        return found
+
+    def quoted(self, at: int) -> tuple[int, int, int] | None:
+        """Content start and end, and token end, of the string that starts at ``at``, prefix included."""
+        prefix = PREFIX.match(self.text, at)
+        at = prefix.end() if prefix else at
+        mark = self.text[at : at + 3]
+        if mark in ('"""', "'''"):
+            end = self.closing(mark, at + 3, mark)
+            return (at + 3, end, end + 3) if end >= 0 else None
+        mark = mark[:1]
+        if not mark or mark not in "\"'`" or at < self.unclosed.get(mark, -1):
+            return None
+        m = QUOTED.match(self.text, at)
+        if not m:
+            # No quote closes it in this line, so none closes a later one there.
+            end = self.text.find("\n", at) if mark != "`" else -1
+            self.unclosed[mark] = end if end >= 0 else len(self.text)
+            return None
+        return at + 1, m.end() - 1, m.end()
+
+    def name(self, sign: int) -> str | None:
+        """The name left of a sign."""
+        text, at = self.text, sign
+        while at > self.floor and text[at - 1] in " \t":
+            at -= 1
+        while at > self.floor and text[at - 1] in "])":
+            at -= 1
+        if self.string and self.string[1] == at and self.string[0] >= self.floor - 1:
+            found = text[self.string[2] : self.string[3]].strip()
+            return found if found and found[0] in STARTS else None
+        stop = at
+        while at > self.floor and text[at - 1] in NAME_CHARS:
+            at -= 1
+        while at < stop and text[at] not in STARTS:
+            at += 1
+        return text[at:stop] or None
+
+    def literal(self, at: int) -> tuple[Literal | None, str | None, bool]:
+        """The literal that starts at ``at`` after blanks, or the name that it refers to, and whether it is bare."""
+        text = self.text
+        while at < len(text) and text[at] in " \t(":
+            at += 1
+        got = self.quoted(at)
+        if not got:
+            bare = BARE.match(text, at)
+            if not bare:
+                return None, None, False
+            return (bare[0], bare.start(), bare.end()), bare[0] if REFERENCE.match(bare[0]) else None, True
+        value, start, end = "", got[0], got[1]
+        while got:
+            value, end, after = value + text[got[0] : got[1]], got[1], got[2]
+            joint = JOIN.match(text, after)
+            got = self.quoted(joint.end()) if joint and joint.end() > after else None
+        return (value, start, end), None, False
+
+    def pair(self, name: str, value: Literal) -> None:
+        last = name.rpartition(".")[2].lower()
+        if last in NAMING and REFERENCE.match(value[0]):
+            self.key = value[0]
+        elif last in VALUING and self.key:
+            name, self.key = self.key, None
+        self.out.append((name, value))
+
+    def assigned(self, sign: str, start: int, end: int) -> int:
+        """Takes the pair around a sign; returns where to go on."""
+        name = self.name(start)
+        self.floor = end
         if not name:
-            continue
-        typed = TYPED.match(text, sign.end()) if sign[0] == ":" else None
-        value, reference = literal(text, typed.end() if typed else sign.end())
-        if reference is not None and reference in constants:
-            value = constants[reference]
-        elif reference is not None and (typed or sign[0] != ":") and reference in unsure:
-            value = unsure[reference]
+            return end
+        typed = TYPED.match(self.text, end) if sign == ":" else None
+        value, reference, bare = self.literal(typed.end() if typed else end)
+        if reference is not None:
+            value = self.constants.find(reference, bool(typed) or sign != ":") or value
         if value is None:
-            continue
-        if sign.end() == typed_until:
-            if name[1].lower() in TYPES:
-                continue
-            unsure[name[1]] = value
-        else:
-            constants[name[1]] = value
-            unsure.pop(name[1], None)
-        out.append((name[1], value))
+            return end
+        if end == self.typed_until:
+            if name.lower() in TYPES:
+                return end
+            self.constants.define(name, value, sure=False)
+        elif sign != "+=":
+            self.constants.define(name, value)
+        self.pair(name, value)
         if typed:
-            typed_until = typed.end()
-    return out
+            self.typed_until = typed.end()
+            return end
+        if bare and reference is None:
+            self.within(*value[1:])
+            self.floor = value[2]
+            return value[2]
+        return end
+
+    def within(self, start: int, end: int) -> None:
+        """The pairs inside a bare value, each literal up to the next sign that a name precedes; trailing signs are literal."""
+        signs = [m for m in INNER.finditer(self.text, start, end) if m.end() < end]
+        for m, after in zip(signs, [*signs[1:], None], strict=False):
+            self.floor = max(self.floor, start)
+            name = self.name(m.start()) if len(m[0]) == 1 else None
+            self.floor = m.end()
+            stop = after.start() if after else end
+            if name and m.end() < stop:
+                value = (self.text[m.end() : stop], m.end(), stop)
+                self.constants.define(name, value)
+                self.pair(name, value)
+
+    def pairs(self) -> list[tuple[str, Literal]]:
+        text, at = self.text, 0
+        comment_end: int | str | None = None
+        element: tuple[str, int] | None = None  # the open element and where its content starts
+        self.scope_line(0, 0)
+        stop = (STOP_LINES if SCOPES.search(text) else STOP).search
+        while found := stop(text, at):
+            m = TOKEN.match(text, found.start())
+            if not m:
+                at = found.end()
+                continue
+            kind, at = m.lastgroup, m.end()
+            if comment_end is not None and m.start() >= comment_end:
+                self.constants, comment_end = self.outer, None
+            if kind == "line":
+                self.scope_line(m.start() + 1, at)
+            elif kind == "compare":
+                self.floor = at
+            elif kind == "sign":
+                before = text[m.start() - 1 : m.start()] if m[0] == "=" else ""
+                if before == "!":
+                    self.floor = at
+                elif before in ("?", "+"):
+                    at = self.assigned(before + "=", m.start() - 1, at)
+                else:
+                    at = self.assigned(m[0], m.start(), at)
+            elif kind in ("quote", "triple"):
+                before = text[m.start() - 1] if m.start() else " "
+                apostrophe = m[0] == "'" and before.isalnum() and not PREFIX.match(text, m.start() - 1)
+                got = None if apostrophe else self.quoted(m.start())
+                if got:
+                    self.string = (m.start(), got[2], got[0], got[1])
+                    at = got[2]
+            elif kind == "comment" and comment_end is None:
+                closer = CLOSERS.get(m[0], "\n")
+                end = self.closing(closer, at, closer)
+                self.outer, self.constants = self.constants, Constants()
+                comment_end = end if end >= 0 else len(text)
+            elif kind == "open":
+                element = (m[0][1:], -1)
+            elif kind == "angle" and element and element[1] < 0:
+                element = (element[0], at)
+            elif kind == "close":
+                if element and element[0] == m[0][2:] and element[1] >= 0:
+                    value = text[element[1] : m.start()]
+                    lead = len(value) - len(value.lstrip())
+                    if value.strip():
+                        self.pair(element[0], (value.strip(), element[1] + lead, element[1] + lead + len(value.strip())))
+                element = None
+        return self.out
+
+    def scope_line(self, start: int, first: int) -> None:
+        self.constants.line(first - start)
+        if SCOPE.match(self.text, first):
+            self.constants.enter(first - start)
+
+
+def pairs(text: str) -> list[tuple[str, Literal]]:
+    """Names with the literals that they are assigned, references resolved."""
+    return Lexer(text).pairs()
 
 
 def name_score(name: str) -> int:
@@ -134,9 +325,18 @@ def base_spans(text: str) -> list[Span]:
 def spans(text: str) -> tuple[list[Span], list[Span]]:
     """The base spans, and all spans, each by start, then kind as listed (literal last)."""
     base = base_spans(text)
+    starts, reach = [s for _, s, _ in base], list(accumulate((e for _, _, e in base), max))
     more = set()
+    looks: dict[tuple[int, int], int] = {}
     for name, (value, start, end) in pairs(text):
-        if (known := name_score(name)) >= 2 and known + look_score(value) >= NEED and not any(s <= start and end <= e for _, s, e in base):
+        if (known := name_score(name)) < 2:
+            continue
+        held = bisect_right(starts, start)
+        if held and reach[held - 1] >= end:
+            continue
+        if (start, end) not in looks:
+            looks[start, end] = look_score(value)
+        if known + looks[start, end] >= NEED:
             more.add(("literal", start, end))
     order = [*BASE, "literal"].index
     return base, sorted([*base, *more], key=lambda s: (s[1], order(s[0]), s[2]))
