@@ -156,22 +156,24 @@ def test_top_k_against_brute_force(spark, monkeypatch, slab, bucket, steep):
     for name, value in (("SLAB", slab), ("BUCKET", bucket), ("STEEP", steep), ("BLOCK", 10)):
         monkeypatch.setattr(topk, name, value)
     rows, bad, df = vectors(spark)
-    real = {i: np.floor(np.array(v) * 64) for i, v, _ in rows + bad if v and all(x is not None and math.isfinite(x) for x in v)}
-    width = max(map(len, real.values()))
-    real = {i: np.pad(v, (0, width - len(v))) for i, v in real.items()}
-    got = defaultdict(list)
-    for r in topk.top_k(df, F.col("id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.rank, r.vec_id, r.score))
-    want = {}
-    for q in real:
+    again = [(20, rows[33][1], 0), (20, rows[20][1], 0), (21, rows[40][1], 0), (40, rows[41][1], 1)]
+    df = df.union(spark.createDataFrame(again, "vec_id long, embedding array<float>, label int").withColumn("score", F.lit("x")))
+    real = [(i, np.floor(np.array(v) * 64)) for i, v, _ in rows + bad + again if v and all(x is not None and math.isfinite(x) for x in v)]
+    width = max(len(v) for _, v in real)
+    real = [(i, np.pad(v, (0, width - len(v)))) for i, v in real]
+    want = []
+    for own, (q, asked) in enumerate(real):
         if q % 20 == 0:
-            order = sorted((-int(v @ real[q]), i) for i, v in real.items() if i != q)[:20]
-            want[q] = [(k, i, -s) for k, (s, i) in enumerate(order, 1)]
-    assert got == want
+            order = sorted((-int(v @ asked), i) for other, (i, v) in enumerate(real) if other != own)[:20]
+            want += [(q, k, i, -s) for k, (s, i) in enumerate(order, 1)]
+    assert sorted(map(tuple, topk.top_k(df, F.col("id") % 20 == 0, 20).collect())) == sorted(want)
     huge = spark.createDataFrame([(20 * i, [4e6 + i] * 4) for i in range(3)], "vec_id long, embedding array<double>")
     big = {(r.query_id, r.rank): r.score for r in topk.top_k(huge, F.col("id") % 20 == 0, 20).collect()}
     assert big[0, 1] == 4 * 256_000_000 * 256_000_128 and big[20, 1] == 4 * 256_000_064 * 256_000_128
-    few = topk.top_k(df.where("vec_id in (20, 21, 22, 500)"), F.col("id") % 20 == 0, 20)
+    wide = [(0, [5e6, 0.0]), (20, [1.0, 1.0]), (21, [3e14, -1.0]), (22, [-2e30, 1e300]), (23, [1e308, 1e-3])]
+    large = {(r.query_id, r.vec_id): r.score for r in topk.top_k(spark.createDataFrame(wide, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, 20).collect()}
+    assert (large[0, 20], large[0, 21]) == (20_480_000_000, 2**63 - 1) and large[20, 21] == 64 * (64 * 3 * 10**14 - 64) and large[0, 22] == -(2**63)
+    few = topk.top_k(df.where("vec_id in (60, 61, 62, 500)"), F.col("id") % 20 == 0, 20)
     assert few.count() == 2 and topk.top_k(df.limit(0), F.col("id") % 20 == 0, 20).count() == 0
 
 
@@ -207,6 +209,17 @@ def test_token_counts_and_pieces_against_the_library(spark, odd):
     assert packing.pack(odd.limit(0)).count() == 0 and tokens.token_counts(odd.limit(0)).count() == 0
 
 
+def test_pieces_of_one_length_are_numbered_without_gaps(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SPAN", 2)
+    docs = spark.createDataFrame([(None, "") for _ in range(700)] + [(i % 3, "same words here") for i in range(90)], "doc_id long, text string").repartition(7)
+    numbered = packing.numbered(packing.cut(packing.pieces(docs, 8, 2, "byte_bpe_50k.json", "doc_id", "text"), "test-pieces")).cache()
+    for r in numbered.groupBy("length").agg(F.sort_array(F.collect_list("rank")).alias("ranks")).collect():
+        assert r.ranks == list(range(len(r.ranks)))
+    assert "BroadcastHashJoin" not in packing.pack(docs, 8)._jdf.queryExecution().executedPlan().toString().partition("MapInArrow")[2].partition("AdaptiveSparkPlan")[0]
+    packed = packing.pack(docs, 8).collect()
+    assert len(packed) == 790 and len({(r.sequence_id, r.offset) for r in packed}) == 790
+
+
 def fewest(items, size):
     """The fewest bins, by trying: only for a handful of items."""
     best = [len(items)]

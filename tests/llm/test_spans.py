@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from lexmill.llm import pii, secrets
 
@@ -39,6 +40,9 @@ def test_pii_added_spans():
     assert kinds["url"] == "postgres://bob:hunter2@db.local:5432"
     assert kinds["iban"] == "GB82 WEST 1234 5698 7654 32"
     assert kinds["ssn"] == "078-05-1120" and kinds["account"] == "12345678"
+    for scheme in ("a" * 5000, "x.y+z-1" * 300):
+        assert pii.spans(f"7-.{scheme}://u:p@h.example")[1] == [("email", len(scheme) + 8, len(scheme) + 19), ("url", 3, len(scheme) + 19)]
+    assert pii.spans("1.5://u:p@h")[1] == []
     assert pii.spans("on account of the rain, ibanez; ssn unknown")[1] == []
 
 
@@ -115,3 +119,72 @@ def test_a_type_is_no_constant_and_no_value_is_a_type():
     assert literals('here: K = "Zx9kQ2mmLp77"\nclient_pwd = K') == ["Zx9kQ2mmLp77"]
     assert literals("db_pwd: Zx9kQ2mm=Lp77\n") == ["Zx9kQ2mm=Lp77"]
     assert literals("db_pwd: QWxhZGRpbjpvcGVu1=\n") == ["QWxhZGRpbjpvcGVu1="]
+
+
+SECRET = "Zx9kQ2mmLp77"
+
+
+def test_secrets_lexing():
+    for text in (
+        f'K = "{SECRET}"; if K == x: y\nclient_secret = K', f'client_pwd: str = """{SECRET}"""', f"client_pwd = '''{SECRET}'''", f"<cfg><db.pwd>{SECRET}</db.pwd></cfg>",
+        f'<add key="DbPwd" value="{SECRET}"/>', f'// client_pwd = "{SECRET}"', f'K = "{SECRET}"\ndef f():\n    client_pwd = K\n', f'client_pwd = r"{SECRET}"', f"it's client_pwd = '{SECRET}'",
+        f'config["pwd"] = "{SECRET}"', f"x?user=a&pwd={SECRET}&b=c", f"config:client_pwd={SECRET}", f'"client pwd": "{SECRET}"', f'pwd => "{SECRET}"', f"pwd += '{SECRET}'", f'pwd ?= "{SECRET}"', f'pwd := "{SECRET}"',
+        f'client_pwd = ("{SECRET}"\n)', f'{"x" * 500}_pwd = "{SECRET}"', f'client_pwd: {"List[" + "a" * 300 + "]"} = "{SECRET}"',
+    ):
+        assert literals(text) == [SECRET], text
+    for text in (
+        f'# K = "{SECRET}"\nclient_pwd = K', f'/* K = "{SECRET}" */ client_pwd = K', f'def f():\n    K = "{SECRET}"\n    x = 1\nclient_pwd = K', f'pwd != "{SECRET}"', f'pwd == "{SECRET}"', f'pwd::"{SECRET}"',
+        f'x = "pwd = {SECRET}"', f"<db.pwd>{SECRET}</db.user>",
+    ):
+        assert literals(text) == [], text
+
+
+def test_secret_lexing_against_generated_programs():
+    """Programs of statements whose pairs are known when they are written; a second reading by plain rules."""
+    rng = random.Random(8)
+    for _ in range(400):
+        text, want, known = "", [], {}
+        for i in range(rng.randrange(1, 9)):
+            value = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(16)) + "a9"
+            name, sensitive = rng.choice([("pwd", True), ("db.passphrase", True), ("colour", False), ("title", False)])
+            quote = rng.choice(['"', "'"])
+            shape = rng.randrange(7)
+            if shape == 0:
+                known[f"K{i}"] = (len(text) + len(f"K{i} = ") + 1, value)
+                text += f"K{i} = {quote}{value}{quote}\n"
+                continue
+            if shape == 1 and known:
+                key = rng.choice(sorted(known))
+                text += f"{name} = {key}\n"
+                at, value = known[key]
+            elif shape == 2:
+                at = len(text) + len(name) + 2
+                text += f"{name}: {value}\n"
+            elif shape == 3:
+                at = len(text) + len(name) + 9
+                text += f"{name}: str = {quote}{value}{quote}\n"
+            elif shape == 4:
+                at = len(text) + 2 * len(name) + 7
+                text += f"<x><{name}> {value} </{name}></x>\n"
+                at = text.rindex(value)
+            elif shape == 5:
+                text += f"if {name} == {quote}{value}{quote}: pass\n"
+                continue
+            else:
+                at = len(text) + len(name) + 5
+                text += f'"{name}": {quote}{value}{quote},\n'
+                at = text.rindex(value)
+            if sensitive:
+                want.append(("literal", at, at + len(value)))
+        assert sorted(set(want)) == [s for s in secrets.spans(text)[1] if s[0] == "literal"], text
+
+
+def test_scans_take_time_in_proportion():
+    for unit in ("a=", "token=", '"\\', "/*", "a:b[", "<a>", "`", 'a="', "&a", "\n def f: ", "a@b.c ", "1.1", "+1 (", "account", "a://b:c@d "):
+        for scan in (secrets.spans, pii.spans):
+            seconds = []
+            for size in (100_000, 800_000):
+                began = time.process_time()
+                scan(unit * (size // len(unit)))
+                seconds.append(time.process_time() - began)
+            assert seconds[1] < 30 * seconds[0] + 1, (unit, scan.__module__, seconds)
