@@ -1,15 +1,19 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-States are contexts of up to ``depth`` preceding tokens. A context is a candidate if its share of all training tokens is
-``least_context`` or more; it is retained if its next-token distribution diverges from that of its suffix: the count-
-weighted Kullback-Leibler divergence reaches ``divergence`` nats. Contexts are tried level by level, each only where its
-suffix was retained, so every state's suffixes are states. A retained state holds the successors whose share of all
-tokens is ``least_share`` or more; its other mass goes to its suffix's distribution, and the root's is the add-one
-unigram distribution. A text is scored at each token by the longest state that is a suffix of what precedes; texts start
-after an end token.
-
-What is held in memory is bounded whatever the corpus: shares sum to one, so at most 1 / least_share tokens, and as many
-successors a level, are held. The other tokens, the tail, are counted and joined as tables, by their own counts.
+States are contexts of up to ``depth`` preceding tokens. A context that occurs ``least_context`` times or more is a
+candidate; it is retained if its next-token distribution diverges from that of its suffix: the count-weighted
+Kullback-Leibler divergence reaches ``divergence`` nats. Contexts are tried level by level, each only where its suffix was
+retained, so every state's suffixes are states. A retained state holds the successors that follow it ``least_pair`` times
+or more; by Witten and Bell its other mass, what is not held and one for each distinct successor, goes to its suffix's
+distribution, and the root's is the add-one unigram distribution. A text is scored at each token by the longest state
+that is a suffix of what precedes; texts start after an end token. The bounds are counts, the same for every corpus.
+
+With b the share of a state's mass that goes to its suffix, and p the suffix's probability of a token, a state gives
+b * p * (1 + held / (spread * p)). So a token's log10 probability is a sum over the suffixes that are states: log10 b of
+each, plus its gain, log10 of the last factor, where the token is held. The model is a table of such summands, of any
+size, under the 64-bit hashes of token, context, or context and token; that any two of n entries share a hash has
+probability n**2 / 2**65. Tasks hold the HOT most frequent entries, and for the rest a sieve of fixed size that tells
+which keys can be in the table; those keys are joined with it. How many are held changes the time, not the sums.
 
 Defined cases: null and empty texts are the end token alone; with no training text every count is zero and N = V = 0;
 repeated rows are scored, and counted, each on its own; a null id is held out. Extra columns are not read.
@@ -17,21 +21,28 @@ repeated rows are scored, and counted, each on its own; a null id is held out. E
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import repeat
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import Cut, cut
+from lexmill.llm.common import Scratch
 
 END = b""  # words are never empty
 #: Distinct tokens or pairs that a counting task holds before it sends them on.
 HELD = 1_000_000
+#: Entries that every task holds, and 64-bit words of the sieve for the others.
+HOT = 1 << 20
+SIEVE = 1 << 20
+SEED = 42
+#: Told apart: a token's entry, and that of a context and token, from that of a context of the same hash.
+TOKEN, GAIN = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 
 
 def words(text: bytes) -> list[bytes]:
@@ -64,73 +75,112 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-@dataclass
-class Level:
-    """The retained contexts of one length, by sorted code, and their successors."""
-
-    #: A context's code: the number of its suffix (without its first token; 0 if empty), times width, plus its first token.
-    codes: np.ndarray
-    spread: np.ndarray  # by context: mass that goes to the suffix
-    total: np.ndarray  # by context: held counts plus spread
-    keys: np.ndarray  # context number * width + successor, sorted
-    counts: np.ndarray
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """xxhash64 of two longs, as Spark's function of that name gives it."""
+    one, two, three, four, five = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    out = np.uint64(SEED)
+    with np.errstate(over="ignore"):
+        for x in (a, b):
+            out = (out + five + np.uint64(8)) ^ (turn(x.view(np.uint64) * two, 31) * one)
+            out = turn(out, 27) * one + four
+            out = (out ^ (out >> np.uint64(33))) * two
+            out = (out ^ (out >> np.uint64(29))) * three
+            out = out ^ (out >> np.uint64(32))
+    return out.view(np.int64)
 
 
 @dataclass
-class Tree:
-    tokens: dict[bytes, int]
-    root: np.ndarray  # probabilities of the held tokens, and 1 for the tail, whose own are joined later
-    width: int
-    levels: list[Level] = field(default_factory=list)
-
-    def ids(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
-        """End token, the text's tokens, end token; the tail is width - 1."""
-        found = words(text)
-        tail = self.width - 1
-        got = np.fromiter(map(self.tokens.get, found, repeat(tail)), np.int64, len(found))
-        end = self.tokens.get(END, tail)
-        return np.concatenate(([end], got, [end])), found
-
-    def contexts(self, ids: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
-        """By level: for each position the number of its state of that length, or -1. first: positions where texts start."""
-        state = np.full(len(ids), -1)
-        for depth, level in enumerate(self.levels, 1):
-            state, before = np.full(len(ids), -1), state
-            last = np.arange(len(ids)) - depth
-            code = np.full(len(ids), -1, np.int64)
-            inside = last >= first
-            code[inside] = ids[last[inside]]
-            if depth > 1:
-                # A longer state needs its suffix to be one: its code is the suffix's number and one more token.
-                inside &= before >= 0
-                code = np.where(inside, before * self.width + code, -1)
-            if len(level.codes):
-                at = np.minimum(np.searchsorted(level.codes, code), len(level.codes) - 1)
-                state = np.where(inside & (level.codes[at] == code), at, -1)
-            yield state
-
-    def probabilities(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        p = self.root[ids].copy()
-        for level, state in zip(self.levels, self.contexts(ids, first), strict=True):
-            at = np.flatnonzero(state >= 0)
-            s = state[at]
-            key = s * self.width + ids[at]
-            held = np.zeros(len(at))
-            if len(level.keys):
-                i = np.minimum(np.searchsorted(level.keys, key), len(level.keys) - 1)
-                held = np.where(level.keys[i] == key, level.counts[i], 0)
-            p[at] = (held + level.spread[s] * p[at]) / level.total[s]
-        return p
-
-
-def _batch(tree: Tree, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """ids, first (each position's text start), scored (positions but the leading end tokens), words of each text."""
-    parts = [tree.ids(t or b"") for t in texts]
-    ids = np.concatenate([p[0] for p in parts])
-    sizes = np.array([len(p[0]) for p in parts])
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    first = np.repeat(starts, sizes)
-    return ids, first, np.arange(len(ids)) != first, [p[1] for p in parts]
+class Known:
+    """What a task holds of a table (key, value): its hottest entries, and the sieve that all other keys pass."""
+
+    keys: np.ndarray  # sorted
+    values: np.ndarray
+    sieve: np.ndarray | None
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values (0 where not held), whether held, and whether the table may hold it beyond."""
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            held = self.keys[at] == keys
+            values = np.where(held, self.values[at], 0.0)
+        else:
+            held, values = np.zeros(len(keys), bool), np.zeros(len(keys))
+        if self.sieve is None:
+            return values, held, np.zeros(len(keys), bool)
+        k = keys.view(np.uint64)
+        u = lambda x: np.uint64(x)
+        bit = lambda word, at: (self.sieve[(word & u(SIEVE - 1)).astype(np.intp)] >> (at & u(63))) & u(1)
+        return values, held, ~held & (bit(k, k >> u(26)) & bit(k >> u(32), k >> u(58))).astype(bool)
+
+
+def known(entries: DataFrame) -> tuple[Known, DataFrame | None]:
+    """Known of a table (key, value, weight), and the entries that are not held, if any."""
+    step = F.floor(F.log2("weight") * 8)  # at most 512 steps
+    steps = sorted(entries.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"])
+    room, least = HOT, None
+    for r in steps:
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["step"]
+    hot = entries.where(step >= least if least is not None else F.lit(False)).select("key", "value").toArrow()
+    keys = hot.column("key").to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    keys, values = keys[order], hot.column("value").to_numpy()[order]
+    if room >= 0:
+        return Known(keys, values, None), None
+    cold = entries.where(step < least) if least is not None else entries
+    # One row for each word that has a bit set: at most SIEVE.
+    key = F.col("key")
+    bits = cold.select(F.explode(F.array(
+        F.struct(key.bitwiseAND(F.lit(SIEVE - 1)).alias("word"), F.shiftrightunsigned(key, 26).bitwiseAND(F.lit(63)).cast("int").alias("bit")),
+        F.struct(F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(SIEVE - 1)).alias("word"), F.shiftrightunsigned(key, 58).cast("int").alias("bit")),
+    )).alias("x"))
+    bits = bits.groupBy("x.word").agg(F.bit_or(F.expr("shiftleft(1L, x.bit)")).alias("bits")).toArrow()
+    sieve = np.zeros(SIEVE, np.uint64)
+    sieve[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
+    return Known(keys, values, sieve), cold
+
+
+class Vocabulary(dict):
+    """Tokens to numbers of this task, with their hashes by number; starts afresh when it holds HELD."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[int] = []
+        self.hashes = np.empty(0, np.int64)
+
+    def __missing__(self, token: bytes) -> int:
+        self[token] = number = len(self)
+        self.fresh.append(xxhash.xxh64_intdigest(token, SEED))
+        return number
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token numbers of the texts, each between end tokens, and for each position where its text starts."""
+        if len(self) > HELD:
+            self.clear()
+            self.hashes = np.empty(0, np.int64)
+        end = self[END]
+        ids, sizes = [], []
+        for t in texts:
+            found = words(t or b"")
+            ids.append(end)
+            ids.extend(map(self.__getitem__, found))
+            ids.append(end)
+            sizes.append(len(found) + 2)
+        if self.fresh:
+            self.hashes = np.concatenate((self.hashes, np.array(self.fresh, np.uint64).view(np.int64)))
+            self.fresh = []
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+        return np.array(ids, np.int64), np.repeat(starts, sizes)
+
+
+def longer(state: np.ndarray, at: np.ndarray, h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts one longer, of length k, where positions ``at`` have contexts ``state``: positions and contexts."""
+    fits = at - k >= first[at]
+    at = at[fits]
+    return at, h[at - k] if k == 1 else mix(h[at - k], state[fits])
 
 
 def _chunks(texts: list[bytes], most: int = 1 << 22) -> Iterator[list[bytes]]:
@@ -145,189 +195,187 @@ def _chunks(texts: list[bytes], most: int = 1 << 22) -> Iterator[list[bytes]]:
         yield run
 
 
-def successor_counts(texts: DataFrame, tree: Tree, candidates: np.ndarray) -> DataFrame:
-    """(code, next, c): how often tokens, the tail as one, follow the candidate contexts of the next length, by their codes."""
-    shared = texts.sparkSession.sparkContext.broadcast((tree, candidates))
+def successor_counts(texts: DataFrame, levels: list[Known]) -> DataFrame:
+    """(s, next, c): how often tokens follow contexts as long as there are levels, whose suffixes and selves are in them.
+
+    Of contexts that only pass a sieve, some are not meant: a join with the table of contexts leaves them out.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(levels)
+
+    def merged(parts: list[tuple]) -> tuple:
+        s, nxt, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, at, of = np.unique(mix(s, nxt), return_index=True, return_inverse=True)
+        return s[at], nxt[at], np.bincount(of, c, len(at)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, candidates = shared.value
-        wide = Tree(tree.tokens, tree.root, tree.width, [*tree.levels, Level(candidates, *[np.empty(0)] * 4)])
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        vocabulary, held, size = Vocabulary(), [], 0
+        rows = lambda p: pa.RecordBatch.from_arrays([pa.array(x) for x in p], ["s", "next", "c"])
         for batch in batches:
             for chunk in _chunks(batch.column(0).to_pylist()):
-                ids, first, scored, _ = _batch(wide, chunk)
-                *_, state = wide.contexts(ids, first)
-                at = np.flatnonzero((state >= 0) & scored)
-                held.append(np.unique(state[at] * wide.width + ids[at], return_counts=True))
+                ids, first = vocabulary.read(chunk)
+                h = vocabulary.hashes[ids]
+                at = np.flatnonzero(np.arange(len(ids)) != first)
+                state = np.empty(0, np.int64)
+                for k, level in enumerate(shared.value, 1):
+                    at, state = longer(state, at, h, first, k)
+                    _, sure, may = level.get(state)
+                    at, state = at[sure | may], state[sure | may]
+                held.append(merged([(state, h[at], np.ones(len(at), np.int64))]))
                 size += len(held[-1][0])
-                if size > HELD:
-                    held = [_merged(held)]
-                    if len(held[0][0]) > HELD // 2:
-                        yield _rows(held[0], candidates, wide.width)
-                        held = []
-                    size = sum(len(x[0]) for x in held)
+                if size > 2 * HELD:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if size > HELD:
+                        yield rows(held[0])
+                        held, size = [], 0
         if held:
-            yield _rows(_merged(held), candidates, wide.width)
-
-    return texts.mapInArrow(run, "code long, next long, c long").groupBy("code", "next").agg(F.sum("c").alias("c"))
-
+            yield rows(merged(held))
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+    return texts.mapInArrow(run, "s long, next long, c long").groupBy("s", "next").agg(F.sum("c").alias("c"))
 
 
-def _rows(part: tuple[np.ndarray, np.ndarray], candidates: np.ndarray, width: int) -> pa.RecordBatch:
-    keys, counts = part
-    return pa.RecordBatch.from_arrays([pa.array(candidates[keys // width]), pa.array(keys % width), pa.array(counts)], ["code", "next", "c"])
+def fit(
+    counts: DataFrame, texts: DataFrame, n: int, v: int, depth: int, least_pair: int, least_context: int, divergence: float, scratch: Scratch
+) -> DataFrame:
+    """The model: (key, value, weight, token) of tokens, states and held successors.
 
-
-def grown(tree: Tree, candidates: np.ndarray, sizes: np.ndarray, kinds: np.ndarray, rows: tuple, divergence: float) -> Level:
-    """The next level: of the candidate contexts those that the divergence test retains.
-
-    sizes, kinds: occurrences and distinct held successors by candidate. rows: (candidate number, successor, count) of
-    the held successors, sorted. Witten and Bell: the mass beyond is what is not held and one for each distinct successor.
+    A token's value is what its log10 probability has beyond that of a token never met; weight is the entry's count.
     """
-    of, nxt, count = rows
-    total_held = np.bincount(of, count, len(candidates))
-    spread = sizes - total_held + kinds
-    total = total_held + spread
-    # P(next | suffix) is what the tree gives so far where the suffix state is known.
-    parent = tree.root[nxt].copy()
-    for level, state in zip(tree.levels, _suffixes(tree, candidates), strict=True):
-        s = state[of]
-        key = s * tree.width + nxt
-        i = np.minimum(np.searchsorted(level.keys, key), max(0, len(level.keys) - 1))
-        held = np.where(level.keys[i] == key, level.counts[i], 0) if len(level.keys) else 0
-        parent = (held + level.spread[s] * parent) / level.total[s]
-    share = (count + spread[of] * parent) / total[of]
-    gain = np.bincount(of, count * np.log(share / parent), len(candidates))
-    # The rest of the mass is scaled by spread / total.
-    rest = np.divide(spread, total, out=np.ones_like(total), where=spread > 0)
-    gain += (sizes - total_held) * np.log(rest)
-    keep = (gain >= divergence) & (total > 0)
-    number = np.cumsum(keep) - 1
-    take = keep[of]
-    return Level(candidates[keep], spread[keep], total[keep], number[of[take]] * tree.width + nxt[take], count[take])
-
-
-def _suffixes(tree: Tree, candidates: np.ndarray) -> list[np.ndarray]:
-    """By level the state numbers of the candidates' suffixes; a candidate's code holds its longest suffix's number."""
-    out = []
-    number = candidates // tree.width
-    for level in reversed(tree.levels):
-        out.append(number)
-        number = level.codes[number] // tree.width
-    return out[::-1]
-
-
-def fit(counts: DataFrame, texts: DataFrame, n: int, v: int, depth: int, least_share: float, least_context: float, divergence: float) -> Tree:
-    floor = max(1, int(np.ceil(n * least_share)))
-    head = counts.where(F.col("c") >= floor).orderBy(F.desc("c"), "token").toArrow()
-    tokens = {t: i for i, t in enumerate(head.column("token").to_pylist())}
-    c = head.column("c").to_numpy()
-    tree = Tree(tokens, np.append((c + 1) / (n + v + 1), 1.0), len(tokens) + 1)
-    candidates = np.flatnonzero(c >= n * least_context).astype(np.int64)
-    for _ in range(depth):
-        if not len(candidates):
+    never = -math.log10(n + v + 1)
+    unigrams = counts.select(F.xxhash64("token").alias("next"), F.col("c").alias("times"), F.log10(F.col("c") + 1).alias("lp"))
+    unigrams = scratch.cut(unigrams, "suffix-tree-tokens")
+    model = unigrams.select(F.col("next").bitwiseXOR(F.lit(TOKEN)).alias("key"), F.col("lp").alias("value"), F.col("times").alias("weight"), F.lit(True).alias("token"))
+    # By context: its tokens' hashes, the newest first, and the sum of its suffixes' log10 b.
+    contexts = unigrams.where(F.col("times") >= least_context).select(F.col("next").alias("s"), F.array("next").alias("toks"), F.lit(0.0).alias("back"), F.col("times").alias("n"))
+    levels: list[Known] = []
+    gains: list[DataFrame] = []
+    for k in range(1, depth + 1):
+        contexts = scratch.cut(contexts, "suffix-tree-contexts")
+        if contexts.isEmpty():
             break
-        rows = Cut(successor_counts(texts, tree, candidates), "suffix-tree-level")
-        per = rows.df.groupBy("code").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")).toArrow()
-        held = rows.df.where((F.col("c") >= floor) & (F.col("next") < len(tokens))).orderBy("code", "next").toArrow()
-        rows.drop()
-        sizes, kinds = np.zeros(len(candidates)), np.zeros(len(candidates))
-        at = np.searchsorted(candidates, per.column("code").to_numpy())
-        sizes[at], kinds[at] = per.column("n").to_numpy(), per.column("kinds").to_numpy()
-        of, nxt, count = np.searchsorted(candidates, held.column("code").to_numpy()), held.column("next").to_numpy(), held.column("c").to_numpy()
-        level = grown(tree, candidates, sizes, kinds, (of, nxt, count), divergence)
-        # Successors of a state that are frequent enough together with it are contexts one longer, read backwards: the
-        # pair (a, b) is context b preceded by a, where b is a state.
-        longer = _longer(tree, level, candidates, (of, nxt, count), n * least_context)
-        tree.levels.append(level)
-        candidates = longer
-    return tree
-
-
-def _longer(tree: Tree, level: Level, candidates: np.ndarray, rows: tuple, least: float) -> np.ndarray:
-    """Codes of contexts one longer: frequent sequences whose suffix, without the first token, is a retained state."""
-    of, nxt, count = rows
-    frequent = count >= least
-    code, olds = candidates[of[frequent]], []
-    for k in range(len(tree.levels) + 1, 0, -1):
-        olds.append(code % tree.width)
-        if k > 1:
-            code = tree.levels[k - 2].codes[code // tree.width]
-    chain = [nxt[frequent], *olds[::-1]]  # the sequence's tokens from the last back
-    return _coded(tree, level, chain)
-
-
-def _coded(tree: Tree, level: Level, chain: list[np.ndarray]) -> np.ndarray:
-    number = None
-    for k, codes in enumerate([*(x.codes for x in tree.levels), level.codes]):
-        code = chain[k] if number is None else np.where(number >= 0, number * tree.width + chain[k], -1)
-        if not len(codes):
-            return np.empty(0, np.int64)
-        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-        number = np.where((codes[at] == code) & (code >= 0), at, -1)
-    good = number >= 0
-    return np.unique(number[good] * tree.width + chain[len(tree.levels) + 1][good])
+        levels.append(known(contexts.select(F.col("s").alias("key"), F.lit(0.0).alias("value"), F.col("n").alias("weight")))[0])
+        pairs = scratch.cut(successor_counts(texts, levels), "suffix-tree-pairs")
+        held = F.col("c") >= least_pair
+        sums = pairs.groupBy("s").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), F.coalesce(F.sum(F.when(held, F.col("c"))), F.lit(0)).alias("held"))
+        sums = sums.withColumn("spread", F.col("n") - F.col("held") + F.col("kinds")).withColumn("b", F.log10(F.col("spread") / (F.col("n") + F.col("kinds"))))
+        sums = scratch.cut(contexts.drop("n").join(sums, "s"), "suffix-tree-sums")
+        # The held successors, with their probability by the suffix.
+        rows = pairs.where(held).join(sums.select("s", "toks", "back", "spread"), "s").join(unigrams.select("next", "lp"), "next")
+        rows = rows.withColumn("lp", F.col("lp") + F.col("back") + never)
+        for j, gain in enumerate(gains, 1):
+            below = gain.select(F.col("key").alias(f"key{j}"), F.col("value").alias(f"gain{j}"))
+            rows = rows.withColumn(f"key{j}", _gain_key(_state(F.col("toks"), j), F.col("next"))).join(below, f"key{j}", "left")
+            rows = rows.withColumn("lp", F.col("lp") + F.coalesce(f"gain{j}", F.lit(0.0)))
+        gain = F.log10(1 + F.col("c") / (F.col("spread") * F.pow(F.lit(10.0), F.col("lp"))))
+        rows = scratch.cut(rows.select("s", "next", "c", gain.alias("gain")), "suffix-tree-gains")
+        per = rows.groupBy("s").agg(F.sum(F.col("c") * F.col("gain")).alias("gained"))
+        far = (F.col("n") * F.col("b") + F.coalesce("gained", F.lit(0.0))) * math.log(10)
+        states = scratch.cut(sums.join(per, "s", "left").where(far >= divergence).select("s", "toks", "back", "b", "n"), "suffix-tree-states")
+        gains.append(scratch.cut(rows.join(states.select("s"), "s", "left_semi").select(_gain_key(F.col("s"), F.col("next")).alias("key"), F.col("gain").alias("value"), F.col("c").alias("weight")), "suffix-tree-held"))
+        model = model.unionByName(states.select(F.col("s").alias("key"), F.col("b").alias("value"), F.col("n").alias("weight"), F.lit(False).alias("token")))
+        model = model.unionByName(gains[-1].withColumn("token", F.lit(False)))
+        # Contexts one longer, read backwards: a context and a token that follows it often enough, where what is left
+        # without the first token is a state.
+        joined = pairs.where(F.col("c") >= least_context).join(sums.select("s", "toks"), "s")
+        joined = joined.select("c", F.concat(F.array("next"), "toks").alias("toks"))
+        joined = joined.select("c", "toks", _state(F.col("toks"), k).alias("suffix"), _state(F.col("toks"), k + 1).alias("s"))
+        below = states.select(F.col("s").alias("suffix"), (F.col("back") + F.col("b")).alias("back"))
+        contexts = joined.join(below, "suffix").select("s", "toks", "back", F.col("c").alias("n"))
+    return scratch.cut(model, "suffix-tree-model")
+
+
+def _state(toks: Column, k: int) -> Column:
+    """The hash of the context of the k newest tokens."""
+    out = toks[0]
+    for j in range(1, k):
+        out = F.xxhash64(toks[j], out)
+    return out
+
+
+def _gain_key(state: Column, token: Column) -> Column:
+    return F.xxhash64(state, token).bitwiseXOR(F.lit(GAIN))
 
 
 def score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2,
-    least_share: float = 1e-6, least_context: float = 1e-5, divergence: float = 12.0, held: Column | None = None,
+    least_pair: int = 3, least_context: int = 128, divergence: float = 12.0, held: Column | None = None,
 ) -> DataFrame:
     """One row per input row: (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
+    scratch = Scratch()
     held = held_out(id_col) if held is None else held
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     learned = rows.where(~F.col("held")).select("text")
-    counts = cut(token_counts(learned), "suffix-tree-counts")
+    counts = scratch.cut(token_counts(learned), "suffix-tree-counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"], total["v"]
-    tree = fit(counts, learned, n, v, depth, least_share, least_context, divergence)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    names = ["id", "held", "n_tokens", "known", "base", "score", "tail", "times"]
+    model = fit(counts, learned, n, v, depth, least_pair, least_context, divergence, scratch)
+    hot, cold = known(model)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    never = -math.log10(n + v + 1)
+    names = ["id", "held", "n_tokens", "n_known", "base", "score", "keys", "times"]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+        table, vocabulary = shared.value, Vocabulary()
         for batch in batches:
-            at = 0
+            done = 0
             for chunk in _chunks(batch.column(2).to_pylist()):
-                ids, first, scored, found = _batch(tree, chunk)
-                starts = np.flatnonzero(~scored)
-                each = lambda x: np.add.reduceat(np.where(scored, x, 0), starts)  # noqa: B023, E731
-                tail = ids == tree.width - 1
-                rare: list[Counter] = []
-                for start, text in zip(starts.tolist(), found, strict=True):
-                    rare.append(Counter([text[i] for i in np.flatnonzero(tail[start + 1 : start + 1 + len(text)]).tolist()]))
-                    if tail[start]:
-                        rare[-1][END] += 1
+                ids, first = vocabulary.read(chunk)
+                h = vocabulary.hashes[ids]
+                starts, text = np.unique(first, return_inverse=True)
+                scored = np.arange(len(ids)) != first
+                distinct, of = np.unique(ids, return_inverse=True)
+                value, sure, may = (x[of] for x in table.get(vocabulary.hashes[distinct] ^ TOKEN))
+                base = np.where(scored, value + never, 0.0)
+                asked = [(text[may & scored], h[may & scored] ^ TOKEN)]
+                total = base.copy()
+                at, state = np.flatnonzero(scored), np.empty(0, np.int64)
+                for k in range(1, depth + 1):
+                    at, state = longer(state, at, h, first, k)
+                    value, there, maybe = table.get(state)
+                    total[at] += value
+                    asked.append((text[at[maybe]], state[maybe]))
+                    at, state = at[there | maybe], state[there | maybe]
+                    key = mix(state, h[at]) ^ GAIN
+                    value, _, maybe = table.get(key)
+                    total[at] += value
+                    asked.append((text[at[maybe]], key[maybe]))
+                owner, keys = (np.concatenate(x) for x in zip(*asked, strict=True))
+                order = np.lexsort((keys, owner))
+                owner, keys = owner[order], keys[order]
+                new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])))) if len(keys) else np.empty(0, np.int64)
+                times = np.diff(np.append(new, len(keys)))
+                edges = pa.array(np.searchsorted(owner[new], np.arange(len(chunk) + 1)).astype(np.int32))
+                each = lambda x: pa.array(np.bincount(text, np.where(scored, x, 0), len(starts)))  # noqa: B023, E731
+                whole = lambda x: each(x).cast(pa.int64())  # noqa: B023, E731
                 columns = [
-                    batch.column(0).slice(at, len(chunk)), batch.column(1).slice(at, len(chunk)), pa.array(each(np.ones(len(ids), np.int64))), pa.array(each((~tail).astype(np.int64))),
-                    pa.array(each(np.log10(tree.root[ids]))), pa.array(each(np.log10(tree.probabilities(ids, first)))),
-                    pa.array([list(r) for r in rare], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64())),
+                    batch.column(0).slice(done, len(chunk)), batch.column(1).slice(done, len(chunk)), whole(1.0), whole(sure), each(base), each(total),
+                    pa.ListArray.from_arrays(edges, pa.array(keys[new])), pa.ListArray.from_arrays(edges, pa.array(times)),
                 ]
-                at += len(chunk)
+                done += len(chunk)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = rows.mapInArrow(partial, f"id {kind}, held boolean, n_tokens long, known long, base double, score double, tail array<binary>, times array<long>")
-    found = cut(found.select(F.monotonically_increasing_id().alias("row"), "*"), "suffix-tree-scores")
-    tail = found.where(F.size("tail") > 0).select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", F.col("x.tail").alias("token"), "x.times")
-    met = tail.join(counts.where(F.col("c") < max(1, int(np.ceil(n * least_share)))), "token", "left")
-    c = F.coalesce("c", F.lit(0))
-    sums = met.groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("tail_known"),
-        F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(n + v + 1)))).alias("tail_base"),
-    )
-    extra = F.coalesce("tail_base", F.lit(0.0))
-    return found.join(sums, "row", "left").select(
+    found = rows.mapInArrow(partial, f"id {kind}, held boolean, n_tokens long, n_known long, base double, score double, keys array<long>, times array<long>")
+    if cold is None:
+        found = found.drop("keys", "times")
+        more = found.withColumns({"known_more": F.lit(0), "base_more": F.lit(0.0), "score_more": F.lit(0.0)})
+    else:
+        found = scratch.cut(found.select(F.monotonically_increasing_id().alias("row"), "*"), "suffix-tree-scores")
+        asked = found.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), "x.times")
+        sums = asked.join(cold, "key").groupBy("row").agg(
+            F.sum(F.when(F.col("token"), F.col("times")).otherwise(0)).alias("known_more"),
+            F.sum(F.when(F.col("token"), F.col("times") * F.col("value")).otherwise(0.0)).alias("base_more"),
+            F.sum(F.col("times") * F.col("value")).alias("score_more"),
+        )
+        more = found.drop("keys", "times").join(sums, "row", "left")
+    or_0 = lambda c: F.coalesce(c, F.lit(0))
+    out = more.select(
         F.col("id").alias(id_col),
         F.col("held").alias("held_out"),
         "n_tokens",
-        (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + or_0("known_more")).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        F.round(F.col("base") + extra, 6).alias("base_score"),
-        F.round(F.col("score") + extra, 6).alias("score"),
+        F.round(F.col("base") + or_0("base_more"), 6).alias("base_score"),
+        F.round(F.col("score") + or_0("score_more"), 6).alias("score"),
     )
+    return scratch.last(out, "suffix-tree-out")

@@ -343,11 +343,9 @@ def test_gradients():
 # --- 3: suffix tree
 
 
-def brute_tree(texts, n, v, c, share, context, divergence, depth):
+def brute_tree(texts, n, v, c, least_pair, least_context, divergence, depth):
     """The same tree by dictionaries: state (tokens, oldest first) to held successor counts, spread, total."""
-    floor, states = max(1, math.ceil(n * share)), {}
-    held = {t for t in c if c[t] >= floor}
-    p0 = lambda t: (c[t] + 1) / (n + v + 1)
+    states = {}
     follow = defaultdict(Counter)
     for t in texts:
         seq = [b"", *t, b""]
@@ -358,48 +356,41 @@ def brute_tree(texts, n, v, c, share, context, divergence, depth):
 
     def prob(state, t):
         if not state:
-            return p0(t)
+            return (c[t] + 1) / (n + v + 1)
         counts, spread, total = states[state]
         return (counts.get(t, 0) + spread * prob(state[1:], t)) / total
 
-    candidates = [(t,) for t in held if c[t] >= n * context]
+    candidates = [(t,) for t in c if c[t] >= least_context]
     for _ in range(depth):
         new = {}
         for s in candidates:
             f = follow[s]
-            merged = Counter()
-            for t, k in f.items():
-                merged[t if t in held else None] += k
-            if not merged:
+            if not f:
                 continue
-            size, kinds = sum(merged.values()), len(merged)
-            keep = {t: k for t, k in merged.items() if t is not None and k >= floor}
+            size, kinds = sum(f.values()), len(f)
+            keep = {t: k for t, k in f.items() if k >= least_pair}
             spread = size - sum(keep.values()) + kinds
-            total = sum(keep.values()) + spread
+            total = size + kinds
             gain = sum(k * math.log(((k + spread * prob(s[1:], t)) / total) / prob(s[1:], t)) for t, k in keep.items()) + (size - sum(keep.values())) * math.log(spread / total)
             if gain >= divergence:
                 new[s] = keep, spread, total
         states |= new
-        longer = []
-        for s in candidates:
-            for t, k in follow[s].items():
-                if t in held and k >= floor and k >= n * context and (*s, t)[1:] in new:
-                    longer.append((*s, t))
-        candidates = longer
+        candidates = [(*s, t) for s in candidates for t, k in follow[s].items() if k >= least_context and (*s, t)[1:] in new]
     return states, prob
 
 
-@pytest.mark.parametrize(("share", "context", "divergence"), [(1e-6, 1e-5, 12.0), (2e-3, 2e-3, 2.0), (1e-3, 1e-3, 0.5)])
-def test_suffix_tree_against_brute_force(spark, odd, share, context, divergence):
-    got = sorted(suffix_tree.score(odd, least_share=share, least_context=context, divergence=divergence, depth=3).collect(), key=str)
+@pytest.mark.parametrize(("pair", "context", "divergence", "hot"), [(3, 128, 12.0, 1 << 20), (2, 5, 2.0, 1 << 20), (1, 3, 0.5, 12), (2, 4, 1.0, 0)])
+def test_suffix_tree_against_brute_force(spark, odd, monkeypatch, pair, context, divergence, hot):
+    monkeypatch.setattr(suffix_tree, "HOT", hot)
+    got = suffix_tree.score(odd, least_pair=pair, least_context=context, divergence=divergence, depth=3).collect()
     rows = odd.select("doc_id", "text").collect()
     words = lambda t: (t or "").encode().lower().split()
     out = lambda d: d is None or zlib.crc32(str(d).encode()) % 7 == 2
     train = [words(r.text) for r in rows if not out(r.doc_id)]
     c = Counter(w for t in train for w in [*t, b""])
     n, v = sum(c.values()), len(c)
-    states, prob = brute_tree(train, n, v, c, share, context, divergence, 3)
-    assert states
+    states, prob = brute_tree(train, n, v, c, pair, context, divergence, 3)
+    assert states and (context > 100 or max(map(len, states)) == 3)
     want = []
     for r in rows:
         seq = [b"", *words(r.text), b""]
@@ -414,6 +405,15 @@ def test_suffix_tree_against_brute_force(spark, odd, share, context, divergence)
         assert g.base_score == pytest.approx(w[5], abs=1e-5) and g.score == pytest.approx(w[6], abs=1e-5)
 
 
+def test_hashes_are_those_of_spark(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(-(2**63), 2**63 - 1, (2, 50))
+    df = spark.createDataFrame([(int(x), int(y), f"w{x}é".encode()) for x, y in zip(a, b, strict=True)], "a long, b long, t binary")
+    got = df.select(F.xxhash64("a", "b").alias("h"), F.xxhash64("t").alias("t")).collect()
+    assert [r.h for r in got] == suffix_tree.mix(a, b).tolist()
+    assert [r.t % 2**64 for r in got] == [xxhash.xxh64_intdigest(f"w{x}é".encode(), 42) for x in a]
+
+
 def test_suffix_tree_empty(spark, odd):
     assert suffix_tree.score(odd.limit(0)).count() == 0
     alone = suffix_tree.score(odd.where("doc_id is null")).first()
