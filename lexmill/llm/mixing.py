@@ -132,14 +132,24 @@ def mix(
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken, with its columns unchanged."""
-    taken = mix(docs, id_col, text_col, source_col, **options)
-    # Rows that share id, source and size are told apart by their place among them.
+    """The mix itself: the rows of ``docs``, each as often as it is taken, with its columns unchanged.
+
+    All is decided on keys; texts meet the decision in one shuffle. Rows that share id, source and size share their copies
+    by the hash of their texts, so which text has one more does not depend on the order of rows. Equal texts are numbered
+    task by task, so that a text that a third of all rows have is no hot key.
+    """
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    left = docs.withColumn("__size", size)
-    left = left.withColumn("__nth", F.row_number().over(Window.partitionBy(id_col, source_col, "__size").orderBy(F.xxhash64(text_col))))
-    at = F.row_number().over(Window.partitionBy(id_col, source_col, "size").orderBy(F.desc("copies")))
-    right = taken.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__of"), F.col("copies").alias("__copies"), at.alias("__at"))
-    on = left[id_col].eqNullSafe(F.col("__id")) & left[source_col].eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__of")) & (F.col("__nth") == F.col("__at"))
-    met = left.join(right.where("__copies > 0"), on)
-    return met.withColumn("__copy", F.explode(F.expr("sequence(1l, __copies)"))).select(*[docs[c] for c in docs.columns])
+    rows = cut(docs.withColumns({"__size": size, "__row": F.monotonically_increasing_id()}), "mixing-rows")
+    items = copies(rows, id_col, text_col, source_col, **({"weights": (1, 2, 3), "cap": 3, "seed": 11, "fan": 64} | options))
+    items = items.groupBy("id", "source", "size").agg(F.sum("m").alias("m"), F.sum("copies").alias("copies"))
+    key = F.xxhash64(F.col(id_col).isNull(), id_col, F.col(source_col).isNull(), source_col, "__size")
+    told = rows.select("__row", key.alias("key"), F.xxhash64(text_col).alias("hash"), F.shiftright("__row", 33).alias("part"))
+    counts = told.groupBy("key", "hash", "part").agg(F.count("*").alias("k"))
+    before = F.sum("k").over(Window.partitionBy("key").orderBy("hash", "part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("key", "hash", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    item = items.select(F.xxhash64(F.col("id").isNull(), "id", F.col("source").isNull(), "source", "size").alias("key"), "m", "copies").where("copies > 0")
+    nth = F.row_number().over(Window.partitionBy("key", "hash", "part").orderBy("__row"))
+    own = F.floor(F.col("copies") / F.col("m")) + (F.col("before") + F.col("nth") <= F.col("copies") % F.col("m")).cast("long")
+    taken = told.withColumn("nth", nth).join(counts, ["key", "hash", "part"]).join(item, "key").select("__row", own.alias("__copies")).where("__copies > 0")
+    met = rows.join(taken, "__row")
+    return met.withColumn("__copy", F.explode(F.expr("sequence(1l, __copies)"))).select(*docs.columns)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import components, cut
+from lexmill.llm.common import Scratch, components
 
 #: Buckets up to this size are compared pair by pair inside one task; larger ones are linked through one-bit variants.
 BUCKET = 1024
@@ -87,15 +87,16 @@ def _local_roots(fps: np.ndarray, radius: int) -> np.ndarray:
         root = step
 
 
-def links(reps: DataFrame, radius: int = 2) -> DataFrame:
+def links(reps: DataFrame, radius: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) whose components are those of "at most radius bits"."""
+    scratch = scratch or Scratch()
     table_masks = masks(radius)
     rows = reps.select("fp", F.explode(F.array(*[
         F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(table_masks)
     ])).alias("x")).select("x.t", "x.key", "fp")
-    sizes = cut(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
+    sizes = scratch.cut(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
     # Rows of single-member buckets, the bulk, end here. Each member meets its bucket's size by a join, not a window.
-    shared = cut(rows.join(sizes, ["t", "key"]), "simhash-shared")
+    shared = scratch.cut(rows.join(sizes, ["t", "key"]), "simhash-shared")
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,20 +119,22 @@ def links(reps: DataFrame, radius: int = 2) -> DataFrame:
     flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1]) for m in table_masks])
     crowded = shared.where(F.col("n") > BUCKET).select("t", "fp", F.explode(F.element_at(flips, F.col("t") + 1)).alias("flip"))
     crowded = crowded.select("t", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
-    stars = cut(crowded.groupBy("t", "variant").agg(F.min("fp").alias("b"), F.count("*").alias("k")).where("k > 1").drop("k"), "simhash-stars")
+    stars = scratch.cut(crowded.groupBy("t", "variant").agg(F.min("fp").alias("b"), F.count("*").alias("k")).where("k > 1").drop("k"), "simhash-stars")
     star = crowded.join(stars, ["t", "variant"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
     return found.unionByName(star)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
     """One row per input row: (id_col, fingerprint hex, component_id: the smallest id reachable by links)."""
-    prints = cut(fingerprints(docs, id_col, text_col, width), "simhash-prints")
-    reps = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-reps")
-    roots = cut(components(links(reps, radius)).select(F.col("node").alias("fp"), "root"), "simhash-roots")
+    scratch = Scratch()
+    prints = scratch.cut(fingerprints(docs, id_col, text_col, width), "simhash-prints")
+    reps = scratch.cut(prints.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-reps")
+    roots = scratch.cut(components(links(reps, radius, scratch)).select(F.col("node").alias("fp"), "root"), "simhash-roots")
     moved = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()).join(reps, "fp")
-    least = cut(moved.groupBy("root").agg(F.min("rep").alias("least")), "simhash-least")
+    least = scratch.cut(moved.groupBy("root").agg(F.min("rep").alias("least")), "simhash-least")
     named = roots.unionByName(least.select(F.col("root").alias("fp"), "root")).join(least, "root").select("fp", "least")
-    classes = cut(reps.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "simhash-classes")
-    return prints.join(classes, "fp").select(
+    classes = scratch.cut(reps.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "simhash-classes")
+    out = prints.join(classes, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+    return scratch.last(out, "simhash-out")
