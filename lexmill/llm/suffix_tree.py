@@ -40,6 +40,8 @@ HELD = 1_000_000
 #: Entries that every task holds, and 64-bit words of the sieve for the others.
 HOT = 1 << 20
 SIEVE = 1 << 20
+#: Parts of a context's successors that are summed apart.
+LANES = 64
 SEED = 42
 #: Told apart: a token's entry, and that of a context and token, from that of a context of the same hash.
 TOKEN, GAIN = 0x5851F42D4C957F2D, 0x14057B7EF767814F
@@ -55,7 +57,7 @@ def held_out(id_col: str) -> Column:
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
-    """(token, c) of a one-column table of binary texts."""
+    """(token, c) of a one-column table of binary texts; tokens by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -70,9 +72,10 @@ def token_counts(texts: DataFrame) -> DataFrame:
             yield _pairs(counts)
 
     def _pairs(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "c"])
+        hashes = np.array([xxhash.xxh64_intdigest(t, SEED) for t in counts], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(list(counts.values()), pa.int64())], ["token", "c"])
 
-    return texts.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -204,8 +207,13 @@ def successor_counts(texts: DataFrame, levels: list[Known]) -> DataFrame:
 
     def merged(parts: list[tuple]) -> tuple:
         s, nxt, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        _, at, of = np.unique(mix(s, nxt), return_index=True, return_inverse=True)
-        return s[at], nxt[at], np.bincount(of, c, len(at)).astype(np.int64)
+        # By half of the context's hash, then half of the pair's. Pairs that agree in both halves may be told twice.
+        order = np.argsort((s & -(1 << 32)) | (mix(s, nxt) & ((1 << 32) - 1)))
+        s, nxt, c = s[order], nxt[order], c[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (nxt[1:] != nxt[:-1])
+        at = np.flatnonzero(new)
+        return s[at], nxt[at], np.add.reduceat(c, at) if len(at) else c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, held, size = Vocabulary(), [], 0
@@ -231,7 +239,9 @@ def successor_counts(texts: DataFrame, levels: list[Known]) -> DataFrame:
         if held:
             yield rows(merged(held))
 
-    return texts.mapInArrow(run, "s long, next long, c long").groupBy("s", "next").agg(F.sum("c").alias("c"))
+    # Tasks have summed already. Rows of a context stay together, which compresses them, in LANES parts of it.
+    rows = texts.mapInArrow(run, "s long, next long, c long").withColumn("lane", F.pmod("next", F.lit(LANES))).repartition("s", "lane")
+    return rows.groupBy("s", "lane", "next").agg(F.sum("c").alias("c")).drop("lane")
 
 
 def fit(
@@ -242,7 +252,7 @@ def fit(
     A token's value is what its log10 probability has beyond that of a token never met; weight is the entry's count.
     """
     never = -math.log10(n + v + 1)
-    unigrams = counts.select(F.xxhash64("token").alias("next"), F.col("c").alias("times"), F.log10(F.col("c") + 1).alias("lp"))
+    unigrams = counts.select(F.col("token").alias("next"), F.col("c").alias("times"), F.log10(F.col("c") + 1).alias("lp"))
     unigrams = scratch.cut(unigrams, "suffix-tree-tokens")
     model = unigrams.select(F.col("next").bitwiseXOR(F.lit(TOKEN)).alias("key"), F.col("lp").alias("value"), F.col("times").alias("weight"), F.lit(True).alias("token"))
     # By context: its tokens' hashes, the newest first, and the sum of its suffixes' log10 b.
@@ -298,7 +308,7 @@ def _gain_key(state: Column, token: Column) -> Column:
 
 def score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2,
-    least_pair: int = 3, least_context: int = 128, divergence: float = 12.0, held: Column | None = None,
+    least_pair: int = 10, least_context: int = 128, divergence: float = 12.0, held: Column | None = None,
 ) -> DataFrame:
     """One row per input row: (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     scratch = Scratch()
@@ -323,15 +333,19 @@ def score(
                 h = vocabulary.hashes[ids]
                 starts, text = np.unique(first, return_inverse=True)
                 scored = np.arange(len(ids)) != first
-                distinct, of = np.unique(ids, return_inverse=True)
-                value, sure, may = (x[of] for x in table.get(vocabulary.hashes[distinct] ^ TOKEN))
+                used = np.zeros(len(vocabulary.hashes), bool)
+                used[ids] = True
+                place = np.cumsum(used) - 1
+                distinct, of = vocabulary.hashes[used], place[ids]
+                value, sure, may = (x[of] for x in table.get(distinct ^ TOKEN))
+                single = table.get(distinct)
                 base = np.where(scored, value + never, 0.0)
                 asked = [(text[may & scored], h[may & scored] ^ TOKEN)]
                 total = base.copy()
                 at, state = np.flatnonzero(scored), np.empty(0, np.int64)
                 for k in range(1, depth + 1):
                     at, state = longer(state, at, h, first, k)
-                    value, there, maybe = table.get(state)
+                    value, there, maybe = (x[of[at - 1]] for x in single) if k == 1 else table.get(state)
                     total[at] += value
                     asked.append((text[at[maybe]], state[maybe]))
                     at, state = at[there | maybe], state[there | maybe]
