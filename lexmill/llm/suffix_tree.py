@@ -40,8 +40,8 @@ HELD = 1_000_000
 #: Entries that every task holds, and 64-bit words of the sieve for the others.
 HOT = 1 << 20
 SIEVE = 1 << 20
-#: Parts of a context's successors that are summed apart.
-LANES = 64
+#: A context that occurs more often has its successors summed in parts of about so many occurrences.
+LANE = 1 << 20
 SEED = 42
 #: Told apart: a token's entry, and that of a context and token, from that of a context of the same hash.
 TOKEN, GAIN = 0x5851F42D4C957F2D, 0x14057B7EF767814F
@@ -206,18 +206,18 @@ def successor_counts(texts: DataFrame, levels: list[Known]) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(levels)
 
     def merged(parts: list[tuple]) -> tuple:
-        s, nxt, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        s, lane, nxt, c = (np.concatenate(x) for x in zip(*parts, strict=True))
         # By half of the context's hash, then half of the pair's. Pairs that agree in both halves may be told twice.
         order = np.argsort((s & -(1 << 32)) | (mix(s, nxt) & ((1 << 32) - 1)))
-        s, nxt, c = s[order], nxt[order], c[order]
+        s, lane, nxt, c = s[order], lane[order], nxt[order], c[order]
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (nxt[1:] != nxt[:-1])
         at = np.flatnonzero(new)
-        return s[at], nxt[at], np.add.reduceat(c, at) if len(at) else c
+        return s[at], lane[at], nxt[at], np.add.reduceat(c, at) if len(at) else c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, held, size = Vocabulary(), [], 0
-        rows = lambda p: pa.RecordBatch.from_arrays([pa.array(x) for x in p], ["s", "next", "c"])
+        rows = lambda p: pa.RecordBatch.from_arrays([pa.array(x) for x in p], ["s", "lane", "next", "c"])
         for batch in batches:
             for chunk in _chunks(batch.column(0).to_pylist()):
                 ids, first = vocabulary.read(chunk)
@@ -226,9 +226,11 @@ def successor_counts(texts: DataFrame, levels: list[Known]) -> DataFrame:
                 state = np.empty(0, np.int64)
                 for k, level in enumerate(shared.value, 1):
                     at, state = longer(state, at, h, first, k)
-                    _, sure, may = level.get(state)
-                    at, state = at[sure | may], state[sure | may]
-                held.append(merged([(state, h[at], np.ones(len(at), np.int64))]))
+                    lanes, sure, may = level.get(state)
+                    at, state, lanes = at[sure | may], state[sure | may], lanes[sure | may]
+                # Lanes follow the table of contexts, so every task deals alike; what only passes the sieve is rare.
+                lane = h[at] % np.maximum(lanes, 1).astype(np.int64)
+                held.append(merged([(state, lane, h[at], np.ones(len(at), np.int64))]))
                 size += len(held[-1][0])
                 if size > 2 * HELD:
                     held = [merged(held)]
@@ -239,8 +241,8 @@ def successor_counts(texts: DataFrame, levels: list[Known]) -> DataFrame:
         if held:
             yield rows(merged(held))
 
-    # Tasks have summed already. Rows of a context stay together, which compresses them, in LANES parts of it.
-    rows = texts.mapInArrow(run, "s long, next long, c long").withColumn("lane", F.pmod("next", F.lit(LANES))).repartition("s", "lane")
+    # Tasks have summed already. Rows of a context stay together, which compresses them, but for frequent contexts.
+    rows = texts.mapInArrow(run, "s long, lane long, next long, c long").repartition("s", "lane")
     return rows.groupBy("s", "lane", "next").agg(F.sum("c").alias("c")).drop("lane")
 
 
@@ -263,7 +265,7 @@ def fit(
         contexts = scratch.cut(contexts, "suffix-tree-contexts")
         if contexts.isEmpty():
             break
-        levels.append(known(contexts.select(F.col("s").alias("key"), F.lit(0.0).alias("value"), F.col("n").alias("weight")))[0])
+        levels.append(known(contexts.select(F.col("s").alias("key"), F.ceil(F.col("n") / LANE).cast("double").alias("value"), F.col("n").alias("weight")))[0])
         pairs = scratch.cut(successor_counts(texts, levels), "suffix-tree-pairs")
         held = F.col("c") >= least_pair
         sums = pairs.groupBy("s").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), F.coalesce(F.sum(F.when(held, F.col("c"))), F.lit(0)).alias("held"))

@@ -382,6 +382,7 @@ def brute_tree(texts, n, v, c, least_pair, least_context, divergence, depth):
 @pytest.mark.parametrize(("pair", "context", "divergence", "hot"), [(3, 128, 12.0, 1 << 20), (2, 5, 2.0, 1 << 20), (1, 3, 0.5, 12), (2, 4, 1.0, 0)])
 def test_suffix_tree_against_brute_force(spark, odd, monkeypatch, pair, context, divergence, hot):
     monkeypatch.setattr(suffix_tree, "HOT", hot)
+    monkeypatch.setattr(suffix_tree, "LANE", 7 if hot else 1 << 20)
     got = suffix_tree.score(odd, least_pair=pair, least_context=context, divergence=divergence, depth=3).collect()
     rows = odd.select("doc_id", "text").collect()
     words = lambda t: (t or "").encode().lower().split()
