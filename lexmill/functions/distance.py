@@ -98,8 +98,8 @@ def character_error_rate(reference: Column, hypothesis: Column) -> Column:
     return F.when(n == 0, F.when(F.length(hypothesis) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(reference, hypothesis) / n)
 
 
-def error_category(reference: Column, hypothesis: Column) -> Column:
-    """How a hypothesis differs from its reference, of scoring forms: the first rule that holds."""
+def error_category(reference: Column, hypothesis: Column, ratio: Column) -> Column:
+    """How a hypothesis differs from its reference, of scoring forms: the first rule that holds. ratio: of matching blocks."""
     r, h = T.tokens(reference), T.tokens(hypothesis)
     differing = F.size(F.filter(F.zip_with(r, h, lambda x, y: x != y), lambda d: d))
     return (
@@ -109,6 +109,6 @@ def error_category(reference: Column, hypothesis: Column) -> Column:
         .when((F.size(h) > F.size(r)) & is_subsequence(r, h), "insertion")
         .when((F.size(h) < F.size(r)) & is_subsequence(h, r), "deletion")
         .when((F.size(h) == F.size(r)) & (differing == 1), "substitution")
-        .when(indel_ratio(reference, hypothesis) >= 0.45, "partial")
+        .when(ratio >= 0.45, "partial_match")
         .otherwise("unrelated")
     )

@@ -61,7 +61,7 @@ def word_error(expected: Column, actual: Column, phones: Column) -> Column:
     """The kind of a single word's error from its comparison: the first rule that holds."""
     n, m = F.length(expected), F.length(actual)
     return (
-        F.when(actual == "", "no_response")
+        F.when(actual == "", "blank")
         .when(expected == actual, "correct")
         .when(~phones["initial"] & phones["final"], "initial_sound_error")
         .when(phones["initial"] & ~phones["final"], "final_sound_error")
@@ -72,16 +72,30 @@ def word_error(expected: Column, actual: Column, phones: Column) -> Column:
     )
 
 
-#: What each error asks to practise, and what a learner is told.
-SKILLS = {
-    "initial_sound_error": "initial_sounds", "final_sound_error": "final_sounds", "vowel_error": "short_vowels",
-    "omission": "blending", "insertion": "blending", "substitution": "decoding", "no_response": "confidence", "correct": "mastery",
-}
+#: Of each kind of error the hint's key, the coach's hint, what the learner is told, and the action.
 FEEDBACK = {
-    "initial_sound_error": "Look at the first sound.", "final_sound_error": "Listen to the last sound.", "vowel_error": "Check the middle sound.",
-    "omission": "Say every sound.", "insertion": "Say only the sounds you see.", "substitution": "Try the word again.",
-    "no_response": "Have a try.", "correct": "Well read!",
-}
+    "correct": ("praise_continue", "praise_continue", "Good reading. Keep going.", "continue"),
+    "accepted_variant": ("praise_continue", "praise_continue", "Good reading. Keep going.", "continue"),
+    "blank": ("try_answer_first", "try_answer_first", "Try saying the answer first.", "retry"),
+    "initial_sound_error": ("beginning_sound", "listen_to_first_sound", "Listen to the first sound and try again.", "retry"),
+    "final_sound_error": ("ending_sound", "listen_to_final_sound", "Listen to the ending sound and try again.", "retry"),
+    "vowel_error": ("middle_sound", "listen_to_middle_sound", "Listen to the middle sound and try again.", "retry"),
+    "consonant_error": ("consonant_sound", "listen_to_consonant_sound", "Listen to the consonant sounds and try again.", "retry"),
+    "skipped_word": ("read_each_word", "read_each_word", "Read each word carefully.", "retry"),
+    "partial_sentence": ("read_whole_sentence", "read_whole_sentence", "Try reading the whole sentence.", "retry"),
+    "word_order_error": ("word_order", "read_in_order", "Read the words in order.", "retry"),
+    "far_answer": ("listen_again", "listen_again", "Listen again and try once more.", "retry"),
+    "unclear_asr": ("try_recording_again", "try_recording_again", "Try recording again clearly.", "retry"),
+    "incorrect_general": ("try_again_slowly", "try_again_slowly", "Try again slowly.", "retry"),
+}
+
+
+def feedback(error: Column) -> Column:
+    """struct(hint, coach, summary, action) for a kind of error; kinds without their own get the general one."""
+    names = ("hint", "coach", "summary", "action")
+    entry = lambda values: F.struct(*[F.lit(v).alias(n) for v, n in zip(values, names, strict=True)])
+    table = F.create_map(*[x for k, v in FEEDBACK.items() for x in (F.lit(k), entry(v))])
+    return F.coalesce(F.element_at(table, error), entry(FEEDBACK["incorrect_general"]))
 
 
 def looked_up(table: dict[str, str], key: Column, default: str) -> Column:

@@ -140,7 +140,14 @@ def accepted_answers(c: Column | str) -> Column:
 
 
 def truthy(c: Column | str, default: bool = False) -> Column:
-    return F.coalesce(F.lower(F.trim(_col(c).cast("string"))).isin("1", "true", "yes", "y", "active"), F.lit(default))
+    said = F.nullif(F.lower(F.trim(_col(c).cast("string"))), F.lit(""))
+    return F.coalesce(said.isin("1", "true", "yes", "y", "active"), F.lit(default))
+
+
+def not_denied(c: Column | str, default: bool = True) -> Column:
+    """False for a word of denial only."""
+    said = F.nullif(F.lower(F.trim(_col(c).cast("string"))), F.lit(""))
+    return F.coalesce(~said.isin("0", "false", "no", "inactive"), F.lit(default))
 
 
 def number(c: Column | str) -> Column:

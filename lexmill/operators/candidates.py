@@ -8,8 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as T
+
 #: What each agreement adds, and what its absence takes.
-WEIGHTS = {"focus": (4, 0), "skill": (3, 0), "difficulty": (2, 0), "active": (3, -10), "review": (-5, 0), "fresh": (2, -4), "module": (1, 0), "mastery": (-3, 0)}
+WEIGHTS = {
+    "focus": (4, 0), "skill": (3, 0), "phoneme": (2, 0), "position": (1, 0), "difficulty": (2, 0), "active": (3, -10), "review": (-5, 0), "fresh": (2, -4),
+    "module": (1, 0), "activity": (1, 0), "mastery": (-3, 0),
+}
 
 
 def score(terms: dict[str, Column], weights: dict[str, tuple[int, int]] = WEIGHTS) -> Column:
@@ -20,6 +25,16 @@ def score(terms: dict[str, Column], weights: dict[str, tuple[int, int]] = WEIGHT
     return total
 
 
+def with_defaults(items: DataFrame) -> DataFrame:
+    """Items with what they leave open: active, without review, easy, and the skill as the focus."""
+    have = lambda c, kind: F.col(c) if c in items.columns else F.lit(None).cast(kind)
+    return items.withColumns({
+        "is_active": T.truthy(have("is_active", "string"), True), "needs_manual_review": T.truthy(have("needs_manual_review", "string"), False),
+        "difficulty_level": F.coalesce(F.nullif(have("difficulty_level", "string"), F.lit("")), F.lit("easy")),
+        "error_focus": F.coalesce(F.nullif(have("error_focus", "string"), F.lit("")), have("skill_signal", "string")),
+    })
+
+
 def reasons(terms: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(holds, name) for name, holds in terms.items()]))
 

@@ -14,21 +14,48 @@ from lexmill.functions import text as T
 
 #: How the letters' names are heard.
 SPOKEN = {
-    "a": "a ay aye ai ey", "b": "b bee be bi by bii", "c": "c see sea si cy sii s", "d": "d dee de di dy dii", "e": "e ee i ii yi", "f": "f ef eff",
-    "g": "g gee jee gi gy gii j", "h": "h aitch haitch age each", "i": "i eye ai ay", "j": "j jay jai jey", "k": "k kay kei key", "l": "l el ell elle",
-    "m": "m em emm", "n": "n en enn", "o": "o oh owe", "p": "p pee pi py pii", "q": "q cue queue kyoo kyu", "r": "r are ar", "s": "s ess es",
-    "t": "t tee tea ti ty tii", "u": "u you yu yoo", "v": "v vee vi vy vii", "w": "w doubleyou doubleu dubya", "x": "x ex axe eks", "y": "y why wai wy",
-    "z": "z zee zed zi zii zih zy zey ze zhee they the see",
-}
+    "a": ["a", "ay", "aye", "ai", "ey"],
+    "b": ["b", "bee", "be", "bi", "by", "bii"],
+    "c": ["c", "see", "sea", "si", "cy", "sii", "s"],
+    "d": ["d", "dee", "de", "di", "dy", "dii"],
+    "e": ["e", "ee", "i", "ii", "yi"],
+    "f": ["f", "ef", "eff"],
+    "g": ["g", "gee", "jee", "gi", "gy", "gii", "j"],
+    "h": ["h", "aitch", "haitch", "age", "each"],
+    "i": ["i", "eye", "ai", "ay"],
+    "j": ["j", "jay", "jai", "jey"],
+    "k": ["k", "kay", "kei", "key"],
+    "l": ["l", "el", "ell", "elle"],
+    "m": ["m", "em", "emm"],
+    "n": ["n", "en", "enn"],
+    "o": ["o", "oh", "owe"],
+    "p": ["p", "pee", "pi", "py", "pii"],
+    "q": ["q", "cue", "queue", "kyoo", "kyu"],
+    "r": ["r", "are", "ar"],
+    "s": ["s", "ess", "es"],
+    "t": ["t", "tee", "tea", "ti", "ty", "tii"],
+    "u": ["u", "you", "yu", "yoo"],
+    "v": ["v", "vee", "vi", "vy", "vii"],
+    "w": ["w", "doubleyou", "doubleu", "dubya"],
+    "x": ["x", "ex", "axe", "eks"],
+    "y": ["y", "why", "wai", "wy"],
+    "z": ["z", "zee", "zed", "zi", "zii", "zih", "zy", "zey", "ze", "zhee", "they", "the", "see"],
+}
 #: Forms that are no names of a letter, but are heard for it; and the ends that sound as in "bee".
-HEARD_AS = {"q": "ku"}
+HEARD_AS = {"q": ["ku"]}
 TAIL = "(?:ee|ii|ih|ey|e|i|y)$"
-#: Words that are heard for one another, by expected word; both directions where both are listed.
+#: What is heard for a letter or word, by what was expected; and scores other than KNOWN.
 CONFUSED = {
-    "ten": "then", "then": "ten", "thin": "tin", "tin": "thin", "red": "read", "read": "red", "tree": "three", "three": "tree", "to": "two too", "two": "to too", "too": "to two",
-    "see": "sea c", "sea": "see c", "bee": "be b", "be": "bee b", "there": "their theyre", "their": "there theyre", "right": "write", "write": "right", "hear": "here", "here": "hear",
-    "one": "won", "won": "one", "four": "for", "for": "four", "ate": "eight", "eight": "ate", "sun": "son", "son": "sun", "blue": "blew", "blew": "blue", "you": "u", "why": "y",
+    "z": ["they", "the", "see", "c"], "c": ["see", "sea"], "d": ["they"], "g": ["gee", "jee"], "v": ["they"], "x": ["ex", "axe"], "y": ["why"], "u": ["you"], "q": ["cue", "queue"],
+    "b": ["bee", "be"], "t": ["tea", "tee"], "ten": ["then"], "then": ["ten"], "thin": ["tin"], "tin": ["thin"], "red": ["read"], "read": ["red"], "tree": ["three"], "three": ["tree"],
+    "to": ["two", "too"], "two": ["to", "too"], "too": ["to", "two"], "see": ["sea", "c"], "sea": ["see", "c"], "bee": ["be", "b"], "be": ["bee", "b"], "there": ["their", "theyre"],
+    "their": ["there", "theyre"], "theyre": ["there", "their"], "they're": ["there", "their"], "right": ["write"], "write": ["right"], "hear": ["here"], "here": ["hear"],
+    "one": ["won"], "won": ["one"], "four": ["for"], "for": ["four"], "ate": ["eight"], "eight": ["ate"], "sun": ["son"], "son": ["sun"], "blue": ["blew"], "blew": ["blue"],
+    "i": ["eye"], "eye": ["i"], "you": ["u"], "why": ["y"],
 }
+CONFUSION_SCORES = {("d", "they"): 0.86, ("v", "they"): 0.86, ("z", "they"): 0.90, ("z", "the"): 0.86, ("z", "see"): 0.86, ("z", "c"): 0.85}
+#: Words that tell nothing by their sound; one is never another.
+FUNCTION_WORDS = ("a", "an", "the", "to", "of", "in", "on", "is", "it", "he", "she", "we")
 #: The sound that tells a letter from its pair, and where it stands (0 first, -1 last).
 CRITICAL = {"q": ("K", 0), "u": ("Y", 0), "c": ("S", 0), "z": ("Z", 0), "b": ("B", 0), "v": ("V", 0), "d": ("D", 0), "t": ("T", 0), "m": ("M", -1), "n": ("N", -1), "f": ("F", -1), "s": ("S", -1)}
 #: Thresholds of acceptance.
@@ -36,9 +63,9 @@ WORD, STRICT_WORD, LETTER, CONFUSION, LATTICE, DOUBT, DOUBTFUL = 0.88, 0.90, 0.8
 KNOWN = 0.95
 
 
-def _lists(table: dict[str, str], key: Column) -> Column:
+def _lists(table: dict[str, list[str]], key: Column) -> Column:
     """The listed forms of a key, none for an unknown one."""
-    m = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v.split())))])
+    m = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     return F.coalesce(F.element_at(m, key), F.array().cast("array<string>"))
 
 
@@ -112,7 +139,8 @@ def corrected(rows: DataFrame, learned: DataFrame | None = None, confidence: str
         .otherwise("rejected")
     )
     s = F.col("strategy")
-    score = F.when(s.isin("exact", "learned", "letter_name"), 1.0).when(s == "known_confusion", KNOWN).when(s == "critical_sound", F.least(best, F.lit(0.6))).when(s == "letter_lattice", F.col("lattice")).otherwise(best)
+    told = F.create_map(*[F.lit(x) for (e, r), v in CONFUSION_SCORES.items() for x in (f"{e} {r}", v)])
+    score = F.when(s.isin("exact", "learned", "letter_name"), 1.0).when(s == "known_confusion", F.coalesce(F.element_at(told, F.concat_ws(" ", "e", "r")), F.lit(KNOWN))).when(s == "critical_sound", F.least(best, F.lit(0.6))).when(s == "letter_lattice", F.col("lattice")).otherwise(best)
     threshold = F.when(s.isin("none", "left_as_heard"), 0.0).when(s == "known_confusion", F.when(letter, LETTER).otherwise(CONFUSION)).otherwise(need)
     accepted = s.isin("exact", "learned", "letter_name", "known_confusion", "letter_lattice", "sound")
     out = f.withColumn("strategy", strategy).withColumns({"accepted": accepted, "score": F.round(score, 6), "threshold": threshold})
@@ -133,3 +161,26 @@ def weighted(parts: dict[str, tuple[Column, float]]) -> Column:
     total = sum((F.when(v.isNotNull(), F.lit(w)).otherwise(0.0) for v, w in parts.values()), F.lit(0.0))
     value = sum((F.coalesce(v, F.lit(0.0)) * w for v, w in parts.values()), F.lit(0.0))
     return F.when(total > 0, F.round(value / total, 6)).otherwise(0.0)
+
+
+def unsafe_pair(expected: Column, raw: Column) -> Column:
+    """Two different function words, of scoring forms."""
+    return (expected != raw) & expected.isin(*FUNCTION_WORDS) & raw.isin(*FUNCTION_WORDS)
+
+
+def letter_code(token: Column) -> Column:
+    """A letter's name as it sounds: onset and ``#IY`` for the ends that sound as in "bee"; runs are cut to two."""
+    return _letter_code(F.regexp_replace(F.lower(token), "[^a-z]", ""))
+
+
+def composite(text: Column, sound: Column, lattice: Column, exact: Column, alias: Column, confused: Column, critical: Column) -> Column:
+    """The best of the scores, raised by what is known for certain; a critical sound adds 0.05, its absence holds at 0.60."""
+    best = F.greatest(text, sound, lattice)
+    raised = F.greatest(best, F.when(exact, 1.0).otherwise(0.0), F.when(alias, 0.98).otherwise(0.0), F.when(lattice >= LATTICE, 0.93).otherwise(0.0), F.when(confused, 0.90).otherwise(0.0))
+    return F.round(F.when(critical, F.least(F.lit(1.0), F.greatest(raised, F.lit(0.90)) + 0.05)).when(~critical, F.least(raised, F.lit(0.60))).otherwise(raised), 6)
+
+
+def support(expected: Column, raw: Column) -> Column:
+    """How far the transcript alone supports the expected text: one less the character error rate, of scoring forms."""
+    rate = F.when((expected == "") | (raw == ""), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - D.character_error_rate(expected, raw)))
+    return F.when((expected == "") & (raw == ""), 1.0).otherwise(F.round(rate, 6))

@@ -6,19 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import distance as D
+from lexmill.functions import kernels
 from lexmill.functions import text as T
 
 
 def scored(pairs: DataFrame, reference: str = "ref", hypothesis: str = "hyp") -> DataFrame:
-    """Adds the scoring forms r and h, wer, cer, exact, category and similarity of each pair."""
+    """Adds the scoring forms r and h, wer, cer, exact and similarity of each pair."""
     forms = pairs.withColumns({"r": T.for_scoring(reference), "h": T.for_scoring(hypothesis)})
     r, h = F.col("r"), F.col("h")
     return forms.withColumns({
         "wer": D.word_error_rate(r, h), "cer": D.character_error_rate(r, h), "exact": r == h,
-        "category": D.error_category(r, h), "percent": D.percent(r, h), "class": D.percent_class(r, h),
+        "percent": D.percent(r, h), "class": D.percent_class(r, h),
     })
 
 
+def categorised(pairs: DataFrame, key: str) -> DataFrame:
+    """``scored`` with category and ratio, that of the matching blocks of the scoring forms; key tells pairs apart."""
+    rows = scored(pairs)
+    found = kernels.over(rows.where("r <> '' and h <> ''"), key, kernels.block_ratio, "r", "h").withColumnRenamed("parts", "ratio")
+    return rows.join(found, key, "left").withColumn("category", D.error_category(F.col("r"), F.col("h"), F.col("ratio")))
+
+
 def macro_columns() -> list[Column]:
     """Means over pairs with a reference; pairs without one are counted and left out, blank hypotheses stay in."""
     real = F.col("r") != ""

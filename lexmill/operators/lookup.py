@@ -22,14 +22,14 @@ def missing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def band(rows: DataFrame, score: str, bands: DataFrame) -> DataFrame:
     """Adds the band whose inclusive limits hold the score; bands is a rule table of a handful of rows."""
-    return rows.join(F.broadcast(bands), F.col(score).between(F.col("least"), F.col("most")), "left")
+    return rows.join(bands, F.col(score).between(F.col("least"), F.col("most")), "left")
 
 
 def wildcard(rows: DataFrame, rules: DataFrame, exact: str, loose: str, any_: str = "ANY", key: str = "id") -> DataFrame:
     """The rule for (exact, loose), else the one for (exact, any). rules: exact, rule_<loose>, outcome."""
     specific = rules.select(exact, F.col(f"rule_{loose}").alias(loose), F.col("outcome").alias("own"))
     general = rules.where(F.col(f"rule_{loose}") == any_).select(exact, F.col("outcome").alias("fallback"))
-    met = rows.join(F.broadcast(specific), [exact, loose], "left").join(F.broadcast(general), exact, "left")
+    met = rows.join(specific, [exact, loose], "left").join(general, exact, "left")
     return met.withColumn("outcome", F.coalesce("own", "fallback")).drop("own", "fallback")
 
 

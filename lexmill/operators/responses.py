@@ -12,6 +12,7 @@ from lexmill.functions import distance as D
 from lexmill.functions import kernels
 from lexmill.functions import phonemes as P
 from lexmill.functions import text as T
+from lexmill.operators import remediation as R
 
 #: Least character similarity of each label, and that of texts of up to three letters.
 LABELS = (("very_close", 0.80), ("close", 0.60), ("somewhat_close", 0.40))
@@ -64,7 +65,7 @@ def sound_error(e: Column, a: Column, c: Column) -> Column:
 
 
 def analysed(rows: DataFrame, accepted: str | None = None) -> DataFrame:
-    """``matched`` with phones, their comparison, error kind and place, what to practise, and feedback, in one projection."""
+    """``matched`` with phones, their comparison, error kind and place, the focus of practice, and feedback, in one projection."""
     m = matched(rows, accepted)
     words = {"et": T.tokens("e"), "at": T.tokens("a")}
     phones = {f"{x}_phones": P.spelled(F.regexp_replace(x, "[^a-z]", "")) for x in ("e", "a")}
@@ -78,7 +79,7 @@ def analysed(rows: DataFrame, accepted: str | None = None) -> DataFrame:
     )
     out = m.withColumn("error", kind).withColumns({
         "place": F.element_at(F.create_map(*[F.lit(x) for p in PLACES.items() for x in p]), F.col("error")),
-        "practise": P.looked_up(P.SKILLS, F.col("error"), "decoding"), "feedback": P.looked_up(P.FEEDBACK, F.col("error"), "Keep going."),
+        "focus": R.focus(F.col("error"))["primary_focus"], "feedback": P.feedback(F.col("error")),
     })
     return out.drop("et", "at")
 

@@ -12,9 +12,27 @@ def draw(seed: int | str, *keys: Column | str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols]), 256)
 
 
+def placed(rows: DataFrame, d: Column, key: str, *within: str) -> DataFrame:
+    """Adds place, from 1, by a draw, ties by key; over all rows or within groups.
+
+    Draws are even, so their first four digits cut the rows into parts of like size: each is ranked by itself, after those
+    before it are counted. No task holds all rows, or all of a group.
+    """
+    parted = rows.withColumns({"__d": d, "__part": F.left(d, F.lit(4))})
+    sizes = parted.groupBy(*within, "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    nth = F.row_number().over(Window.partitionBy(*within, "__part").orderBy("__d", key))
+    ranked = parted.withColumn("__nth", nth)
+    on = ranked["__part"] == sizes["__part"]
+    for g in within:
+        on = on & ranked[g].eqNullSafe(sizes[g])
+    return ranked.join(sizes, on).select(*[ranked[c] for c in rows.columns], (F.col("__before") + F.col("__nth")).alias("place"))
+
+
 def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows by their draw: a bounded top-n, merged from each partition's own."""
-    return rows.orderBy(draw(seed, key), key).limit(n)
+    """n rows by their draw."""
+    return placed(rows, draw(seed, key), key).where(F.col("place") <= n).drop("place")
 
 
 def per_group(rows: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
@@ -29,17 +47,15 @@ def group_split(rows: DataFrame, group: str, seed: int, valid: float = 0.1, test
     n = names.count()
     cut = lambda share: max(1, round(n * share)) if n >= 3 else int(n * share)
     n_test, n_valid = cut(test), cut(valid)
-    ranked = names.withColumn("d", draw(seed, group))
-    edges = ranked.orderBy("d", group).limit(n_test + n_valid).withColumn("place", F.row_number().over(Window.orderBy("d", group)))
-    held = edges.select(group, F.when(F.col("place") <= n_test, "test").otherwise("valid").alias("split"))
-    return names.join(held, group, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    split = F.when(F.col("place") <= n_test, "test").when(F.col("place") <= n_test + n_valid, "valid").otherwise("train")
+    return placed(names, draw(seed, group), group).select(group, split.alias("split"))
 
 
 def stratified_holdout(rows: DataFrame, stratum: str, group: str, seed: int, share: float = 0.8) -> DataFrame:
     """(stratum, group, split) of groups, per stratum max(1, round(n (1 - share))) held out and one at least left."""
     names = rows.select(stratum, group).distinct()
     sizes = names.groupBy(stratum).agg(F.count("*").alias("n"))
-    ranked = names.withColumn("place", F.row_number().over(Window.partitionBy(stratum).orderBy(draw(seed, group), group))).join(sizes, stratum)
+    ranked = placed(names, draw(seed, group), group, stratum).join(sizes, stratum)
     out = F.least(F.greatest(F.lit(1), F.round(F.col("n") * (1 - share)).cast("int")), F.col("n") - 1)
     return ranked.select(stratum, group, F.when(F.col("place") <= out, "evaluation").otherwise("train").alias("split"))
 
@@ -50,7 +66,7 @@ def virtual_epoch(rows: DataFrame, key: str, target: int, seed: int) -> DataFram
     if not n:
         return rows.withColumn("cycle", F.lit(0)).limit(0)
     full, rest = divmod(target, n)
-    last = rows.orderBy(draw(seed, F.lit(full), key), key).limit(rest).withColumn("cycle", F.lit(full))
+    last = placed(rows, draw(seed, F.lit(full), key), key).where(F.col("place") <= rest).drop("place").withColumn("cycle", F.lit(full))
     if not full:
         return last
     whole = rows.withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(full - 1))))

@@ -78,9 +78,9 @@ def history_recent_prompts(spark, d):
 
 @R.add("""WITH learners AS (SELECT c_custkey AS learner, c_nationkey AS module, c_acctbal FROM customer),
     items AS (SELECT p_partkey AS item, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) AS module, p_size, p_type, p_name FROM part),
-    met AS (SELECT learner, item, p_type = 'PROMO' AS focus, starts_with(p_name, 'small') AS skill, (p_size <= 20) = (c_acctbal < 3000) AS difficulty, p_size < 45 AS active, p_size % 7 = 0 AS review, (learner + item) % 5 <> 0 AS fresh FROM learners JOIN items USING (module)),
-    s AS (SELECT learner, item, 1 + CASE WHEN focus THEN 4 ELSE 0 END + CASE WHEN skill THEN 3 ELSE 0 END + CASE WHEN difficulty THEN 2 ELSE 0 END + CASE WHEN active THEN 3 ELSE -10 END + CASE WHEN review THEN -5 ELSE 0 END + CASE WHEN fresh THEN 2 ELSE -4 END AS score,
-        array_to_string(list_filter([CASE WHEN focus THEN 'focus' END, CASE WHEN skill THEN 'skill' END, CASE WHEN difficulty THEN 'difficulty' END, CASE WHEN active THEN 'active' END, CASE WHEN review THEN 'review' END, CASE WHEN fresh THEN 'fresh' END, 'module'], lambda x: x IS NOT NULL), ',') AS reasons FROM met),
+    met AS (SELECT learner, item, p_type = 'PROMO' AS focus, starts_with(p_name, 'small') AS skill, (p_size <= 20) = (c_acctbal < 3000) AS difficulty, p_size < 45 AS active, p_size % 7 = 0 AS review, (learner + item) % 5 <> 0 AS fresh, (learner + p_size) % 6 = 0 AS phoneme, p_size % 4 = learner % 4 AS position, (learner + p_size) % 3 = 0 AS activity, p_size = 50 AS mastery FROM learners JOIN items USING (module)),
+    s AS (SELECT learner, item, 1 + CASE WHEN focus THEN 4 ELSE 0 END + CASE WHEN skill THEN 3 ELSE 0 END + CASE WHEN difficulty THEN 2 ELSE 0 END + CASE WHEN active THEN 3 ELSE -10 END + CASE WHEN review THEN -5 ELSE 0 END + CASE WHEN fresh THEN 2 ELSE -4 END + CASE WHEN phoneme THEN 2 ELSE 0 END + CASE WHEN position THEN 1 ELSE 0 END + CASE WHEN activity THEN 1 ELSE 0 END + CASE WHEN mastery THEN -3 ELSE 0 END AS score,
+        array_to_string(list_filter([CASE WHEN focus THEN 'focus' END, CASE WHEN skill THEN 'skill' END, CASE WHEN difficulty THEN 'difficulty' END, CASE WHEN active THEN 'active' END, CASE WHEN review THEN 'review' END, CASE WHEN fresh THEN 'fresh' END, 'module', CASE WHEN phoneme THEN 'phoneme' END, CASE WHEN position THEN 'position' END, CASE WHEN activity THEN 'activity' END, CASE WHEN mastery THEN 'mastery' END], lambda x: x IS NOT NULL), ',') AS reasons FROM met),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY learner ORDER BY score DESC, item) AS INTEGER) AS place FROM s)
     SELECT learner, item, score, reasons, place FROM r WHERE place <= 3""")
 def recommend_top_items(spark, d):
@@ -89,6 +89,7 @@ def recommend_top_items(spark, d):
     terms = {
         "focus": F.col("p_type") == "PROMO", "skill": F.col("p_name").startswith("small"), "difficulty": (F.col("p_size") <= 20) == (F.col("c_acctbal") < 3000),
         "active": F.col("p_size") < 45, "review": F.col("p_size") % 7 == 0, "fresh": (F.col("learner") + F.col("item")) % 5 != 0, "module": F.lit(True),
+        "phoneme": (F.col("learner") + F.col("p_size")) % 6 == 0, "position": F.col("p_size") % 4 == F.col("learner") % 4, "activity": (F.col("learner") + F.col("p_size")) % 3 == 0, "mastery": F.col("p_size") == 50,
     }
     got = C.recommended(learners, items, ["module"], "learner", "item", terms, 3)
     return got.select("learner", "item", "score", F.array_join("reasons", ",").alias("reasons"), "place")
@@ -101,7 +102,7 @@ def phones_compared(spark, d):
     p = pairs(spark, d).select("id", first(F.col("ref")).alias("expected"), first(F.col("hyp")).alias("actual"))
     p = p.withColumns({"e": P.spelled(F.col("expected")), "a": P.spelled(F.col("actual"))}).withColumn("c", P.compared(F.col("e"), F.col("a")))
     p = p.withColumn("error", P.word_error(F.col("expected"), F.col("actual"), F.col("c")))
-    return p.select("id", F.array_join("e", " ").alias("phones"), P.pattern(F.col("e")).alias("pattern"), "c.*", "error", P.looked_up(P.SKILLS, F.col("error"), "decoding").alias("practise"), P.looked_up(P.FEEDBACK, F.col("error"), "Keep going.").alias("feedback"))
+    return p.select("id", F.array_join("e", " ").alias("phones"), P.pattern(F.col("e")).alias("pattern"), "c.*", "error", P.feedback(F.col("error"))["summary"].alias("feedback"))
 
 
 SPELLED = "list_transform(regexp_extract_all(w, 'ch|sh|th|ph|wh|ee|ea|oo|ow|ay|ai|oy|oi|[a-z]'), lambda x: m[x])"
@@ -127,8 +128,9 @@ def _heard(spark, d):
     return c.select(F.col("c_custkey").alias("id"), expected.alias("expected"), pick(HEARD, F.col("c_nationkey") % 25).alias("raw"))
 
 
-SPOKEN = ", ".join(f"('{k}', '{x}')" for k, v in K.SPOKEN.items() for x in v.split())
-CONFUSED = ", ".join(f"('{k}', '{x}')" for k, v in K.CONFUSED.items() for x in v.split())
+#: Written apart from the operator's own tables: of what HEARD holds, the names of letters and the known confusions.
+SPOKEN = "('b', 'bee'), ('c', 'see'), ('z', 'zee'), ('z', 'they'), ('z', 'the'), ('z', 'see'), ('q', 'queue'), ('x', 'x'), ('w', 'doubleyou'), ('i', 'eye'), ('k', 'kay'), ('r', 'are'), ('o', 'oh'), ('j', 'jay')"
+CONFUSED = "('z', 'they'), ('z', 'the'), ('z', 'see'), ('c', 'see'), ('d', 'they'), ('v', 'they'), ('q', 'queue'), ('b', 'bee'), ('i', 'eye'), ('then', 'ten'), ('thin', 'tin'), ('three', 'tree'), ('blue', 'blew'), ('to', 'too'), ('read', 'red'), ('one', 'won'), ('sun', 'son')"
 
 
 @R.add(f"""WITH h AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 > 0 THEN chr(CAST(97 + c_custkey % 26 AS INTEGER)) ELSE ({WORDS})[CAST(c_custkey % 10 AS INTEGER) + 1] END AS expected, ({HEARD})[c_nationkey % 25 + 1] AS raw FROM customer),

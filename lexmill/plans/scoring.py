@@ -86,7 +86,7 @@ def pairs_similarity_class(spark, d):
 
 @R.add()
 def pairs_error_category(spark, d):
-    s = E.scored(pairs(spark, d))
+    s = E.categorised(pairs(spark, d), "id")
     return s.select("id", "category", F.round(D.indel_ratio(F.col("r"), F.col("h")), 6).alias("indel"), F.round(D.lenient_edits(D.letters(F.col("r")), D.letters(F.col("h"))), 6).alias("lenient"))
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def csv(spark: SparkSession, path: str, schema: StructType | str, **options) -> DataFrame:
-    """Quoted, multi-line CSV with a header; blank cells are null."""
-    return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"', **options)
+def csv(spark: SparkSession, path: str, schema: StructType | str, lines_in_cells: bool = True, **options) -> DataFrame:
+    """Quoted CSV with a header; blank cells are null. Where no cell holds a line end, say so: large files are then split."""
+    return spark.read.csv(path, schema=schema, header=True, multiLine=lines_in_cells, escape='"', **options)
 
 
 def jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

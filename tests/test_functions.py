@@ -56,7 +56,7 @@ def test_error_rates_and_categories(spark):
     rows = [("the cat", "the cat", 0.0, "exact"), ("the cat", "", 1.0, "blank_hypothesis"), ("", "dog", 1.0, "blank_reference"), ("", "", 0.0, "blank_reference"),
             ("the cat ran", "the cat", 1 / 3, "deletion"), ("the cat", "the big cat", 0.5, "insertion"), ("the cat", "the hat", 0.5, "substitution"), ("the cat sat", "zz qq ww", 1.0, "unrelated")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, r string, h string, w double, c string")
-    for r in df.select("*", D.word_error_rate(F.col("r"), F.col("h")).alias("wer"), D.error_category(F.col("r"), F.col("h")).alias("cat")).collect():
+    for r in df.select("*", D.word_error_rate(F.col("r"), F.col("h")).alias("wer"), D.error_category(F.col("r"), F.col("h"), D.indel_ratio(F.col("r"), F.col("h"))).alias("cat")).collect():
         assert r.wer == pytest.approx(r.w) and r.cat == r.c
 
 
@@ -74,7 +74,7 @@ def test_phones(spark):
     e, a = P.spelled(F.col("e")), P.spelled(F.col("a"))
     c = P.compared(e, a)
     got = df.withColumn("c", c).select("e", P.pattern(e).alias("p"), P.word_error(F.col("e"), F.col("a"), F.col("c")).alias("err")).collect()
-    assert [r.err for r in got] == ["initial_sound_error", "vowel_error", "final_sound_error", "no_response", "correct"]
+    assert [r.err for r in got] == ["initial_sound_error", "vowel_error", "final_sound_error", "blank", "correct"]
     assert got[0].p == "CVC"
 
 
