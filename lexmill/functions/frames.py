@@ -58,3 +58,38 @@ def top(scores: Column, n: int) -> Column:
     """Places, from 0, of the n highest scores; ties to the lower place."""
     placed = F.transform(scores, lambda x, i: F.struct((-x).alias("x"), i.alias("at")))
     return F.transform(F.slice(F.array_sort(placed), 1, n), lambda p: p["at"])
+
+
+def peak(wave: Column) -> Column:
+    return F.coalesce(F.array_max(F.transform(wave, lambda x: F.abs(x))), F.lit(0.0))
+
+
+def speech(voiced: Column, least: int) -> Column:
+    """struct(segments, frames, ratio) of an array of flags: runs of at least ``least`` voiced frames, and their share."""
+    marks = F.array_join(F.transform(voiced, lambda v: F.when(v, "1").otherwise("0")), "")
+    runs = F.regexp_extract_all(marks, F.lit(f"1{{{least},}}"), F.lit(0))
+    frames = F.aggregate(runs, F.lit(0), lambda a, r: a + F.length(r))
+    ratio = F.when(F.size(voiced) > 0, F.round(F.least(F.lit(1.0), frames / F.size(voiced)), 3)).otherwise(0.0)
+    return F.struct(F.size(runs).alias("segments"), frames.alias("frames"), ratio.alias("ratio"))
+
+
+def quality_flags(seconds: Column, level: Column, clipped_share: Column, segments: Column, ratio: Column, limits: dict[str, float]) -> Column:
+    """Warnings about a recording, in order; limits: shortest, longest, quiet, clipped, silent, spoken."""
+    rules = [
+        ("audio_too_short", seconds < limits["shortest"]), ("audio_too_long", seconds > limits["longest"]), ("no_speech_detected", segments == 0),
+        ("mostly_silent", (1 - ratio >= limits["silent"]) | (ratio < limits["spoken"])), ("low_volume", level < limits["quiet"]), ("clipped", clipped_share > limits["clipped"]),
+    ]
+    return F.array_compact(F.array(*[F.when(holds, name) for name, holds in rules]))
+
+
+def bad_for_fragments(warnings: Column, quality: Column, speech_seconds: Column) -> Column:
+    """Whether a recording is too poor to judge a fragment of a word by."""
+    flagged = F.exists(warnings, lambda w: w.isin("mostly_silent", "audio_too_short", "clipped"))
+    named = F.coalesce(F.lower(quality).isin("bad", "unusable", "mostly_silent", "too_short"), F.lit(False))
+    return flagged | named | F.coalesce(speech_seconds < 0.35, F.lit(False))
+
+
+def mean_of(values: Column) -> Column:
+    """Mean of those texts that are numbers, to three places; null if none is."""
+    found = F.filter(F.transform(values, lambda v: v.try_cast("double")), lambda v: v.isNotNull())
+    return F.when(F.size(found) > 0, F.round(total(found) / F.size(found), 3))

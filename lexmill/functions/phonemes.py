@@ -36,6 +36,15 @@ def pattern(phones: Column) -> Column:
     return F.array_join(F.transform(phones, lambda p: F.when(p.isin(*VOWELS), "V").otherwise("C")), "")
 
 
+def error_focus(text_words: Column, phones: Column) -> Column:
+    """What a text's sounds ask to watch: its word sequence if it has several words, else by the pattern; null without phones."""
+    p = pattern(phones)
+    return F.when(
+        F.size(phones) > 0,
+        F.when(text_words > 1, "word_sequence").when(p == "CVC", "vowel_sound").when(p.endswith("C"), "final_consonant").when(p.startswith("C"), "initial_consonant").when(p.contains("V"), "vowel_sound"),
+    )
+
+
 def similarity(a: Column, b: Column) -> Column:
     longest = F.greatest(F.size(a), F.size(b))
     return F.when(longest == 0, 1.0).otherwise(F.round(1 - edits(a, b) / longest, 6))

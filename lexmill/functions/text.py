@@ -172,3 +172,8 @@ def age_group(c: Column | str) -> Column:
 def speaker_type(c: Column | str) -> Column:
     g = age_group(c)
     return F.when(g == "teen", "child").otherwise(g)
+
+
+def header(c: Column | str) -> Column:
+    """A column's name as written in a header: trimmed, lower case, hyphens and blanks as underscores."""
+    return F.translate(F.lower(F.trim(F.coalesce(_col(c), F.lit("")))), "- ", "__")

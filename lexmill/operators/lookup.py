@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as T
+
 
 def first_match(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
     """Left join to the first right row of each key by order; row_status tells who found one."""
@@ -72,3 +74,19 @@ def overlay(base: DataFrame, top: DataFrame, key: str) -> DataFrame:
     shared = [c for c in base.columns if c in top.columns and c != key]
     met = base.join(top.select(key, *[F.col(c).alias(f"__{c}") for c in shared]), key, "left")
     return met.select(*[F.coalesce(f"__{c}", c).alias(c) if c in shared else F.col(c) for c in base.columns])
+
+
+def having(items: DataFrame, equal: dict[str, str], containing: dict[str, str]) -> DataFrame:
+    """Items whose columns equal, and whose texts contain in any case, what is asked for."""
+    for column, value in equal.items():
+        items = items.where(F.col(column) == value)
+    for column, part in containing.items():
+        items = items.where(F.contains(F.lower(column), F.lower(F.lit(part))))
+    return items
+
+
+def by_text(asked: DataFrame, asked_text: str, items: DataFrame, text: str, key: str) -> DataFrame:
+    """(form, the first item's columns) for every scoring form that is asked for and that an item has."""
+    forms = asked.select(T.for_scoring(asked_text).alias("form")).distinct()
+    first = items.withColumn("form", T.for_scoring(text)).groupBy("form").agg(F.min_by(F.struct(*items.columns), key).alias("x")).select("form", "x.*")
+    return forms.join(first, "form")

@@ -102,3 +102,47 @@ def children(parents: DataFrame, rows: DataFrame, key: str, parent: str, seq: st
 def rolled_up(rows: DataFrame, keys: list[str], size: str, text: str) -> DataFrame:
     """Counts, sizes and blanks by the keys, by each prefix of them, and over everything."""
     return rows.rollup(*keys).agg(F.count("*").alias("n"), F.sum(size).alias("total"), F.count_if(T.blank(text)).alias("blank"))
+
+
+def errors_and_warnings(rows: DataFrame, errors: list[tuple[str, Column]], warnings: list[tuple[str, Column]]) -> DataFrame:
+    """Adds errors and warnings, each the codes that hold in their order, and valid: no error."""
+    out = rows.withColumns({"errors": all_reasons(*errors), "warnings": all_reasons(*warnings)})
+    return out.withColumn("valid", F.size("errors") == 0)
+
+
+def usable(text: str, path: str, duration: str, least: float = 0.3, most: float = 30.0) -> Column:
+    """Whether a row can be trained on: a text and a path, and a duration within the limits where there is one."""
+    return ~T.blank(text) & ~T.blank(path) & within(duration, least, most)
+
+
+def normalisation_audit(rows: DataFrame, key: str, text: str, form: Column, examples: int = 5) -> DataFrame:
+    """One row: how many texts a normal form empties or changes, and the first examples of changes by key."""
+    made = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), form.alias("form"))
+    changed = F.coalesce(F.col("form") != F.col("text"), F.lit(False))
+    counts = made.agg(F.count("*").alias("rows"), F.count_if(F.coalesce(F.col("form"), F.lit("")) == "").alias("emptied"), F.count_if(changed).alias("changed"))
+    first = made.where(changed).orderBy("key").limit(examples).agg(F.sort_array(F.collect_list("key")).alias("examples"))
+    return counts.crossJoin(first)  # one row each
+
+
+def with_reference(rows: DataFrame, preferred: str, other: str) -> DataFrame:
+    """Adds reference and reference_column: the preferred column if any row of the table fills it, else the other."""
+    any_ = rows.agg(F.coalesce(F.bool_or(~T.blank(preferred)), F.lit(False)).alias("__any"))
+    met = rows.crossJoin(any_)  # one row
+    name = F.when(F.col("__any"), preferred).otherwise(other)
+    return met.withColumns({"reference": F.when(F.col("__any"), F.col(preferred)).otherwise(F.col(other)), "reference_column": name}).drop("__any")
+
+
+def split_summary(rows: DataFrame, split: str, audio: str, text: str, seconds: str) -> DataFrame:
+    """By split, and over all (split null): rows, hours, rows without audio, rows without text. Unknown splits train."""
+    known = F.when(F.col(split).isin("train", "validation", "test"), F.col(split)).otherwise("train")
+    length = F.coalesce(T.number(seconds), F.lit(0.0))
+    return rows.select(known.alias("split"), audio, text, length.alias("__s")).rollup("split").agg(
+        F.count("*").alias("rows"), F.round(F.sum("__s") / 3600, 6).alias("hours"), F.count_if(T.blank(audio)).alias("missing_audio"), F.count_if(T.blank(text)).alias("blank_text")
+    )
+
+
+def missing_rate(rows: DataFrame, path: str, existing: DataFrame) -> DataFrame:
+    """One row: the share of paths that no listed file has; existing: one column, path."""
+    have = existing.select(F.col(existing.columns[0]).alias(path), F.lit(True).alias("__there")).distinct()
+    met = rows.select(path).join(have, path, "left")
+    return met.agg(F.count("*").alias("rows"), F.count_if(F.col("__there").isNull()).alias("missing"), F.coalesce(F.round(F.avg(F.col("__there").isNull().cast("int")), 6), F.lit(0.0)).alias("rate"))

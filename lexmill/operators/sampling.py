@@ -119,3 +119,25 @@ def weighted_pair(a: DataFrame, b: DataFrame, key: str, weight_a: float, weight_
     whole = min(n_a / weight_a if weight_a else n_b, n_b / weight_b if weight_b else n_a)
     part = lambda rows, weight, name: sample(rows, key, int(whole * weight), seed).withColumn("source", F.lit(name))
     return part(a, weight_a, "a").unionByName(part(b, weight_b, "b"))
+
+
+def mix_plan(rows: DataFrame, source: str, keep: Column, ratios: dict[str, float], total: int) -> DataFrame:
+    """(source, raw, filtered, effective): rows by source, those that pass, and what the mix takes; the last source has the rest."""
+    names = list(ratios)
+    share = {n: round(total * r) for n, r in ratios.items()}
+    share[names[-1]] = total - sum(share[n] for n in names[:-1])
+    counts = rows.where(F.col(source).isin(names)).groupBy(source).agg(F.count("*").alias("raw"), F.count_if(keep).alias("filtered"))
+    table = rows.sparkSession.createDataFrame(list(share.items()), f"{source} string, effective long")
+    return table.join(counts, source, "left").select(source, F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("filtered", F.lit(0)).alias("filtered"), "effective")
+
+
+def mix_build(rows: DataFrame, source: str, key: str, keep: Column, ratios: dict[str, float], total: int, seed: int) -> DataFrame:
+    """The mix that ``mix_plan`` plans: of each source as many passes as it takes; place is the order of the whole by draw."""
+    kept = rows.where(keep)
+    effective = {r[source]: r["effective"] for r in mix_plan(rows, source, keep, ratios, total).collect()}
+    parts = [virtual_epoch(kept.where(F.col(source) == name), key, effective[name], seed) for name in ratios]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    tagged = whole.withColumn("__tag", F.concat_ws(":", key, "cycle"))
+    return placed(tagged, draw(seed, "__tag"), "__tag").drop("__tag")
