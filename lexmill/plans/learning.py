@@ -106,11 +106,15 @@ def phones_compared(spark, d):
 
 
 SPELLED = "list_transform(regexp_extract_all(w, 'ch|sh|th|ph|wh|ee|ea|oo|ow|ay|ai|oy|oi|[a-z]'), lambda x: m[x])"
-SOUND_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in (P.GROUPS | P.LETTERS).items()) + "}"
+#: Written apart from the functions' own tables.
+SOUND_MAP = """MAP {'ch': 'CH', 'sh': 'SH', 'th': 'TH', 'ph': 'F', 'wh': 'W', 'ee': 'IY', 'ea': 'IY', 'oo': 'UW', 'ow': 'AW', 'ay': 'EY', 'ai': 'EY', 'oy': 'OY', 'oi': 'OY',
+    'a': 'AE', 'b': 'B', 'c': 'K', 'd': 'D', 'e': 'EH', 'f': 'F', 'g': 'G', 'h': 'HH', 'i': 'IH', 'j': 'JH', 'k': 'K', 'l': 'L', 'm': 'M', 'n': 'N', 'o': 'AA', 'p': 'P', 'q': 'K', 'r': 'R', 's': 'S',
+    't': 'T', 'u': 'AH', 'v': 'V', 'w': 'W', 'x': 'K S', 'y': 'Y', 'z': 'Z'}"""
+IS_VOWEL = "x IN ('AA', 'AE', 'AH', 'AO', 'AW', 'AY', 'EH', 'ER', 'EY', 'IH', 'IY', 'OW', 'OY', 'UH', 'UW')"
 
 
 @R.add(f"""WITH ws AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), p AS (SELECT w, array_to_string({SPELLED}, ' ') AS phones FROM ws, (SELECT {SOUND_MAP} AS m))
-    SELECT w AS word, phones, array_to_string(list_transform(string_split(phones, ' '), lambda x: CASE WHEN x IN ({', '.join(f"'{v}'" for v in P.VOWELS)}) THEN 'V' ELSE 'C' END), '') AS pattern FROM p""")
+    SELECT w AS word, phones, array_to_string(list_transform(string_split(phones, ' '), lambda x: CASE WHEN {IS_VOWEL} THEN 'V' ELSE 'C' END), '') AS pattern FROM p""")
 def phones_spelled(spark, d):
     w = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct().withColumn("p", P.spelled(F.col("word")))
     return w.select("word", F.array_join("p", " ").alias("phones"), P.pattern(F.col("p")).alias("pattern"))
@@ -164,7 +168,11 @@ def content_difficulty(spark, d):
     return N.enriched(table(spark, d, "benchmark"), "text").select("item_id", "words", "difficulty", "level", "role")
 
 
-@R.add()
+@R.add(f"""WITH ws AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), p AS (SELECT w, array_to_string({SPELLED}, ' ') AS phones FROM ws, (SELECT {SOUND_MAP} AS m)),
+    q AS (SELECT *, string_split(phones, ' ') AS ps, array_to_string(list_transform(string_split(phones, ' '), lambda x: CASE WHEN {IS_VOWEL} THEN 'V' ELSE 'C' END), '') AS pattern, greatest(1, len(regexp_extract_all(w, '[aeiouy]+'))) AS syllables FROM p),
+    s AS (SELECT *, round((least(length(w) / 10.0::DOUBLE, 1.0) + least(len(ps) / 8.0::DOUBLE, 1.0) + least(syllables / 4.0::DOUBLE, 1.0) + CASE WHEN list_has_any(ps, ['CH', 'SH', 'TH', 'W', 'F', 'NG']) OR pattern LIKE '%CC%' THEN 0.2 ELSE 0 END::DOUBLE) / 4, 3) AS difficulty FROM q)
+    SELECT w AS word, 'word' AS kind, 1 AS words, CAST(syllables AS INTEGER) AS syllables, phones, pattern, difficulty, CASE WHEN difficulty <= 0.2 THEN 'very_easy' WHEN difficulty <= 0.4 THEN 'easy' WHEN difficulty <= 0.6 THEN 'medium' WHEN difficulty <= 0.8 THEN 'hard' ELSE 'very_hard' END AS level,
+        CASE WHEN difficulty <= 0.2 THEN 'warm_up' WHEN difficulty <= 0.6 THEN 'practice' ELSE 'challenge' END AS role FROM s""")
 def content_enriched_words(spark, d):
     w = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
     e = N.enriched(w, "word")

@@ -34,7 +34,9 @@ def text_noise_marks(spark, d):
     return p.select("page_id", (F.length("html") - F.length(bare)).cast("long").alias("marked"), F.size(F.regexp_extract_all("html", F.lit("<[^>]*>"), F.lit(0))).cast("long").alias("tags"))
 
 
-@R.add()
+#: The conversations hold no typographic quote and no character that composition changes; tests/test_functions.py has some.
+@R.add(r"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '\[[^\]]*\]|\([^)]*\)|<[^>]*>', ' ', 'g') AS x FROM conversations)
+    SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(x), '[^A-Za-z0-9''\s]', ' ', 'g'), '\s+', ' ', 'g')) AS form FROM t""")
 def text_evaluation_form(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.for_evaluation("text").alias("form"))
 
