@@ -42,7 +42,7 @@ STEEP = 0.8
 #: Bands of length at most, whatever the number of vectors.
 LANES = 64
 LONG = (1 << 63) - 1
-NO_FLOOR = -(1 << 62)
+NO_FLOOR = -(1 << 63)
 
 
 def _matrix(side: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
