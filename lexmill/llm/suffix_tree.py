@@ -198,10 +198,12 @@ def _chunks(texts: list[bytes], most: int = 1 << 22) -> Iterator[list[bytes]]:
         yield run
 
 
-def successor_counts(texts: DataFrame, levels: list[Known]) -> DataFrame:
-    """(s, next, c): how often tokens follow contexts as long as there are levels, whose suffixes and selves are in them.
+def successor_counts(texts: DataFrame, levels: list[Known], least: int) -> DataFrame:
+    """(s, next, c, kinds): how often tokens follow contexts as long as there are levels, whose suffixes and selves are in them.
 
-    Of contexts that only pass a sieve, some are not meant: a join with the table of contexts leaves them out.
+    Successors met ``least`` times or more have a row each, with one kind; a context's others are summed in rows whose next
+    is null, with their number as kinds. Of contexts that only pass a sieve, some are not meant: a join with the table of
+    contexts leaves them out.
     """
     shared = texts.sparkSession.sparkContext.broadcast(levels)
 
@@ -215,9 +217,21 @@ def successor_counts(texts: DataFrame, levels: list[Known]) -> DataFrame:
         at = np.flatnonzero(new)
         return s[at], lane[at], nxt[at], np.add.reduceat(c, at) if len(at) else c
 
+    def rows(part: tuple) -> pa.RecordBatch:
+        """One row for each context and lane, with arrays of successors and counts."""
+        s, lane, nxt, c = part
+        if lane.any():
+            order = np.lexsort((lane, s))
+            s, lane, nxt, c = s[order], lane[order], nxt[order], c[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (lane[1:] != lane[:-1])
+        at = np.flatnonzero(new)
+        edges = pa.array(np.append(at, len(s)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (nxt, c)]
+        return pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array(lane[at]), *lists], ["s", "lane", "nexts", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, held, size = Vocabulary(), [], 0
-        rows = lambda p: pa.RecordBatch.from_arrays([pa.array(x) for x in p], ["s", "lane", "next", "c"])
         for batch in batches:
             for chunk in _chunks(batch.column(0).to_pylist()):
                 ids, first = vocabulary.read(chunk)
@@ -241,9 +255,13 @@ def successor_counts(texts: DataFrame, levels: list[Known]) -> DataFrame:
         if held:
             yield rows(merged(held))
 
-    # Tasks have summed already. Rows of a context stay together, which compresses them, but for frequent contexts.
-    rows = texts.mapInArrow(run, "s long, lane long, next long, c long").repartition("s", "lane")
-    return rows.groupBy("s", "lane", "next").agg(F.sum("c").alias("c")).drop("lane")
+    # Tasks have summed already. A context's successors travel together, but for frequent contexts, and are summed where
+    # they arrive; the last grouping needs no shuffle of its own.
+    packed = texts.mapInArrow(run, "s long, lane long, nexts array<long>, counts array<long>").repartition("s", "lane")
+    each = packed.select("s", "lane", "counts", F.posexplode("nexts").alias("pos", "next")).select("s", "lane", "next", F.get("counts", F.col("pos")).alias("c"))
+    pairs = each.groupBy("s", "lane", "next").agg(F.sum("c").alias("c"))
+    pairs = pairs.withColumn("next", F.when(F.col("c") >= least, F.col("next")))
+    return pairs.groupBy("s", "lane", "next").agg(F.sum("c").alias("c"), F.count("*").alias("kinds")).drop("lane")
 
 
 def fit(
@@ -266,9 +284,9 @@ def fit(
         if contexts.isEmpty():
             break
         levels.append(known(contexts.select(F.col("s").alias("key"), F.ceil(F.col("n") / LANE).cast("double").alias("value"), F.col("n").alias("weight")))[0])
-        pairs = scratch.cut(successor_counts(texts, levels), "suffix-tree-pairs")
-        held = F.col("c") >= least_pair
-        sums = pairs.groupBy("s").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), F.coalesce(F.sum(F.when(held, F.col("c"))), F.lit(0)).alias("held"))
+        pairs = scratch.cut(successor_counts(texts, levels, min(least_pair, least_context)), "suffix-tree-pairs")
+        held = F.col("next").isNotNull() & (F.col("c") >= least_pair)
+        sums = pairs.groupBy("s").agg(F.sum("c").alias("n"), F.sum("kinds").alias("kinds"), F.coalesce(F.sum(F.when(held, F.col("c"))), F.lit(0)).alias("held"))
         sums = sums.withColumn("spread", F.col("n") - F.col("held") + F.col("kinds")).withColumn("b", F.log10(F.col("spread") / (F.col("n") + F.col("kinds"))))
         sums = scratch.cut(contexts.drop("n").join(sums, "s"), "suffix-tree-sums")
         # The held successors, with their probability by the suffix.
@@ -288,7 +306,7 @@ def fit(
         model = model.unionByName(gains[-1].withColumn("token", F.lit(False)))
         # Contexts one longer, read backwards: a context and a token that follows it often enough, where what is left
         # without the first token is a state.
-        joined = pairs.where(F.col("c") >= least_context).join(sums.select("s", "toks"), "s")
+        joined = pairs.where(F.col("next").isNotNull() & (F.col("c") >= least_context)).join(sums.select("s", "toks"), "s")
         joined = joined.select("c", F.concat(F.array("next"), "toks").alias("toks"))
         joined = joined.select("c", "toks", _state(F.col("toks"), k).alias("suffix"), _state(F.col("toks"), k + 1).alias("s"))
         below = states.select(F.col("s").alias("suffix"), (F.col("back") + F.col("b")).alias("back"))
