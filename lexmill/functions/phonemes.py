@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.distance import edits
 
-#: Letter groups that sound as one, the phones of groups and letters, and the vowel phones.
-GROUPS = {"ch": "CH", "sh": "SH", "th": "TH", "ph": "F", "wh": "W", "ee": "IY", "ea": "IY", "oo": "UW", "ow": "AW", "ay": "EY", "ai": "EY", "oy": "OY", "oi": "OY"}
+#: Letter groups that sound as one, the phones of groups and letters where a word is spelled out, and the vowel phones.
+GROUPS = {"ch": "CH", "sh": "SH", "th": "TH", "ph": "F", "wh": "W", "ee": "IY", "ea": "IY", "oo": "UW", "ow": "OW", "ay": "EY", "ai": "EY", "oy": "OY", "oi": "OY"}
 LETTERS = {
     "a": "AE", "b": "B", "c": "K", "d": "D", "e": "EH", "f": "F", "g": "G", "h": "HH", "i": "IH", "j": "JH", "k": "K", "l": "L", "m": "M",
-    "n": "N", "o": "AA", "p": "P", "q": "K", "r": "R", "s": "S", "t": "T", "u": "AH", "v": "V", "w": "W", "x": "K S", "y": "Y", "z": "Z",
+    "n": "N", "o": "OW", "p": "P", "q": "K", "r": "R", "s": "S", "t": "T", "u": "AH", "v": "V", "w": "W", "x": "K S", "y": "Y", "z": "Z",
 }
 VOWELS = ("AA", "AE", "AH", "AO", "AW", "AY", "EH", "ER", "EY", "IH", "IY", "OW", "OY", "UH", "UW")
 

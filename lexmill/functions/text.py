@@ -74,6 +74,22 @@ def for_evaluation(c: Column | str) -> Column:
     return transcript(without_marks(F.translate(compatible(F.coalesce(_col(c), F.lit(""))), *QUOTES)))
 
 
+def label_case(vocabulary: set[str] | None) -> str:
+    """lower if most of a vocabulary's single letters are, else upper."""
+    single = [x for x in vocabulary or () if len(x) == 1 and x.isalpha()]
+    return "lower" if sum(x.islower() for x in single) > sum(x.isupper() for x in single) else "upper"
+
+
+def label(c: Column | str, vocabulary: set[str] | None = None) -> Column:
+    """The form of training labels: ASCII letters and apostrophes, in the vocabulary's case, of its characters where it has any."""
+    t = F.translate(compatible(F.coalesce(_col(c), F.lit(""))), *QUOTES)
+    t = F.regexp_replace(t, r"\[[^\]]+\]|\([^)]+\)|<[^>]+>", " ")
+    t = F.lower(t) if label_case(vocabulary) == "lower" else F.upper(t)
+    single = {x for x in vocabulary or () if len(x) == 1}
+    kept = [x for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'" if not single or x in single]
+    return squeeze(F.regexp_replace(t, f"[^{''.join(kept)} ]", " "))
+
+
 def word_count(c: Column | str) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(WORD), F.lit(0)))
 

@@ -184,3 +184,56 @@ def support(expected: Column, raw: Column) -> Column:
     """How far the transcript alone supports the expected text: one less the character error rate, of scoring forms."""
     rate = F.when((expected == "") | (raw == ""), 0.0).otherwise(F.greatest(F.lit(0.0), 1 - D.character_error_rate(expected, raw)))
     return F.when((expected == "") & (raw == ""), 1.0).otherwise(F.round(rate, 6))
+
+
+#: How letters' names and words are heard where a comparison of models may correct; what it may never take.
+PLAIN_NAMES = {
+    "a": ["a", "ay", "aye"], "b": ["b", "be", "bee"], "c": ["c", "see", "sea"], "d": ["d", "dee"], "e": ["e", "ee"], "f": ["f", "ef", "eff"], "g": ["g", "gee", "jee"],
+    "h": ["h", "aitch", "haitch"], "i": ["i", "eye"], "j": ["j", "jay"], "k": ["k", "kay"], "l": ["l", "el", "ell", "elle"], "m": ["m", "em", "emm"], "n": ["n", "en", "enn"],
+    "o": ["o", "oh", "owe"], "p": ["p", "pee"], "q": ["q", "cue", "queue", "kyu", "kyoo"], "r": ["r", "are", "ar"], "s": ["s", "ess", "es"], "t": ["t", "tee", "tea"],
+    "u": ["u", "you", "yu", "yoo"], "v": ["v", "vee"], "w": ["w", "doubleyou", "doubleu", "dubya"], "x": ["x", "ex", "axe", "eks"], "y": ["y", "why"],
+    "z": ["z", "zee", "zed", "zi", "zii", "zih", "zy", "zey", "ze"],
+}
+PLAIN_CONFUSED = {
+    "ten": ["then"], "red": ["read"], "read": ["red"], "tree": ["three"], "three": ["tree"], "see": ["sea", "c"], "sea": ["see", "c"], "right": ["write"], "write": ["right"],
+    "hear": ["here"], "here": ["hear"], "be": ["bee", "b"], "bee": ["be", "b"],
+}
+AMBIGUOUS = {"q": ["you", "u", "yoo", "yu"]}
+
+
+def plainly(expected: Column, raw: Column, kind: Column, sounds: bool = False) -> Column:
+    """struct(accepted, reason, corrected) for a comparison of models, of evaluation forms: names and listed confusions only.
+
+    Names that are heard for another letter as well are rejected unless sounds were looked at.
+    """
+    compact = F.regexp_replace(raw, "[ -]", "")
+    one = lambda c: F.size(T.tokens(c)) == 1
+    letter = F.when(F.array_contains(_lists(AMBIGUOUS, expected), compact) & F.lit(not sounds), "transcript_only_rejected_ambiguous_letter_alias").when(
+        F.array_contains(_lists(PLAIN_NAMES, expected), compact), "expected_centric_letter_alias_match").otherwise("no_letter_alias_match")
+    word = F.when(one(expected) & one(raw) & F.array_contains(_lists(PLAIN_CONFUSED, expected), raw), "expected_centric_known_word_confusion").otherwise("no_safe_word_correction")
+    reason = (
+        F.when(expected == "", "empty_expected_text").when(raw == "", "empty_raw_transcript").when(expected == raw, "exact_match_after_normalization")
+        .when(kind == "letter", letter).when(kind == "word", word).otherwise("sentence_correction_not_applied")
+    )
+    accepted = reason.isin("exact_match_after_normalization", "expected_centric_letter_alias_match", "expected_centric_known_word_confusion")
+    return F.struct(accepted.alias("accepted"), reason.alias("reason"), F.when(accepted, expected).otherwise(raw).alias("corrected"))
+
+
+def ladder(
+    expected: Column, raw: Column, final: Column, need: Column | float, spelling: Column, sound: Column, acoustic: Column, context: Column, confusion: Column, homophone: Column,
+    least_acoustic: float = 0.75, least_sound: float = 0.90,
+) -> Column:
+    """struct(accepted, reason): which evidence decides about a word; the first rung that holds.
+
+    sound and acoustic are null where there is no such evidence; final is the weighted score, need its threshold.
+    """
+    near, placed = (F.coalesce(sound, F.lit(0.0)) >= 0.70) | (spelling >= 0.50), context >= 0.95
+    clear = F.coalesce(acoustic >= least_acoustic, F.lit(False))
+    some = sound.isNotNull() | acoustic.isNotNull()
+    reason = (
+        F.when(unsafe_pair(expected, raw), "rejected_short_function_word_safety").when(homophone & placed, "homophone_match")
+        .when((confusion >= 0.90) & placed & (near | (F.coalesce(acoustic, F.lit(0.0)) >= 0.75)), "known_asr_confusion_match").when(clear & placed & near, "gop_supported_expected_match")
+        .when(F.coalesce(sound >= least_sound, F.lit(False)) & (final >= need), "phoneme_expected_match").when((spelling >= 0.90) & placed, "spelling_context_expected_match")
+        .when(~some & (spelling < 0.90), "rejected_no_acoustic_evidence").when(some & (final >= need), "spelling_phoneme_expected_match").otherwise("rejected_low_similarity")
+    )
+    return F.struct((~reason.startswith("rejected")).alias("accepted"), reason.alias("reason"))

@@ -114,3 +114,18 @@ def deltas(rows: DataFrame, by: str, mode: str, rate: str, before: str, after: s
     """(by, delta): how many percentage points a mean rate moves from one mode to another, in one aggregation."""
     mean = lambda m: F.avg(F.when(F.col(mode) == m, F.col(rate)))
     return rows.groupBy(by).agg(F.round(100 * (mean(after) - mean(before)), 6).alias("delta"))
+
+
+def comparable(results: DataFrame, model: str, split: str, key: str) -> DataFrame:
+    """One row: models, and whether they may be compared: all have the same splits with as many rows of each."""
+    per = results.groupBy(model, split).agg(F.count(key).alias("n"))
+    shape = per.groupBy(model).agg(F.sort_array(F.collect_list(F.struct(F.col(split), F.col("n")))).alias("shape"))
+    return shape.agg(F.count("*").alias("models"), (F.count_distinct("shape") <= 1).alias("aligned"))
+
+
+def disagreements(rows: DataFrame, winner: str, *errors: str) -> DataFrame:
+    """Rows worth a look: a model failed, or one of them won."""
+    failed = F.lit(False)
+    for e in errors:
+        failed = failed | ~T.blank(e)
+    return rows.where(failed | ~F.col(winner).eqNullSafe("tie"))

@@ -107,8 +107,8 @@ def phones_compared(spark, d):
 
 SPELLED = "list_transform(regexp_extract_all(w, 'ch|sh|th|ph|wh|ee|ea|oo|ow|ay|ai|oy|oi|[a-z]'), lambda x: m[x])"
 #: Written apart from the functions' own tables.
-SOUND_MAP = """MAP {'ch': 'CH', 'sh': 'SH', 'th': 'TH', 'ph': 'F', 'wh': 'W', 'ee': 'IY', 'ea': 'IY', 'oo': 'UW', 'ow': 'AW', 'ay': 'EY', 'ai': 'EY', 'oy': 'OY', 'oi': 'OY',
-    'a': 'AE', 'b': 'B', 'c': 'K', 'd': 'D', 'e': 'EH', 'f': 'F', 'g': 'G', 'h': 'HH', 'i': 'IH', 'j': 'JH', 'k': 'K', 'l': 'L', 'm': 'M', 'n': 'N', 'o': 'AA', 'p': 'P', 'q': 'K', 'r': 'R', 's': 'S',
+SOUND_MAP = """MAP {'ch': 'CH', 'sh': 'SH', 'th': 'TH', 'ph': 'F', 'wh': 'W', 'ee': 'IY', 'ea': 'IY', 'oo': 'UW', 'ow': 'OW', 'ay': 'EY', 'ai': 'EY', 'oy': 'OY', 'oi': 'OY',
+    'a': 'AE', 'b': 'B', 'c': 'K', 'd': 'D', 'e': 'EH', 'f': 'F', 'g': 'G', 'h': 'HH', 'i': 'IH', 'j': 'JH', 'k': 'K', 'l': 'L', 'm': 'M', 'n': 'N', 'o': 'OW', 'p': 'P', 'q': 'K', 'r': 'R', 's': 'S',
     't': 'T', 'u': 'AH', 'v': 'V', 'w': 'W', 'x': 'K S', 'y': 'Y', 'z': 'Z'}"""
 IS_VOWEL = "x IN ('AA', 'AE', 'AH', 'AO', 'AW', 'AY', 'EH', 'ER', 'EY', 'IH', 'IY', 'OW', 'OY', 'UH', 'UW')"
 

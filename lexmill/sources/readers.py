@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,6 +17,65 @@ def jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame
     return spark.read.json(path, schema=schema, mode="FAILFAST")
 
 
+def numbered_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """As jsonl, with file and line: the line's number in its file from 1, blank lines counted.
+
+    A file is read in one piece, since its lines can be counted in order only; that suits manifests, not large corpora.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\r?\n").alias("lines"))
+    each = files.select("file", F.posexplode("lines").alias("at", "text")).where("trim(text) <> ''")
+    parsed = each.select("file", (F.col("at") + 1).alias("line"), F.from_json("text", schema, {"mode": "FAILFAST"}).alias("o"))
+    return parsed.select("o.*", "file", "line")
+
+
+def write_jsonl(rows: DataFrame, path: str) -> int:
+    """One object a line, keys in order; returns how many."""
+    counted = Observation()
+    rows.select(*sorted(rows.columns)).observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(path)
+    return counted.get["n"]
+
+
+def write_union_csv(tables: list[DataFrame], path: str) -> None:
+    """Tables of different columns under one header, the union of theirs in order."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    out.select(*sorted(out.columns)).write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def empty(spark: SparkSession, schema: StructType | str) -> DataFrame:
+    return spark.createDataFrame([], schema)
+
+
+def first_existing(spark: SparkSession, *paths: str) -> str | None:
+    """The first path that there is, on whatever file system it names."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        if at.getFileSystem(conf).exists(at):
+            return p
+    return None
+
+
+def group(spark: SparkSession, path: str, schemas: dict[str, StructType | str], lines_in_cells: bool = True) -> dict[str, DataFrame]:
+    """The CSV files of a folder that there are, by name, each with its declared schema."""
+    found = {name: f"{path}/{name}" for name in schemas if first_existing(spark, f"{path}/{name}")}
+    return {name: csv(spark, at, schemas[name], lines_in_cells) for name, at in found.items()}
+
+
+def phone_kinds(spark: SparkSession, path: str) -> DataFrame:
+    """(phone, kind) of lines "PHONE kind", stress digits stripped; comments skipped."""
+    parts = F.split(F.trim("value"), r"\s+")
+    lines = spark.read.text(path).where("trim(value) <> '' and not value rlike '^(;;;|#)'")
+    return lines.select(F.regexp_replace(F.get(parts, F.lit(0)), "[0-9]$", "").alias("phone"), F.get(parts, F.lit(1)).alias("kind")).distinct()
+
+
+def predictions(spark: SparkSession, path: str, row_schema: str, field: str = "predictions") -> DataFrame:
+    """Rows of an array of objects in JSON documents, with the file that held them."""
+    whole = spark.read.json(path, schema=f"`{field}` array<{row_schema}>", multiLine=True).select(F.col("_metadata.file_name").alias("file"), field)
+    return whole.select("file", F.explode(field).alias("r")).select("r.*", "file")
+
+
 def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """The columns asked for that exist, with a header."""
     rows.select(*[c for c in columns or rows.columns if c in rows.columns]).write.mode("overwrite").csv(path, header=True, escape='"')

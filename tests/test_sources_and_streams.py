@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import history as H
@@ -88,3 +89,34 @@ def test_missing_is_skipped_for_an_empty_right_side(spark):
     left = spark.createDataFrame([(1,), (2,)], "k int")
     assert L.missing(left, left.where("k = 1"), "k").count() == 1
     assert L.missing(left, left.limit(0), "k").count() == 0
+
+
+def test_manifests_and_artifacts(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.jsonl").write_text('{"id": "x"}\n\n{"id": "y"}\n')
+    got = R.numbered_jsonl(spark, str(tmp_path / "m"), "id string").collect()
+    assert sorted((r.id, r.file, r.line) for r in got) == [("x", "a.jsonl", 1), ("y", "a.jsonl", 3)]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.jsonl").write_text('{"id": "x"}\n{"id": \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        R.numbered_jsonl(spark, str(tmp_path / "bad"), "id string").collect()
+    assert R.write_jsonl(spark.createDataFrame([(1, "p"), (2, "q")], "z int, a string"), str(tmp_path / "out")) == 2
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ['{"a":"p","z":1}', '{"a":"q","z":2}']
+    R.write_union_csv([spark.createDataFrame([(1, "p")], "z int, a string"), spark.createDataFrame([(True,)], "m boolean")], str(tmp_path / "csv"))
+    back = spark.read.csv(str(tmp_path / "csv"), header=True)
+    assert back.columns == ["a", "m", "z"] and back.count() == 2
+    artifact = tmp_path / "artifact.json"
+    artifact.write_text('{"rate": 1, "predictions": [{"dataset": "s", "reference": "a", "prediction": "b"},\n {"dataset": "t", "reference": "c"}]}')
+    rows = R.predictions(spark, str(artifact), "struct<dataset:string, reference:string, prediction:string>").collect()
+    assert sorted((r.dataset, r.reference, r.prediction) for r in rows) == [("s", "a", "b"), ("t", "c", None)]
+
+
+def test_paths_groups_and_sounds(spark, tmp_path):
+    (tmp_path / "items.csv").write_text('id,text\n1,"a ""b"""\n2,\n')
+    assert R.first_existing(spark, str(tmp_path / "none.csv"), str(tmp_path / "items.csv")) == str(tmp_path / "items.csv")
+    assert R.first_existing(spark, str(tmp_path / "none.csv")) is None
+    got = R.group(spark, str(tmp_path), {"items.csv": "id int, text string", "rules.csv": "id int"})
+    assert list(got) == ["items.csv"] and sorted((r.id, r.text) for r in got["items.csv"].collect()) == [(1, 'a "b"'), (2, None)]
+    (tmp_path / "phones.txt").write_text("# comment\nAA\tvowel\nAA1\tvowel\nB stop\n")
+    assert sorted((r.phone, r.kind) for r in R.phone_kinds(spark, str(tmp_path / "phones.txt")).collect()) == [("AA", "vowel"), ("B", "stop")]
+    assert R.empty(spark, "id int, text string").columns == ["id", "text"]
