@@ -25,9 +25,12 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,17 +81,15 @@ def frequent_prefixes(texts: DataFrame, share: float, longest: int) -> DataFrame
             rows, least = [], share * sum(len(p) for held in chunk.values() for p in held)
             for lang, held in chunk.items():
                 rows.append((lang, None, sum(map(len, held))))
-                over = {()}
-                for k in range(1, longest):
-                    # Only what extends a frequent prefix can be frequent.
-                    if k == 1:
-                        found = Counter((w,) for p in held for w in p)
-                    else:
-                        found = Counter(t for p in held for t in zip(*(p[i:] for i in range(k)), strict=False) if t[:-1] in over)
-                    over = {t for t, n in found.items() if n > least}
-                    rows += [(lang, b" ".join(t).decode(), found[t]) for t in over]
-                    if not over:
+                found = Counter(chain.from_iterable(held))
+                over = {(w,): n for w, n in found.items() if n > least}
+                for k in range(2, longest + 1):
+                    rows += [(lang, b" ".join(t).decode(), n) for t, n in over.items()]
+                    if k == longest or not over:
                         break
+                    # Only what extends a frequent prefix can be frequent.
+                    longer = Counter(t for p in held for t in zip(*(p[i:] for i in range(k)), strict=False) if t[:-1] in over)
+                    over = {t: n for t, n in longer.items() if n > least}
             yield _batch(rows, ["lang", "prefix", "n"], [pa.string(), pa.string(), pa.int64()])
 
     return texts.mapInArrow(each, "lang string, prefix string, n long")
@@ -102,26 +103,60 @@ def _key(suffix: tuple[bytes, ...], split: set[bytes]) -> tuple[bytes, bytes]:
     return b" ".join(suffix[:k]), b" ".join(suffix[k:])
 
 
+def _tails(held: list[Piece], longest: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """A chunk's distinct suffixes in reverse order: the words in order of their bytes, ranks of each suffix's words in
+    rows (their number where there is none), and how often each suffix occurs."""
+    flat = list(chain.from_iterable(held))
+    codes, found = pd.factorize(np.array(flat, object))
+    order = np.argsort(found, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    ends = np.repeat(np.cumsum([len(p) for p in held]), [len(p) for p in held])
+    none, at = len(order), np.arange(len(flat))
+    # A suffix that ends sorts before those that go on: 0 stands for no word.
+    grid = np.stack([np.where(at + i < ends, rank[codes[np.minimum(at + i, len(flat) - 1)]] + 1, 0) for i in range(longest)])
+    sorted_ = np.lexsort(grid[::-1])[::-1]
+    grid = grid[:, sorted_]
+    new = np.append(True, (grid[:, 1:] != grid[:, :-1]).any(axis=0))
+    starts = np.flatnonzero(new)
+    return pa.array(found[order].tolist() + [b""], pa.large_binary()), np.where(grid[:, starts] > 0, grid[:, starts] - 1, none), np.diff(np.append(starts, len(flat)))
+
+
 def suffixes(texts: DataFrame, split: dict[str, set[bytes]], longest: int) -> DataFrame:
     """(lang, key, tails): the suffixes of a chunk that share a language and key. tails: one a line, with their number where it is not one."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
             for lang, held in chunk.items():
-                cut, tails = split.get(lang, set()), defaultdict(list)
-                for p in held:
-                    for i, word in enumerate(p):
-                        if word in cut:
-                            key, rest = _key(tuple(p[i : i + longest]), cut)
-                            tails[key].append(rest)
-                        else:
-                            tails[word].append(b" ".join(p[i + 1 : i + longest]))
-                rows = []
-                for key, found in tails.items():
-                    lines = sorted(Counter(found).items(), reverse=True)
-                    rows.append((lang, key, b"\n".join(t if n == 1 else b"%s\t%d" % (t, n) for t, n in lines)))
-                for at in range(0, len(rows), 20_000):
-                    yield _batch(rows[at : at + 20_000], ["lang", "key", "tails"], [pa.string()] * 3)
+                words, grid, times = _tails(held, longest)
+                none = len(words) - 1
+                cut = split.get(lang, set())
+                # What follows the key, joined by blanks, and the number of occurrences behind a tab where it is not one.
+                lines = words.take(pa.array(grid[1]))
+                for row in grid[2:]:
+                    lines = pc.binary_join_element_wise(lines, words.take(pa.array(row)), pa.array(np.where(row < none, b" ", b""), pa.large_binary()))
+                often = np.flatnonzero(times > 1)
+                mark = np.full(len(times), b"", object)
+                mark[often] = [b"\t%d" % n for n in times[often].tolist()]
+                lines = pc.binary_join_element_wise(lines, pa.array(mark, pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+                first = grid[0]
+                starts = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+                ends = np.append(starts[1:], len(first))
+                keys = words.take(pa.array(first[starts]))
+                whole = np.array([k not in cut for k in keys.to_pylist()], bool) if cut else np.ones(len(starts), bool)
+                joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.append(starts, len(first))), lines), pa.scalar(b"\n", pa.large_binary()))
+                kept = pa.array(whole)
+                keys, joined = keys.filter(kept).cast(pa.large_string()).cast(pa.string()), joined.filter(kept).cast(pa.large_string()).cast(pa.string())
+                for at in range(0, len(keys), 20_000):
+                    part = keys[at : at + 20_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, joined[at : at + 20_000]], ["lang", "key", "tails"])
+                # Suffixes with a split prefix are dealt by more of their words.
+                longer: dict[bytes, list[bytes]] = defaultdict(list)
+                for i in chain.from_iterable(range(a, b) for a, b in zip(starts[~whole].tolist(), ends[~whole].tolist(), strict=True)):
+                    key, rest = _key(tuple(words[w].as_py() for w in grid[:, i].tolist() if w < none), cut)
+                    longer[key].append(rest if times[i] == 1 else b"%s\t%d" % (rest, times[i]))
+                if longer:
+                    yield _batch([(lang, k, b"\n".join(v)) for k, v in longer.items()], ["lang", "key", "tails"], [pa.string()] * 3)
 
     return texts.mapInArrow(each, "lang string, key string, tails string")
 
@@ -171,12 +206,19 @@ def prefix_counts(dealt: DataFrame, split: dict[str, set[bytes]], least: int) ->
                 elif n >= least:
                     rows.append((lang, phrase.decode(), len(words), n, True))
 
-            head, lines, low = key.encode().split(b" "), Counter(), False
-            for _, _, tails in group:
-                low = low or LOW.search(tails.encode()) is not None
-                for line in tails.encode().split(b"\n"):
-                    tail, _, n = line.partition(b"\t")
-                    lines[tail] += int(n or 1)
+            head, parts = key.encode().split(b" "), [tails.encode() for _, _, tails in group]
+            held = [line.partition(b"\t") for part in parts for line in part.split(b"\n")]
+            total = len(held) + sum(int(n) - 1 for _, _, n in held if n)
+            if total < least and not any(b" ".join(head[:k]) in cut for k in range(1, len(head) + 1)):
+                continue  # no prefix of these suffixes can reach the bound
+            # Suffixes whose next word is too rare for any longer prefix count as their key alone.
+            after, lines = Counter(), Counter()
+            for tail, _, n in held:
+                after[tail.partition(b" ")[0]] += int(n or 1)
+            for tail, _, n in held:
+                word = tail.partition(b" ")[0]
+                lines[tail if after[word] >= least or (cut and b" ".join((key.encode(), word)) in cut) else b""] += int(n or 1)
+            low = any(LOW.search(part) for part in parts)
             stack = Stack(done)
             for tail in sorted(lines, key=(lambda t: t.split(b" ")) if low else None, reverse=True):
                 stack.push(head + tail.split(b" ") if tail else head, lines[tail])
