@@ -16,15 +16,16 @@ Defined cases: null and empty texts have an empty sketch; two empty sketches are
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 K, WIDTH = 128, 5
-RUN = 1 << 22
+RUN = 1 << 20
 _BYTES = np.random.default_rng(63).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -82,22 +83,31 @@ def _smallest(hashes: np.ndarray, k: int) -> np.ndarray:
     return np.unique(hashes)[:k]
 
 
+def _sketched(texts: pa.Array, k: int, width: int) -> list[np.ndarray]:
+    """The sketch of each text, null for none. Texts are read in runs of about RUN bytes, a longer one by itself."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    found, a = [], 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + RUN, side="right")) - 1)
+        hashes, at = shingle_hashes(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], width)
+        found += [_smallest(hashes[at[i] : at[i + 1]], k).astype(np.int64) for i in range(b - a)]
+        a = b
+    return found
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+
+
 def sketches(text: Column | str, k: int = K, width: int = WIDTH) -> Column:
-    """The sketch of a text column, as an Arrow function. Texts are read in runs of about RUN bytes, a longer one by itself."""
+    """The sketch of a text column, as an Arrow function."""
 
     @F.arrow_udf("array<long>")
     def each(texts: pa.Array) -> pa.Array:
-        texts = texts.fill_null("").cast(pa.large_string())
-        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-        found, a = [], 0
-        while a < len(texts):
-            b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + RUN, side="right")) - 1)
-            hashes, at = shingle_hashes(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], width)
-            found += [_smallest(hashes[at[i] : at[i + 1]], k).astype(np.int64) for i in range(b - a)]
-            a = b
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+        return _lists(_sketched(texts, k, width))
 
     return each(F.col(text) if isinstance(text, str) else text)
 
@@ -151,8 +161,10 @@ def written(sketch: Column | str) -> Column:
     return F.array_join(F.transform(_held(sketch), lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, text_col, next_text): each row with the text of the next by descending id; after the last comes the first.
+def _in_order(docs: DataFrame, made: Callable[[list, list[str]], list[pa.Array]], schema: str, id_col: str, text_col: str) -> DataFrame:
+    """(id, what ``made`` gives): each row with the text of the next by descending id; after the last comes the first.
+
+    made: from a run of ids and their texts, and the text behind the last of them, the columns of schema.
 
     Null ids come last; rows that share an id follow by a hash of their texts, and equal rows in any order; a single row
     is its own next. A null text is an empty one. Ids are integers.
@@ -177,41 +189,52 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         return pa.array([max(0, bisect_right(heads, key) - 1) for key in zip(*(x.to_pylist() for x in (a, b, c, d)), strict=True)], pa.int32())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        ids: list = []
+        texts: list[str] = []
+        size = 0
         for batch in batches:
-            ids, texts, own = (batch.column(i) for i in range(3))
-            out: tuple[list, list, list] = [], [], []
-            for i in range(len(ids)):
-                now = texts[i].as_py()
-                if held is not None:
-                    for column, value in zip(out, (*held, now), strict=True):
-                        column.append(value)
-                held = (ids[i].as_py(), now) if own[i].as_py() else None
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["id", "text", "next_text"])
-
-    kinds = [pa.int64(), pa.string(), pa.string()]
+            for key, text, own in zip(*(batch.column(i) for i in range(3)), strict=True):
+                now = text.as_py()
+                texts.append(now)
+                size += len(now)
+                if own.as_py() and size < RUN:
+                    ids.append(key.as_py())
+                    continue
+                # The run ends before this row, which is the next of the last one.
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *made(ids, texts)], fields.names)
+                ids, texts, size = ([key.as_py()], [now], len(now)) if own.as_py() else ([], [], 0)
+
+    fields = _parse_datatype_string(f"id long, {schema}")
     dealt = rows.withColumn("part", part(*keys)).select("part", F.lit(True).alias("own"), "id", "text", *keys)
     before = spark.createDataFrame([((i - 1) % len(heads), *h) for i, h in enumerate(heads)], "part int, h0 boolean, h1 long, h2 long, h3 long")
     met = rows.join(F.broadcast(before.drop("h3")), (F.col("k0") == F.col("h0")) & (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")))
     # One of equal rows stands for all. After a part's last row comes the guest, whatever its own key.
     guests = met.groupBy("part").agg(F.first("text").alias("text")).select("part", F.lit(False).alias("own"), F.lit(None).cast("long").alias("id"), "text", *[F.lit(None).cast(rows.schema[k].dataType).alias(k) for k in keys])
     if not heads:
-        return rows.select(F.col("id").cast("long").alias(id_col), F.col("text").alias(text_col), F.col("text").alias("next_text"))
+        return spark.createDataFrame([], fields).withColumnRenamed("id", id_col)
     laid = dealt.unionByName(guests).repartitionById(len(heads), "part").sortWithinPartitions("part", F.desc("own"), *keys)
-    return laid.select(F.col("id").cast("long"), "text", "own").mapInArrow(each, "id long, text string, next_text string").withColumnsRenamed({"id": id_col, "text": text_col})
+    return laid.select(F.col("id").cast("long"), "text", "own").mapInArrow(each, fields).withColumnRenamed("id", id_col)
 
 
-def edited(text: Column | str, following: Column | str) -> Column:
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, text_col, next_text): each row with the text of the next by descending id; after the last comes the first."""
+    made = lambda ids, texts: [pa.array(texts[:-1], pa.string()), pa.array(texts[1:], pa.string())]
+    return _in_order(docs, made, "text string, next_text string", id_col, text_col).withColumnRenamed("text", text_col)
+
+
+def edited(text: str, following: str) -> str:
     """A text whose second half, the smaller one, is replaced by the first as many code points of another, or all of it."""
-    text, following = (F.col(c) if isinstance(c, str) else c for c in (text, following))
-    half = F.floor(F.char_length(text) / 2).cast("int")
-    return F.concat(F.substring(text, F.lit(1), F.char_length(text) - half), F.substring(following, F.lit(1), half))
+    half = len(text) // 2
+    return text[: len(text) - half] + following[:half]
 
 
 def compared(docs: DataFrame, k: int = K, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, text, edited, sketch, edited_sketch, next_sketch): each text beside its edited form and the next document."""
-    rows = with_next(docs, id_col, text_col).withColumn("__edited", edited(text_col, "next_text"))
-    return rows.select(
-        id_col, F.col(text_col).alias("text"), F.col("__edited").alias("edited"), sketches(text_col, k, width).alias("sketch"),
-        sketches("__edited", k, width).alias("edited_sketch"), sketches("next_text", k, width).alias("next_sketch"),
-    )
+
+    def made(ids: list, texts: list[str]) -> list[pa.Array]:
+        changed = pa.array([edited(a, b) for a, b in zip(texts[:-1], texts[1:], strict=True)], pa.string())
+        own = _sketched(pa.array(texts, pa.string()), k, width)
+        return [pa.array(texts[:-1], pa.string()), changed, _lists(own[:-1]), _lists(_sketched(changed, k, width)), _lists(own[1:])]
+
+    return _in_order(docs, made, "text string, edited string, sketch array<long>, edited_sketch array<long>, next_sketch array<long>", id_col, text_col)
