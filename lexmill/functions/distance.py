@@ -24,9 +24,19 @@ def _fold_table(a: Column, b: Column, first: Column, step: Callable[[Column, Col
     return F.aggregate(a, first, next_row)
 
 
+#: Different tokens of a pair that single characters stand for; each is one of Latin-1 that chr() gives.
+CODES = 250
+
+
 def edits(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays."""
+    """Levenshtein distance of two arrays. Each different token becomes a character, so that the JVM's own distance serves; arrays of
+    more than CODES different tokens take a table."""
+    known = F.array_distinct(F.concat(a, b))
+    coded = lambda tokens: F.array_join(F.transform(tokens, lambda x: F.chr(F.array_position(known, x))), "")
+    return F.when(F.size(known) <= CODES, F.levenshtein(coded(a), coded(b))).otherwise(_table_edits(a, b))
+
 
+def _table_edits(a: Column, b: Column) -> Column:
     def step(row, left, j, x, y):
         return F.least(left + 1, F.element_at(row, j + 1) + 1, F.element_at(row, j) + F.when(x == y, 0).otherwise(1))
 
