@@ -92,47 +92,78 @@ def block_matches(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([matched(x or [], y or []) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
 
 
-def forced(log_probs: np.ndarray, labels: list[int], blank: int) -> list[tuple[int, int, int, float]] | None:
-    """Best path through blanks and labels in order: (label, first frame, last frame, mean log-probability) each.
+Path = list[list[int]] | None
 
-    None if there are fewer frames than the labels need.
+
+def forced_many(log_probs: list[np.ndarray], labels: list[list[int]], blanks: list[int]) -> list[Path]:
+    """For each row the frames of each label on its best path through blanks and labels in order; None where there is no path.
+
+    Rows of about the same length are padded and go through the frames together. Ties stay, then go to the next state,
+    then skip a blank; of two ends the last blank stays.
     """
-    if not labels:
-        return []
-    states = [blank]
-    for x in labels:
-        states += [x, blank]
-    frames, n = len(log_probs), len(states)
-    best = np.full((frames, n), -np.inf)
-    came = np.zeros((frames, n), int)
-    best[0, :2] = log_probs[0, states[:2]]
-    for t in range(1, frames):
-        for s in range(n):
-            options = [best[t - 1, s]]
-            if s:
-                options.append(best[t - 1, s - 1])
-            if s > 1 and states[s] != blank and states[s] != states[s - 2]:
-                options.append(best[t - 1, s - 2])
-            k = int(np.argmax(options))
-            best[t, s], came[t, s] = options[k] + log_probs[t, states[s]], k
-    s = n - 1 if best[-1, n - 1] > best[-1, n - 2] else n - 2
-    if best[-1, s] == -np.inf:
-        return None
-    held: dict[int, list[int]] = {}
-    for t in range(frames - 1, -1, -1):
-        held.setdefault(s, []).append(t)
-        s -= came[t, s]
-    out = []
-    for k, x in enumerate(labels):
-        at = held[2 * k + 1]
-        out.append((x, at[-1], at[0], float(np.mean(log_probs[at, x]))))
+    out: list[Path] = [None] * len(labels)
+    for i in (i for i, x in enumerate(labels) if not x):
+        out[i] = []
+    todo = sorted((i for i, (p, x) in enumerate(zip(log_probs, labels, strict=True)) if x and len(p)), key=lambda i: (len(log_probs[i]), len(labels[i])))
+    for at in range(0, len(todo), 256):
+        rows = todo[at : at + 256]
+        frames, wide = max(len(log_probs[i]) for i in rows), max(2 * len(labels[i]) + 1 for i in rows)
+        scores = np.full((len(rows), frames, wide), -np.inf)
+        skips = np.zeros((len(rows), wide), bool)
+        for r, i in enumerate(rows):
+            states = [blanks[i]]
+            for x in labels[i]:
+                states += [x, blanks[i]]
+            scores[r, : len(log_probs[i]), : len(states)] = log_probs[i][:, states]
+            skips[r, 2 : len(states)] = [x != blanks[i] and x != y for x, y in zip(states[2:], states, strict=False)]
+        best = np.full((len(rows), wide), -np.inf)
+        best[:, :2] = scores[:, 0, :2]
+        came, length = np.zeros((len(rows), frames, wide), np.int8), np.array([len(log_probs[i]) for i in rows])
+        ends = best.copy()
+        for t in range(1, frames):
+            one, two = np.full_like(best, -np.inf), np.full_like(best, -np.inf)
+            one[:, 1:] = best[:, :-1]
+            two[:, 2:] = np.where(skips[:, 2:], best[:, :-2], -np.inf)
+            options = np.stack([best, one, two])
+            came[:, t] = options.argmax(axis=0)
+            best = options.max(axis=0) + scores[:, t]
+            ends[length > t] = best[length > t]
+        for r, i in enumerate(rows):
+            last = 2 * len(labels[i])
+            s = last if ends[r, last] >= ends[r, last - 1] else last - 1
+            if ends[r, s] == -np.inf:
+                continue
+            held: list[list[int]] = [[] for _ in labels[i]]
+            for t in range(length[r] - 1, -1, -1):
+                if s % 2:
+                    held[s // 2].append(t)
+                s -= came[r, t, s]
+            out[i] = [x[::-1] for x in held] if all(held) else None
     return out
 
 
+def _probs(values: list | None) -> np.ndarray:
+    return np.array(values, float) if values else np.zeros((0, 0))
+
+
 @F.arrow_udf(K.ArrayType(PART))
 def forced_alignment(log_probs: pa.Array, labels: pa.Array, blank: pa.Array) -> pa.Array:
-    rows = [forced(np.array(p, float), x, b) if p and x is not None else None for p, x, b in zip(log_probs.to_pylist(), labels.to_pylist(), blank.to_pylist(), strict=True)]
-    return _structs(rows, [("label", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())])
+    probs, wanted = [_probs(p) for p in log_probs.to_pylist()], labels.to_pylist()
+    paths = forced_many(probs, [x or [] for x in wanted], blank.to_pylist())
+    told = lambda p, x, found: None if x is None or not len(p) or found is None else [(y, at[0], at[-1], float(np.mean(p[at, y]))) for y, at in zip(x, found, strict=True)]
+    return _structs([told(*z) for z in zip(probs, wanted, paths, strict=True)], [("label", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())])
+
+
+SEGMENT = K.StructType([K.StructField("label", K.IntegerType()), K.StructField("at", K.ArrayType(K.IntegerType()))])
+
+
+@F.arrow_udf(K.ArrayType(SEGMENT))
+def segments(log_probs: pa.Array, labels: pa.Array, blank: pa.Array) -> pa.Array:
+    """The frames of each label on the best path; null where there is no path, or no frames or labels."""
+    wanted = [x or [] for x in labels.to_pylist()]
+    paths = forced_many([_probs(p) for p in log_probs.to_pylist()], wanted, blank.to_pylist())
+    rows = [list(zip(x, found, strict=True)) if found else None for x, found in zip(wanted, paths, strict=True)]
+    return _structs(rows, [("label", pa.int32()), ("at", pa.list_(pa.int32()))])
 
 
 def beam(log_probs: np.ndarray, blank: int, width: int, bonus: float = 0.0) -> list[int]:

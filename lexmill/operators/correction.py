@@ -65,7 +65,9 @@ KNOWN = 0.95
 
 def _lists(table: dict[str, list[str]], key: Column) -> Column:
     """The listed forms of a key, none for an unknown one."""
-    m = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    quoted = lambda x: "'" + x.replace("'", "\\'") + "'"
+    # One expression: a call for each literal would take longer than the query.
+    m = F.expr("map(" + ", ".join(f"{quoted(k)}, array({', '.join(map(quoted, v))})" for k, v in table.items()) + ")")
     return F.coalesce(F.element_at(m, key), F.array().cast("array<string>"))
 
 

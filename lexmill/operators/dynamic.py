@@ -295,7 +295,7 @@ def align_chunks(
     side gives no row. Equal costs: the path that takes the longest expected chunk first, then the longest heard one.
     """
     form = rows.select(
-        *key, F.coalesce(F.col(kind) if kind else F.lit(None).cast("string"), F.lit("sentence")).alias("kind"), T.tokens(T.for_scoring(expected)).alias("own"), T.tokens(T.for_scoring(raw)).alias("met"),
+        F.struct(*key).alias("__key"), F.coalesce(F.col(kind) if kind else F.lit(None).cast("string"), F.lit("sentence")).alias("kind"), T.tokens(T.for_scoring(expected)).alias("own"), T.tokens(T.for_scoring(raw)).alias("met"),
         (F.col(scores) if scores else F.lit(None).cast("map<string,double>")).alias("scores"),
     )
     some = F.filter(F.transform(F.split("e", " "), lambda w: F.element_at("scores", w)), lambda x: x.isNotNull())
@@ -308,13 +308,13 @@ def align_chunks(
     if learned is not None:
         pairs = learned.select(T.for_scoring("expected").alias("e"), T.for_scoring("raw").alias("r")).distinct()
         near = near.unionByName(cells.where("k = 1 and l = 1").where(~_worth(F.col("e"), F.col("r"), F.col("gop"))).join(pairs, ["e", "r"], "left_semi").select(*near.columns))
-    near = near.select(*key, "i", "j", *PAIR)
+    near = near.select("__key", "i", "j", *PAIR)
     priced = cost(score_chunks(near.select(*PAIR).distinct(), lexicon, learned)).select(*PAIR, "price")
-    steps = _met(near, priced, PAIR).groupBy(*key).agg(F.collect_list(F.struct("i", "j", "k", "l", "price")).alias("steps"))
-    walked = _met(form, steps, key, "left").withColumn("path", K.chunk_path(F.size("own"), F.size("met"), F.col("steps")))
+    steps = _met(near, priced, PAIR).groupBy("__key").agg(F.collect_list(F.struct("i", "j", "k", "l", "price")).alias("steps"))
+    walked = _met(form, steps, ["__key"], "left").withColumn("path", K.chunk_path(F.size("own"), F.size("met"), F.col("steps")))
 
     text = lambda words, at, size: F.array_join(F.slice(words, at + 1, size), " ")
-    ops = walked.select(*key, "kind", "own", "met", "scores", F.posexplode("path").alias("nth", "p")).select("*", "p.*").drop("p")
+    ops = walked.select("__key", "kind", "own", "met", "scores", F.posexplode("path").alias("nth", "p")).select("*", "p.*").drop("p")
     ops = ops.withColumns({"e": text("own", F.col("i"), F.col("k")), "r": text("met", F.col("j"), F.col("l")), "chunk": F.col("nth") + 1}).withColumn("gop", gop)
     meets = (F.col("k") > 0) & (F.col("l") > 0)
     kept = _met(ops, score_chunks(ops.where(meets).select(*PAIR).distinct(), lexicon, learned), PAIR, "left")
@@ -327,7 +327,7 @@ def align_chunks(
     out = kept.select("*", F.posexplode(words).alias("within", "expected_word"))
     heard = F.when(k == n, F.get(F.slice("met", F.col("j") + 1, n), F.col("within"))).otherwise(F.col("r"))
     return out.select(
-        *key, "chunk", "within", "expected_word", heard.alias("recognized_word"), F.col("e").alias("expected_chunk"), F.col("r").alias("recognized_chunk"), "operation", "status", "correct",
+        *[F.col("__key").getField(c).alias(c) for c in key], "chunk", "within", "expected_word", heard.alias("recognized_word"), F.col("e").alias("expected_chunk"), F.col("r").alias("recognized_chunk"), "operation", "status", "correct",
         "confidence", "sub_strategy", "spelling", "boundary", "sound", F.round("gop", 6).alias("gop"), "skeleton", "vowels",
     )
 
