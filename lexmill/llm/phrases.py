@@ -17,13 +17,12 @@ all that need to be compared.
 Defined cases: null texts are empty; a null language is ``und``, together with rows whose language says so; a text of
 delimiters alone has no words; a piece shorter than two words has no phrase; repeated rows count as often as they occur;
 an empty table gives no rows; a language without a candidate gives no rows. Columns other than text and language are not
-read. Texts are read whole; the rows of a task fall into chunks of about ``CHUNK`` words, a longer text in several.
+read. Texts are read whole; the rows of a task fall into chunks of about ``CHUNK`` characters, a longer text in one of its own.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain, groupby
 
@@ -36,37 +35,45 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import Scratch
 
-CHUNK = 1_000_000
-#: What ends a piece, as bytes; blanks and tabs between words are left to bytes.split.
-ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
-TABLE = bytes(10 if b in ENDS else b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Characters of words that sort before the blank: with them, joined words don't sort as the words do.
-LOW = re.compile(rb"[\x00-\x08\x0e-\x1f]")
+CHUNK = 6 << 20
+#: What ends a piece, as bytes, here marked with a byte that UTF-8 never has; blanks and tabs between words
+#: are left to bytes.split.
+ENDS, MARK = b".,;:!?\x0a\x0b\x0c\x0d", b"\xff"
+TABLE = bytes(MARK[0] if b in ENDS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 RANKED = 16  # parts that rank their best before a language's best are ranked
 
-Piece = list[bytes]
 
+class Words:
+    """The words of some texts: codes into ``found``, and for each the place behind the last word of its piece."""
 
-def pieces(text: str) -> Iterator[Piece]:
-    """The words of each piece, A to Z in lower case."""
-    for piece in text.encode().translate(TABLE).split(b"\n"):
-        if words := piece.split():
-            yield words
+    def __init__(self, texts: list[str]):
+        raw = "\n".join(texts).encode().translate(TABLE).replace(MARK, b" \xff ").split()
+        raw.append(MARK)
+        codes, found = pd.factorize(np.array(raw, object))
+        mark = codes[-1]
+        word = codes != mark
+        piece = np.cumsum(~word)[word]
+        self.codes, self.found = codes[word], found
+        self.ends = np.searchsorted(piece, piece, side="right")
 
+    def follows(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Which of these places have k more words in their piece."""
+        return at + k < self.ends[at]
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[Piece]]]:
-    """Pieces by language, about CHUNK words at a time."""
-    held, words = defaultdict(list), 0
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, Words]]:
+    """Words by language, of about CHUNK characters at a time."""
+    held, size = defaultdict(list), 0
     for batch in batches:
         for text, lang in zip(batch.column(0), batch.column(1), strict=True):
-            for piece in pieces(text.as_py() or ""):
-                held[lang.as_py()].append(piece)
-                words += len(piece)
-                if words >= CHUNK:
-                    yield held
-                    held, words = defaultdict(list), 0
-    if words:
-        yield held
+            if x := text.as_py():
+                held[lang.as_py()].append(x)
+                size += len(x)
+            if size >= CHUNK:
+                yield {lang: Words(texts) for lang, texts in held.items()}
+                held, size = defaultdict(list), 0
+    if size:
+        yield {lang: Words(texts) for lang, texts in held.items()}
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -78,18 +85,23 @@ def frequent_prefixes(texts: DataFrame, share: float, longest: int) -> DataFrame
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
-            rows, least = [], share * sum(len(p) for held in chunk.values() for p in held)
-            for lang, held in chunk.items():
-                rows.append((lang, None, sum(map(len, held))))
-                found = Counter(chain.from_iterable(held))
-                over = {(w,): n for w, n in found.items() if n > least}
-                for k in range(2, longest + 1):
-                    rows += [(lang, b" ".join(t).decode(), n) for t, n in over.items()]
-                    if k == longest or not over:
+            rows, least = [], share * sum(len(w.codes) for w in chunk.values())
+            for lang, w in chunk.items():
+                rows.append((lang, None, len(w.codes)))
+                # Places where a frequent prefix begins, and its number; only what extends one can be frequent.
+                at, own = np.arange(len(w.codes)), w.codes
+                for k in range(1, longest):
+                    times = np.bincount(own) if len(own) else np.zeros(0, int)
+                    over = times > least
+                    first = dict(zip(own[::-1].tolist(), at[::-1].tolist(), strict=True)) if k > 1 else {}
+                    for x in np.flatnonzero(over).tolist():
+                        words = [w.found[x]] if k == 1 else [w.found[c] for c in w.codes[first[x] : first[x] + k]]
+                        rows.append((lang, b" ".join(words).decode(), int(times[x])))
+                    kept = over[own] & w.follows(at, k)
+                    at = at[kept]
+                    if k + 1 == longest or not len(at):
                         break
-                    # Only what extends a frequent prefix can be frequent.
-                    longer = Counter(t for p in held for t in zip(*(p[i:] for i in range(k)), strict=False) if t[:-1] in over)
-                    over = {t: n for t, n in longer.items() if n > least}
+                    own = np.unique(own[kept] * len(w.found) + w.codes[at + k], return_inverse=True)[1]
             yield _batch(rows, ["lang", "prefix", "n"], [pa.string(), pa.string(), pa.int64()])
 
     return texts.mapInArrow(each, "lang string, prefix string, n long")
@@ -103,23 +115,22 @@ def _key(suffix: tuple[bytes, ...], split: set[bytes]) -> tuple[bytes, bytes]:
     return b" ".join(suffix[:k]), b" ".join(suffix[k:])
 
 
-def _tails(held: list[Piece], longest: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def _tails(w: Words, longest: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """A chunk's distinct suffixes in reverse order: the words in order of their bytes, ranks of each suffix's words in
     rows (their number where there is none), and how often each suffix occurs."""
-    flat = list(chain.from_iterable(held))
-    codes, found = pd.factorize(np.array(flat, object))
-    order = np.argsort(found, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    ends = np.repeat(np.cumsum([len(p) for p in held]), [len(p) for p in held])
-    none, at = len(order), np.arange(len(flat))
+    words = pa.array(w.found.tolist(), pa.large_binary())
+    order = pc.sort_indices(words).to_numpy()
+    rank = np.empty(len(order), np.uint64)
+    rank[order] = np.arange(1, len(order) + 1, dtype=np.uint64)
+    at = np.arange(len(w.codes))
     # A suffix that ends sorts before those that go on: 0 stands for no word.
-    grid = np.stack([np.where(at + i < ends, rank[codes[np.minimum(at + i, len(flat) - 1)]] + 1, 0) for i in range(longest)])
-    sorted_ = np.lexsort(grid[::-1])[::-1]
-    grid = grid[:, sorted_]
-    new = np.append(True, (grid[:, 1:] != grid[:, :-1]).any(axis=0))
-    starts = np.flatnonzero(new)
-    return pa.array(found[order].tolist() + [b""], pa.large_binary()), np.where(grid[:, starts] > 0, grid[:, starts] - 1, none), np.diff(np.append(starts, len(flat)))
+    grid = [np.where(at + i < w.ends, rank[w.codes[np.minimum(at + i, len(at) - 1)]], np.uint64(0)) for i in range(longest)]
+    two = [(grid[i] << np.uint64(32)) | (grid[i + 1] if i + 1 < longest else np.uint64(0)) for i in range(0, longest, 2)]
+    down = np.lexsort(two[::-1])[::-1]
+    two = [x[down] for x in two]
+    starts = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in two], axis=0)))
+    kept = np.stack([grid[i][down[starts]].astype(np.int64) for i in range(longest)])
+    return pa.concat_arrays([words.take(pa.array(order)), pa.array([b""], pa.large_binary())]), np.where(kept > 0, kept - 1, len(order)), np.diff(np.append(starts, len(at)))
 
 
 def suffixes(texts: DataFrame, split: dict[str, set[bytes]], longest: int) -> DataFrame:
@@ -127,8 +138,10 @@ def suffixes(texts: DataFrame, split: dict[str, set[bytes]], longest: int) -> Da
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
-            for lang, held in chunk.items():
-                words, grid, times = _tails(held, longest)
+            for lang, w in chunk.items():
+                if not len(w.codes):
+                    continue
+                words, grid, times = _tails(w, longest)
                 none = len(words) - 1
                 cut = split.get(lang, set())
                 # What follows the key, joined by blanks, and the number of occurrences behind a tab where it is not one.
@@ -190,43 +203,79 @@ class Stack:
                 self.counts[-1] += n
 
 
+def _frequent(group: np.ndarray, words: list[np.ndarray], times: np.ndarray, least: int, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes cut behind their last prefix that can reach the bound, equal ones summed: (rows of group and words, -1 for none; times).
+
+    group: of each suffix; words: codes of those behind the key, -1 for none; whole: groups whose suffixes aren't cut.
+    """
+    own, cut, kinds = group.astype(np.int64), group.astype(np.int64), [group]
+    for w in words:
+        wide = int(w.max(initial=0)) + 2
+        own = pd.factorize(own * wide + w + 1)[0]
+        often = np.bincount(own, times)[own] >= least
+        stay = (w >= 0) & (often | whole[group])
+        if len(kinds) > 1:
+            stay &= kinds[-1] >= 0
+        kinds.append(np.where(stay, w, -1))
+        cut = pd.factorize(cut * wide + kinds[-1] + 1)[0]
+    first = np.empty(int(cut.max(initial=-1)) + 1, np.int64)
+    first[cut] = np.arange(len(cut))
+    first = first[np.argsort(group[first], kind="stable")]
+    return np.stack([k[first] for k in kinds]), np.bincount(cut, times)[cut[first]].astype(np.int64)
+
+
 def prefix_counts(dealt: DataFrame, split: dict[str, set[bytes]], least: int) -> DataFrame:
     """(lang, phrase, words, n, whole) from sorted rows of suffixes: complete counts of at least ``least``, and pieces of split ones."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        stream = ((r["lang"], r["key"], r["tails"]) for batch in batches for r in batch.to_pylist())
-        for (lang, key), group in groupby(stream, key=lambda r: r[:2]):
-            cut = split.get(lang, set())
-
-            def done(words: list[bytes], n: int, lang: str = lang, cut: set[bytes] = cut) -> None:
-                phrase = b" ".join(words)
-                if phrase in cut:
-                    rows.append((lang, phrase.decode(), len(words), n, False))
-                elif n >= least:
-                    rows.append((lang, phrase.decode(), len(words), n, True))
-
-            head, parts = key.encode().split(b" "), [tails.encode() for _, _, tails in group]
-            held = [line.partition(b"\t") for part in parts for line in part.split(b"\n")]
-            total = len(held) + sum(int(n) - 1 for _, _, n in held if n)
-            if total < least and not any(b" ".join(head[:k]) in cut for k in range(1, len(head) + 1)):
-                continue  # no prefix of these suffixes can reach the bound
-            # Suffixes whose next word is too rare for any longer prefix count as their key alone.
-            after, lines = Counter(), Counter()
-            for tail, _, n in held:
-                after[tail.partition(b" ")[0]] += int(n or 1)
-            for tail, _, n in held:
-                word = tail.partition(b" ")[0]
-                lines[tail if after[word] >= least or (cut and b" ".join((key.encode(), word)) in cut) else b""] += int(n or 1)
-            low = any(LOW.search(part) for part in parts)
-            stack = Stack(done)
-            for tail in sorted(lines, key=(lambda t: t.split(b" ")) if low else None, reverse=True):
-                stack.push(head + tail.split(b" ") if tail else head, lines[tail])
+    def counted(langs: list[str], keys: list[str], tails: pa.Array) -> Iterator[tuple]:
+        """The prefixes of whole groups, rows that share a language and key being next to each other."""
+        new = [i == 0 or keys[i] != keys[i - 1] or langs[i] != langs[i - 1] for i in range(len(keys))]
+        heads = [(langs[i], keys[i].encode().split(b" ")) for i in range(len(keys)) if new[i]]
+        parted = pc.split_pattern(tails.cast(pa.large_binary()), b"\n")
+        group = np.repeat(np.cumsum(new) - 1, pc.list_value_length(parted).to_numpy())
+        pair = pc.split_pattern(parted.flatten(), b"\t")
+        size = pc.list_value_length(pair).to_numpy()
+        at, flat = np.cumsum(size) - size, pair.flatten()
+        times = np.ones(len(size), np.int64)
+        times[size > 1] = [int(x) for x in flat.take(pa.array(at[size > 1] + 1)).to_pylist()]
+        held = [split.get(lang, set()) for lang, _ in heads]
+        odd = np.array([bool(cut) and any(b" ".join(key[:k]) in cut for k in range(1, len(key) + 1)) for (_, key), cut in zip(heads, held, strict=True)], bool)
+        # Groups of fewer suffixes than the bound have no prefix that can reach it.
+        live = ((np.bincount(group, times, len(heads)) >= least) | odd)[group]
+        group, times, rest = group[live], times[live], pc.split_pattern(flat.take(pa.array(at[live])), b" ")
+        if not len(group):
+            return
+        size = pc.list_value_length(rest).to_numpy()
+        codes = rest.flatten().dictionary_encode()
+        names, numbers, at = codes.dictionary.to_pylist(), codes.indices.to_numpy(), np.cumsum(size) - size
+        empty = names.index(b"") if b"" in names else -1
+        words = []
+        for k in range(int(size.max())):
+            w = np.where(k < size, numbers[np.minimum(at + k, len(numbers) - 1)], -1)
+            words.append(np.where(w == empty, -1, w))
+        kinds, sums = _frequent(group, words, times, least, odd)
+        listed = zip(*kinds.tolist(), sums.tolist(), strict=True)
+        for g, own in groupby(listed, key=lambda r: r[0]):
+            (lang, head), cut, out = heads[g], held[g], []
+            stack = Stack(lambda w, n, out=out: out.append((b" ".join(w), len(w), n)))
+            for suffix, n in sorted(((head + [names[c] for c in r[1:-1] if c >= 0], r[-1]) for r in own), reverse=True):
+                stack.push(suffix, n)
             stack.pop(0)
-            if len(rows) >= 20_000:
+            yield from ((lang, p.decode(), k, n, p not in cut) for p, k, n in out if n >= least or p in cut)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if left is None else [*left.to_batches(), batch])
+            langs, keys = table.column(0).to_pylist(), table.column(1).to_pylist()
+            # The last group may go on in the next batch.
+            end = len(keys) - 1
+            while end and keys[end - 1] == keys[-1] and langs[end - 1] == langs[-1]:
+                end -= 1
+            left = table.slice(end)
+            if end and (rows := list(counted(langs[:end], keys[:end], table.column(2).slice(0, end).combine_chunks()))):
                 yield _batch(rows, names, kinds)
-                rows.clear()
-        if rows:
+        if left is not None and (rows := list(counted(left.column(0).to_pylist(), left.column(1).to_pylist(), left.column(2).combine_chunks()))):
             yield _batch(rows, names, kinds)
 
     names, kinds = ["lang", "phrase", "words", "n", "whole"], [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_()]
@@ -238,11 +287,11 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, scratch: Scratch, t
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = 1 / (8 * parts)
+    share = 1 / (4 * parts)
     met = scratch.cut(frequent_prefixes(texts, share, longest), "phrases-prefixes")
     words = met.where("prefix is null").groupBy("lang").agg(F.sum("n").alias("n"))
     total = words.agg(F.sum("n")).first()[0] or 0
-    # At most (longest - 1) / share rows, some dozens a part.
+    # At most (longest - 1) / share rows, a dozen a part.
     over = met.where("prefix is not null").groupBy("lang", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") >= share * total)
     split: dict[str, set[bytes]] = defaultdict(set)
     for r in over.toLocalIterator():
