@@ -26,6 +26,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 #: The pre-token pattern of byte-level BPE, and the characters that Unicode calls white space.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -58,9 +59,9 @@ class Counter:
             spec = json.load(f)
         step = spec["pre_tokenizer"] or {}
         assert (step.get("type"), step.get("add_prefix_space"), spec["normalizer"]) == ("ByteLevel", False, None), "byte-level BPE without normalizer is expected"
-        self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
         self.cut = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
         self.pre = regex.compile(PRE_TOKEN.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")).findall
+        self.special = re.compile("|".join([*(re.escape(x["content"]) for x in spec["added_tokens"]), f"[{_differing()}]"]))
         self.whole: dict[str, int] = self._proven(spec)
         self.counts, self.ids = Pieces(self._count), Pieces(self._ids)
 
@@ -113,6 +114,34 @@ class Counter:
         return b"".join(map(self.ids.__getitem__, self.cut(text)))
 
 
+KNOWN = 0x20000  # code points that are compared; texts with others go to the library
+
+
+@lru_cache(maxsize=1)
+def _differing() -> str:
+    """The code points that the library and PRE_TOKEN take for different kinds, as ranges of a pattern.
+
+    A letter joins a letter before it, a digit a digit, any other sign a sign, and white space none: three lines of text
+    for each code point, cut by the library in one call.
+    """
+    points = [p for p in range(KNOWN) if not 0xD800 <= p < 0xE000 and p not in (10, 13)]
+    every = "".join(map(chr, points))
+    kinds = {"a": set(regex.findall(r"\p{L}", every)), "1": set(regex.findall(r"\p{N}", every)), "!": set(regex.findall(rf"[^{SPACE}\p{{L}}\p{{N}}]", every))}
+    library, differ = ByteLevel(add_prefix_space=False, use_regex=True), set()
+    for before, own in kinds.items():
+        # Each line has three characters; its first two are one pre-token or two.
+        text = "".join(f"{before}{c}\n" for c in every)
+        joins = {every[a // 3] for _, (a, b) in library.pre_tokenize_str(text) if a % 3 == 0 and b - a == 2}
+        differ |= joins ^ own
+    out, found = [], sorted(map(ord, differ))
+    for p in found:
+        if out and out[-1][1] == p - 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in [*out, [KNOWN, 0x10FFFF]])
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable letter by which byte-level vocabularies write each byte: itself where printable, else from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

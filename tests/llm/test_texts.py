@@ -229,3 +229,20 @@ def test_keys_and_stack():
         stack.push(s.split(), n)
     stack.pop(0)
     assert done == [(b"b c", 2), (b"b", 3), (b"a b c", 1), (b"a b", 4), (b"a", 4)]
+
+
+# --- 6, 8: pre-tokens as the library has them
+
+
+def test_tokens_of_every_code_point():
+    """The library and the regex package know different versions of Unicode; counts and ids are the library's all the same."""
+    import array
+
+    from lexmill.llm import tokens
+
+    c = tokens.counter(tokens.vocabulary("byte_bpe_50k.json"))
+    for form in ("{}'s", "a{}1", " {}'ll"):
+        strings = [form.format(chr(p)) for p in range(0x80, 0x30000, 1) if not 0xD800 <= p < 0xE000]
+        for s, e in zip(strings, c.library.encode_batch_fast(strings, add_special_tokens=False), strict=True):
+            assert c.encode(s) == array.array("I", e.ids).tobytes() and c.count(s) == len(e.ids), s
+    assert c.count("՘'ll") == len(c.library.encode("՘'ll", add_special_tokens=False).ids)
