@@ -61,7 +61,10 @@ class Counter:
         assert (step.get("type"), step.get("add_prefix_space"), spec["normalizer"]) == ("ByteLevel", False, None), "byte-level BPE without normalizer is expected"
         self.cut = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
         self.pre = regex.compile(PRE_TOKEN.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")).findall
-        self.special = re.compile("|".join([*(re.escape(x["content"]) for x in spec["added_tokens"]), f"[{_differing()}]"]))
+        added = [re.escape(x["content"]) for x in spec["added_tokens"]]
+        near = _differing(0, FAR)
+        self.special = re.compile("|".join([*added, f"[{near}\\U{KNOWN:08x}-\\U0010ffff]"]))
+        self.unusual = re.compile("|".join([*added, f"[{near}\\U{FAR:08x}-\\U0010ffff]"]))
         self.whole: dict[str, int] = self._proven(spec)
         self.counts, self.ids = Pieces(self._count), Pieces(self._ids)
 
@@ -102,29 +105,39 @@ class Counter:
                 out.append(one)
         return array("I", out).tobytes()
 
-    def count(self, text: str) -> int:
+    def _odd(self, text: str) -> bool:
+        """Whether the text must go to the library whole."""
+        if not self.unusual.search(text):
+            return False
         if self.special.search(text):
+            return True
+        far = _differing(FAR, KNOWN)
+        return bool(far) and re.search(f"[{far}]", text) is not None
+
+    def count(self, text: str) -> int:
+        if self._odd(text):
             return len(self._encode(text))
         return sum(map(self.counts.__getitem__, self.cut(text)))
 
     def encode(self, text: str) -> bytes:
         """The ids as unsigned 32-bit numbers, little-endian."""
-        if self.special.search(text):
+        if self._odd(text):
             return array("I", self._encode(text)).tobytes()
         return b"".join(map(self.ids.__getitem__, self.cut(text)))
 
 
-KNOWN = 0x20000  # code points that are compared; texts with others go to the library
+#: Code points below FAR are compared at start-up, those below KNOWN once one is met; texts with others go to the library.
+FAR, KNOWN = 0x3000, 0x20000
 
 
-@lru_cache(maxsize=1)
-def _differing() -> str:
+@lru_cache(maxsize=4)
+def _differing(start: int, stop: int) -> str:
     """The code points that the library and PRE_TOKEN take for different kinds, as ranges of a pattern.
 
     A letter joins a letter before it, a digit a digit, any other sign a sign, and white space none: three lines of text
     for each code point, cut by the library in one call.
     """
-    points = [p for p in range(KNOWN) if not 0xD800 <= p < 0xE000 and p not in (10, 13)]
+    points = [p for p in range(start, stop) if not 0xD800 <= p < 0xE000 and p not in (10, 13)]
     every = "".join(map(chr, points))
     kinds = {"a": set(regex.findall(r"\p{L}", every)), "1": set(regex.findall(r"\p{N}", every)), "!": set(regex.findall(rf"[^{SPACE}\p{{L}}\p{{N}}]", every))}
     library, differ = ByteLevel(add_prefix_space=False, use_regex=True), set()
@@ -139,7 +152,7 @@ def _differing() -> str:
             out[-1][1] = p
         else:
             out.append([p, p])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in [*out, [KNOWN, 0x10FFFF]])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
 
 
 def _byte_letters() -> dict[int, str]:
