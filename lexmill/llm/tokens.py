@@ -61,10 +61,12 @@ class Counter:
         assert (step.get("type"), step.get("add_prefix_space"), spec["normalizer"]) == ("ByteLevel", False, None), "byte-level BPE without normalizer is expected"
         self.cut = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
         self.pre = regex.compile(PRE_TOKEN.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")).findall
-        added = [re.escape(x["content"]) for x in spec["added_tokens"]]
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
         near = _differing(0, FAR)
-        self.special = re.compile("|".join([*added, f"[{near}\\U{KNOWN:08x}-\\U0010ffff]"]))
-        self.unusual = re.compile("|".join([*added, f"[{near}\\U{FAR:08x}-\\U0010ffff]"]))
+        # Patterns of their own: a search for fixed strings, or for one set of characters, is much faster than for either.
+        self.differing = re.compile(f"[{near}\\U{KNOWN:08x}-\\U0010ffff]")
+        self.unusual = re.compile(f"[{near}\\U{FAR:08x}-\\U0010ffff]")
+        self.plain = not self.differing.search("".join(map(chr, range(0x100))))
         self.whole: dict[str, int] = self._proven(spec)
         self.counts, self.ids = Pieces(self._count), Pieces(self._ids)
 
@@ -107,9 +109,17 @@ class Counter:
 
     def _odd(self, text: str) -> bool:
         """Whether the text must go to the library whole."""
+        if self.special.search(text):
+            return True
+        if self.plain:
+            try:
+                text.encode("latin-1")
+                return False
+            except UnicodeEncodeError:
+                pass
         if not self.unusual.search(text):
             return False
-        if self.special.search(text):
+        if self.differing.search(text):
             return True
         far = _differing(FAR, KNOWN)
         return bool(far) and re.search(f"[{far}]", text) is not None
