@@ -39,7 +39,19 @@ def matched(a: Sequence, b: Sequence) -> int:
 
 
 def _similar(a: str, b: str) -> float:
-    return 2.0 * matched(a, b) / (len(a) + len(b)) if a or b else 1.0
+    return 1.0 if a == b else 2.0 * matched(a, b) / (len(a) + len(b))
+
+
+def lenient(a: str, b: str) -> float:
+    """Edits in which a vowel replaces another at a quarter."""
+    row = [float(j) for j in range(len(b) + 1)]
+    for i, x in enumerate(a):
+        soft, left, new = x in "aeiouy", i + 1.0, [i + 1.0]
+        for j, y in enumerate(b):
+            left = min(left + 1, row[j + 1] + 1, row[j] + (0.0 if x == y else 0.25 if soft and y in "aeiouy" else 1.0))
+            new.append(left)
+        row = new
+    return row[-1]
 
 
 def align(expected: list[str], actual: list[str]) -> list[tuple[str | None, str | None, str]]:
@@ -86,6 +98,11 @@ def block_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([_similar(x or "", y or "") for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
 
+@F.arrow_udf(K.DoubleType())
+def lenient_edits(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([lenient(x or "", y or "") for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+
 @F.arrow_udf(K.IntegerType())
 def block_matches(a: pa.Array, b: pa.Array) -> pa.Array:
     """How many elements the matching blocks of two arrays hold."""

@@ -8,6 +8,8 @@ each distinct pair, whatever texts it comes from; then each text takes its cheap
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,19 +60,19 @@ def likeness(rows: DataFrame, expected: str, raw: str) -> DataFrame:
     plain = lambda c: F.replace(F.col(c), F.lit("'"), F.lit(""))
     joined = lambda c: F.replace(plain(c), F.lit(" "), F.lit(""))
     ratio = lambda a, b: F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.round(K.block_ratio(a, b), 6))
-    out = rows.withColumns({"__a": joined(expected), "__b": joined(raw), "__s": F.regexp_replace(expected, "[^a-z]|[aeiouy]", ""), "__t": F.regexp_replace(raw, "[^a-z]|[aeiouy]", "")})
-    a, b, s, t = (F.col(c) for c in ("__a", "__b", "__s", "__t"))
-    out = out.withColumns({"boundary": ratio(a, b), "__spaced": ratio(plain(expected), plain(raw)), "__bones": ratio(s, t)})
+    only, bones = lambda c: F.regexp_replace(c, "[^a-z]", ""), lambda c: F.regexp_replace(c, "[^a-z]|[aeiouy]", "")
+    out = rows.withColumns({"__a": joined(expected), "__b": joined(raw), "__s": bones(expected), "__t": bones(raw), "__x": only(expected), "__y": only(raw)})
+    a, b, s, t, x, y = (F.col(c) for c in ("__a", "__b", "__s", "__t", "__x", "__y"))
+    out = out.withColumns({"boundary": ratio(a, b), "__spaced": ratio(plain(expected), plain(raw)), "__bones": ratio(s, t), "__edits": K.lenient_edits(x, y)})
     within = D.is_subsequence(D.letters(s), D.letters(t)) | D.is_subsequence(D.letters(t), D.letters(s))
     share = F.least(F.length(s), F.length(t)) / F.greatest(F.length(s), F.length(t))
-    x, y = D.letters(F.regexp_replace(expected, "[^a-z]", "")), D.letters(F.regexp_replace(raw, "[^a-z]", ""))
-    longest = F.greatest(F.size(x), F.size(y))
+    longest = F.greatest(F.length(x), F.length(y))
     return out.withColumns({
         "spelling": F.greatest("__spaced", "boundary"),
         "skeleton": F.when((s == "") & (t == ""), F.greatest("__spaced", "boundary")).when((s == "") | (t == ""), 0.0).when(s == t, 1.0)
             .when(within, F.round(F.greatest(F.col("__bones"), share), 6)).otherwise(F.col("__bones")),
-        "vowels": F.when(longest == 0, 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1 - D.lenient_edits(x, y) / longest), 6)),
-    }).drop("__a", "__b", "__s", "__t", "__spaced", "__bones")
+        "vowels": F.when(longest == 0, 1.0).when((x == "") | (y == ""), 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1 - F.col("__edits") / longest), 6)),
+    }).drop("__a", "__b", "__s", "__t", "__x", "__y", "__spaced", "__bones", "__edits")
 
 
 def with_sounds(rows: DataFrame, expected: str, raw: str, lexicon: DataFrame | None) -> DataFrame:
@@ -200,19 +202,52 @@ def correct_words(
     return easy.unionByName(hard).withColumn("corrected", F.when(F.col("dynamic.accepted"), F.col(expected)).otherwise(F.col(raw)))
 
 
+#: What chunks are compared by: without blanks, as they are, consonants, and with all vowels alike.
+FORMS = ("joined", "plain", "bones", "same")
+
+
 def _chunks(words: Column, at: str, size: str, text: str) -> Column:
-    """All runs of one to three words: struct(place, size, text)."""
-    runs = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size(words) - i)), lambda k: F.struct(i.alias(at), k.alias(size), F.array_join(F.slice(words, i + 1, k), " ").alias(text)))
+    """All runs of one to three words: struct(place, size, text) and the forms of the text, made once for all that it meets."""
+
+    def run(i: Column, k: Column) -> Column:
+        t = F.array_join(F.slice(words, i + 1, k), " ")
+        only = F.regexp_replace(t, "[^a-z]", "")
+        forms = (F.regexp_replace(t, "[ ']", ""), F.replace(t, F.lit("'"), F.lit("")), F.regexp_replace(only, "[aeiouy]", ""), F.regexp_replace(only, "[aeiouy]", "a"))
+        return F.struct(i.alias(at), k.alias(size), t.alias(text), *[f.alias(f"{text}_{n}") for f, n in zip(forms, FORMS, strict=True)])
+
+    runs = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size(words) - i)), lambda k: run(i, k))
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - 1), runs))
 
 
-def _worth(e: Column, r: Column, gop: Column) -> Column:
-    """Whether a pair of chunks can be anything but wrong. Matching blocks are never more than edits leave, so these bounds keep all that is."""
-    vowel, joined = "[aeiouy]", lambda c: F.regexp_replace(c, "[ ']", "")
-    plain, bones, same = lambda c: F.replace(c, F.lit("'"), F.lit("")), lambda c: F.regexp_replace(c, "[^a-z]|[aeiouy]", ""), lambda c: F.regexp_replace(F.regexp_replace(c, "[^a-z]", ""), vowel, "a")
-    near = lambda a, b: F.levenshtein(a, b) <= (1 - COMPARED) * (F.length(a) + F.length(b)) + 1e-9
-    by_vowels = F.levenshtein(same(e), same(r)) <= (1 - COMPARED) * F.greatest(F.length(same(e)), F.length(same(r))) + 1e-9
-    return (e == r) | near(joined(e), joined(r)) | near(plain(e), plain(r)) | near(bones(e), bones(r)) | by_vowels | F.coalesce(gop >= CLEAR, F.lit(False))
+def _worth(cells: DataFrame) -> DataFrame:
+    """Adds worth: whether a pair of chunks can be anything but wrong, by bounds that keep all that is.
+
+    Matching blocks are never more than edits leave, and a vowel's quarter is more than nothing. Single words may have
+    sounds that speak for them, so they stay if they would be compared at all; others must reach a partial match.
+    """
+
+    def most(form: str, of: Callable[[Column, Column], Column]) -> Column:
+        a, b = F.col(f"e_{form}"), F.col(f"r_{form}")
+        longest = of(F.length(a), F.length(b))
+        return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
+
+    total = lambda a, b: a + b
+    start = {c: F.col(c) for c in ("e", "r", "gop", "k", "l", "e_bones", "r_bones")} | {"boundary": most("joined", total), "spaced": most("plain", total), "bones": most("bones", total), "vowels": most("same", F.greatest)}
+
+    def judged(get: Get) -> dict[str, Column]:
+        spelling = F.greatest(get("spaced"), get("boundary"))
+        skeleton = F.greatest(get("bones"), F.when((get("e_bones") == "") & (get("r_bones") == ""), spelling).otherwise(0.0))
+        held = F.when(get("gop").isNotNull(), 0.10).otherwise(0.0)
+        rest = 0.15 * get("vowels") + 0.05 + held * F.coalesce(get("gop"), F.lit(0.0))
+        apart, alike = (0.28 * get("boundary") + 0.17 * skeleton + rest) / (0.65 + held), (0.25 * spelling + 0.15 * skeleton + rest) / (0.60 + held)
+        single, slack = (get("k") == 1) & (get("l") == 1), 1e-6
+        stays = (
+            F.when(single, F.greatest(spelling, skeleton, get("vowels")) >= COMPARED - slack).when(get("k") != get("l"), (get("boundary") >= BOUNDARY - slack) | (apart >= PARTIAL - slack))
+            .otherwise(alike >= PARTIAL - slack)
+        )
+        return {"stays": stays | (get("e") == get("r")) | F.coalesce(get("gop") >= CLEAR, F.lit(False))}
+
+    return cells.withColumn("worth", staged(start, judged)["stays"])
 
 
 PAIR = ("e", "r", "k", "l", "kind", "gop")
@@ -300,14 +335,16 @@ def align_chunks(
     )
     some = F.filter(F.transform(F.split("e", " "), lambda w: F.element_at("scores", w)), lambda x: x.isNotNull())
     gop = F.when(F.col("scores").isNotNull() & (F.size(some) > 0), F.aggregate(some, F.lit(0.0), lambda a, x: a + x) / F.size(some))
-    spread = lambda df, column, *names: df.select("*", F.explode(_chunks(F.col(column), *names)).alias("__c")).select("*", "__c.*").drop("__c")
-    full = form.where((F.size("own") > 0) & (F.size("met") > 0))
+    # Both sides' chunks are made once a text; what meets then is only forms of chunks.
+    full = form.where((F.size("own") > 0) & (F.size("met") > 0)).select("__key", "kind", "scores", _chunks(F.col("own"), "i", "k", "e").alias("__l"), _chunks(F.col("met"), "j", "l", "r").alias("__r"))
+    left = full.select("__key", "kind", "scores", "__r", F.explode("__l").alias("__c")).select("__key", "kind", "scores", "__r", "__c.*").withColumn("gop", gop).drop("scores")
     sizes = F.array(*[F.lit(10 * k + n) for k, n in SIZES])
-    cells = spread(spread(full, "own", "i", "k", "e"), "met", "j", "l", "r").where(F.array_contains(sizes, F.col("k") * 10 + F.col("l"))).withColumn("gop", gop)
-    near = cells.where(_worth(F.col("e"), F.col("r"), F.col("gop")))
+    cells = left.withColumn("__c", F.explode("__r")).drop("__r").select("*", "__c.*").drop("__c").where(F.array_contains(sizes, F.col("k") * 10 + F.col("l")))
+    cells = _worth(cells)
+    near = cells.where("worth")
     if learned is not None:
         pairs = learned.select(T.for_scoring("expected").alias("e"), T.for_scoring("raw").alias("r")).distinct()
-        near = near.unionByName(cells.where("k = 1 and l = 1").where(~_worth(F.col("e"), F.col("r"), F.col("gop"))).join(pairs, ["e", "r"], "left_semi").select(*near.columns))
+        near = near.unionByName(cells.where("k = 1 and l = 1 and not worth").join(pairs, ["e", "r"], "left_semi").select(*near.columns))
     near = near.select("__key", "i", "j", *PAIR)
     priced = cost(score_chunks(near.select(*PAIR).distinct(), lexicon, learned)).select(*PAIR, "price")
     steps = _met(near, priced, PAIR).groupBy("__key").agg(F.collect_list(F.struct("i", "j", "k", "l", "price")).alias("steps"))

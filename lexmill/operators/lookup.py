@@ -22,16 +22,35 @@ def missing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return gone.join(right.select(F.lit(1).alias("__any")).limit(1), how="left_semi", on=F.lit(True))
 
 
+#: Rules that are sent to every task; more of them are met by key.
+RULES = 10_000
+
+
+def _few(rules: DataFrame) -> bool:
+    return rules.limit(RULES + 1).count() <= RULES
+
+
 def band(rows: DataFrame, score: str, bands: DataFrame) -> DataFrame:
-    """Adds the band whose inclusive limits hold the score; bands is a rule table of a handful of rows."""
-    return rows.join(bands, F.col(score).between(F.col("least"), F.col("most")), "left")
+    """Adds the band whose inclusive limits hold the score; rows without one stay.
+
+    Up to RULES bands go to every task. More are cut into steps of about a band's width, and rows meet them by their step,
+    so the rows are never the side that is sent out.
+    """
+    if _few(bands):
+        return rows.join(F.broadcast(bands), F.col(score).between(F.col("least"), F.col("most")), "left")
+    wide = bands.agg(F.avg(F.col("most") - F.col("least"))).first()[0] or 0.0
+    step = lambda c: F.floor(c / F.lit(wide if wide > 0 else 1.0))
+    cut = bands.where("least <= most").withColumn("__step", F.explode(F.sequence(step(F.col("least")), step(F.col("most")))))
+    met = rows.withColumn("__at", step(F.col(score))).join(cut, (F.col("__at") == F.col("__step")) & F.col(score).between(F.col("least"), F.col("most")), "left")
+    return met.drop("__at", "__step")
 
 
 def wildcard(rows: DataFrame, rules: DataFrame, exact: str, loose: str, any_: str = "ANY", key: str = "id") -> DataFrame:
-    """The rule for (exact, loose), else the one for (exact, any). rules: exact, rule_<loose>, outcome."""
+    """The rule for (exact, loose), else the one for (exact, any). rules: exact, rule_<loose>, outcome. Up to RULES of them go to every task."""
+    sent = F.broadcast if _few(rules) else lambda df: df
     specific = rules.select(exact, F.col(f"rule_{loose}").alias(loose), F.col("outcome").alias("own"))
     general = rules.where(F.col(f"rule_{loose}") == any_).select(exact, F.col("outcome").alias("fallback"))
-    met = rows.join(specific, [exact, loose], "left").join(general, exact, "left")
+    met = rows.join(sent(specific), [exact, loose], "left").join(sent(general), exact, "left")
     return met.withColumn("outcome", F.coalesce("own", "fallback")).drop("own", "fallback")
 
 

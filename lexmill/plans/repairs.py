@@ -11,13 +11,15 @@ from lexmill.plans.common import Registry, table
 R = Registry()
 
 
-def clauses(spark, d) -> DataFrame:
-    """(conv_id, turn, nth, expected, raw): the clauses of all turns, and as they may be heard: vowels mistaken, words run together, split or lost."""
-    turns = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", r"[.,\n]+")).alias("nth", "expected"))
-    raw = F.col("expected")
-    for heard, instead in (("ea", "ee"), (" of ", " of"), ("tion", "ti on"), (" and ", " "), ("st", "s")):
+def readings(spark, d) -> DataFrame:
+    """(id, expected, raw): the names of two parts in a row, and as they may be heard: vowels mistaken, words run together, split or cut short."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"))
+    after = part.select((F.col("id") - 1).alias("id"), F.col("name").alias("other"))
+    own = F.concat_ws(" ", "name", "other")
+    raw = own
+    for heard, instead in (("ea", "ee"), (" b", "b"), ("iz", "i z"), ("ll", "l"), ("dg", "g"), ("hot ", "")):
         raw = F.replace(raw, F.lit(heard), F.lit(instead))
-    return turns.withColumn("raw", raw)
+    return part.join(after, "id").select("id", own.alias("expected"), raw.alias("raw"))
 
 
 def lexicon(spark, d) -> DataFrame:
@@ -29,13 +31,13 @@ def lexicon(spark, d) -> DataFrame:
 
 @R.add()
 def align_chunks(spark, d):
-    out = Y.align_chunks(clauses(spark, d), ["conv_id", "turn", "nth"])
-    return out.select("conv_id", "turn", "nth", "chunk", "within", "expected_word", "recognized_word", "operation", "status", "correct", "confidence")
+    out = Y.align_chunks(readings(spark, d), ["id"], lexicon(spark, d))
+    return out.select("id", "chunk", "within", "expected_word", "recognized_word", "operation", "status", "correct", "confidence")
 
 
 @R.add()
 def align_chunk_summary(spark, d):
-    return Y.summary(Y.align_chunks(clauses(spark, d), ["conv_id", "turn", "nth"]), ["conv_id", "turn"])
+    return Y.summary(Y.align_chunks(readings(spark, d), ["id"], lexicon(spark, d)), ["id"])
 
 
 def prompts(spark, d) -> DataFrame:
