@@ -52,11 +52,14 @@ NEED = 6
 STOP = re.compile(r"[=:\"'`#</>]")
 STOP_LINES = re.compile(r"[\n=:\"'`#</>]")
 TOKEN = re.compile(
-    r"""(?P<line>\n[ \t]*(?=[^\s]))|(?P<compare>={2,3}|[<>]=(?!>)|<=>|::)|(?P<sign>:=|=>|[=:])|(?P<triple>\"{3}|'{3})"""
+    r"""(?P<line>\n[ \t]*(?=[^\s]))|(?P<compare>={2,3}|[<>]=(?!>)|<=>|::)|(?P<sign>:=|=>|[=:])|(?P<triple>\"{3}|'{3})|(?P<fence>`{3,})"""
     r"""|(?P<quote>["'`])|(?P<comment>(?<![^\s;{}()])(?:\#|//)|/\*|<!--)|(?P<close></[A-Za-z_][\w:.-]*)|(?P<open><[A-Za-z_][\w:.-]*)|(?P<angle>>)"""
 )
 CLOSERS = {"/*": "*/", "<!--": "-->"}
 QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`", re.DOTALL)
+#: A backtick opens a string over several lines only behind one of these; elsewhere it closes in its line. Three are a fence.
+TEMPLATE = frozenset("=:([{,+?>")
+INLINE = re.compile(r"`([^`\n]*)`")
 PREFIX = re.compile(r"(?:[rRbBuUfF]{1,2}|[@$L])(?=[\"'`])")
 JOIN = re.compile(r"[ \t]*(?:\+|\\\n|\.)?[ \t]*(?=[\"'`])")
 BARE = re.compile(r"(?:[^\s,;#\"'`(){}\[\]<>|&]|(?<=[^\s])\#|&(?![A-Za-z_][\w.-]*=))+")
@@ -144,16 +147,26 @@ class Lexer:
             end = self.closing(mark, at + 3, mark)
             return (at + 3, end, end + 3) if end >= 0 else None
         mark = mark[:1]
-        if not mark or mark not in "\"'`" or at < self.unclosed.get(mark, -1):
+        if not mark or mark not in "\"'`" or self.text.startswith("```", at):
             return None
-        m = QUOTED.match(self.text, at)
+        kind, pattern = mark, QUOTED
+        if mark == "`" and not self.opens_template(at):
+            kind, pattern = "inline", INLINE
+        if at < self.unclosed.get(kind, -1):
+            return None
+        m = pattern.match(self.text, at)
         if not m:
             # No quote closes it in this line, so none closes a later one there.
-            end = self.text.find("\n", at) if mark != "`" else -1
-            self.unclosed[mark] = end if end >= 0 else len(self.text)
+            end = self.text.find("\n", at) if kind != "`" else -1
+            self.unclosed[kind] = end if end >= 0 else len(self.text)
             return None
         return at + 1, m.end() - 1, m.end()
 
+    def opens_template(self, at: int) -> bool:
+        while at and self.text[at - 1] in " \t":
+            at -= 1
+        return at > 0 and self.text[at - 1] in TEMPLATE
+
     def name(self, sign: int) -> str | None:
         """The name left of a sign."""
         text, at = self.text, sign
@@ -267,7 +280,8 @@ class Lexer:
             elif kind in ("quote", "triple"):
                 before = text[m.start() - 1] if m.start() else " "
                 apostrophe = m[0] == "'" and before.isalnum() and not PREFIX.match(text, m.start() - 1)
-                got = None if apostrophe else self.quoted(m.start())
+                inch = m[0] == '"' and before.isdigit()
+                got = None if apostrophe or inch else self.quoted(m.start())
                 if got:
                     self.string = (m.start(), got[2], got[0], got[1])
                     at = got[2]

@@ -179,8 +179,18 @@ def test_secret_lexing_against_generated_programs():
         assert sorted(set(want)) == [s for s in secrets.spans(text)[1] if s[0] == "literal"], text
 
 
+def test_fences_backticks_and_inch_marks():
+    held = f'db_pwd = "{SECRET}"'
+    for text in (
+        f"Text:\n```python\n{held}\n```\nmore", f"a ` stray\n\n{held}\n\nand ` another", f'5" pipe, {held}', f"db_pwd = `{SECRET}`", f"use `x` and {held}", f"```\n``` {held}", f"`````{held}",
+        f"print(`{{a}}\n{{b}}`)\n{held}",
+    ):
+        assert literals(text) == [SECRET], text
+    assert literals(f"`{held}`") == [] and literals(f"x = `\n{held}\n`") == []
+
+
 def test_scans_take_time_in_proportion():
-    for unit in ("a=", "token=", '"\\', "/*", "a:b[", "<a>", "`", 'a="', "&a", "\n def f: ", "a@b.c ", "1.1", "+1 (", "account", "a://b:c@d "):
+    for unit in ("a=", "token=", '"\\', "/*", "a:b[", "<a>", "`", "a`", "=`", "```", "=` \n", '5"', 'a="', "&a", "\n def f: ", "a@b.c ", "1.1", "+1 (", "account", "a://b:c@d "):
         for scan in (secrets.spans, pii.spans):
             seconds = []
             for size in (100_000, 800_000):
