@@ -39,6 +39,16 @@ def reasons(terms: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(holds, name) for name, holds in terms.items()]))
 
 
+def leading(items: DataFrame, alike: list[str], item: str, top: int) -> DataFrame:
+    """The first ``top`` items, by item, of each group that agrees in the columns ``alike``.
+
+    Where the terms read nothing else of an item, all of a group score the same for any learner and ties go by item, so the
+    rest can never be among a learner's top: learners meet groups, whose number their values bound, and not all items.
+    """
+    place = F.row_number().over(Window.partitionBy(*alike).orderBy(item))
+    return items.withColumn("__nth", place).where(F.col("__nth") <= top).drop("__nth")
+
+
 def recommended(learners: DataFrame, items: DataFrame, on: list[str], learner: str, item: str, terms: dict[str, Column], top: int) -> DataFrame:
     """The top items of each learner, highest score first, ties by item, with the reasons of those that are left.
 

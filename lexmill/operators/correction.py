@@ -77,14 +77,14 @@ def _letter_code(compact: Column) -> Column:
 
 
 def lattice(letter: Column, compact: Column) -> Column:
-    """How far what was heard may be a letter's name: 0.93 as a listed form, 0.90 by an equal code, else likeness up to 0.80.
+    """How far what was heard may be a letter's name: 0.98 as one of its names, 0.93 as another listed form, 0.90 by an equal code, else likeness up to 0.80.
 
     The level for equal consonants with a similar vowel tail (0.88) is not apart: each onset that it allows with a tail
     is the code of a listed form already, so 0.90 decides first.
     """
     forms = F.concat(_lists(SPOKEN, letter), _lists(HEARD_AS, letter))
     nearest = F.array_max(F.transform(forms, lambda v: 1 - F.levenshtein(compact, v) / F.greatest(F.length(compact), F.length(v))))
-    level = F.when(F.array_contains(_lists(HEARD_AS, letter), compact), 0.93).when(F.array_contains(F.transform(forms, _letter_code), _letter_code(compact)), 0.90)
+    level = F.when(F.array_contains(_lists(SPOKEN, letter), compact), 0.98).when(F.array_contains(_lists(HEARD_AS, letter), compact), 0.93).when(F.array_contains(F.transform(forms, _letter_code), _letter_code(compact)), 0.90)
     return F.when(compact == "", 0.0).otherwise(F.coalesce(level, F.least(F.lit(0.80), nearest), F.lit(0.0)))
 
 

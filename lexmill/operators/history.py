@@ -1,14 +1,15 @@
 """Ordered attempts of learners: streaks, recent frames, focus, difficulty. Columns: learner, at, seq, correct, skill.
 
 correct is true, false or null (not assessed). The order is (at, seq). Recent frames rank rows by a window with a bound on
-its rank, which Spark applies before the shuffle; streaks compare with the last break, an aggregate. So a learner with a
-third of all rows is reduced where the rows lie.
+its rank, which Spark applies before the shuffle; streaks compare with the last break, an aggregate; gaps and runs are found
+within parts of the time and joined at their edges. So a learner with a third of all rows is never sorted in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 LEVELS = ("easy", "medium", "hard")
 
@@ -72,18 +73,69 @@ def difficulty(summaries: DataFrame, level: str = "level") -> DataFrame:
     return summaries.withColumns({"next_level": F.element_at(levels, at), "hint": hint})
 
 
+#: Parts that all instants are cut into at most; a learner has one small row of edges for each.
+PARTS = 4096
+
+
+def _parted(rows: DataFrame) -> DataFrame:
+    """Adds __part: how many of the cuts, at even shares of all instants, are no later than the row's.
+
+    A part holds about its share of all rows, so no learner has more than that in one, however many rows are theirs; only
+    rows of one instant stay together. The cuts are constants of the plan: a task that is run again cuts as before.
+    """
+    numeric = isinstance(rows.schema["at"].dataType, NumericType)
+    instant = F.col("at").cast("long") if numeric else F.unix_micros(F.col("at").cast("timestamp"))
+    n = max(2, min(PARTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cuts = sorted(set(rows.agg(F.percentile_approx(instant, [i / n for i in range(1, n)], 4 * PARTS)).first()[0] or []))
+    bounds = F.expr(f"array({', '.join(f'{c}L' for c in cuts)})")
+    # A binary search: each step goes ahead where the cut before it is passed.
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))]).cast("array<int>")
+    return rows.withColumn("__part", F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= instant, at + step).otherwise(at)))
+
+
 def pauses(segments: DataFrame, least: float = 1.0) -> DataFrame:
-    """(learner, gaps, long_gaps, longest, total) of seconds between consecutive rows."""
-    micros = F.unix_micros(F.col("at").cast("timestamp"))
-    gap = micros - F.lag(micros).over(Window.partitionBy("learner").orderBy("at", "seq"))
-    g = segments.withColumn("gap", gap / 1e6).where("gap is not null")
-    return g.groupBy("learner").agg(F.count("*").alias("gaps"), F.count_if(F.col("gap") >= least).alias("long_gaps"), F.round(F.max("gap"), 3).alias("longest"), F.round(F.sum("gap"), 3).alias("total"))
+    """(learner, gaps, long_gaps, longest, total) of seconds between consecutive rows; learners of one row have none.
+
+    Gaps within a part are taken there, those between parts from the edges.
+    """
+    at = F.struct("at", "seq")
+    rows = _parted(segments.select("learner", "at", "seq")).withColumn("__us", F.unix_micros(F.col("at").cast("timestamp")))
+    gap = F.col("__us") - F.lag("__us").over(Window.partitionBy("learner", "__part").orderBy("at", "seq"))
+    is_long = lambda c: F.count_if(F.col(c) / 1e6 >= least)
+    ends = rows.withColumn("gap", gap).groupBy("learner", "__part").agg(
+        F.count("gap").alias("n"), is_long("gap").alias("long"), F.max("gap").alias("longest"), F.sum("gap").alias("total"),
+        F.min_by("__us", at).alias("first"), F.max_by("__us", at).alias("last"),
+    )
+    edges = ends.withColumn("edge", F.col("first") - F.lag("last").over(Window.partitionBy("learner").orderBy("__part")))
+    summed = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return edges.groupBy("learner").agg(
+        (F.sum("n") + F.count("edge")).alias("gaps"), (F.sum("long") + is_long("edge")).alias("long_gaps"),
+        F.round(F.greatest(F.max("longest"), F.max("edge")) / 1e6, 3).alias("longest"), F.round((summed("total") + summed("edge")) / 1e6, 3).alias("total"),
+    ).where(F.col("gaps") > 0)
 
 
 def islands(rows: DataFrame, least: int = 2) -> DataFrame:
-    """(learner, island, correct, length): runs of equal outcomes of at least ``least`` rows."""
-    w = Window.partitionBy("learner").orderBy("at", "seq")
+    """(learner, island, correct, length): runs of equal outcomes of at least ``least`` rows; null is an outcome too.
+
+    Runs are found within parts and numbered on from the parts before; the ends of a run that crosses parts get one number.
+    """
+    w = Window.partitionBy("learner", "__part").orderBy("at", "seq")
     change = F.when(F.col("correct").eqNullSafe(F.lag("correct").over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    marked = rows.withColumn("change", change).withColumn("island", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = marked.groupBy("learner", "island").agg(F.first("correct").alias("correct"), F.count("*").alias("length"))
-    return runs.where(F.col("length") >= least)
+    marked = _parted(rows.select("learner", "at", "seq", "correct")).withColumn("change", change).withColumn("run", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = marked.groupBy("learner", "__part", "run").agg(F.first("correct").alias("correct"), F.count("*").alias("rows"))
+    at = F.struct("at", "seq")
+    ends = marked.groupBy("learner", "__part").agg(F.max("run").alias("n"), F.min_by("correct", at).alias("first"), F.max_by("correct", at).alias("last"))
+    by = Window.partitionBy("learner").orderBy("__part")
+    fresh = F.when(F.col("first").eqNullSafe(F.lag("last").over(by)) & (F.row_number().over(by) > 1), 0).otherwise(1)
+    before = F.coalesce(F.sum(F.col("n") - 1 + F.col("fresh")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = ends.withColumn("fresh", fresh).select(F.col("learner").alias("__learner"), F.col("__part").alias("__at"), (before + F.col("fresh") - 1).alias("shift"))
+    met = runs.join(shifts, F.col("learner").eqNullSafe(F.col("__learner")) & (F.col("__part") == F.col("__at")))
+    whole = met.groupBy("learner", (F.col("run") + F.col("shift")).alias("island")).agg(F.first("correct").alias("correct"), F.sum("rows").alias("length"))
+    return whole.where(F.col("length") >= least)
+
+
+def appended(history: DataFrame, current: DataFrame) -> DataFrame:
+    """The summary, after their current attempts, of the learners who made one; others are left out before anything is shuffled."""
+    columns = ["learner", "at", "seq", "correct", "skill"]
+    earlier = history.select(*columns).join(current.select("learner").distinct(), "learner", "left_semi")
+    return summary(earlier.unionByName(current.select(*columns)))

@@ -71,6 +71,21 @@ def history_islands(spark, d):
     return H.islands(attempts(spark, d)).withColumn("correct", F.coalesce(F.col("correct").cast("string"), F.lit("none")))
 
 
+@R.add("""WITH tried AS (SELECT user_id AS learner, ts AS tm, event_id AS seq, event_type AS skill, CASE WHEN event_type IN ('purchase', 'signup') THEN true WHEN event_type IN ('error', 'click') THEN false END AS correct FROM events WHERE user_id IN (SELECT o_custkey FROM orders)
+    UNION ALL SELECT o_custkey, o_orderdate + INTERVAL 10000 DAY, o_orderkey, o_orderpriority, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END FROM orders),
+    latest AS (SELECT *, row_number() OVER (PARTITION BY learner ORDER BY tm DESC, seq DESC) AS rn FROM tried),
+    lengths AS (SELECT learner, coalesce(min(CASE WHEN correct IS DISTINCT FROM true THEN rn END), max(rn) + 1) - 1 AS correct_streak, coalesce(min(CASE WHEN correct IS DISTINCT FROM false THEN rn END), max(rn) + 1) - 1 AS wrong_streak FROM latest GROUP BY learner)
+    SELECT learner, count(*) AS attempts, count(*) FILTER (correct) AS right, count(*) FILTER (NOT correct) AS wrong, round(count(*) FILTER (correct) / count(*), 3) AS accuracy, max(CASE WHEN rn = 1 THEN skill END) AS latest_skill,
+        coalesce(round(avg(CASE WHEN rn <= 5 THEN CAST(correct AS INTEGER) END), 3), 0) AS recent_accuracy, count(CASE WHEN rn <= 5 THEN correct END) AS assessed, any_value(correct_streak) AS correct_streak, any_value(wrong_streak) AS wrong_streak
+    FROM latest JOIN lengths USING (learner) GROUP BY learner""")
+def history_appended(spark, d):
+    """Orders as the current attempts of their customers, after the events that are their history."""
+    right = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False)
+    at = (F.col("o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL '10000' DAY")).alias("at")
+    current = table(spark, d, "orders").select(F.col("o_custkey").alias("learner"), at, F.col("o_orderkey").alias("seq"), right.alias("correct"), F.col("o_orderpriority").alias("skill"))
+    return H.appended(attempts(spark, d).withColumn("at", F.col("at").cast("timestamp_ntz")), current)
+
+
 @R.add(f"""WITH {ATTEMPTS}, r AS (SELECT learner, array_to_string(list_sort(list(DISTINCT prompt)), ',') AS recent_prompts FROM latest WHERE rn <= 3 GROUP BY learner) SELECT learner, recent_prompts FROM r""")
 def history_recent_prompts(spark, d):
     return H.recent(attempts(spark, d), 3).groupBy("learner").agg(F.array_join(F.sort_array(F.collect_set("prompt")).cast("array<string>"), ",").alias("recent_prompts"))
@@ -85,10 +100,12 @@ def history_recent_prompts(spark, d):
     SELECT learner, item, score, reasons, place FROM r WHERE place <= 3""")
 def recommend_top_items(spark, d):
     learners = table(spark, d, "customer").select(F.col("c_custkey").alias("learner"), F.col("c_nationkey").alias("module"), "c_acctbal")
-    items = table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int").alias("module"), "p_size", "p_type", "p_name")
+    name = F.col("p_name").startswith("small").alias("small")
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.regexp_extract("p_brand", "([0-9]+)", 1).cast("int").alias("module"), "p_size", "p_type", name)
+    items = C.leading(items.withColumn("turn", F.col("item") % 5), ["module", "p_size", "p_type", "small", "turn"], "item", 3)
     terms = {
-        "focus": F.col("p_type") == "PROMO", "skill": F.col("p_name").startswith("small"), "difficulty": (F.col("p_size") <= 20) == (F.col("c_acctbal") < 3000),
-        "active": F.col("p_size") < 45, "review": F.col("p_size") % 7 == 0, "fresh": (F.col("learner") + F.col("item")) % 5 != 0, "module": F.lit(True),
+        "focus": F.col("p_type") == "PROMO", "skill": F.col("small"), "difficulty": (F.col("p_size") <= 20) == (F.col("c_acctbal") < 3000),
+        "active": F.col("p_size") < 45, "review": F.col("p_size") % 7 == 0, "fresh": (F.col("learner") + F.col("turn")) % 5 != 0, "module": F.lit(True),
         "phoneme": (F.col("learner") + F.col("p_size")) % 6 == 0, "position": F.col("p_size") % 4 == F.col("learner") % 4, "activity": (F.col("learner") + F.col("p_size")) % 3 == 0, "mastery": F.col("p_size") == 50,
     }
     got = C.recommended(learners, items, ["module"], "learner", "item", terms, 3)

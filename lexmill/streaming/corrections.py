@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -73,3 +74,62 @@ def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def stream_of(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
+
+
+#: What a learner's summary is made of: counts, the last rows with (at in microseconds, seq, outcome, skill), both streaks.
+RECENT = 5
+SUMMARY = "learner long, attempts long, right long, wrong long, late long, latest_skill string, recent_right long, assessed long, correct_streak long, wrong_streak long"
+
+
+def _folded(told: dict, rows: list) -> dict:
+    """A learner's figures after some rows in order, each [at, seq, outcome, skill]; the given ones stay as they are."""
+    out = {**told, "last": list(told["last"])}
+    for row in rows:
+        outcome = row[2]
+        out["attempts"] += 1
+        out["right"] += outcome is True
+        out["wrong"] += outcome is False
+        out["correct_streak"] = out["correct_streak"] + 1 if outcome is True else 0
+        out["wrong_streak"] = out["wrong_streak"] + 1 if outcome is False else 0
+        out["last"] = [*out["last"], row][-RECENT:]
+    return out
+
+
+def running_summary(attempts: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Each learner's history summed up again after each batch that brings an attempt of theirs; columns as ``summary`` has.
+
+    attempts: learner long, at timestamp, seq long, correct boolean, skill string. Rows may come out of order within the
+    delay: those the watermark has not passed are held and put in order, earlier ones are folded into counts, streaks and
+    the last five. A row later than that still counts in the totals and in ``late``, but moves neither streaks nor recents,
+    since what came after it is no longer held. A learner's state is thus bounded by what they do within the delay.
+    """
+    empty = {"attempts": 0, "right": 0, "wrong": 0, "correct_streak": 0, "wrong_streak": 0, "last": []}
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        told, held, late = json.loads(state.get[0]) if state.exists else (empty, [], 0)
+        passed = state.getCurrentWatermarkMs() * 1000
+        for frame in frames:
+            # A column with nulls is of objects, one without of booleans; None stays None either way.
+            for at, seq, outcome, skill in zip(frame["us"].tolist(), frame["seq"].tolist(), frame["correct"].astype(object).tolist(), frame["skill"].tolist(), strict=True):
+                if at < passed:
+                    late += 1
+                    told = {**told, "attempts": told["attempts"] + 1, "right": told["right"] + (outcome is True), "wrong": told["wrong"] + (outcome is False)}
+                else:
+                    held.append([at, seq, outcome, skill])
+        held.sort(key=lambda row: row[:2])
+        told = _folded(told, [row for row in held if row[0] < passed])
+        held = [row for row in held if row[0] >= passed]
+        state.update((json.dumps((told, held, late)),))
+        now = _folded(told, held)
+        last = now["last"]
+        yield pd.DataFrame({
+            "learner": [key[0]], "attempts": [now["attempts"]], "right": [now["right"]], "wrong": [now["wrong"]], "late": [late], "latest_skill": [last[-1][3] if last else None],
+            "recent_right": [sum(row[2] is True for row in last)], "assessed": [sum(row[2] is not None for row in last)], "correct_streak": [now["correct_streak"]], "wrong_streak": [now["wrong_streak"]],
+        })
+
+    timed = attempts.select("learner", "at", F.unix_micros("at").alias("us"), "seq", "correct", "skill").withWatermark("at", delay)
+    figures = timed.groupBy("learner").applyInPandasWithState(step, SUMMARY, "told string", "update", GroupStateTimeout.NoTimeout)
+    recent = F.when(F.col("assessed") > 0, F.round(F.col("recent_right") / F.col("assessed"), 3)).otherwise(0.0)
+    return figures.select(
+        "learner", "attempts", "right", "wrong", F.round(F.col("right") / F.col("attempts"), 3).alias("accuracy"), "latest_skill", recent.alias("recent_accuracy"), "assessed", "correct_streak", "wrong_streak", "late"
+    )
