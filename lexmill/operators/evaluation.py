@@ -9,6 +9,9 @@ from lexmill.functions import distance as D
 from lexmill.functions import kernels
 from lexmill.functions import text as T
 
+#: The phones that are vowels.
+VOWEL_SOUNDS = ("AA", "AE", "AH", "AO", "AW", "AY", "EH", "ER", "EY", "IH", "IY", "OW", "OY", "UH", "UW")
+
 
 def scored(pairs: DataFrame, reference: str = "ref", hypothesis: str = "hyp") -> DataFrame:
     """Adds the scoring forms r and h, wer, cer, exact and similarity of each pair."""
@@ -68,6 +71,32 @@ def short_words(pairs: DataFrame) -> DataFrame:
     )
 
 
+#: The short words that are watched unless others are named.
+KEYWORDS = ("cat", "dog", "sun", "pen", "map", "cup", "hat", "pig", "run", "box")
+
+
+def cvc_words(pairs: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """``short_words`` of words of three letters that sound consonant, vowel, consonant.
+
+    lexicon: word, variant, phones. A word's first pronunciation decides where there is one, its letters where there is none.
+    """
+    named = pairs.withColumn("__w", T.for_scoring("ref")).where(F.col("__w").rlike("^[a-z]{3}$"))
+    by_letters = F.col("__w").rlike("^[^aeiou][aeiou][^aeiou]$")
+    if lexicon is None:
+        return short_words(named.where(by_letters).drop("__w"))
+    first = lexicon.groupBy(F.col("word").alias("__w")).agg(F.min_by("phones", "variant").alias("__p"))
+    kinds = F.transform("__p", lambda p: F.when(F.regexp_replace(p, "[0-9]", "").isin(*VOWEL_SOUNDS), "V").otherwise("C"))
+    by_sound = F.when(F.size("__p") > 0, F.array_join(kinds, "") == "CVC")
+    return short_words(named.join(first, "__w", "left").where(F.coalesce(by_sound, by_letters)).drop("__w", "__p"))
+
+
+def keywords(pairs: DataFrame, words: tuple[str, ...] = KEYWORDS) -> DataFrame:
+    """``short_words`` of references that are one of the words in scoring form."""
+    spark = pairs.sparkSession
+    watched = spark.createDataFrame([(w,) for w in words], "w string").select(T.for_scoring("w").alias("__w")).distinct()
+    return short_words(pairs.join(F.broadcast(watched), T.for_scoring("ref") == F.col("__w"), "left_semi"))
+
+
 def confusions(pairs: DataFrame, n: int = 25) -> DataFrame:
     """The most frequent differing pairs of scoring forms; ties by reference, then hypothesis."""
     s = pairs.select(T.for_scoring("ref").alias("r"), T.for_scoring("hyp").alias("h")).where("r <> h and r <> ''")

@@ -139,3 +139,33 @@ def appended(history: DataFrame, current: DataFrame) -> DataFrame:
     columns = ["learner", "at", "seq", "correct", "skill"]
     earlier = history.select(*columns).join(current.select("learner").distinct(), "learner", "left_semi")
     return summary(earlier.unionByName(current.select(*columns)))
+
+
+#: All levels of difficulty, easiest first.
+SCALE = ("very_easy", "easy", "medium", "hard", "very_hard")
+
+
+def target_levels(summaries: DataFrame, level: str = "level", latest_error: str | None = None) -> DataFrame:
+    """Adds adjustment, targets (levels to draw from, the first one preferred, then its neighbours) and reason.
+
+    Up after three right in a row or at 0.8 of the recent ones, else down after two wrong in a row or below 0.5. Without
+    attempts, the two easiest. After a transcript that was unclear (``latest_error``, a column) the level stays. An unknown
+    level counts as easy.
+    """
+    scale = F.array(*map(F.lit, SCALE))
+    at = F.when(F.col(level).isin(*SCALE), F.array_position(scale, F.col(level)).cast("int") - 1).otherwise(SCALE.index("easy"))
+    unclear = F.col(latest_error).eqNullSafe("unclear_asr") if latest_error else F.lit(False)
+    right, wrong, share = F.coalesce("correct_streak", F.lit(0)), F.coalesce("wrong_streak", F.lit(0)), F.coalesce("recent_accuracy", F.lit(0.0))
+    none = F.coalesce("attempts", F.lit(0)) == 0
+    up = ~none & ~unclear & ((right >= 3) | (share >= 0.8))
+    down = ~none & ~unclear & ~up & ((wrong >= 2) | (share < 0.5))
+    there = F.greatest(F.lit(0), F.least(F.lit(len(SCALE) - 1), at + F.when(up, 1).when(down, -1).otherwise(0)))
+    near = lambda i: F.array_compact(F.array(*[F.get(scale, i + d) for d in (0, -1, 1)]))
+    # A level that was moved to stands first, and again at the head of its neighbours.
+    targets = F.when(none, F.array(*map(F.lit, SCALE[:2]))).when(up | down, F.concat(F.array(F.get(scale, there)), near(there))).otherwise(near(there))
+    reason = (
+        F.when(none, "no_history_baseline").when(unclear, "unclear_asr_retry_before_level_change")
+        .when(up, F.when(right >= 3, F.concat(F.lit("correct_streak_"), right)).otherwise("high_recent_accuracy"))
+        .when(down, F.when(wrong >= 2, F.concat(F.lit("incorrect_streak_"), wrong)).otherwise("low_recent_accuracy")).otherwise("steady_recent_accuracy")
+    )
+    return summaries.withColumns({"adjustment": F.when(up, "increase").when(down, "decrease").otherwise("same"), "targets": targets, "reason": reason})

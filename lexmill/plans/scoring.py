@@ -125,6 +125,22 @@ def report_short_words(spark, d):
     return E.short_words(pairs(spark, d).withColumns({"ref": first(F.col("ref")), "hyp": first(F.col("hyp"))}))
 
 
+@R.add(f"""WITH {PAIRS}, ws AS (SELECT id, split_part(ref, ' ', 1) AS r, split_part(hyp, ' ', 1) AS h FROM pairs), s AS (SELECT *, levenshtein(r, h) / length(r) AS cer FROM ws WHERE regexp_matches(r, '^[^aeiou][aeiou][^aeiou]$'))
+    SELECT count(*) AS rows, coalesce(round(avg(CAST(r = h AS INTEGER)), 6), 0) AS exact_rate, coalesce(round(avg(CAST(h = '' AS INTEGER)), 6), 0) AS blank_rate,
+        coalesce(round(avg(CAST(cer <= 0.4 AND r <> h AS INTEGER)), 6), 0) AS near_rate, coalesce(round(avg(cer), 6), 0) AS cer FROM s""")
+def report_cvc_words(spark, d):
+    first = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    return E.cvc_words(pairs(spark, d).withColumns({"ref": first(F.col("ref")), "hyp": first(F.col("hyp"))}))
+
+
+@R.add(f"""WITH {PAIRS}, ws AS (SELECT id, split_part(ref, ' ', 1) AS r, split_part(hyp, ' ', 1) AS h FROM pairs), s AS (SELECT *, levenshtein(r, h) / length(r) AS cer FROM ws WHERE r IN ('red', 'hot', 'small'))
+    SELECT count(*) AS rows, coalesce(round(avg(CAST(r = h AS INTEGER)), 6), 0) AS exact_rate, coalesce(round(avg(CAST(h = '' AS INTEGER)), 6), 0) AS blank_rate,
+        coalesce(round(avg(CAST(cer <= 0.4 AND r <> h AS INTEGER)), 6), 0) AS near_rate, coalesce(round(avg(cer), 6), 0) AS cer FROM s""")
+def report_keywords(spark, d):
+    first = lambda c: F.split_part(c, F.lit(" "), F.lit(1))
+    return E.keywords(pairs(spark, d).withColumns({"ref": first(F.col("ref")), "hyp": first(F.col("hyp"))}), ("red", "HOT", "small ", "red"))
+
+
 @R.add(f"WITH {FORMS} SELECT r, h, count(*) AS n FROM forms WHERE r <> h AND r <> '' GROUP BY r, h ORDER BY n DESC, r, h LIMIT 25")
 def report_top_confusions(spark, d):
     return E.confusions(pairs(spark, d))

@@ -133,6 +133,36 @@ def objects(spark: SparkSession, path: str, value_schema: str, key: str = "id")
     return whole.select(F.explode("m").alias(key, "v")).select(key, "v.*")
 
 
+#: The fields of an utterance's scores, as ``objects`` reads them.
+UTTERANCE = "struct<text:string, speaker:string, age:string, gender:string, total:double, words:array<struct<text:string, total:double, phones:array<string>, `phones-accuracy`:array<double>, mispronunciations:array<string>>>>"
+
+
+def scored_utterances(rows: DataFrame, audio: DataFrame, details: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """Utterances read by ``objects`` under UTTERANCE, with mean scores, labels as JSON and what they lack.
+
+    Adds word_score and phoneme_score (means to three digits of what is a number, null without any), word_labels and
+    phoneme_labels, row_status (missing_audio, missing_transcript, missing_scores joined by bars, or ok), audio_path and
+    notes. audio: stem, path; the first path of a stem counts. details: the side file's keys, if there is one.
+    """
+    mean = lambda values: F.when(F.size(values) > 0, F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values), 3))
+    words = F.coalesce("words", F.array().cast(rows.schema["words"].dataType))
+    totals = F.array_compact(F.transform(words, lambda w: w["total"]))
+    phones = F.array_compact(F.flatten(F.transform(words, lambda w: F.coalesce(w["phones-accuracy"], F.array().cast("array<double>")))))
+    labels = F.transform(words, lambda w: F.struct(w["text"].alias("word"), w["phones"].alias("phones"), w["phones-accuracy"].alias("phones_accuracy"), F.coalesce(w["mispronunciations"], F.array().cast("array<string>")).alias("mispronunciations")))
+    paths = audio.groupBy(F.col("stem").alias("__stem")).agg(F.min("path").alias("audio_path"))
+    met = rows.join(paths, F.col(key) == F.col("__stem"), "left").drop("__stem")
+    if details is not None:
+        side = details.select(F.col(key).alias("__side")).distinct()
+        met = met.join(side, F.col(key) == F.col("__side"), "left").withColumn("notes", F.when(F.col("__side").isNotNull(), "score_detail_available").otherwise("")).drop("__side")
+    else:
+        met = met.withColumn("notes", F.lit(""))
+    lacks = [("missing_audio", F.col("audio_path").isNull()), ("missing_transcript", F.trim(F.coalesce("text", F.lit(""))) == ""), ("missing_scores", F.size(words) == 0)]
+    status = F.array_join(F.array_compact(F.array(*[F.when(holds, name) for name, holds in lacks])), "|")
+    return met.withColumns({
+        "word_score": mean(totals), "phoneme_score": mean(phones), "word_labels": F.to_json(words), "phoneme_labels": F.to_json(labels), "row_status": F.coalesce(F.nullif(status, F.lit("")), F.lit("ok")),
+    }).drop("words")
+
+
 def listing(spark: SparkSession, path: str, *extensions: str) -> DataFrame:
     """(path, length, stem) of files by extension; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
