@@ -93,3 +93,21 @@ def mean_of(values: Column) -> Column:
     """Mean of those texts that are numbers, to three places; null if none is."""
     found = F.filter(F.transform(values, lambda v: v.try_cast("double")), lambda v: v.isNotNull())
     return F.when(F.size(found) > 0, F.round(total(found) / F.size(found), 3))
+
+
+def masked(scores: Column, suppressed: list[int]) -> Column:
+    """Scores of a frame, those of the suppressed labels at minus infinity; labels beyond the frame are ignored."""
+    return F.transform(scores, lambda x, i: F.when(i.isin(*suppressed), float("-inf")).otherwise(x)) if suppressed else scores
+
+
+def vocabulary_faults(vocabulary: dict[str, int], width: int, blank: str, separator: str) -> list[str]:
+    """What keeps a decoder's vocabulary from naming frames of a width: labels missing, repeated or beyond it, blank or separator absent."""
+    places = list(vocabulary.values())
+    faults = [f"no_{name}" for name, label in (("blank", blank), ("separator", separator)) if label not in vocabulary]
+    if len(set(places)) < len(places):
+        faults.append("repeated_place")
+    if any(not 0 <= at < width for at in places):
+        faults.append("place_beyond_frame")
+    if set(range(width)) - set(places):
+        faults.append("place_without_label")
+    return faults

@@ -255,3 +255,16 @@ def over(rows: DataFrame, key: str, kernel, *columns: str) -> DataFrame:
 
     schema = K.StructType([rows.schema[key], K.StructField("parts", kernel.returnType)])
     return rows.select(key, *columns).mapInArrow(run, schema)
+
+
+def beside(rows: DataFrame, kernel, name: str, *columns: str) -> DataFrame:
+    """Rows with a kernel's result in place of the columns it reads; the others are carried along, so no key and no join is needed."""
+    func, kept = kernel.func, [c for c in rows.columns if c not in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = len(kept)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], func(*b.columns[n:])], [*kept, name])
+
+    schema = K.StructType([*[rows.schema[c] for c in kept], K.StructField(name, kernel.returnType)])
+    return rows.select(*kept, *columns).mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import distance as D
@@ -45,6 +45,25 @@ def macro(pairs: DataFrame, *by: str) -> DataFrame:
     return scored(pairs).groupBy(*by).agg(*macro_columns())
 
 
+def token_accuracy(pairs: DataFrame, *by: str) -> DataFrame:
+    """Mean share of a reference's tokens that lie in blocks which the hypothesis has too; blank references are left out.
+
+    Equal pairs of a group are counted first, and met by the kernel once.
+    """
+    forms = pairs.select(*by, T.for_scoring("ref").alias("__r"), T.for_scoring("hyp").alias("__h")).where("__r <> ''")
+    once = forms.groupBy(*by, "__r", "__h").agg(F.count("*").alias("__n"))
+    apart = once.select(*by, "__n", F.size(T.tokens("__r")).alias("__m"), T.tokens("__r").alias("__a"), T.tokens("__h").alias("__b"))
+    met = kernels.beside(apart, kernels.block_matches, "__same", "__a", "__b")
+    share = F.sum(F.col("__n") * F.col("__same") / F.col("__m")) / F.sum("__n")
+    return met.groupBy(*by).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("evaluated"), F.coalesce(F.round(share, 6), F.lit(0.0)).alias("token_accuracy"))
+
+
+def ranking(rates: DataFrame, name: str, *errors: str) -> DataFrame:
+    """Adds place, from 1, by the errors in turn, then the name: one small row a model. A null error goes last."""
+    keys = [F.col(e).asc_nulls_last() for e in errors]
+    return rates.withColumn("place", F.row_number().over(Window.orderBy(*keys, name)))
+
+
 def micro(pairs: DataFrame, *by: str) -> DataFrame:
     """Corpus rates: edits over reference lengths, summed before they are divided. Sums combine before the shuffle."""
     s = scored(pairs).where("r <> ''").withColumns({"edits": D.edits(T.tokens("r"), T.tokens("h")), "n": F.size(T.tokens("r")), "letters": F.levenshtein("r", "h"), "m": F.length("r")})

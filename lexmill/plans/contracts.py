@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexmill.functions import frames as N
 from lexmill.operators import contracts as C
+from lexmill.operators import evaluation as E
 from lexmill.operators import history as H
-from lexmill.plans.common import ATTEMPTS, Registry, attempts, table
+from lexmill.plans.common import ATTEMPTS, SCORED, Registry, attempts, pairs, table
 from lexmill.plans.learning import STREAKS
 
 R = Registry()
@@ -96,3 +98,23 @@ def content_adaptive_tags(spark, d):
         F.lit(None).cast("string").alias("target_phoneme"), F.when(size > 25, F.split_part("p_name", F.lit(" "), F.lit(2))).alias("word_family"),
     )
     return C.adaptive_tags(items).drop("error_focus", "difficulty_level", "activity_type", "source_group", "is_mastery_item", "needs_manual_review", "target_phoneme", "word_family")
+
+
+@R.add("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), m AS (SELECT vec_id, list_transform(v, lambda x, i: CASE WHEN i IN (1, 3, 6) THEN CAST('-inf' AS DOUBLE) ELSE x END) AS v FROM e)
+    SELECT vec_id, CAST(list_position(v, list_max(v)) - 1 AS INTEGER) AS label FROM m""")
+def frames_masked(spark, d):
+    """The best label of vectors taken as frames, without three that are suppressed."""
+    e = table(spark, d, "embeddings").select("vec_id", N.masked(N.doubles(F.col("embedding")), [0, 2, 5]).alias("v"))
+    return e.select("vec_id", N.argmax(F.col("v")).alias("label"))
+
+
+@R.add()
+def report_token_accuracy(spark, d):
+    return E.token_accuracy(pairs(spark, d), "brand")
+
+
+@R.add(f"""WITH {SCORED}, g AS (SELECT brand, round(avg(wer), 6) AS wer, round(avg(cer), 6) AS cer FROM scored GROUP BY brand)
+    SELECT brand, wer, cer, CAST(row_number() OVER (ORDER BY wer, cer, brand) AS INTEGER) AS place FROM g""")
+def report_ranking(spark, d):
+    """Brands as models, by word and then letter error rate."""
+    return E.ranking(E.macro(pairs(spark, d), "brand").select("brand", "wer", "cer"), "brand", "wer", "cer")

@@ -76,6 +76,34 @@ def predictions(spark: SparkSession, path: str, row_schema: str, field: str = "p
     return whole.select("file", F.explode(field).alias("r")).select("r.*", "file")
 
 
+def parsed_index(rows: DataFrame, column: str = "metadata") -> DataFrame:
+    """A unified table's metadata as a map again; what is no object is kept whole under ``raw``, null and blank are an empty map."""
+    text = F.trim(F.coalesce(column, F.lit("")))
+    none = F.create_map().cast("map<string,string>")
+    # An object that is cut off still parses in part, so it has to end as one.
+    whole = F.when(text.startswith("{") & text.endswith("}"), F.from_json(text, "map<string,string>"))
+    return rows.withColumn(column, F.when(text == "", none).otherwise(F.coalesce(whole, F.create_map(F.lit("raw"), text))))
+
+
+def cleaned(rows: DataFrame) -> DataFrame:
+    """Every column as text, null and NaN as the empty text; lists and structs as they print in JSON."""
+
+    def clean(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind in ("double", "float"):
+            c = F.when(~F.isnan(c), c)
+        text = F.to_json(c) if kind.startswith(("array", "map", "struct")) else c.cast("string")
+        return F.coalesce(text, F.lit("")).alias(name)
+
+    return rows.select(*[clean(n, k) for n, k in rows.dtypes])
+
+
+def parquet_counts(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
+    """(file, rows) of the files that match; no column is read, only what the footers tell. Files without a row are left out."""
+    found = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").parquet(path)
+    return found.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
+
+
 def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """The columns asked for that exist, with a header."""
     rows.select(*[c for c in columns or rows.columns if c in rows.columns]).write.mode("overwrite").csv(path, header=True, escape='"')

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +72,24 @@ def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key), key, "left_anti")
 
 
+def in_steps(todo: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], output: str, steps: int = 8) -> int:
+    """Works through rows in steps, each written whole to its folder; returns how many of them this call did.
+
+    A row's step is a hash of its key, so a call after a failure meets the same steps: those that were finished are skipped,
+    a half one is done again from its start. ``steps`` has to stay the same for one output.
+    """
+    spark = todo.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    done = 0
+    for step in range(steps):
+        folder = f"{output}/step={step}"
+        mark = jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        if not mark.getFileSystem(conf).exists(mark):
+            work(todo.where(F.pmod(F.xxhash64(key), F.lit(steps)) == step)).write.mode("overwrite").parquet(folder)
+            done += 1
+    return done
+
+
 def stream_of(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 

@@ -1,11 +1,17 @@
 """Contracts of content: small tables with one fault each."""
 
+import difflib
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
+from lexmill.functions import frames as N
 from lexmill.operators import contracts as C
 from lexmill.operators import evaluation as E
 from lexmill.operators import history as H
 from lexmill.sources import readers as R
+from lexmill.streaming import corrections as S
 
 TEXTS = "id string, passage_text string, word_count string, part string"
 ASKED = "id string, passage_id string, sequence string, question_text string, correct_answer string, accepted_answers string, choice_a string, choice_b string, choice_c string, choice_d string"
@@ -80,3 +86,47 @@ def test_scores_of_utterances(spark, tmp_path):
     assert [w["mispronunciations"] for w in json.loads(one.phoneme_labels)] == [[], ["x"]] and json.loads(one.word_labels)[0]["total"] == 10
     assert (got["u2"].row_status, got["u2"].word_score) == ("missing_audio|missing_transcript|missing_scores", None) and got["u3"].row_status == "missing_scores"
     assert len(got) == 3 and R.scored_utterances(rows, audio).where("notes <> ''").count() == 0
+
+
+def test_token_accuracy_and_ranking(spark):
+    rows = [(1, "a b c d", "a x c d"), (1, "a b c d", "a x c d"), (2, "a b", "b a"), (3, "", "x"), (4, "one", None), (5, "a a b", "a a b"), (6, None, None)]
+    got = E.token_accuracy(spark.createDataFrame(rows, "id int, ref string, hyp string")).first()
+    want = [sum(m.size for m in difflib.SequenceMatcher(a=r.split(), b=(h or "").split()).get_matching_blocks()) / len(r.split()) for _, r, h in rows if r]
+    assert (got.evaluated, got.token_accuracy) == (5, round(sum(want) / 5, 6))
+    rates = spark.createDataFrame([("b", 0.2, 0.1), ("a", 0.2, 0.1), ("c", 0.2, 0.05), ("d", None, 0.0), ("e", 0.1, 0.9)], "m string, wer double, cer double")
+    assert [r.m for r in E.ranking(rates, "m", "wer", "cer").orderBy("place").collect()] == ["e", "c", "a", "b", "d"]
+
+
+def test_vocabularies_of_decoders(spark):
+    assert N.vocabulary_faults({"_": 0, "|": 1, "a": 2}, 3, "_", "|") == []
+    assert N.vocabulary_faults({"_": 0, "a": 5, "b": 5}, 3, "_", "|") == ["no_separator", "repeated_place", "place_beyond_frame", "place_without_label"]
+    row = spark.createDataFrame([([0.5, 0.4, 0.1],), (None,), ([],)], "v array<double>").select(N.masked(F.col("v"), [0, 9]).alias("m")).collect()
+    assert [r.m for r in row] == [[float("-inf"), 0.4, 0.1], None, []]
+
+
+def test_indexes_rows_and_counts(spark, tmp_path):
+    one = spark.createDataFrame([("k", 1.5, None), (None, float("nan"), [1])], "id string, x double, l array<int>")
+    assert [tuple(r) for r in R.cleaned(one).collect()] == [("k", "1.5", ""), ("", "", "[1]")]
+    index = R.unified([one.select("id", "x")], {"key": ("id",)})
+    told = R.parsed_index(index.unionByName(spark.createDataFrame([("z", "{cut"), ("y", " "), ("w", None)], "key string, metadata string"))).collect()
+    assert [r.metadata for r in told if r.key == "k"] == [{"id": "k", "x": "1.5"}]
+    assert {r.key: r.metadata for r in told if r.key in ("w", "y", "z")} == {"z": {"raw": "{cut"}, "y": {}, "w": {}}
+    for name, n in (("a", 3), ("b", 5)):
+        spark.range(n).coalesce(1).write.parquet(str(tmp_path / "p" / name))
+    assert sorted(r["rows"] for r in R.parquet_counts(spark, str(tmp_path / "p")).collect()) == [3, 5]
+
+
+def test_steps_go_on_where_they_stopped(spark, tmp_path):
+    todo, out, seen = spark.range(100).withColumnRenamed("id", "k"), str(tmp_path / "out"), []
+
+    def work(rows):
+        if len(seen) == 3:
+            raise RuntimeError("lost")
+        seen.append(1)
+        return rows.withColumn("twice", F.col("k") * 2)
+
+    with pytest.raises(RuntimeError):
+        S.in_steps(todo, "k", work, out)
+    seen.append(1)
+    assert S.in_steps(todo, "k", work, out) == 5 and S.in_steps(todo, "k", work, out) == 0
+    assert sorted((r.k, r.twice) for r in spark.read.parquet(out).collect()) == [(i, 2 * i) for i in range(100)]
