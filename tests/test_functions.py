@@ -102,15 +102,16 @@ def test_forced_alignment_and_beam_against_all_paths():
     for _ in range(30):
         f = np.log(rng.dirichlet(np.ones(3), 5))
         labels = [1, 2]
-        got = K.forced(f, labels, 0)
+        # Beside a longer and a shorter row, with which it is padded.
+        _, got, _ = K.forced_many([np.log(rng.dirichlet(np.ones(3), 8)), f, np.log(rng.dirichlet(np.ones(3), 2))], [[2, 1, 2], labels, [1]], [0, 0, 0])
         best, path = max(paths(f, labels, 0))
-        assert [(x[1], x[2]) for x in got] == [(path.index(k), len(path) - 1 - path[::-1].index(k)) for k in labels]
+        assert [(x[0], x[-1]) for x in got] == [(path.index(k), len(path) - 1 - path[::-1].index(k)) for k in labels]
         score = {}
         for p in itertools.product(range(3), repeat=5):
             key = tuple(k for k, _ in itertools.groupby(p) if k != 0)
             score[key] = np.logaddexp(score.get(key, -math.inf), sum(f[t, k] for t, k in enumerate(p)))
         assert tuple(K.beam(f, 0, 1000)) == max(score, key=score.get)
-    assert K.forced(np.zeros((1, 3)), [1, 2], 0) is None and K.forced(np.zeros((2, 3)), [], 0) == []
+    assert K.forced_many([np.zeros((1, 3)), np.zeros((2, 3))], [[1, 2], []], [0, 0]) == [None, []]
 
 
 def test_frames(spark):
