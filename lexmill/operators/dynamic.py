@@ -162,7 +162,7 @@ def _compared(rows: DataFrame, lexicon: DataFrame | None, learned: DataFrame | N
     else:
         rows = rows.withColumn("learned", F.lit(False))
     rows = with_sounds(rows, "e", "r", lexicon).withColumn("sound", F.coalesce("sound", "heard_sound")).drop("heard_sound")
-    return likeness(rows, "e", "r")
+    return likeness(K.spread(rows, "e", "r"), "e", "r")
 
 
 def correct_words(
@@ -329,17 +329,21 @@ def align_chunks(
     default; scores: map of words to the scores of their sounds. Null texts have no words; a text without words on either
     side gives no row. Equal costs: the path that takes the longest expected chunk first, then the longest heard one.
     """
-    form = rows.select(
-        F.struct(*key).alias("__key"), F.coalesce(F.col(kind) if kind else F.lit(None).cast("string"), F.lit("sentence")).alias("kind"), T.tokens(T.for_scoring(expected)).alias("own"), T.tokens(T.for_scoring(raw)).alias("met"),
-        (F.col(scores) if scores else F.lit(None).cast("map<string,double>")).alias("scores"),
+    given = K.spread(rows).select(
+        F.struct(*key).alias("__row"), F.coalesce(F.col(kind) if kind else F.lit(None).cast("string"), F.lit("sentence")).alias("kind"), T.for_scoring(expected).alias("own"), T.for_scoring(raw).alias("met"),
+        F.map_entries(F.col(scores) if scores else F.lit(None).cast("map<string,double>")).alias("scores"),
     )
+    # Readings repeat: each distinct one is aligned once, under the digest of all that its alignment reads.
+    given = given.withColumn("__key", F.sha2(F.to_json(F.struct("kind", "own", "met", "scores")), 256))
+    form = K.spread(given.drop("__row").distinct(), "__key").withColumns({"own": T.tokens("own"), "met": T.tokens("met"), "scores": F.map_from_entries("scores")})
     some = F.filter(F.transform(F.split("e", " "), lambda w: F.element_at("scores", w)), lambda x: x.isNotNull())
     gop = F.when(F.col("scores").isNotNull() & (F.size(some) > 0), F.aggregate(some, F.lit(0.0), lambda a, x: a + x) / F.size(some))
-    # Both sides' chunks are made once a text; what meets then is only forms of chunks.
+    # Both sides' chunks are made once a text; what meets then is only forms of chunks. They are never empty: an inner explode
+    # would say so by a filter, which Spark takes below the distinct texts, so that chunks were made for every row.
     full = form.where((F.size("own") > 0) & (F.size("met") > 0)).select("__key", "kind", "scores", _chunks(F.col("own"), "i", "k", "e").alias("__l"), _chunks(F.col("met"), "j", "l", "r").alias("__r"))
-    left = full.select("__key", "kind", "scores", "__r", F.explode("__l").alias("__c")).select("__key", "kind", "scores", "__r", "__c.*").withColumn("gop", gop).drop("scores")
+    left = full.select("__key", "kind", "scores", "__r", F.explode_outer("__l").alias("__c")).select("__key", "kind", "scores", "__r", "__c.*").withColumn("gop", gop).drop("scores")
     sizes = F.array(*[F.lit(10 * k + n) for k, n in SIZES])
-    cells = left.withColumn("__c", F.explode("__r")).drop("__r").select("*", "__c.*").drop("__c").where(F.array_contains(sizes, F.col("k") * 10 + F.col("l")))
+    cells = left.withColumn("__c", F.explode_outer("__r")).drop("__r").select("*", "__c.*").drop("__c").where(F.array_contains(sizes, F.col("k") * 10 + F.col("l")))
     cells = _worth(cells)
     near = cells.where("worth")
     if learned is not None:
@@ -361,10 +365,10 @@ def align_chunks(
         "status": F.when(n == 0, "missing").when(k == 0, "inserted").otherwise(F.col("status")), "correct": F.coalesce("correct", F.lit(False)), "confidence": F.coalesce("confidence", F.lit(0.0)),
     })
     words = F.when(k == 0, F.array(F.lit(None).cast("string"))).otherwise(F.slice("own", F.col("i") + 1, k))
-    out = kept.select("*", F.posexplode(words).alias("within", "expected_word"))
+    out = kept.join(given.select("__row", "__key"), "__key").select("*", F.posexplode(words).alias("within", "expected_word"))
     heard = F.when(k == n, F.get(F.slice("met", F.col("j") + 1, n), F.col("within"))).otherwise(F.col("r"))
     return out.select(
-        *[F.col("__key").getField(c).alias(c) for c in key], "chunk", "within", "expected_word", heard.alias("recognized_word"), F.col("e").alias("expected_chunk"), F.col("r").alias("recognized_chunk"), "operation", "status", "correct",
+        *[F.col("__row").getField(c).alias(c) for c in key], "chunk", "within", "expected_word", heard.alias("recognized_word"), F.col("e").alias("expected_chunk"), F.col("r").alias("recognized_chunk"), "operation", "status", "correct",
         "confidence", "sub_strategy", "spelling", "boundary", "sound", F.round("gop", 6).alias("gop"), "skeleton", "vowels",
     )
 

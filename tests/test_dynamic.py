@@ -164,3 +164,17 @@ def test_edits_of_many_tokens(spark):
 
     df = spark.createDataFrame(rows, "a array<string>, b array<string>")
     assert [r[2] for r in df.select("a", "b", D.edits(F.col("a"), F.col("b"))).collect()] == [plain(a, b) for a, b in rows]
+
+
+def test_repeated_readings_are_aligned_once(spark, lexicon):
+    """What a row's alignment costs is paid by distinct readings: chunks are made behind the shuffle that leaves one of each, in plans as they are run."""
+    rows = [("near by the book mark", "nearby the bookmark"), ("Near by the book mark!", "nearby the bookmark"), ("his shield", "his shild")]
+    few = aligned(spark, rows, lexicon)
+    many = aligned(spark, rows * 30, lexicon)
+    plain = lambda found: [r.asDict() | {"id": 0} for r in found]
+    assert len(many) == 90 and all(plain(many[i]) == plain(few[i % 3]) for i in many) and plain(few[0]) == plain(few[1])
+    df = spark.createDataFrame([(i, *r, {"near": 0.5 * (i % 2)}) for i, r in enumerate(rows[:2])], "id int, expected string, raw string, scores map<string,double>")
+    assert {(r.id, r.gop) for r in Y.align_chunks(df, ["id"], lexicon, scores="scores").where("chunk = 1").collect()} == {(0, 0.0), (1, 0.5)}
+    plan = Y.align_chunks(df, ["id"], lexicon)._jdf.queryExecution().optimizedPlan().toString()
+    below = [line for line in plan.splitlines() if "Filter" in line and "size(flatten(" in line]
+    assert not below, "chunks made for a filter on rows"
