@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import kernels as K
 from lexmill.functions import text as T
 
 #: What each agreement adds, and what its absence takes.
@@ -49,13 +50,22 @@ def leading(items: DataFrame, alike: list[str], item: str, top: int) -> DataFram
     return items.withColumn("__nth", place).where(F.col("__nth") <= top).drop("__nth")
 
 
-def recommended(learners: DataFrame, items: DataFrame, on: list[str], learner: str, item: str, terms: dict[str, Column], top: int) -> DataFrame:
+def recommended(learners: DataFrame, items: DataFrame, on: list[str], learner: str, item: str, terms: dict[str, Column], top: int, alike: list[str] | None = None) -> DataFrame:
     """The top items of each learner, highest score first, ties by item, with the reasons of those that are left.
 
     The join multiplies rows, so learners are spread over all tasks before it, however few files they come from. The
     rank's bound is applied before the next shuffle, and what only survivors need is made after it.
+
+    alike: the learners' columns that the terms read, where these are few values. Learners that agree in them and in the
+    shared key have the same top, which is found once for all of them; only these items meet the learners themselves.
     """
-    tasks = max(learners.sparkSession.sparkContext.defaultParallelism, int(learners.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = learners.repartition(tasks, learner).join(items, on).withColumn("score", score(terms))
-    place = F.row_number().over(Window.partitionBy(learner).orderBy(F.desc("score"), item))
-    return met.withColumn("place", place).where(F.col("place") <= top).withColumn("reasons", reasons(terms))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), item))
+    ranked = lambda rows, *by: rows.withColumn("place", first(*by)).where(F.col("place") <= top)
+    if alike is None:
+        met = K.spread(learners, learner).join(items, on).withColumn("score", score(terms))
+        return ranked(met, learner).withColumn("reasons", reasons(terms))
+    kinds = [*on, *alike]
+    met = K.spread(learners.select(*kinds).distinct(), *kinds).join(K.spread(items), on).withColumn("score", score(terms))
+    best = ranked(met, *kinds).withColumn("reasons", reasons(terms)).drop("place").withColumnsRenamed({c: f"__{c}" for c in kinds})
+    own = learners.join(best, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in kinds]).drop(*[f"__{c}" for c in kinds])
+    return ranked(own, learner)

@@ -115,6 +115,17 @@ def test_leading_items_give_the_same_top(spark):
     assert few.count() == 24 and top(few) == top(items)
 
 
+def test_learners_alike_share_their_candidates(spark):
+    """The same top as when each learner meets all items, with what is unknown, learners met twice and keys below zero."""
+    rng = random.Random(5)
+    items = spark.createDataFrame([(i, rng.randrange(3), rng.randrange(7)) for i in range(200)], "item int, module int, size int")
+    rows = [(u, abs(u) % 4, rng.choice([True, False, None])) for u in range(-30, 60)] + [(7, 1, True), (None, 2, None)]
+    learners = spark.createDataFrame(rows, "learner int, module int, low boolean").withColumn("lap", F.col("learner") % 3)
+    terms = {"focus": (F.col("size") + F.col("lap")) % 3 == 0, "difficulty": (F.col("size") < 4) == F.col("low"), "active": F.col("size") > 0}
+    top = lambda *alike: sorted(((r.learner, r.item, r.score, r.place, r.reasons) for r in C.recommended(learners, items, ["module"], "learner", "item", terms, 4, *alike).collect()), key=str)
+    assert top(["lap", "low"]) == top() and len(top()) > 200
+
+
 def test_a_stream_sums_up_as_a_batch_does(spark, tmp_path):
     rng = random.Random(11)
     begin, rows, batches = dt.datetime(2024, 1, 1), [], []
