@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions import distance as D
 from lexmill.functions import kernels
 from lexmill.functions import phonemes as P
 from lexmill.functions import text as T
@@ -23,7 +22,7 @@ PLACES = {"initial_sound_error": "initial", "final_sound_error": "final", "vowel
 
 def closeness(e: Column, a: Column) -> Column:
     """Character similarity of scoring forms: 1 if both are blank, 0 if one is."""
-    return F.when((e == "") & (a == ""), 1.0).when((e == "") | (a == ""), 0.0).otherwise(F.round(D.indel_ratio(e, a), 6))
+    return F.when((e == "") & (a == ""), 1.0).when((e == "") | (a == ""), 0.0).otherwise(F.round(2.0 * kernels.common_letters(e, a) / (F.length(e) + F.length(a)), 6))
 
 
 def label(e: Column, a: Column, near: Column) -> Column:
@@ -36,7 +35,7 @@ def label(e: Column, a: Column, near: Column) -> Column:
 
 def matched(rows: DataFrame, accepted: str | None = None) -> DataFrame:
     """Adds the scoring forms e and a, and exact, accepted, correct, closeness and label."""
-    forms = rows.withColumns({"e": T.for_scoring("expected"), "a": T.for_scoring("actual")})
+    forms = kernels.spread(rows).withColumns({"e": T.for_scoring("expected"), "a": T.for_scoring("actual")})
     e, a = F.col("e"), F.col("a")
     listed = F.coalesce(F.exists(accepted, lambda x: T.for_scoring(x) == a), F.lit(False)) if accepted else F.lit(False)
     out = forms.withColumns({"exact": e == a, "listed": listed, "closeness": closeness(e, a)})

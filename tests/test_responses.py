@@ -1,5 +1,6 @@
 """Answers: the analysis on cases worked out by hand, and token scores and closeness against plain Python."""
 
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -51,6 +52,17 @@ def test_closeness_and_token_scores(answers):
         assert r["token_accuracy"] == pytest.approx(hits / len(e.split()), abs=1e-6)
 
 
+def test_closeness_of_long_texts(spark):
+    """Letters are compared by a kernel, and not by tables of arrays, whose work grew with the square of the length and was the whole query's."""
+    rng = random.Random(9)
+    rows = [("".join(rng.choice("abc d") for _ in range(rng.randrange(200))), "".join(rng.choice("abc d") for _ in range(rng.randrange(200)))) for _ in range(60)]
+    got = N.matched(spark.createDataFrame(rows, "expected string, actual string"))
+    assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    for r in got.collect():
+        near = 1.0 if not r.e and not r.a else 0.0 if not r.e or not r.a else round(2 * lcs(r.e, r.a) / (len(r.e) + len(r.a)), 6)
+        assert r.closeness == pytest.approx(near, abs=1e-6)
+
+
 def test_empty_answers(spark, answers):
     none = answers.where("false")
     assert N.analysed(none, "accepted").collect() == [] and N.token_scores(none).collect() == []
