@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +42,8 @@ HOT = 1 << 20
 SIEVE = 1 << 20
 #: A context that occurs more often has its successors summed in parts of about so many occurrences.
 LANE = 1 << 20
+#: Pairs are summed in buckets of about so many occurrences, but at least in so many buckets.
+BUCKET, BUCKETS = 1 << 20, 64
 SEED = 42
 #: Told apart: a token's entry, and that of a context and token, from that of a context of the same hash.
 TOKEN, GAIN = 0x5851F42D4C957F2D, 0x14057B7EF767814F
@@ -117,8 +119,8 @@ class Known:
         return values, held, ~held & (bit(k, k >> u(26)) & bit(k >> u(32), k >> u(58))).astype(bool)
 
 
-def known(entries: DataFrame) -> tuple[Known, DataFrame | None]:
-    """Known of a table (key, value, weight), and the entries that are not held, if any."""
+def hottest(entries: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
+    """Keys, in order, and values of the HOT most frequent entries of a table (key, value, weight), and the other entries, if any."""
     step = F.floor(F.log2("weight") * 8)  # at most 512 steps
     steps = sorted(entries.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"])
     room, least = HOT, None
@@ -132,8 +134,15 @@ def known(entries: DataFrame) -> tuple[Known, DataFrame | None]:
     order = np.argsort(keys)
     keys, values = keys[order], hot.column("value").to_numpy()[order]
     if room >= 0:
+        return keys, values, None
+    return keys, values, entries.where(step < least) if least is not None else entries
+
+
+def known(entries: DataFrame) -> tuple[Known, DataFrame | None]:
+    """Known of a table (key, value, weight), and the entries that are not held, if any."""
+    keys, values, cold = hottest(entries)
+    if cold is None:
         return Known(keys, values, None), None
-    cold = entries.where(step < least) if least is not None else entries
     # One row for each word that has a bit set: at most SIEVE.
     key = F.col("key")
     bits = cold.select(F.explode(F.array(
@@ -146,13 +155,43 @@ def known(entries: DataFrame) -> tuple[Known, DataFrame | None]:
     return Known(keys, values, sieve), cold
 
 
+@dataclass
+class Ranks:
+    """Frequent tokens numbered by falling frequency, alike in all tasks."""
+
+    keys: np.ndarray  # sorted
+    numbers: np.ndarray
+    tokens: np.ndarray  # by number
+
+    @classmethod
+    def of(cls, keys: np.ndarray, times: np.ndarray) -> Ranks:
+        order = np.argsort(-times, kind="stable")
+        numbers = np.empty(len(keys), np.int64)
+        numbers[order] = np.arange(len(keys))
+        return cls(keys, numbers, keys[order])
+
+    def get(self, tokens: np.ndarray) -> np.ndarray:
+        """32 bits by which tokens are sorted: their number, or BEYOND and bits of their hash."""
+        codes = (tokens & (BEYOND - 1)) | BEYOND
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, tokens), len(self.keys) - 1)
+            codes = np.where(self.keys[at] == tokens, self.numbers[at], codes)
+        return codes
+
+
 class Vocabulary(dict):
-    """Tokens to numbers of this task, with their hashes by number; starts afresh when it holds HELD."""
+    """Tokens to numbers of this task, with their hashes by number, and what ``look`` finds for hashes; starts afresh when it holds HELD."""
 
-    def __init__(self):
+    def __init__(self, look: Callable[[np.ndarray], tuple[np.ndarray, ...]]):
         super().__init__()
+        self.look = look
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
         self.fresh: list[int] = []
         self.hashes = np.empty(0, np.int64)
+        self.found = self.look(self.hashes)
 
     def __missing__(self, token: bytes) -> int:
         self[token] = number = len(self)
@@ -162,8 +201,7 @@ class Vocabulary(dict):
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token numbers of the texts, each between end tokens, and for each position where its text starts."""
         if len(self) > HELD:
-            self.clear()
-            self.hashes = np.empty(0, np.int64)
+            self.empty()
         end = self[END]
         ids, sizes = [], []
         for t in texts:
@@ -173,7 +211,9 @@ class Vocabulary(dict):
             ids.append(end)
             sizes.append(len(found) + 2)
         if self.fresh:
-            self.hashes = np.concatenate((self.hashes, np.array(self.fresh, np.uint64).view(np.int64)))
+            fresh = np.array(self.fresh, np.uint64).view(np.int64)
+            self.hashes = np.concatenate((self.hashes, fresh))
+            self.found = tuple(np.concatenate(x) for x in zip(self.found, self.look(fresh), strict=True))
             self.fresh = []
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
         return np.array(ids, np.int64), np.repeat(starts, sizes)
@@ -198,99 +238,206 @@ def _chunks(texts: list[bytes], most: int = 1 << 22) -> Iterator[list[bytes]]:
         yield run
 
 
-def successor_counts(texts: DataFrame, levels: list[Known], least: int) -> DataFrame:
-    """(s, next, c, kinds): how often tokens follow contexts as long as there are levels, whose suffixes and selves are in them.
+#: Setting by which shuffled files go with the query that wrote them: all that is read later here are written tables.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Codes of tokens that have no number start here.
+BEYOND = 1 << 31
+HIGH = np.uint64(0xFFFFFFFF00000000)
 
-    Successors met ``least`` times or more have a row each, with one kind; a context's others are summed in rows whose next
-    is null, with their number as kinds. Of contexts that only pass a sieve, some are not meant: a join with the table of
-    contexts leaves them out.
+
+def varints(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 in seven bits a byte, the lowest first: the bytes, and where each number starts and the last ends."""
+    numbers = numbers.astype(np.uint64)
+    size = np.ones(len(numbers), np.int64)
+    most = int(numbers.max(initial=0))
+    for k in range(7, 64, 7):
+        if most >> k == 0:
+            break
+        size += numbers >= np.uint64(1 << k)
+    edges = np.append(0, np.cumsum(size))
+    out = np.empty(edges[-1], np.uint8)
+    out[edges[:-1]] = (numbers & np.uint64(127)).astype(np.uint8)
+    at = np.arange(len(numbers))
+    for k in range(1, 10):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        out[edges[at] + k - 1] |= 128
+        out[edges[at] + k] = ((numbers[at] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8)
+    return out, edges
+
+
+def numbers(data: np.ndarray) -> np.ndarray:
+    """The numbers that ``varints`` wrote."""
+    ends = np.flatnonzero(data < 128)
+    starts = np.append(0, ends[:-1] + 1) if len(ends) else ends
+    out = (data[starts] & 127).astype(np.int64)
+    at, size = np.arange(len(ends)), ends - starts
+    for k in range(1, 10):
+        at = at[size[at] >= k]
+        if not len(at):
+            break
+        out[at] |= (data[starts[at] + k] & 127).astype(np.int64) << (7 * k)
+    return out
+
+
+def merged(parts: list[tuple]) -> tuple:
+    """Pairs (key, s, next, c) by key, those next to each other summed. Pairs of one key may be told more than once."""
+    key, s, nxt, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key)
+    key, s, nxt, c = key[order], s[order], nxt[order], c[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (key[1:] != key[:-1]) | (s[1:] != s[:-1]) | (nxt[1:] != nxt[:-1])
+    at = np.flatnonzero(new)
+    return key[at], s[at], nxt[at], np.add.reduceat(c, at) if len(at) else c
+
+
+PACK = ("states", "sizes", "codes", "counts", "others")
+
+
+def packs(pairs: tuple, ranks: Ranks, buckets: int) -> pa.RecordBatch:
+    """One row for each bucket: contexts, how many successors each has, their numbers as steps upwards, their counts, and the hashes of those without one."""
+    key, s, nxt, c = pairs
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | ((key[1:] ^ key[:-1]) & HIGH != 0)
+    at = np.flatnonzero(new)
+    code = (key & ~HIGH).astype(np.int64)
+    beyond = code >= BEYOND
+    code = np.where(beyond, len(ranks.tokens), code)
+    step = np.diff(code, prepend=0)
+    step[at] = code[at]
+    (sizes, size_edges), (codes, code_edges), (counts, count_edges) = (varints(x) for x in (np.diff(np.append(at, len(s))), step, c))
+    bucket = (((key[at] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    run = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(at))  # where buckets start among contexts, and among pairs
+    pair = np.append(at, len(s))[run]
+    streams = {
+        "states": (s[at], run * 8), "sizes": (sizes, size_edges[run]), "codes": (codes, code_edges[pair]), "counts": (counts, count_edges[pair]),
+        "others": (nxt[beyond], np.append(0, np.cumsum(beyond))[pair] * 8),
+    }
+    arrays = [pa.Array.from_buffers(pa.binary(), len(run) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]) for data, edges in streams.values()]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[run[:-1]]), *arrays], ["bucket", *PACK])
+
+
+def unpacked(table: pa.Table, ranks: Ranks) -> tuple:
+    """Pairs (key, s, next, c) of such rows, unordered."""
+    states, sizes, codes, counts, others = (np.frombuffer(b"".join(table.column(n).to_pylist()), np.int64 if n in ("states", "others") else np.uint8) for n in PACK)
+    sizes, step, c = numbers(sizes), numbers(codes), numbers(counts)
+    at = np.cumsum(sizes) - sizes
+    total = np.cumsum(step)
+    code = total - np.repeat(total[at] - step[at], sizes)
+    s = np.repeat(states, sizes)
+    beyond = code == len(ranks.tokens)
+    nxt = np.append(ranks.tokens, 0)[code]
+    nxt[beyond] = others
+    code = np.where(beyond, (nxt & (BEYOND - 1)) | BEYOND, code)
+    return (s.view(np.uint64) & HIGH) | code.view(np.uint64), s, nxt, c
+
+
+def summed(table: pa.Table, ranks: Ranks, least: int) -> pa.Table:
+    """(s, next, c, kinds) of a bucket's rows."""
+    key, s, nxt, c = unpacked(table, ranks)
+    order = np.argsort(key)
+    key, s, nxt, c = key[order], s[order], nxt[order], c[order]
+    differs = (s[1:] != s[:-1]) | (nxt[1:] != nxt[:-1])
+    if (differs & (key[1:] == key[:-1])).any():  # two pairs of one key: those of a pair may not stand together
+        order = np.lexsort((nxt, s))
+        s, nxt, c = s[order], nxt[order], c[order]
+        differs = (s[1:] != s[:-1]) | (nxt[1:] != nxt[:-1])
+    at = np.flatnonzero(np.append(True, differs))
+    s, nxt, c = s[at], nxt[at], np.add.reduceat(c, at)
+    often = c >= least
+    rare, less = s[~often], c[~often]
+    start = np.flatnonzero(np.append(True, rare[1:] != rare[:-1])) if len(rare) else np.empty(0, np.int64)
+    ones, none = np.ones(int(often.sum()), np.int64), np.zeros(len(start), np.int64)
+    rows = {
+        "s": (s[often], rare[start]), "next": (nxt[often], none), "c": (c[often], np.add.reduceat(less, start) if len(start) else none),
+        "kinds": (ones, np.diff(np.append(start, len(rare)))),
+    }
+    absent = np.append(ones == 0, none == 0)
+    return pa.table({n: pa.array(np.concatenate(x), mask=absent if n == "next" else None) for n, x in rows.items()})
+
+
+def successor_packs(texts: DataFrame, levels: list[Known], ranks: Ranks, buckets: int) -> DataFrame:
+    """(bucket, PACK): how often tokens follow contexts as long as there are levels, as each task has counted them.
+
+    A context's successors go to one bucket, a frequent one's to several. A task sends a row for each bucket, whatever
+    contexts it has met: a successor takes one to three bytes by its number, and one without a number eight more.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(levels)
-
-    def merged(parts: list[tuple]) -> tuple:
-        s, lane, nxt, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-        # By half of the context's hash, then half of the pair's. Pairs that agree in both halves may be told twice.
-        order = np.argsort((s & -(1 << 32)) | (mix(s, nxt) & ((1 << 32) - 1)))
-        s, lane, nxt, c = s[order], lane[order], nxt[order], c[order]
-        new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (nxt[1:] != nxt[:-1])
-        at = np.flatnonzero(new)
-        return s[at], lane[at], nxt[at], np.add.reduceat(c, at) if len(at) else c
-
-    def rows(part: tuple) -> pa.RecordBatch:
-        """One row for each context and lane, with arrays of successors and counts."""
-        s, lane, nxt, c = part
-        if lane.any():
-            order = np.lexsort((lane, s))
-            s, lane, nxt, c = s[order], lane[order], nxt[order], c[order]
-        new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (lane[1:] != lane[:-1])
-        at = np.flatnonzero(new)
-        edges = pa.array(np.append(at, len(s)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (nxt, c)]
-        return pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array(lane[at]), *lists], ["s", "lane", "nexts", "counts"])
+    shared = texts.sparkSession.sparkContext.broadcast((levels, ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, held, size = Vocabulary(), [], 0
+        levels, ranks = shared.value
+        vocabulary, held, size = Vocabulary(lambda h: (ranks.get(h), *levels[0].get(h))), [], 0
         for batch in batches:
             for chunk in _chunks(batch.column(0).to_pylist()):
                 ids, first = vocabulary.read(chunk)
                 h = vocabulary.hashes[ids]
+                code, *single = vocabulary.found
                 at = np.flatnonzero(np.arange(len(ids)) != first)
                 state = np.empty(0, np.int64)
-                for k, level in enumerate(shared.value, 1):
+                for k, level in enumerate(levels, 1):
                     at, state = longer(state, at, h, first, k)
-                    lanes, sure, may = level.get(state)
+                    lanes, sure, may = (x[ids[at - 1]] for x in single) if k == 1 else level.get(state)
                     at, state, lanes = at[sure | may], state[sure | may], lanes[sure | may]
                 # Lanes follow the table of contexts, so every task deals alike; what only passes the sieve is rare.
                 lane = h[at] % np.maximum(lanes, 1).astype(np.int64)
-                held.append(merged([(state, lane, h[at], np.ones(len(at), np.int64))]))
+                dealt = np.where(lane > 0, mix(state, lane), state) if lane.any() else state
+                key = (dealt.view(np.uint64) & HIGH) | code[ids[at]].view(np.uint64)
+                held.append(merged([(key, state, h[at], np.ones(len(at), np.int64))]))
                 size += len(held[-1][0])
                 if size > 2 * HELD:
                     held = [merged(held)]
                     size = len(held[0][0])
                     if size > HELD:
-                        yield rows(held[0])
+                        yield packs(held[0], ranks, buckets)
                         held, size = [], 0
-        if held:
-            yield rows(merged(held))
+        if size:
+            yield packs(merged(held), ranks, buckets)
 
-    # Tasks have summed already. A context's successors travel together, but for frequent contexts, and are summed where
-    # they arrive; the last grouping needs no shuffle of its own.
-    packed = texts.mapInArrow(run, "s long, lane long, nexts array<long>, counts array<long>").repartition("s", "lane")
-    each = packed.select("s", "lane", "counts", F.posexplode("nexts").alias("pos", "next")).select("s", "lane", "next", F.get("counts", F.col("pos")).alias("c"))
-    pairs = each.groupBy("s", "lane", "next").agg(F.sum("c").alias("c"))
-    pairs = pairs.withColumn("next", F.when(F.col("c") >= least, F.col("next")))
-    return pairs.groupBy("s", "lane", "next").agg(F.sum("c").alias("c"), F.count("*").alias("kinds")).drop("lane")
+    return texts.mapInArrow(run, f"bucket long, {', '.join(f'{n} binary' for n in PACK)}")
+
+
+def successor_counts(texts: DataFrame, levels: list[Known], least: int, ranks: Ranks, occurrences: int) -> DataFrame:
+    """(s, next, c, kinds): how often tokens follow contexts as long as there are levels, whose suffixes and selves are in them.
+
+    Successors met ``least`` times or more have a row each, with one kind; a context's others are summed in rows whose next
+    is null, with their number as kinds. Of contexts that only pass a sieve, some are not meant: a join with the table of
+    contexts leaves them out. occurrences: of all contexts; the more, the more buckets, which one task sums at a time.
+    """
+    found = successor_packs(texts, levels, ranks, max(BUCKETS, occurrences // BUCKET))
+    shared = texts.sparkSession.sparkContext.broadcast(ranks)
+    return found.groupBy("bucket").applyInArrow(lambda t: summed(t, shared.value, least), "s long, next long, c long, kinds long")
 
 
 def fit(
-    counts: DataFrame, texts: DataFrame, n: int, v: int, depth: int, least_pair: int, least_context: int, divergence: float, scratch: Scratch
+    counts: DataFrame, texts: DataFrame, n: int, v: int, depth: int, least_pair: int, least_context: int, divergence: float, last: Scratch
 ) -> DataFrame:
     """The model: (key, value, weight, token) of tokens, states and held successors.
 
     A token's value is what its log10 probability has beyond that of a token never met; weight is the entry's count.
     """
+    scratch = Scratch()
     never = -math.log10(n + v + 1)
     unigrams = counts.select(F.col("token").alias("next"), F.col("c").alias("times"), F.log10(F.col("c") + 1).alias("lp"))
     unigrams = scratch.cut(unigrams, "suffix-tree-tokens")
     model = unigrams.select(F.col("next").bitwiseXOR(F.lit(TOKEN)).alias("key"), F.col("lp").alias("value"), F.col("times").alias("weight"), F.lit(True).alias("token"))
     # By context: its tokens' hashes, the newest first, and the sum of its suffixes' log10 b.
     contexts = unigrams.where(F.col("times") >= least_context).select(F.col("next").alias("s"), F.array("next").alias("toks"), F.lit(0.0).alias("back"), F.col("times").alias("n"))
+    ranks = Ranks.of(*hottest(unigrams.select(F.col("next").alias("key"), F.col("times").alias("value"), F.col("times").alias("weight")))[:2])
     levels: list[Known] = []
     gains: list[DataFrame] = []
     for k in range(1, depth + 1):
         contexts = scratch.cut(contexts, "suffix-tree-contexts")
-        if contexts.isEmpty():
+        if not (occurrences := contexts.agg(F.sum("n")).first()[0]):
             break
         levels.append(known(contexts.select(F.col("s").alias("key"), F.ceil(F.col("n") / LANE).cast("double").alias("value"), F.col("n").alias("weight")))[0])
-        pairs = scratch.cut(successor_counts(texts, levels, min(least_pair, least_context)), "suffix-tree-pairs")
+        pairs = scratch.cut(successor_counts(texts, levels, min(least_pair, least_context), ranks, occurrences), "suffix-tree-pairs")
         held = F.col("next").isNotNull() & (F.col("c") >= least_pair)
         sums = pairs.groupBy("s").agg(F.sum("c").alias("n"), F.sum("kinds").alias("kinds"), F.coalesce(F.sum(F.when(held, F.col("c"))), F.lit(0)).alias("held"))
         sums = sums.withColumn("spread", F.col("n") - F.col("held") + F.col("kinds")).withColumn("b", F.log10(F.col("spread") / (F.col("n") + F.col("kinds"))))
         sums = scratch.cut(contexts.drop("n").join(sums, "s"), "suffix-tree-sums")
         # The held successors, with their probability by the suffix.
-        rows = pairs.where(held).join(sums.select("s", "toks", "back", "spread"), "s").join(unigrams.select("next", "lp"), "next")
+        rows = pairs.where(held).join(sums.select("s", "toks", "back", "spread"), "s").join(unigrams.where(F.col("times") >= least_pair).select("next", "lp"), "next")
         rows = rows.withColumn("lp", F.col("lp") + F.col("back") + never)
         for j, gain in enumerate(gains, 1):
             below = gain.select(F.col("key").alias(f"key{j}"), F.col("value").alias(f"gain{j}"))
@@ -311,7 +458,9 @@ def fit(
         joined = joined.select("c", "toks", _state(F.col("toks"), k).alias("suffix"), _state(F.col("toks"), k + 1).alias("s"))
         below = states.select(F.col("s").alias("suffix"), (F.col("back") + F.col("b")).alias("back"))
         contexts = joined.join(below, "suffix").select("s", "toks", "back", F.col("c").alias("n"))
-    return scratch.cut(model, "suffix-tree-model")
+    model = last.cut(model, "suffix-tree-model")
+    scratch.drop()
+    return model
 
 
 def _state(toks: Column, k: int) -> Column:
@@ -331,6 +480,16 @@ def score(
     least_pair: int = 10, least_context: int = 128, divergence: float = 12.0, held: Column | None = None,
 ) -> DataFrame:
     """One row per input row: (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
+    conf = docs.sparkSession.conf
+    before = conf.get(SHUFFLES_GO, "false")
+    conf.set(SHUFFLES_GO, "true")
+    try:
+        return _score(docs, id_col, text_col, depth, least_pair, least_context, divergence, held)
+    finally:
+        conf.set(SHUFFLES_GO, before)
+
+
+def _score(docs: DataFrame, id_col: str, text_col: str, depth: int, least_pair: int, least_context: int, divergence: float, held: Column | None) -> DataFrame:
     scratch = Scratch()
     held = held_out(id_col) if held is None else held
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
@@ -339,13 +498,15 @@ def score(
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"], total["v"]
     model = fit(counts, learned, n, v, depth, least_pair, least_context, divergence, scratch)
+    scratch.drop(counts)
     hot, cold = known(model)
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     never = -math.log10(n + v + 1)
     names = ["id", "held", "n_tokens", "n_known", "base", "score", "keys", "times"]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, vocabulary = shared.value, Vocabulary()
+        table = shared.value
+        vocabulary = Vocabulary(lambda h: (*table.get(h ^ TOKEN), *table.get(h)))
         for batch in batches:
             done = 0
             for chunk in _chunks(batch.column(2).to_pylist()):
@@ -353,19 +514,15 @@ def score(
                 h = vocabulary.hashes[ids]
                 starts, text = np.unique(first, return_inverse=True)
                 scored = np.arange(len(ids)) != first
-                used = np.zeros(len(vocabulary.hashes), bool)
-                used[ids] = True
-                place = np.cumsum(used) - 1
-                distinct, of = vocabulary.hashes[used], place[ids]
-                value, sure, may = (x[of] for x in table.get(distinct ^ TOKEN))
-                single = table.get(distinct)
+                value, sure, may = (x[ids] for x in vocabulary.found[:3])
+                single = vocabulary.found[3:]
                 base = np.where(scored, value + never, 0.0)
                 asked = [(text[may & scored], h[may & scored] ^ TOKEN)]
                 total = base.copy()
                 at, state = np.flatnonzero(scored), np.empty(0, np.int64)
                 for k in range(1, depth + 1):
                     at, state = longer(state, at, h, first, k)
-                    value, there, maybe = (x[of[at - 1]] for x in single) if k == 1 else table.get(state)
+                    value, there, maybe = (x[ids[at - 1]] for x in single) if k == 1 else table.get(state)
                     total[at] += value
                     asked.append((text[at[maybe]], state[maybe]))
                     at, state = at[there | maybe], state[there | maybe]

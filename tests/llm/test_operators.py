@@ -7,6 +7,7 @@ from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -419,3 +420,41 @@ def test_suffix_tree_empty(spark, odd):
     assert suffix_tree.score(odd.limit(0)).count() == 0
     alone = suffix_tree.score(odd.where("doc_id is null")).first()
     assert (alone.n_tokens, alone.n_known, alone.train_tokens, alone.base_score, alone.score) == (5, 0, 0, 0.0, 0.0)
+
+
+def test_successors_travel_by_buckets(spark):
+    """Each task sends a row for each bucket, however many contexts it has met, and the sums are those of all pairs."""
+    rng = np.random.default_rng(7)
+    texts = [[f"w{x}" for x in rng.zipf(1.3, 400) % 3000] for _ in range(40)]
+    df = spark.createDataFrame([(" ".join(t).encode(),) for t in texts], "text binary").repartition(3)
+    tokens = suffix_tree.token_counts(df).selectExpr("token as key", "cast(c as double) as value", "c as weight").cache()
+    follow = Counter((a, b) for t in texts for a, b in zip(["", *t], [*t, ""], strict=True))
+    code = lambda w: xxhash.xxh64_intdigest(w.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(w.encode(), 42) >> 63)
+    assert len({a for a, _ in follow}) > 1000
+    for hot in (1 << 20, 50, 0):
+        levels = [suffix_tree.known(tokens.selectExpr("key", "1D as value", "weight"))[0]]
+        ranks = suffix_tree.Ranks.of(*(x[:hot] for x in suffix_tree.hottest(tokens)[:2]))
+        assert suffix_tree.successor_packs(df, levels, ranks, 64).count() <= 3 * 64
+        got = suffix_tree.successor_counts(df, levels, 3, ranks, 16000).collect()
+        assert {(r.s, r.next): r.c for r in got if r.next is not None} == {(code(a), code(b)): c for (a, b), c in follow.items() if c >= 3}
+        rest, kinds = Counter(), Counter()
+        for (a, _), c in follow.items():
+            rest[code(a)] += c * (c < 3)
+            kinds[code(a)] += c < 3
+        assert {r.s: (r.c, r.kinds) for r in got if r.next is None} == {s: (c, kinds[s]) for s, c in rest.items() if c}
+
+
+def test_packs_of_pairs_under_one_key():
+    """Contexts and tokens whose hashes agree in the bits that are sorted by are still told apart."""
+    rng = np.random.default_rng(3)
+    s = (rng.integers(0, 5, 4000) << 40) | rng.integers(0, 3, 4000)
+    nxt = np.where(rng.random(4000) < 0.5, (rng.integers(0, 4, 4000) << 40) | 9, rng.integers(0, 200, 4000) * 7)
+    ranks = suffix_tree.Ranks.of(np.arange(100) * 7, rng.integers(1, 9, 100))
+    key = lambda i: (s[i].view(np.uint64) & suffix_tree.HIGH) | ranks.get(nxt[i]).view(np.uint64)
+    part = lambda i: suffix_tree.merged([(key(i), s[i], nxt[i], i % 300 + 1)])
+    table = pa.Table.from_batches([suffix_tree.packs(part(i), ranks, 64) for i in np.split(np.arange(4000), 4)])
+    want = Counter()
+    for i in range(4000):
+        want[int(s[i]), int(nxt[i])] += i % 300 + 1
+    got = suffix_tree.summed(table, ranks, 0).to_pylist()
+    assert len(got) == len(want) and {(r["s"], r["next"]): r["c"] for r in got} == want
