@@ -149,6 +149,8 @@ def _outcome(get: Get) -> dict[str, Column]:
 
 INPUT = ("e", "r", "kind", "gop", "sound", "context", "bad_audio", "learned", "boundary", "spelling", "skeleton", "vowels")
 DECISION = (_evidence, _scores, _rung, _stage, _outcome)
+#: What is known of a row before it is compared.
+READ = ("e", "r", "kind", "gop", "sound", "context", "bad_audio")
 
 
 RESULT = ("accepted", "strategy", "sub_strategy", "confidence", "need", "spelling", "sound", "homophone", "known", "skeleton", "vowels", "is_variant", "variant", "fragments")
@@ -198,7 +200,11 @@ def correct_words(
     }
     packed = lambda df, made: df.withColumn("__made", made).select(*rows.columns, F.struct(*[F.col(f"__made.{n}") for n in RESULT]).alias("dynamic"))
     easy = packed(form.where("settled is not null").withColumns({"sound": F.lit(None).cast("double")}), F.struct(F.lit(None).cast("double").alias("sound"), *[c.alias(n) for n, c in plain.items()]))
-    hard = packed(_compared(form.where("settled is null"), lexicon, learned), staged({c: F.col(c) for c in INPUT}, *DECISION))
+    # What a decision reads repeats: each distinct set of it is compared and decided once.
+    left = form.where("settled is null")
+    decided = _compared(left.select(*READ).distinct().withColumn("given", F.col("sound")), lexicon, learned).withColumn("__made", staged({c: F.col(c) for c in INPUT}, *DECISION))
+    decided = decided.select(*[F.col("given" if c == "sound" else c).alias(f"__read_{c}") for c in READ], "__made")
+    hard = packed(left.join(decided, [F.col(c).eqNullSafe(F.col(f"__read_{c}")) for c in READ]).withColumn("sound", F.col("__made.sound")), F.col("__made"))
     return easy.unionByName(hard).withColumn("corrected", F.when(F.col("dynamic.accepted"), F.col(expected)).otherwise(F.col(raw)))
 
 

@@ -178,3 +178,17 @@ def test_repeated_readings_are_aligned_once(spark, lexicon):
     plan = Y.align_chunks(df, ["id"], lexicon)._jdf.queryExecution().optimizedPlan().toString()
     below = [line for line in plan.splitlines() if "Filter" in line and "size(flatten(" in line]
     assert not below, "chunks made for a filter on rows"
+
+
+def test_repeated_words_are_decided_once(spark, lexicon, monkeypatch):
+    """What is compared and decided is one row for each distinct set of what a decision reads; every row gets its own."""
+    rows = [("Leo", "Layo", "word", 0.84, None), ("sun", "son", "word", None, None), ("sun", "son", "word", None, 0.0), ("Sun!", "son", "word", None, 0.0), ("cat", "Cat.", None, None, None)]
+    df = spark.createDataFrame([(i, *rows[i % 5]) for i in range(150)], "id int, expected string, raw string, kind string, gop double, sound double")
+    compared, likeness = [], Y.likeness
+    monkeypatch.setattr(Y, "likeness", lambda rows, *names: compared.append(rows.count()) or likeness(rows, *names))
+    got = {r.id: r for r in Y.correct_words(df, lexicon, kind="kind", gop="gop", sound="sound").collect()}
+    assert compared == [3] and sorted(got) == list(range(150))
+    plain = lambda r: r.asDict(True) | {"id": 0}
+    assert all(plain(got[i]) == plain(got[i % 5]) for i in got)
+    assert [got[i].dynamic.sub_strategy for i in range(5)] == ["gop_supported_expected_match", "homophone_match", "known_asr_confusion_match", "known_asr_confusion_match", "exact_normalized_match"]
+    assert got[3].corrected == "Sun!" and got[1].sound == 1.0 and got[2].sound == 0.0
