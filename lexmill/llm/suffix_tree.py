@@ -13,7 +13,8 @@ b * p * (1 + held / (spread * p)). So a token's log10 probability is a sum over
 each, plus its gain, log10 of the last factor, where the token is held. The model is a table of such summands, of any
 size, under the 64-bit hashes of token, context, or context and token; that any two of n entries share a hash has
 probability n**2 / 2**65. Tasks hold the HOT most frequent entries, and for the rest a sieve of fixed size that tells
-which keys can be in the table; those keys are joined with it. How many are held changes the time, not the sums.
+which keys can be in the table; those are asked for in packs, one row for each task and bucket of keys, and answered in
+their order. How many are held changes the time, not the sums.
 
 Defined cases: null and empty texts are the end token alone; with no training text every count is zero and N = V = 0;
 repeated rows are scored, and counted, each on its own; a null id is held out. Extra columns are not read.
@@ -29,17 +30,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import Scratch
 
 END = b""  # words are never empty
-#: Distinct tokens or pairs that a counting task holds before it sends them on.
-HELD = 1_000_000
+#: Distinct tokens that a task holds, pairs that it holds before it sends them on, keys that it asks for at once.
+HELD, PAIRS, ASKED = 1 << 19, 1 << 19, 1 << 20
 #: Entries that every task holds, and 64-bit words of the sieve for the others.
 HOT = 1 << 20
 SIEVE = 1 << 20
+#: The sieve is made in so many slices.
+SLICES = 64
 #: A context that occurs more often has its successors summed in parts of about so many occurrences.
 LANE = 1 << 20
 #: Pairs are summed in buckets of about so many occurrences, but at least in so many buckets.
@@ -138,20 +143,36 @@ def hottest(entries: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame | Non
     return keys, values, entries.where(step < least) if least is not None else entries
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each slice of the sieve: the steps between the bits that a task's keys set."""
+    u = lambda x: np.uint64(x)
+    for (keys,) in _runs(batches, 1):
+        k = keys.view(np.uint64)
+        bit = lambda word, at: ((word & u(SIEVE - 1)) << u(6)) | (at & u(63))
+        bits = np.unique(np.concatenate((bit(k, k >> u(26)), bit(k >> u(32), k >> u(58)))))
+        per = u(SIEVE // SLICES * 64)
+        steps, edges, start = stepped(bits % per, (bits // per).astype(np.int64))
+        yield _rows({"slice": (bits[start] // per).astype(np.int64)}, {"bits": (steps, edges)})
+
+
+def _slice(table: pa.Table) -> pa.Table:
+    out = np.zeros(SIEVE // SLICES * 64, np.uint8)
+    for steps in table.column("bits").to_pylist():
+        out[np.cumsum(numbers(np.frombuffer(steps, np.uint8)))] = 1
+    return pa.table({"slice": table.column("slice").slice(0, 1), "words": pa.array([np.packbits(out, bitorder="little").tobytes()])})
+
+
 def known(entries: DataFrame) -> tuple[Known, DataFrame | None]:
     """Known of a table (key, value, weight), and the entries that are not held, if any."""
     keys, values, cold = hottest(entries)
     if cold is None:
         return Known(keys, values, None), None
-    # One row for each word that has a bit set: at most SIEVE.
-    key = F.col("key")
-    bits = cold.select(F.explode(F.array(
-        F.struct(key.bitwiseAND(F.lit(SIEVE - 1)).alias("word"), F.shiftrightunsigned(key, 26).bitwiseAND(F.lit(63)).cast("int").alias("bit")),
-        F.struct(F.shiftrightunsigned(key, 32).bitwiseAND(F.lit(SIEVE - 1)).alias("word"), F.shiftrightunsigned(key, 58).cast("int").alias("bit")),
-    )).alias("x"))
-    bits = bits.groupBy("x.word").agg(F.bit_or(F.expr("shiftleft(1L, x.bit)")).alias("bits")).toArrow()
-    sieve = np.zeros(SIEVE, np.uint64)
-    sieve[bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
+    parts = cold.select("key").mapInArrow(_bits, "slice long, bits binary")
+    parts = parts.groupBy("slice").applyInArrow(_slice, "slice long, words binary").toArrow()
+    sieve = np.zeros((SLICES, SIEVE // SLICES), np.uint64)
+    for at, words in zip(parts.column("slice").to_pylist(), parts.column("words").to_pylist(), strict=True):
+        sieve[at] = np.frombuffer(words, np.uint64)
+    sieve = sieve.reshape(-1)
     return Known(keys, values, sieve), cold
 
 
@@ -226,7 +247,7 @@ def longer(state: np.ndarray, at: np.ndarray, h: np.ndarray, first: np.ndarray,
     return at, h[at - k] if k == 1 else mix(h[at - k], state[fits])
 
 
-def _chunks(texts: list[bytes], most: int = 1 << 22) -> Iterator[list[bytes]]:
+def _chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
     run, size = [], 0
     for t in texts:
         run.append(t)
@@ -238,8 +259,9 @@ def _chunks(texts: list[bytes], most: int = 1 << 22) -> Iterator[list[bytes]]:
         yield run
 
 
-#: Setting by which shuffled files go with the query that wrote them: all that is read later here are written tables.
-SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings: shuffled files go with the query that wrote them, since all that is read later here are written tables; a
+#: task gets so many bytes of texts at once.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 #: Codes of tokens that have no number start here.
 BEYOND = 1 << 31
 HIGH = np.uint64(0xFFFFFFFF00000000)
@@ -282,16 +304,58 @@ def numbers(data: np.ndarray) -> np.ndarray:
 
 
 def merged(parts: list[tuple]) -> tuple:
-    """Pairs (key, s, next, c) by key, those next to each other summed. Pairs of one key may be told more than once."""
-    key, s, nxt, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(key)
-    key, s, nxt, c = key[order], s[order], nxt[order], c[order]
+    """Pairs (key, s, next, c) by key, those next to each other summed. Pairs of one key may be told more than once.
+
+    Empties the list; columns are put together one after the other, so little is held twice.
+    """
+    columns = [list(x) for x in zip(*parts, strict=True)]
+    parts.clear()
+    order = np.argsort(np.concatenate(columns[0]))
+    for k, column in enumerate(columns):
+        whole = np.concatenate(column)
+        column.clear()
+        columns[k] = whole[order]
+    key, s, nxt, c = columns
+    del columns, order, whole
     new = np.ones(len(s), bool)
     new[1:] = (key[1:] != key[:-1]) | (s[1:] != s[:-1]) | (nxt[1:] != nxt[:-1])
     at = np.flatnonzero(new)
     return key[at], s[at], nxt[at], np.add.reduceat(c, at) if len(at) else c
 
 
+def stepped(values: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rising unsigned values as steps, afresh in each group: their bytes, and where the groups start among the bytes (with the end) and among the values."""
+    start = np.flatnonzero(np.append(len(groups) > 0, groups[1:] != groups[:-1])) if len(groups) else np.empty(0, np.int64)
+    step = np.diff(values, prepend=values[:1])
+    step[start] = values[start]
+    data, edges = varints(step)
+    return data, edges[np.append(start, len(values))], start
+
+
+def _rows(plain: dict[str, np.ndarray], packed: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of plain columns and of binary ones, which are bytes and their edges."""
+    cut = [pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]) for data, edges in packed.values()]
+    return pa.RecordBatch.from_arrays([*map(pa.array, plain.values()), *cut], [*plain, *packed])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
+    """Columns of a task's batches, about ASKED rows together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns)])
+        size += batch.num_rows
+        if size >= ASKED:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, size = [], 0
+    if size:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of unsigned keys, rising with them."""
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
 PACK = ("states", "sizes", "codes", "counts", "others")
 
 
@@ -307,15 +371,14 @@ def packs(pairs: tuple, ranks: Ranks, buckets: int) -> pa.RecordBatch:
     step = np.diff(code, prepend=0)
     step[at] = code[at]
     (sizes, size_edges), (codes, code_edges), (counts, count_edges) = (varints(x) for x in (np.diff(np.append(at, len(s))), step, c))
-    bucket = (((key[at] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+    bucket = _bucket(key[at], buckets)
     run = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(at))  # where buckets start among contexts, and among pairs
     pair = np.append(at, len(s))[run]
     streams = {
         "states": (s[at], run * 8), "sizes": (sizes, size_edges[run]), "codes": (codes, code_edges[pair]), "counts": (counts, count_edges[pair]),
         "others": (nxt[beyond], np.append(0, np.cumsum(beyond))[pair] * 8),
     }
-    arrays = [pa.Array.from_buffers(pa.binary(), len(run) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))]) for data, edges in streams.values()]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[run[:-1]]), *arrays], ["bucket", *PACK])
+    return _rows({"bucket": bucket[run[:-1]]}, streams)
 
 
 def unpacked(table: pa.Table, ranks: Ranks) -> tuple:
@@ -357,13 +420,14 @@ def summed(table: pa.Table, ranks: Ranks, least: int) -> pa.Table:
     return pa.table({n: pa.array(np.concatenate(x), mask=absent if n == "next" else None) for n, x in rows.items()})
 
 
-def successor_packs(texts: DataFrame, levels: list[Known], ranks: Ranks, buckets: int) -> DataFrame:
+def successor_packs(texts: DataFrame, levels: list[Known], ranks: Ranks, buckets: int, shared: Broadcast | None = None) -> DataFrame:
     """(bucket, PACK): how often tokens follow contexts as long as there are levels, as each task has counted them.
 
     A context's successors go to one bucket, a frequent one's to several. A task sends a row for each bucket, whatever
-    contexts it has met: a successor takes one to three bytes by its number, and one without a number eight more.
+    contexts it has met: a successor takes one to three bytes by its number, and one without a number eight more. shared:
+    levels and ranks, if they are broadcast already.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((levels, ranks))
+    shared = shared or texts.sparkSession.sparkContext.broadcast((levels, ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, ranks = shared.value
@@ -383,30 +447,30 @@ def successor_packs(texts: DataFrame, levels: list[Known], ranks: Ranks, buckets
                 lane = h[at] % np.maximum(lanes, 1).astype(np.int64)
                 dealt = np.where(lane > 0, mix(state, lane), state) if lane.any() else state
                 key = (dealt.view(np.uint64) & HIGH) | code[ids[at]].view(np.uint64)
-                held.append(merged([(key, state, h[at], np.ones(len(at), np.int64))]))
+                held.append(merged([(key, state, h[at], np.ones(len(at), np.int32))]))
                 size += len(held[-1][0])
-                if size > 2 * HELD:
+                if size > 3 * PAIRS // 2:
                     held = [merged(held)]
                     size = len(held[0][0])
-                    if size > HELD:
-                        yield packs(held[0], ranks, buckets)
-                        held, size = [], 0
+                    if size > PAIRS:
+                        yield packs(held.pop(), ranks, buckets)
+                        size = 0
         if size:
             yield packs(merged(held), ranks, buckets)
 
     return texts.mapInArrow(run, f"bucket long, {', '.join(f'{n} binary' for n in PACK)}")
 
 
-def successor_counts(texts: DataFrame, levels: list[Known], least: int, ranks: Ranks, occurrences: int) -> DataFrame:
+def successor_counts(texts: DataFrame, levels: list[Known], least: int, ranks: Ranks, occurrences: int, shared: Broadcast | None = None) -> DataFrame:
     """(s, next, c, kinds): how often tokens follow contexts as long as there are levels, whose suffixes and selves are in them.
 
     Successors met ``least`` times or more have a row each, with one kind; a context's others are summed in rows whose next
     is null, with their number as kinds. Of contexts that only pass a sieve, some are not meant: a join with the table of
     contexts leaves them out. occurrences: of all contexts; the more, the more buckets, which one task sums at a time.
     """
-    found = successor_packs(texts, levels, ranks, max(BUCKETS, occurrences // BUCKET))
-    shared = texts.sparkSession.sparkContext.broadcast(ranks)
-    return found.groupBy("bucket").applyInArrow(lambda t: summed(t, shared.value, least), "s long, next long, c long, kinds long")
+    shared = shared or texts.sparkSession.sparkContext.broadcast((levels, ranks))
+    found = successor_packs(texts, levels, ranks, max(BUCKETS, occurrences // BUCKET), shared)
+    return found.groupBy("bucket").applyInArrow(lambda t: summed(t, shared.value[1], least), "s long, next long, c long, kinds long")
 
 
 def fit(
@@ -431,7 +495,9 @@ def fit(
         if not (occurrences := contexts.agg(F.sum("n")).first()[0]):
             break
         levels.append(known(contexts.select(F.col("s").alias("key"), F.ceil(F.col("n") / LANE).cast("double").alias("value"), F.col("n").alias("weight")))[0])
-        pairs = scratch.cut(successor_counts(texts, levels, min(least_pair, least_context), ranks, occurrences), "suffix-tree-pairs")
+        shared = texts.sparkSession.sparkContext.broadcast((levels, ranks))
+        pairs = scratch.cut(successor_counts(texts, levels, min(least_pair, least_context), ranks, occurrences, shared), "suffix-tree-pairs")
+        shared.destroy()  # its copies lie on the disks of the driver and each executor
         held = F.col("next").isNotNull() & (F.col("c") >= least_pair)
         sums = pairs.groupBy("s").agg(F.sum("c").alias("n"), F.sum("kinds").alias("kinds"), F.coalesce(F.sum(F.when(held, F.col("c"))), F.lit(0)).alias("held"))
         sums = sums.withColumn("spread", F.col("n") - F.col("held") + F.col("kinds")).withColumn("b", F.log10(F.col("spread") / (F.col("n") + F.col("kinds"))))
@@ -475,18 +541,101 @@ def _gain_key(state: Column, token: Column) -> Column:
     return F.xxhash64(state, token).bitwiseXOR(F.lit(GAIN))
 
 
+def questions(owner: np.ndarray, keys: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """What a pack asks for: a row (bucket, keys) for each bucket, its distinct keys as steps upwards; and a row (sizes,
+    steps, times) that stays: how many keys each owner uses, which, by their place among all, and how often."""
+    keys, place = np.unique(keys.view(np.uint64), return_inverse=True)
+    bucket = _bucket(keys, buckets)
+    data, edges, start = stepped(keys, bucket)
+    yield _rows({"bucket": bucket[start]}, {"keys": (data, edges)})
+    use = np.sort(owner * len(keys) + place)
+    start = np.flatnonzero(np.append(True, use[1:] != use[:-1]))
+    times = np.diff(np.append(start, len(use)))
+    owner, place = np.divmod(use[start], len(keys))
+    steps = stepped(place, owner)[0]
+    streams = {"sizes": varints(np.bincount(owner))[0], "steps": steps, "times": varints(times)[0]}
+    yield _rows({}, {n: (x, np.array([0, len(x)])) for n, x in streams.items()})
+
+
+def _coded(c: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Answers: 0 for a key that has no entry, 1 for an entry whose value is told, and beyond that a token's count and one."""
+    return np.where(c > 0, c + 1, 1), values[c == 0], np.append(0, np.cumsum(c == 0)) * 8
+
+
+def entry_packs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, keys, codes, gains) of entries (key, value, c), where c is 0 for what is no token."""
+    for keys, values, c in _runs(batches, 3):
+        keys = keys.view(np.uint64)
+        order = np.argsort(keys)
+        keys, values, c = keys[order], values[order], c[order]
+        data, edges, start = stepped(keys, _bucket(keys, buckets))
+        run = np.append(start, len(keys))
+        codes, gains, at = _coded(c, values)
+        codes, code_edges = varints(codes)
+        yield _rows({"bucket": _bucket(keys[start], buckets)}, {"keys": (data, edges), "codes": (codes, code_edges[run]), "gains": (gains, at[run])})
+
+
+def _unstepped(data: bytes) -> np.ndarray:
+    return np.cumsum(numbers(np.frombuffer(data, np.uint8)).view(np.uint64))
+
+
+def _read(codes: bytes, gains: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, and the values of those told."""
+    codes = numbers(np.frombuffer(codes, np.uint8))
+    values = np.zeros(len(codes))
+    values[codes == 1] = np.frombuffer(gains, np.float64)
+    return codes, values
+
+
+def answers(asked: pa.Table, entries: pa.Table) -> pa.Table:
+    """(pack, bucket, codes, gains) of a bucket: for each pack, what there is for its keys, in their order."""
+    none = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0))]
+    read = [(_unstepped(k), *_read(c, g)) for k, c, g in zip(*(entries.column(n).to_pylist() for n in ("keys", "codes", "gains")), strict=True)]
+    keys, codes, values = (np.concatenate(x) for x in zip(*none, *read, strict=True))
+    order = np.argsort(keys)
+    keys, codes, values = keys[order], np.append(codes[order], 0), values[order]
+    out = []
+    for data in asked.column("keys").to_pylist():
+        wanted = _unstepped(data)
+        at = np.searchsorted(keys, wanted)
+        at[np.append(keys, 0)[at] != wanted] = len(keys)
+        code = codes[at]
+        out.append((varints(code)[0].tobytes(), values[at[code == 1]].tobytes()))
+    return pa.table({"pack": asked.column("pack"), "bucket": asked.column("bucket"), "codes": pa.array([x for x, _ in out], pa.binary()), "gains": pa.array([x for _, x in out], pa.binary())})
+
+
+def gathered(uses: pa.Table, told: pa.Table) -> pa.Table:
+    """(row, known_more, base_more, score_more) of a pack's owners."""
+    told = told.sort_by("bucket")
+    codes, values = _read(*(b"".join(told.column(n).to_pylist()) for n in ("codes", "gains")))
+    c = np.maximum(codes - 1, 0)
+    base = np.log10(c + 1.0)
+    sizes, steps, times = (numbers(np.frombuffer(uses.column(n)[0].as_py(), np.uint8)) for n in ("sizes", "steps", "times"))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    total = np.cumsum(steps)
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    place = total - np.repeat(total[first] - steps[first], sizes[sizes > 0])
+    each = lambda x: np.bincount(owner, x[place] * times, len(sizes))
+    return pa.table({
+        "row": uses.column("pack")[0].as_py() + np.arange(len(sizes)), "known_more": each(c > 0).astype(np.int64),
+        "base_more": each(base), "score_more": each(base + values),
+    })
+
+
 def score(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2,
     least_pair: int = 10, least_context: int = 128, divergence: float = 12.0, held: Column | None = None,
 ) -> DataFrame:
     """One row per input row: (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     conf = docs.sparkSession.conf
-    before = conf.get(SHUFFLES_GO, "false")
-    conf.set(SHUFFLES_GO, "true")
+    before = {k: conf.get(k) for k in SETTINGS}
+    for k, x in SETTINGS.items():
+        conf.set(k, x)
     try:
         return _score(docs, id_col, text_col, depth, least_pair, least_context, divergence, held)
     finally:
-        conf.set(SHUFFLES_GO, before)
+        for k, x in before.items():
+            conf.set(k, x)
 
 
 def _score(docs: DataFrame, id_col: str, text_col: str, depth: int, least_pair: int, least_context: int, divergence: float, held: Column | None) -> DataFrame:
@@ -502,11 +651,16 @@ def _score(docs: DataFrame, id_col: str, text_col: str, depth: int, least_pair:
     hot, cold = known(model)
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     never = -math.log10(n + v + 1)
-    names = ["id", "held", "n_tokens", "n_known", "base", "score", "keys", "times"]
+    buckets = max(BUCKETS, n // (BUCKET // 2))
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"row long, id {kind}, held boolean, n_tokens long, n_known long, base double, score double, pack long, bucket long, keys binary, sizes binary, steps binary, times binary"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         vocabulary = Vocabulary(lambda h: (*table.get(h ^ TOKEN), *table.get(h)))
+        begun = row = TaskContext.get().partitionId() << 33
+        held, size = [], 0
         for batch in batches:
             done = 0
             for chunk in _chunks(batch.column(2).to_pylist()):
@@ -530,35 +684,46 @@ def _score(docs: DataFrame, id_col: str, text_col: str, depth: int, least_pair:
                     value, _, maybe = table.get(key)
                     total[at] += value
                     asked.append((text[at[maybe]], key[maybe]))
-                owner, keys = (np.concatenate(x) for x in zip(*asked, strict=True))
-                order = np.lexsort((keys, owner))
-                owner, keys = owner[order], keys[order]
-                new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])))) if len(keys) else np.empty(0, np.int64)
-                times = np.diff(np.append(new, len(keys)))
-                edges = pa.array(np.searchsorted(owner[new], np.arange(len(chunk) + 1)).astype(np.int32))
                 each = lambda x: pa.array(np.bincount(text, np.where(scored, x, 0), len(starts)))  # noqa: B023, E731
                 whole = lambda x: each(x).cast(pa.int64())  # noqa: B023, E731
                 columns = [
-                    batch.column(0).slice(done, len(chunk)), batch.column(1).slice(done, len(chunk)), whole(1.0), whole(sure), each(base), each(total),
-                    pa.ListArray.from_arrays(edges, pa.array(keys[new])), pa.ListArray.from_arrays(edges, pa.array(times)),
+                    pa.array(np.arange(row, row + len(chunk))), batch.column(0).slice(done, len(chunk)), batch.column(1).slice(done, len(chunk)),
+                    whole(1.0), whole(sure), each(base), each(total),
                 ]
+                yield filled(columns, len(chunk))
+                owner, keys = (np.concatenate(x) for x in zip(*asked, strict=True))
+                held.append((owner + (row - begun), keys))
+                size += len(keys)
                 done += len(chunk)
-                yield pa.RecordBatch.from_arrays(columns, names)
+                row += len(chunk)
+                if size > ASKED:
+                    yield from asking(held, begun, batch.column(0).type)
+                    begun, held, size = row, [], 0
+        if size:
+            yield from asking(held, begun, batch.column(0).type)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = rows.mapInArrow(partial, f"id {kind}, held boolean, n_tokens long, n_known long, base double, score double, keys array<long>, times array<long>")
+    def filled(columns: list[pa.Array], size: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), *[pa.nulls(size, pa.binary())] * 4], names)
+
+    def asking(held: list, begun: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for found in questions(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets):
+            size = found.num_rows
+            has = lambda name: found.column(name) if name in found.schema.names else pa.nulls(size, pa.int64() if name == "bucket" else pa.binary())  # noqa: B023, E731
+            empty = [pa.nulls(size, x) for x in (pa.int64(), id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(np.full(size, begun)), *map(has, names[8:])], names)
+
+    found = rows.mapInArrow(partial, schema)
     if cold is None:
-        found = found.drop("keys", "times")
         more = found.withColumns({"known_more": F.lit(0), "base_more": F.lit(0.0), "score_more": F.lit(0.0)})
     else:
-        found = scratch.cut(found.select(F.monotonically_increasing_id().alias("row"), "*"), "suffix-tree-scores")
-        asked = found.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("key"), "x.times")
-        sums = asked.join(cold, "key").groupBy("row").agg(
-            F.sum(F.when(F.col("token"), F.col("times")).otherwise(0)).alias("known_more"),
-            F.sum(F.when(F.col("token"), F.col("times") * F.col("value")).otherwise(0.0)).alias("base_more"),
-            F.sum(F.col("times") * F.col("value")).alias("score_more"),
-        )
-        more = found.drop("keys", "times").join(sums, "row", "left")
+        found = scratch.cut(found, "suffix-tree-scores")
+        shared.destroy()
+        asked = found.where("bucket is not null").select("pack", "bucket", "keys")
+        entries = cold.select("key", "value", F.when(F.col("token"), F.col("weight")).otherwise(0).alias("c")).mapInArrow(lambda x: entry_packs(x, buckets), "bucket long, keys binary, codes binary, gains binary")
+        told = asked.groupBy("bucket").cogroup(entries.groupBy("bucket")).applyInArrow(answers, "pack long, bucket long, codes binary, gains binary")
+        uses = found.where("sizes is not null").select("pack", "sizes", "steps", "times")
+        sums = uses.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(gathered, "row long, known_more long, base_more double, score_more double")
+        more = found.where("row is not null").select(*names[:7]).join(sums, "row", "left")
     or_0 = lambda c: F.coalesce(c, F.lit(0))
     out = more.select(
         F.col("id").alias(id_col),
@@ -569,4 +734,7 @@ def _score(docs: DataFrame, id_col: str, text_col: str, depth: int, least_pair:
         F.round(F.col("base") + or_0("base_more"), 6).alias("base_score"),
         F.round(F.col("score") + or_0("score_more"), 6).alias("score"),
     )
-    return scratch.last(out, "suffix-tree-out")
+    out = scratch.last(out, "suffix-tree-out")
+    if cold is None:
+        shared.destroy()
+    return out

@@ -1,6 +1,7 @@
 """The operators against brute force on small tables, and their defined cases."""
 
 import math
+import os
 import random
 import zlib
 from array import array
@@ -444,6 +445,54 @@ def test_successors_travel_by_buckets(spark):
         assert {r.s: (r.c, r.kinds) for r in got if r.next is None} == {s: (c, kinds[s]) for s, c in rest.items() if c}
 
 
+def test_cold_entries_are_asked_for_in_packs(spark, monkeypatch):
+    """A task asks in a row for each bucket, however many keys its texts need, and copies of what tasks share do not stay."""
+    rng = np.random.default_rng(5)
+    docs = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 300) % 3000)) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    shared, cut, asked = [], suffix_tree.Scratch.cut, []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: shared.append(broadcast(self, x)) or shared[-1])
+
+    def counted(self, table, name):
+        out = cut(self, table, name)
+        if name == "suffix-tree-scores":
+            asked.append(out.count() - len(docs))
+        return out
+
+    monkeypatch.setattr(suffix_tree.Scratch, "cut", counted)
+    want = suffix_tree.score(df, least_pair=2, least_context=5).orderBy("doc_id").collect()
+    assert not asked
+    monkeypatch.setattr(suffix_tree, "HOT", 50)
+    got = suffix_tree.score(df, least_pair=2, least_context=5).orderBy("doc_id").collect()
+    assert 0 < asked[0] <= 3 * (suffix_tree.BUCKETS + 1)
+    assert [tuple(r) for r in got] == [pytest.approx(tuple(r), abs=2e-6) for r in want]
+    assert len(shared) == 6 and not any(os.path.exists(x._path) for x in shared)
+
+
+def test_packs_asked_and_answered():
+    """Answers come in the order of the keys asked for, whatever bits the keys have, and go to all that use them."""
+    rng = np.random.default_rng(6)
+    keys = np.unique(rng.integers(-(2**63), 2**63 - 1, 3000))
+    keys[[0, -1]] = -(2**63), 2**63 - 1
+    c = np.where(rng.random(len(keys)) < 0.5, rng.integers(1, 1000, len(keys)), 0)
+    values = np.where(c > 0, np.log10(c + 1), rng.normal(size=len(keys)))
+    there = rng.random(len(keys)) < 0.7
+    batch = pa.RecordBatch.from_arrays([pa.array(keys[there]), pa.array(values[there]), pa.array(c[there])], ["key", "value", "c"])
+    entries = pa.Table.from_batches(suffix_tree.entry_packs(iter([batch.slice(0, 900), batch.slice(900)]), 7))
+    owner, at = rng.integers(0, 40, 9000), rng.integers(0, len(keys), 9000)
+    owner[owner == 17] = 18
+    wanted, uses = suffix_tree.questions(owner, keys[at], 7)
+    wanted = pa.Table.from_batches([wanted]).append_column("pack", pa.array(np.full(wanted.num_rows, 500)))
+    uses = pa.Table.from_batches([uses]).append_column("pack", pa.array([500]))
+    of = lambda table, b: table.filter(pa.array(table["bucket"].to_numpy() == b))
+    told = pa.concat_tables([suffix_tree.answers(of(wanted, b), of(entries, b)) for b in (3, 6, 0, 1, 5, 4, 2)])
+    got = suffix_tree.gathered(uses, told).to_pydict()
+    each = lambda x: np.bincount(owner, np.where(there, x, 0)[at], 40)
+    assert got["row"] == list(range(500, 540)) and got["known_more"] == each(c > 0).tolist()
+    assert np.allclose(got["base_more"], each(np.where(c > 0, values, 0))) and np.allclose(got["score_more"], each(values))
+
+
 def test_packs_of_pairs_under_one_key():
     """Contexts and tokens whose hashes agree in the bits that are sorted by are still told apart."""
     rng = np.random.default_rng(3)
