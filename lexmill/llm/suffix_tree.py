@@ -100,6 +100,14 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _places(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """np.searchsorted, with the keys in order: a large table is then read in order as well."""
+    order = np.argsort(keys)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.searchsorted(table, keys[order])
+    return out
+
+
 @dataclass
 class Known:
     """What a task holds of a table (key, value): its hottest entries, and the sieve that all other keys pass."""
@@ -111,7 +119,7 @@ class Known:
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Values (0 where not held), whether held, and whether the table may hold it beyond."""
         if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            at = np.minimum(_places(self.keys, keys), len(self.keys) - 1)
             held = self.keys[at] == keys
             values = np.where(held, self.values[at], 0.0)
         else:
@@ -195,7 +203,7 @@ class Ranks:
         """32 bits by which tokens are sorted: their number, or BEYOND and bits of their hash."""
         codes = (tokens & (BEYOND - 1)) | BEYOND
         if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, tokens), len(self.keys) - 1)
+            at = np.minimum(_places(self.keys, tokens), len(self.keys) - 1)
             codes = np.where(self.keys[at] == tokens, self.numbers[at], codes)
         return codes
 
