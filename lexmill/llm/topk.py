@@ -1,7 +1,8 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Candidates lie in buckets of similar length, longest first, many buckets to a slab; queries lie in blocks. A block meets
-a slab by an equi-join on the slab's number. A first round over the slab of the longest vectors gives every query a
+Candidates lie in buckets of similar length, longest first, many buckets to a slab; queries lie in blocks. Slabs and blocks
+are written tables, and a task of their product reads some of either: no copy of a block is broadcast or shuffled. A task
+keeps its blocks' k best over the slabs that it meets. A first round over the slab of the longest vectors gives every query a
 running k-th best score; the second round meets the other slabs with it. In a bucket whose longest vector has length l, a
 query of length |q| with k-th best score s needs cosine s / (|q| l) or more: above 1 the bucket is passed over. Where
 these local thresholds are high the bucket prunes by coordinate (the feasible range of a candidate's coordinate, given
@@ -10,19 +11,20 @@ verified by its exact integer product.
 
 Candidates lie in at most LANES lanes by length, each lane dealt out to slabs by hash. Once every query has a running k-th
 best score, it needs only the lanes whose longest vector can reach that score; queries that need equally many lanes
-share blocks, so a block is sent to no slab that all of its queries pass over.
+share blocks, so a block meets no slab that all of its queries pass over.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, as neither query nor
 candidate; a null id takes no part; rows that repeat an id are each a query and a candidate of their own, so such a query
 has its k rows once for each; vectors of different lengths are compared as if zeros followed the shorter; zero vectors
 score 0; ties go to the smaller id; a query with fewer than k candidates returns them all; an empty table gives no rows.
-Products are exact: in doubles where lengths bound them under 2**53, in 64-bit integers where they bound them under
+Products are exact: in floats where lengths bound them under 2**24, in doubles under 2**53, in 64-bit integers where they bound them under
 2**62, else in integers without bound. Scores beyond a long, which the column can't hold, are held at its ends and tie
 there. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,8 @@ BLOCK = 1024
 STEEP = 0.8
 #: Bands of length at most, whatever the number of vectors.
 LANES = 64
+#: Parts of the slabs at most that a product has: each tells the k best of every query that it meets.
+SIDES = 16
 LONG = (1 << 63) - 1
 NO_FLOOR = -(1 << 63)
 
@@ -59,6 +63,33 @@ def _matrix(side: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return own, ids, rows, floors
 
 
+def _norms(rows: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.sqrt((rows * rows).sum(axis=1))  # infinite where squares overflow: nothing is pruned by it
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (number, list of structs) to (number, the list's arrays in bytes), longest first, in the least kind that holds them."""
+    for batch in batches:
+        packs = []
+        for side in batch.column(1):
+            own, ids, rows, floors = _matrix(side)
+            order = np.lexsort((own, ids, -_norms(rows)))
+            most = np.abs(rows).max(initial=0)
+            kind = next((t for t in (np.int8, np.int16, np.int32) if most <= np.iinfo(t).max), np.float64)
+            to = io.BytesIO()
+            for x in (own[order], ids[order], rows[order].astype(kind), floors[order] if len(floors) else floors):
+                np.save(to, x, allow_pickle=False)
+            packs.append(to.getvalue())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packs, pa.binary())], ["number", "pack"])
+
+
+def _unpacked(pack: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    at = io.BytesIO(pack.as_py())
+    own, ids, rows, floors = (np.load(at, allow_pickle=False) for _ in range(4))
+    return own, ids, rows.astype(np.float64), floors
+
+
 def _widen(x: np.ndarray, width: int) -> np.ndarray:
     return x if x.shape[1] == width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
@@ -87,9 +118,32 @@ class Bucket:
         return order[np.searchsorted(values, low - 1e-9) : np.searchsorted(values, high + 1e-9, "right")]
 
 
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+class Best:
+    """The k best ids and scores of each of a block's queries so far, by query."""
+
+    def __init__(self, floors: np.ndarray, k: int):
+        self.k, self.need = k, floors.copy()
+        self.at, self.ids, self.scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self._more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        if len(at):
+            self._more.append((at, ids, scores))
+            if 2 * sum(len(x[0]) for x in self._more) > len(self.at):
+                self.settle()
+
+    def settle(self) -> None:
+        """Merges what was added, and raises what a score needs to count."""
+        if not self._more:
+            return
+        at, ids, scores = (np.concatenate(x) for x in zip((self.at, self.ids, self.scores), *self._more, strict=True))
+        self._more = []
+        order = np.lexsort((ids, ~scores, at))  # -scores would overflow at a long's least value
+        at = at[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        order, full = order[rank < self.k], order[rank == self.k - 1]
+        self.need[at[rank == self.k - 1]] = np.maximum(self.need[at[rank == self.k - 1]], scores[full])
+        self.at, self.ids, self.scores = at[rank < self.k], ids[order], scores[order]
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -98,14 +152,16 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(whole(a) @ whole(b), -LONG - 1, LONG).astype(np.int64)
 
 
-def search(queries: tuple, buckets: list[Bucket], k: int, floors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query the ids and scores of its k best here, of those that reach its floor. queries: row numbers, rows, norms."""
+def search(queries: tuple, buckets: list[Bucket], best: Best) -> None:
+    """Adds to best what these buckets hold. queries: row numbers, rows, norms."""
     own, rows, norms = queries
-    found = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in own]
-    need = floors.copy()
+    need = best.need
+    longest = max(norms.max(initial=0), max((b.norms[0] for b in buckets), default=0))
     bound = norms.max(initial=0) * max((b.norms[0] for b in buckets), default=0)
-    if bound < 2.0**53:
-        product = lambda a, b: np.rint(a @ b).astype(np.int64)
+    if bound < 2.0**24 and longest < 2.0**24:
+        product = lambda a, b: a.astype(np.float32) @ b.astype(np.float32)
+    elif bound < 2.0**53:
+        product = lambda a, b: a @ b
     elif bound < 2.0**62:
         product = lambda a, b: a.astype(np.int64) @ b.astype(np.int64)
     else:
@@ -119,44 +175,43 @@ def search(queries: tuple, buckets: list[Bucket], k: int, floors: np.ndarray) ->
             continue
         if np.median(theta[live]) >= STEEP:
             picks = [(i, bucket.by_coordinate(rows[i] / norms[i], min(1.0, theta[i])) if theta[i] > 0 and norms[i] > 0 else np.arange(len(bucket.ids))) for i in live]
-            tested = [(i, at, product(bucket.rows[at], rows[i])) for i, at in picks if len(at)]
+            asks, at = np.repeat(live, [len(at) for _, at in picks]), np.concatenate([at for _, at in picks])
+            scores = np.concatenate([product(bucket.rows[at], rows[i]) for i, at in picks])
+            take = scores >= need[asks]
+            asks, at, scores = asks[take], at[take], scores[take]
         else:
             with np.errstate(divide="ignore", invalid="ignore"):
                 shortest = np.where((need[live] > 0) & (norms[live] > 0), need[live] / norms[live], 0.0)
-            reach = np.searchsorted(-bucket.norms, -shortest * (1 - 1e-12), "right")
-            products = product(bucket.rows[: reach.max()], rows[live].T)
-            tested = [(i, np.arange(m), products[:m, j]) for j, (i, m) in enumerate(zip(live, reach, strict=True)) if m]
-        for i, at, scores in tested:
-            take = (scores >= need[i]) & (bucket.own[at] != own[i])
-            if take.any():
-                found[i] = best(np.concatenate((found[i][0], bucket.ids[at][take])), np.concatenate((found[i][1], scores[take])), k)
-                if len(found[i][0]) == k:
-                    need[i] = max(need[i], found[i][1][-1])
-    return found
-
-
-def _norms(rows: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.sqrt((rows * rows).sum(axis=1))  # infinite where squares overflow: nothing is pruned by it
+            reach = np.searchsorted(-bucket.norms, -shortest.min() * (1 - 1e-12), "right")
+            products = product(bucket.rows[:reach], rows[live].T)
+            at, asks = np.divmod(np.flatnonzero(products >= need[live].astype(products.dtype)), len(live))
+            scores, asks = products[at, asks], live[asks]
+        take = bucket.own[at] != own[asks]
+        best.add(asks[take], bucket.ids[at[take]], scores[take].astype(np.int64))
+    best.settle()
 
 
 def _cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (query block, slab) to each query's best of the slab."""
+    """Rows (block's number, query block, slab's number, slab), those of a slab together, to each query's best of all slabs here."""
+    met: dict[int, tuple] = {}
+    made, side, buckets = None, (), []
     for batch in batches:
-        for block, slab in zip(batch.column(0), batch.column(1), strict=True):
-            (asking, qids, q, floors), (own, ids, c, _) = _matrix(block), _matrix(slab)
+        for number, block, slab, pack in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            asking, qids, q, floors = _unpacked(block)
+            if made is None or made[0] != slab:
+                made, side = None, _unpacked(pack)
+            own, ids, c, _ = side
             width = max(q.shape[1], c.shape[1])
-            q, c = _widen(q, width), _widen(c, width)
-            norms = _norms(c)
-            order = np.lexsort((own, ids, -norms))
-            buckets = [Bucket(own[at], ids[at], c[at], norms[at]) for at in (order[i : i + BUCKET] for i in range(0, len(order), BUCKET))]
-            found = search((asking, q, _norms(q)), buckets, k, floors)
-            sizes = [len(x[0]) for x in found]
-            if sum(sizes):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(asking, sizes)), pa.array(np.repeat(qids, sizes)), pa.array(np.concatenate([x[0] for x in found])), pa.array(np.concatenate([x[1] for x in found]))],
-                    ["query", "query_id", "id", "score"],
-                )
+            if made != (slab, width):
+                c = _widen(c, width)
+                norms, made = _norms(c), (slab, width)
+                buckets = [Bucket(own[i : i + BUCKET], ids[i : i + BUCKET], c[i : i + BUCKET], norms[i : i + BUCKET]) for i in range(0, len(own), BUCKET)]
+            if number not in met:
+                met[number] = asking, qids, Best(floors, k)
+            search((asking, _widen(q, width), _norms(q)), buckets, met[number][2])
+    for asking, qids, best in met.values():
+        if len(best.at):
+            yield pa.RecordBatch.from_arrays([pa.array(asking[best.at]), pa.array(qids[best.at]), pa.array(best.ids), pa.array(best.scores)], ["query", "query_id", "id", "score"])
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -193,7 +248,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         base += parts[r["lane"]]
         longest.append((base, r["top"]))
     slab = laned.select(number.cast("int").alias("slab"), F.struct("row", "id", "v").alias("x"))
-    slab = scratch.cut(slab.groupBy("slab").agg(F.collect_list("x").alias("slab_rows")), "topk-slabs")
+    slab = slab.groupBy("slab").agg(F.collect_list("x").alias("slab_rows")).mapInArrow(_packed, "number int, pack binary").toDF("slab", "slab_rows")
+    slab = scratch.cut(slab, "topk-slabs")
     asked = rows.where(is_query)
 
     def meet(queries: DataFrame, slab_from: int) -> DataFrame:
@@ -204,8 +260,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
             blocks = F.when(F.col("until") == until, F.lit(max(1, -(-m // BLOCK)))).otherwise(blocks)
         block = F.pmod(F.xxhash64("row", F.lit(1)), blocks).cast("int")
         packed = queries.where(F.col("until") > slab_from).groupBy("until", block.alias("block")).agg(F.collect_list(F.struct("row", "id", "v", "floor")).alias("asks"))
-        dealt = packed.withColumn("slab", F.explode(F.expr(f"sequence({slab_from}, until - 1)")))
-        return dealt.join(slab, "slab").select("asks", "slab_rows").mapInArrow(lambda it: _cells(it, k), "query long, query_id long, id long, score long")
+        packed = packed.select("until", "asks").mapInArrow(_packed, "number int, pack binary").toDF("until", "asks")
+        packed = scratch.cut(packed.withColumn("number", F.monotonically_increasing_id()), "topk-blocks")
+        # By size either table may look fit for a broadcast, which the driver would hold whole: the product reads both from files.
+        sides = slab.where(F.col("slab").between(slab_from, max(sizes, default=0) - 1)).coalesce(SIDES)
+        met = sides.hint("shuffle_replicate_nl").join(packed, F.col("slab") < F.col("until"))
+        return met.select("number", "asks", "slab", "slab_rows").mapInArrow(lambda it: _cells(it, k), "query long, query_id long, id long, score long")
 
     first = scratch.cut(meet(asked.select("row", "id", "v", F.lit(None).cast("long").alias("floor"), F.lit(1).alias("until")), 0), "topk-first")
     found = first

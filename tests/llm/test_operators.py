@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexmill.llm import langid, mixing, packing, simhash, suffix_tree, tokens, topk, vector_dedup
+from lexmill.llm import common, langid, mixing, packing, simhash, suffix_tree, tokens, topk, vector_dedup
 from lexmill.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -179,6 +179,45 @@ def test_top_k_against_brute_force(spark, monkeypatch, slab, bucket, steep):
     assert few.count() == 2 and topk.top_k(df.limit(0), F.col("id") % 20 == 0, 20).count() == 0
 
 
+def test_top_k_broadcasts_no_block_or_slab(spark, monkeypatch):
+    for name, value in (("SLAB", 40), ("BUCKET", 8), ("BLOCK", 10)):
+        monkeypatch.setattr(topk, name, value)
+    plans, made = {}, common.Cut.__init__
+
+    def seen(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        made(self, df, name)
+
+    monkeypatch.setattr(common.Cut, "__init__", seen)
+    assert topk.top_k(vectors(spark)[2], F.col("id") % 20 == 0, 20).count() > 0
+    assert {"topk-first", "topk-asked", "topk-found"} <= set(plans)
+    # A block copied for each slab is as large as queries times slabs: the driver would hold it whole.
+    for name in plans.keys() - {"topk-asked"}:  # that one broadcasts a number for each query at most
+        assert "Broadcast" not in plans[name] and "Generate" not in plans[name], name
+
+
+@pytest.mark.parametrize("steep", [0.8, -2.0, 9.0])
+@pytest.mark.parametrize("scale", [1, 40, 2000, 1e7, 1e12, 1e20])
+def test_top_k_search_against_plain_products(monkeypatch, steep, scale):
+    monkeypatch.setattr(topk, "STEEP", steep)
+    rng = np.random.default_rng(3)
+    k, rows = 7, np.floor(rng.normal(size=(300, 5)) * scale)
+    rows[::17], rows[5] = 0, rows[6]
+    own, ids, asked = np.arange(300), rng.integers(0, 200, 300), np.arange(0, 300, 9)
+    score = lambda a, b: max(-(2**63), min(2**63 - 1, sum(int(x) * int(y) for x, y in zip(a, b, strict=True))))
+    want = [sorted((-score(rows[a], rows[j]), int(ids[j])) for j in own if j != a)[:k] for a in asked]
+    for floors in ([topk.NO_FLOOR] * len(asked), [-w[-1][0] if i % 3 else topk.NO_FLOOR for i, w in enumerate(want)]):
+        best = topk.Best(np.array(floors, np.int64), k)
+        for at in (own[:150], own[150:]):
+            at = at[np.argsort(-topk._norms(rows[at]), kind="stable")]
+            parts = [at[i : i + 32] for i in range(0, 150, 32)]
+            topk.search((asked, rows[asked], topk._norms(rows[asked])), [topk.Bucket(own[x], ids[x], rows[x], topk._norms(rows[x])) for x in parts], best)
+        got = [[] for _ in asked]
+        for a, i, s in zip(best.at.tolist(), best.ids.tolist(), best.scores.tolist(), strict=True):
+            got[a].append((-s, i))
+        assert got == want
+
+
 # --- 6 and 8: tokens
 
 
